@@ -1,14 +1,26 @@
-"""The queries of this subpackage, by name, and the SQL of those that SQL can express."""
+"""The queries of this subpackage, by name, and the SQL of those that SQL can express.
+
+None has SQL: op1, op9 and op10 hold learned models, op2 and op7 a tokenizer,
+op3 and op8 need the offsets of non-overlapping matches and checks of what
+they hold, op4 and op5 are too slow as SQL on whole tables, op6 renders. Each
+is tested against a brute-force version instead.
+"""
 
 from __future__ import annotations
 
-from . import bpe, pii, secrets, token_files
+from . import bpe, chat_format, decontamination, interpolated_lm, jaccard_join, pii, quality_classifier, quality_rules, secrets, token_files
 
 QUERIES = {
+    "op1_interpolated_lm": interpolated_lm.op1_interpolated_lm,
     "op2_token_files": token_files.op2_token_files,
     "op3_pii": pii.op3_pii,
+    "op4_decontamination": decontamination.op4_decontamination,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_chat_format": chat_format.op6_chat_format,
     "op7_bpe": bpe.op7_bpe,
     "op8_secrets": secrets.op8_secrets,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
