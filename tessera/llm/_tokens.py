@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
-#: Pieces that a worker remembers before it starts anew; bounds its memory.
-MEMO_PIECES = 400_000
+#: Pieces that a worker remembers: those seen once, and those seen again. They bound its memory.
+YOUNG, OLD = 150_000, 300_000
+#: Latin letters that NFC leaves alone and that lower-case one by one, then at most one plain punctuation mark.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)").fullmatch
 
 
 @lru_cache(maxsize=4)
@@ -21,13 +24,41 @@ def load(path: str):
     return tokenizer
 
 
-class Memo(dict):
-    """piece -> encoded piece, at most ``MEMO_PIECES`` and those of one batch."""
+@lru_cache(maxsize=4)
+def memo(name: str) -> Memo:
+    """The memo of this name in this worker process; it outlives a task."""
+    return Memo()
+
+
+class Memo:
+    """piece -> encoded piece. A piece that comes again in a later batch is kept longer."""
+
+    def __init__(self):
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def fill(self, pieces: set[str], encode) -> dict[str, object]:
+        """The encoded pieces of one batch; ``encode`` is called with those not remembered."""
+        found, missing = {}, []
+        old, young = self.old, self.young
+        for p in pieces:
+            value = old.get(p)
+            if value is None:
+                value = young.pop(p, None)
+                if value is None:
+                    missing.append(p)
+                    continue
+                old[p] = value
+            found[p] = value
+        if len(old) > OLD:
+            old.clear()
+        new = dict(zip(missing, encode(missing), strict=True))
+        if len(young) + len(new) > YOUNG:
+            young.clear()
+        young.update(new)
+        return found | new
+
 
-    def fill(self, pieces: set[str], encode) -> None:
-        missing = pieces.difference(self)
-        if len(self) + len(missing) > MEMO_PIECES:
-            self.clear()
-            missing = pieces
-        missing = list(missing)
-        self.update(zip(missing, encode(missing), strict=True))
+def letter_table(pretokens) -> dict[int, str]:
+    """Code point of each simple letter -> its text in the byte-level alphabet, after normalisation."""
+    return {ord(c): "".join(pretokens(c)) for c in map(chr, range(0x100)) if SIMPLE(c)}

@@ -29,14 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import documents
-from ._tokens import Memo, load
+from ._tokens import SIMPLE, Memo, letter_table, load, memo
 from ._words import slabs
 
 #: White space that no normaliser or pattern reads together with what surrounds it.
 GAPS = str.maketrans("\t\n\r", "   ")
-#: Latin letters that NFC leaves alone and that lower-case one by one, then at most one plain punctuation mark.
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-SIMPLE = re.compile(f"([{LETTERS}]+)([.,;:!?|]?)").fullmatch
 
 
 def forced_pairs(tokens: list[str], suffix: str) -> set[str]:
@@ -65,7 +62,7 @@ class FragmentEncoder:
         self.last = self.tokenizer.model
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.inner = models.BPE(vocab=model["vocab"], merges=merges) if suffix else self.last
-        self.letters = {ord(c): "".join(self.pretokens(c)) for c in map(chr, range(0x100)) if SIMPLE(c)}
+        self.letters = letter_table(self.pretokens)
 
     def pretokens(self, text: str) -> list[str]:
         """Pre-tokens of a text in the byte-level alphabet."""
@@ -106,12 +103,12 @@ def fragment_encoder(path: str) -> FragmentEncoder:
     return FragmentEncoder(path)
 
 
-def encode_texts(texts: list[str | None], encoder: FragmentEncoder, memo: Memo) -> Iterator[tuple[bytes, str]]:
+def encode_texts(texts: list[str | None], encoder: FragmentEncoder, pieces_seen: Memo) -> Iterator[tuple[bytes, str]]:
     """(ids as little-endian uint32, decoded text) of each text."""
     split = [(x or "").translate(GAPS).split(" ") for x in texts]
-    memo.fill({p for pieces in split for p in pieces}, lambda missing: [encoder.piece(p) for p in missing])
+    look = pieces_seen.fill(set().union(*split), lambda missing: [encoder.piece(p) for p in missing])
     for pieces in split:
-        found = [memo[p] for p in pieces]
+        found = [look[p] for p in pieces]
         yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
 
 
@@ -122,9 +119,9 @@ def encode_bpe(docs: DataFrame, tokenizer_path: str, text_col: str = "text", kee
     """``keep`` columns with ``ids`` and ``decoded``, each of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, memo = fragment_encoder(tokenizer_path), Memo()
+        encoder, seen = fragment_encoder(tokenizer_path), memo(f"bpe {tokenizer_path}")
         for batch in slabs(batches, "__text"):
-            rows = list(encode_texts(batch.column(len(keep)).to_pylist(), encoder, memo))
+            rows = list(encode_texts(batch.column(len(keep)).to_pylist(), encoder, seen))
             off = np.cumsum([0, *(len(x[0]) // 4 for x in rows)])
             ids = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.frombuffer(b"".join(x[0] for x in rows), "<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids, pa.array([x[1] for x in rows], pa.string())], [*keep, "ids", "decoded"])

@@ -16,8 +16,10 @@ an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import documents, materialise, new_path
-from ._tokens import Memo, load
+from ._tokens import SIMPLE, letter_table, load, memo
 from ._words import slabs
 
 FILE_SCHEMA = "doc_id long, shard int, local_start long, n_tokens int, ids array<int>"
@@ -35,24 +37,30 @@ ROW_GROUP, PAGE, PAGE_ROWS = 8 << 20, 64 << 10, 500
 FILE_CHARS = 24 << 20
 
 
+#: White space that does not stand alone between two other characters.
+UNEVEN = re.compile(r"\s(?:\s|\Z)|\A\s").search
+
+
 def pieces_of(text: str) -> tuple[str, list[str]]:
-    """The text up to its first certain cut, then the rest in pieces that each follow one space.
+    """The text up to its first certain cut, then pieces: one that starts with a line end stands as it is, others follow one space.
 
     A space before a character that is no white space always begins a new
-    pre-token of the byte-level pattern, whatever stands before it.
+    pre-token of the byte-level pattern, whatever stands before it; a lone line
+    end is a pre-token of its own.
     """
+    if not UNEVEN(text):
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return first, rest
     first, *rest = text.split(" ")
-    if "" in rest or any(x[0].isspace() for x in rest):
-        out: list[str] = []
-        for x in rest:
-            if x and not x[0].isspace():
-                out.append(x)
-            elif out:
-                out[-1] += " " + x
-            else:
-                first += " " + x
-        rest = out
-    return first, rest
+    out: list[str] = []
+    for x in rest:
+        if x and not x[0].isspace():
+            out.append(x)
+        elif out:
+            out[-1] += " " + x
+        else:
+            first += " " + x
+    return first, out
 
 
 def encoder(path: str, end_id: int):
@@ -61,18 +69,31 @@ def encoder(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer, memo, at = load(path), Memo(), 0
+        tokenizer, seen, at = load(path), memo(f"token files {path}"), 0
+        letters = letter_table(lambda c: [w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(c)])
+        space = "".join(w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(" "))
+        merge, ends = tokenizer.model.tokenize, tokenizer.encode("\n", add_special_tokens=False).ids
         shard = TaskContext.get().partitionId()
         end = np.int32(end_id).tobytes()
 
         def ids_of(pieces: list[str]) -> list[bytes]:
-            return [np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch([" " + p for p in pieces], add_special_tokens=False)]
+            out = []
+            for p in pieces:
+                line = p[:1] == "\n"
+                if m := SIMPLE(p, line):  # one pre-token of letters, perhaps one of a mark
+                    ids = ends + [t.id for t in merge(m[1].translate(letters))] if line else [t.id for t in merge(space + m[1].translate(letters))]
+                    if m[2]:
+                        ids += [t.id for t in merge(m[2])]
+                else:
+                    ids = tokenizer.encode(p if line else " " + p, add_special_tokens=False).ids
+                out.append(pack(f"<{len(ids)}i", *ids))
+            return out
 
         for batch in slabs(batches):
             split = [pieces_of(x or "") for x in batch.column(1).to_pylist()]
-            memo.fill({p for _, rest in split for p in rest}, ids_of)
+            look = seen.fill(set().union(*(rest for _, rest in split)), ids_of)
             firsts = tokenizer.encode_batch([x for x, _ in split], add_special_tokens=False)
-            docs = [np.array(f.ids, np.int32).tobytes() + b"".join(map(memo.__getitem__, rest)) + end for f, (_, rest) in zip(firsts, split, strict=True)]
+            docs = [np.array(f.ids, np.int32).tobytes() + b"".join(map(look.__getitem__, rest)) + end for f, (_, rest) in zip(firsts, split, strict=True)]
             sizes = np.array([len(x) // 4 for x in docs], np.int64)
             stop = at + np.cumsum(sizes)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop - at]), pa.int32()), pa.array(np.frombuffer(b"".join(docs), np.int32)))
@@ -89,7 +110,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     if chars is None:
         chars = picked.agg(F.sum(F.length("text"))).first()[0] or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // FILE_CHARS))
-    rows = picked.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(encoder(tokenizer_path, end_id), FILE_SCHEMA)
+    rows = picked.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(encoder(tokenizer_path, end_id), FILE_SCHEMA)
     path = new_path(spark, "tokens")
     rows.write.options(
         **{
