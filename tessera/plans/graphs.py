@@ -1 +1,57 @@
+"""Bindings: graphs, orientations, spectral and segmentation operators."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import graph as op
+
+from .registry import micros, query, table
+
+RARE = "SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) <= 16"
+
+
+@query("components", f"""WITH RECURSIVE r AS ({RARE}), e AS (SELECT DISTINCT l_suppkey % 997 AS a, 1000000 + l_partkey AS b FROM lineitem JOIN r USING (l_partkey)), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ w(node, label) AS (SELECT a, a FROM s UNION SELECT s.b, w.label FROM w JOIN s ON s.a = w.node WHERE w.label < s.b) SELECT node, min(label) AS component FROM w GROUP BY 1""")
+def components(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")  # noqa: E741
+    rare = l.groupBy("l_partkey").count().where("count <= 16").select("l_partkey")
+    edges = l.join(rare, "l_partkey").select((F.col("l_suppkey") % 997).alias("a"), (F.col("l_partkey") + 1000000).alias("b")).distinct()
+    return op.components(edges, "a", "b")
+
+
+@query("signed_components")
+def signed_components(spark, sf):
+    s = table(spark, sf, "supplier")
+    edges = s.select((F.col("s_suppkey") + 0).alias("a"), (F.floor(F.col("s_suppkey") / 2)).alias("b"), (F.col("s_nationkey") % 2).alias("f")).where("a <> b and s_suppkey % 7 <> 0")
+    return op.signed_components(edges, "a", "b", "f")
+
+
+@query("orientation_enum", """WITH b AS (SELECT l_orderkey, l_linenumber, round(sum(l_quantity - 25), 2) AS w FROM lineitem GROUP BY 1, 2), l AS (SELECT l_orderkey, list(w ORDER BY l_linenumber) AS w FROM b GROUP BY 1 HAVING count(*) <= 6),
+ m AS (SELECT l_orderkey, w, unnest(range(CAST(2 ** (len(w) - 1) AS BIGINT))) AS mask FROM l),
+ s AS (SELECT l_orderkey, mask, round(coalesce(list_sum([w[i] * w[i + 1] * (CASE WHEN i > 1 AND (mask >> (i - 2)) & 1 = 1 THEN -1 ELSE 1 END) * (CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN -1 ELSE 1 END) FOR i IN range(1, len(w))]), 0), 4) AS score FROM m),
+ r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, mask) AS rn FROM s) SELECT l_orderkey, mask, CAST(score AS DOUBLE) AS score FROM r WHERE rn = 1""")
+def orientation_enum(spark, sf):
+    b = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.round(F.sum(F.col("l_quantity") - 25), 2).alias("w"))
+    return op.best_orientation(b, "l_orderkey", "l_linenumber", "w", 6)
+
+
+@query("fiedler_halves")
+def fiedler_halves(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("a"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("b"))
+    trade = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey").groupBy("a", "b").agg(F.sum("l_quantity").alias("w"))
+    return op.fiedler_sides(trade.withColumn("g", F.lit(0)), "g", "a", "b", "w").select("node", "side")
+
+
+@query("cbs_segments")
+def cbs_segments(spark, sf):
+    hours = table(spark, sf, "events").groupBy("event_type", (micros("ts") / 3_600_000_000).cast("bigint").alias("h")).agg(F.sum("value").alias("v"))
+    return op.segment_means(hours, "event_type", "h", "v").withColumn("mean", F.round("mean", 4))
+
+
+@query("bloom_semi", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7)")
+def bloom_semi(spark, sf):
+    right = table(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey"))
+    return op.bloom_semi(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), right, "l_partkey")
