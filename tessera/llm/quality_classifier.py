@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._store import documents
 from ._words import bounds, buffers, hashes, mix, slabs
@@ -125,21 +126,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Subw
     return model.fit(pa.array(rows["text"], pa.string()), y) if 0 < y.mean() < 1 else model
 
 
-def score_quality(docs: DataFrame, model: SubwordClassifier, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``; all its columns stay."""
+def score_quality(docs: DataFrame, model: SubwordClassifier, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the score as column ``name``; a column that has this name already is replaced, the others stay."""
     model_parts, bias = model.parts, model.bias
+    docs = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = SubwordClassifier()
         own.parts, own.bias = model_parts, bias
         for batch in slabs(batches, text_col, 2 << 20):
             text = batch.column(batch.schema.get_field_index(text_col))
-            yield batch.append_column("score", pa.array(own.score(text)))
+            yield batch.append_column(name, pa.array(own.score(text)))
 
-    if "score" in docs.columns:
-        raise ValueError("the documents already have a column named score")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,4 +152,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not rejected."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     columns = docs.columns
-    return score_quality(docs, model).where(F.col("score") >= THRESHOLD).select(*columns)
+    return score_quality(docs, model, name="__quality").where(F.col("__quality") >= THRESHOLD).select(*columns)

@@ -195,4 +195,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array([redact(x.as_py()) for x in batch.column(at)], batch.schema.field(at).type))
 
     cleaned = docs.mapInArrow(run, docs.schema)
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
