@@ -7,7 +7,7 @@ import re
 from functools import lru_cache
 
 #: Pieces that a worker remembers: those seen once, and those seen again. They bound its memory.
-YOUNG, OLD = 150_000, 300_000
+YOUNG, OLD = 300_000, 300_000
 #: Latin letters that NFC leaves alone and that lower-case one by one, then at most one plain punctuation mark.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)").fullmatch
 

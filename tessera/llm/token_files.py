@@ -16,7 +16,6 @@ an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from struct import pack
@@ -33,12 +32,18 @@ from ._words import slabs
 FILE_SCHEMA = "doc_id long, shard int, local_start long, n_tokens int, ids array<int>"
 #: Bytes of a row group and of a page, rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 8 << 20, 64 << 10, 500
-#: Characters of text that one file holds, about.
-FILE_CHARS = 24 << 20
+#: Bytes of input (as the planner knows it) for one file.
+FILE_INPUT = 16 << 20
 
 
-#: White space that does not stand alone between two other characters.
-UNEVEN = re.compile(r"\s(?:\s|\Z)|\A\s").search
+#: White space other than space and line end; pairs of those two.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+DOUBLED = ("  ", " \n", "\n ", "\n\n")
+
+
+def uneven(text: str) -> bool:
+    """Whether some white space does not stand alone between two other characters, or is no space or line end."""
+    return text[:1].isspace() or text[-1:].isspace() or any(map(text.__contains__, DOUBLED)) or any(map(text.__contains__, OTHER_SPACE))
 
 
 def pieces_of(text: str) -> tuple[str, list[str]]:
@@ -48,7 +53,7 @@ def pieces_of(text: str) -> tuple[str, list[str]]:
     pre-token of the byte-level pattern, whatever stands before it; a lone line
     end is a pre-token of its own.
     """
-    if not UNEVEN(text):
+    if not uneven(text):
         first, *rest = text.replace("\n", " \n").split(" ")
         return first, rest
     first, *rest = text.split(" ")
@@ -103,13 +108,13 @@ def encoder(path: str, end_id: int):
     return encode
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", chars: int | None = None) -> str:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> str:
     """Encode ``docs`` and write them in ascending id order; returns the path of the files."""
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if chars is None:
-        chars = picked.agg(F.sum(F.length("text"))).first()[0] or 0
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // FILE_CHARS))
+    if files is None:
+        known = int(picked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-known // FILE_INPUT), 100_000))
     rows = picked.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(encoder(tokenizer_path, end_id), FILE_SCHEMA)
     path = new_path(spark, "tokens")
     rows.write.options(
