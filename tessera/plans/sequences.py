@@ -19,7 +19,7 @@ def cigar_parse(spark, sf):
     return l.select("l_orderkey", "l_linenumber", fn.cigar_lengths(F.col("cigar"), "M=X").alias("matched"), fn.cigar_lengths(F.col("cigar"), "M=XIDS").alias("block"), fn.identity(F.col("cigar"), F.lit(1)).alias("identity"))
 
 
-@query("rle_roundtrip", """WITH s AS (SELECT l_orderkey, l_returnflag AS f, row_number() OVER w - row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS g, row_number() OVER w AS i FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+@query("rle_roundtrip", """WITH s AS (SELECT l_orderkey, l_returnflag AS f, row_number() OVER w - row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS g, row_number() OVER w AS i FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag)),
  r AS (SELECT l_orderkey, f, g, count(*) AS n, min(i) AS i FROM s GROUP BY 1, 2, 3) SELECT l_orderkey, string_agg(n || f, '' ORDER BY i) AS rle, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1""")
 def rle_roundtrip(spark, sf):
     s = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))), lambda x: x["l_returnflag"]), "").alias("s"))
