@@ -6,8 +6,8 @@ import os
 import re
 from functools import lru_cache
 
-#: Pieces that a worker remembers: those seen once, and those seen again. They bound its memory.
-YOUNG, OLD = 300_000, 300_000
+#: Pieces that a memo holds: those seen once, and those seen again. They bound a worker's memory.
+YOUNG, OLD = 200_000, 300_000
 #: Latin letters that NFC leaves alone and that lower-case one by one, then at most one plain punctuation mark.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)").fullmatch
 
@@ -33,7 +33,8 @@ def memo(name: str) -> Memo:
 class Memo:
     """piece -> encoded piece. A piece that comes again in a later batch is kept longer."""
 
-    def __init__(self):
+    def __init__(self, young: int = YOUNG, old: int = OLD):
+        self.most_young, self.most_old = young, old
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
@@ -50,10 +51,10 @@ class Memo:
                     continue
                 old[p] = value
             found[p] = value
-        if len(old) > OLD:
+        if len(old) > self.most_old:
             old.clear()
         new = dict(zip(missing, encode(missing), strict=True))
-        if len(young) + len(new) > YOUNG:
+        if len(young) + len(new) > self.most_young:
             young.clear()
         young.update(new)
         return found | new

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import documents
-from ._tokens import SIMPLE, Memo, letter_table, load, memo
+from ._store import bounded_batches, documents
+from ._tokens import SIMPLE, Memo, letter_table, load
 from ._words import slabs
 
 #: White space that no normaliser or pattern reads together with what surrounds it.
@@ -119,13 +119,14 @@ def encode_bpe(docs: DataFrame, tokenizer_path: str, text_col: str = "text", kee
     """``keep`` columns with ``ids`` and ``decoded``, each of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = fragment_encoder(tokenizer_path), memo(f"bpe {tokenizer_path}")
+        encoder, seen = fragment_encoder(tokenizer_path), Memo(100_000, 150_000)
         for batch in slabs(batches, "__text"):
             rows = list(encode_texts(batch.column(len(keep)).to_pylist(), encoder, seen))
             off = np.cumsum([0, *(len(x[0]) // 4 for x in rows)])
             ids = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.frombuffer(b"".join(x[0] for x in rows), "<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids, pa.array([x[1] for x in rows], pa.string())], [*keep, "ids", "decoded"])
 
+    bounded_batches(docs.sparkSession)
     picked = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     return picked.mapInArrow(run, f"{kept}, {ENCODED}")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import documents
+from ._store import bounded_batches, documents
 from ._words import shingles, slabs, words
 
 K1, B = 1.2, 0.75
@@ -210,6 +210,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     ``docs``: doc_id, text; ``items``: item_id, text.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * chars // BLOCK_CHARS))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))

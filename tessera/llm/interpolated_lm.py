@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import documents, materialise
+from ._store import bounded_batches, documents, materialise
 from ._words import mix, slabs, words
 
 #: Tokens of a chunk, and n-grams of a hash range (about).
@@ -263,6 +263,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score_documents(docs: DataFrame, part, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every text. ``part``: 0 learns nothing from a row, 1 counts it, 2 counts it and deletes it while weights are learned."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), part.cast("int").alias("part"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chunks = materialise(rows.mapInArrow(chunk_docs, "chunk long, docs binary"), "lm-chunks")
     n_chunks = chunks.count()

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import documents, materialise
+from ._store import bounded_batches, documents, materialise
 from ._words import mix, shingles, slabs, words
 
 SHINGLE, PERCENT = 5, 80
@@ -274,6 +274,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = materialise(picked.mapInArrow(_sets, SETS), "sets")
     sets = table.where("kind = 0")

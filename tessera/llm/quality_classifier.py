@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._store import documents
+from ._store import bounded_batches, documents
 from ._words import bounds, buffers, hashes, mix, slabs
 
 SAMPLE_DOCS = 3000
@@ -128,13 +128,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Subw
 
 def score_quality(docs: DataFrame, model: SubwordClassifier, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score as column ``name``; a column that has this name already is replaced, the others stay."""
+    bounded_batches(docs.sparkSession)
     model_parts, bias = model.parts, model.bias
     docs = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = SubwordClassifier()
         own.parts, own.bias = model_parts, bias
-        for batch in slabs(batches, text_col, 2 << 20):
+        for batch in slabs(batches, text_col, 1 << 20):
             text = batch.column(batch.schema.get_field_index(text_col))
             yield batch.append_column(name, pa.array(own.score(text)))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import documents
+from ._store import bounded_batches, documents
 from ._words import bounds, buffers, hashes, shingles, slabs
 
 #: Labelled documents in the training sample, at most.
@@ -229,6 +229,7 @@ def label_lines(docs: DataFrame, crf: ChainCrf, least_share: float = LEAST_SHARE
             numbers = [pa.array(getattr(lines, c).astype(np.int64)) for c in names]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *numbers, pa.array(failed), pa.array(share), pa.array(~failed & (share >= least_share))], [*keep, *names, "base_failed", "content_share", "kept"])
 
+    bounded_batches(docs.sparkSession)
     picked = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     return picked.mapInArrow(run, f"{kept}, " + ", ".join(f"{c} long" for c in names) + ", base_failed boolean, content_share double, kept boolean")

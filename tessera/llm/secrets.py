@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import documents
+from ._store import bounded_batches, documents
 
 #: Fixed values of the base scan: kind, pattern, least length of the tested group, the group.
 BASE = (
@@ -174,6 +174,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
             lists = [pa.array([[{"kind": k, "start": s, "end": e} for s, e, k in x[i]] for x in both], kind) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *lists], [*keep, "base", "found"])
 
+    bounded_batches(docs.sparkSession)
     picked = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     return picked.mapInArrow(run, f"{kept}, base {SPANS}, found {SPANS}")
@@ -194,5 +195,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array([redact(x.as_py()) for x in batch.column(at)], batch.schema.field(at).type))
 
+    bounded_batches(spark)
     cleaned = docs.mapInArrow(run, docs.schema)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
