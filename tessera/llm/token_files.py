@@ -16,6 +16,7 @@ an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from struct import pack
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import documents, materialise, new_path
-from ._tokens import SIMPLE, letter_table, load, memo
+from ._store import bounded_batches, documents, materialise, new_path
+from ._tokens import letter_table, load, memo
 from ._words import slabs
 
 FILE_SCHEMA = "doc_id long, shard int, local_start long, n_tokens int, ids array<int>"
@@ -39,6 +40,8 @@ FILE_INPUT = 16 << 20
 #: White space other than space and line end; pairs of those two.
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 DOUBLED = ("  ", " \n", "\n ", "\n\n")
+#: A piece of one pre-token of letters or digits and one of marks, either may be missing.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 
 
 def uneven(text: str) -> bool:
@@ -78,6 +81,9 @@ def encoder(path: str, end_id: int):
         letters = letter_table(lambda c: [w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(c)])
         space = "".join(w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(" "))
         merge, ends = tokenizer.model.tokenize, tokenizer.encode("\n", add_special_tokens=False).ids
+        merged = lambda pretoken: [t.id for t in merge(pretoken)]
+        packed = lambda ids: pack(f"<{len(ids)}i", *ids)
+        marks: dict[str, bytes] = {}
         shard = TaskContext.get().partitionId()
         end = np.int32(end_id).tobytes()
 
@@ -85,13 +91,21 @@ def encoder(path: str, end_id: int):
             out = []
             for p in pieces:
                 line = p[:1] == "\n"
-                if m := SIMPLE(p, line):  # one pre-token of letters, perhaps one of a mark
-                    ids = ends + [t.id for t in merge(m[1].translate(letters))] if line else [t.id for t in merge(space + m[1].translate(letters))]
-                    if m[2]:
-                        ids += [t.id for t in merge(m[2])]
-                else:
-                    ids = tokenizer.encode(p if line else " " + p, add_special_tokens=False).ids
-                out.append(pack(f"<{len(ids)}i", *ids))
+                m = PLAIN(p, line)
+                if not m:
+                    out.append(packed(tokenizer.encode(p if line else " " + p, add_special_tokens=False).ids))
+                    continue
+                core, mark = m.groups()
+                if not core:  # one pre-token of marks
+                    out.append(packed(ends + merged(mark)) if line else packed(merged(space + mark)))
+                    continue
+                known = (seen.old.get(core) or seen.young.get(core)) if mark and not line else None
+                if known is None:
+                    word = core.translate(letters)
+                    known = packed(ends + merged(word)) if line else packed(merged(space + word))
+                if mark:
+                    known += marks.get(mark) or marks.setdefault(mark, packed(merged(mark)))
+                out.append(known)
             return out
 
         for batch in slabs(batches):
@@ -111,6 +125,7 @@ def encoder(path: str, end_id: int):
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> str:
     """Encode ``docs`` and write them in ascending id order; returns the path of the files."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if files is None:
         known = int(picked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
