@@ -7,7 +7,7 @@ import re
 from functools import lru_cache
 
 #: Pieces that a memo holds: those seen once, and those seen again. They bound a worker's memory.
-YOUNG, OLD = 200_000, 300_000
+YOUNG, OLD = 400_000, 500_000
 #: Latin letters that NFC leaves alone and that lower-case one by one, then at most one plain punctuation mark.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)").fullmatch
 
