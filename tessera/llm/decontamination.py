@@ -13,7 +13,8 @@ not evaluated.
 
 A retrieved item counts only after its text is verified: word n-grams of its
 question part and of its answer part (the last sentence) must both be found
-in the document to the shares asked for.
+in the document to the shares asked for. A part of fewer words than an n-gram
+has is looked up as one n-gram of all its words.
 
 The index is built per block of test items (``BLOCK_CHARS`` of text at most, by
 a hash of the item), so what tasks receive has a fixed bound however long the
@@ -70,6 +71,21 @@ def ngram_keys(h: np.ndarray, n: int = NGRAM) -> np.ndarray:
     return np.unique(shingles(h, n))
 
 
+def part_keys(h: np.ndarray) -> tuple[np.ndarray, int]:
+    """n-grams of one part of an item and their n: ``NGRAM``, or all words of a shorter part."""
+    return ngram_keys(h), min(NGRAM, len(h))
+
+
+def found_share(part: tuple[np.ndarray, int], grams: dict[int, np.ndarray], h: np.ndarray) -> float:
+    """Share of a part's n-grams among those of the same n of a document with words ``h``; ``grams`` remembers these by n."""
+    keys, n = part
+    if not n:
+        return 1.0
+    if n not in grams:
+        grams[n] = ngram_keys(h, n)
+    return float(np.isin(keys, grams[n], assume_unique=True).mean())
+
+
 class ItemIndex:
     """Inverted index of one block of test items with block maxima."""
 
@@ -109,7 +125,7 @@ class ItemIndex:
         self.block_last = [last.tolist() for last in self.block_last]
         self.list_bound = self.bound.tolist()
         parts = [split_item(texts[i]) for i in keep]
-        self.question, self.answer = ([ngram_keys(words(pa.array([p[k]], pa.string()))[0]) for p in parts] for k in (0, 1))
+        self.question, self.answer = ([part_keys(words(pa.array([p[k]], pa.string()))[0]) for p in parts] for k in (0, 1))
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Term number of each word, or the number of terms where it is in no item."""
@@ -225,11 +241,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                 out = []
                 h, first = words(batch.column(1))
                 for i, best in index.match(h, first, threshold).items():
-                    doc, grams = batch.column(0)[i].as_py(), ngram_keys(h[first[i] : first[i + 1]])
+                    doc, own, grams = batch.column(0)[i].as_py(), h[first[i] : first[i + 1]], {}
                     for item, score in best.items():
-                        q, a = (np.isin(x, grams, assume_unique=True).mean() if len(x) else 1.0 for x in (index.question[item], index.answer[item]))
+                        q, a = (found_share(x, grams, own) for x in (index.question[item], index.answer[item]))
                         if q >= question_share and a >= answer_share:
-                            out.append((doc, int(index.ids[item]), score, float(q), float(a)))
+                            out.append((doc, int(index.ids[item]), score, q, a))
                 names = ["doc_id", "item_id", "bm25_share", "question_share", "answer_share"]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names)

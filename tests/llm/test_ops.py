@@ -167,6 +167,18 @@ def test_op4_finds_planted_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
 
 
+def test_op4_finds_short_questions_and_items(spark):
+    rng = random.Random(8)
+    say = lambda k: " ".join(f"v{rng.randrange(300)}" for _ in range(k))
+    items = [(0, f"Alone. {say(9)}."), (1, f"Inou on. {say(12)}?"), (2, "lonely pair"), (3, "hermit"), (4, f"{say(9)}. {say(9)}.")]
+    assert [len(decontamination.split_item(t)[0].split()) for _, t in items[:2]] == [1, 2]
+    docs = [(i, f"{say(40)} {t.upper()} {say(30)}") for i, t in items]
+    # Words of short items apart or turned round, and the answer without its question, hold no item.
+    docs += [(10, f"{say(20)} lonely {say(20)} pair"), (11, f"{say(9)} pair lonely {say(9)}"), (12, f"{say(9)} {items[1][1][9:]} {say(9)}"), (13, "lonely pair"), (14, "pair")]
+    found = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i in range(5)} | {(13, 2)}
+
+
 def test_op5_components(spark, folder):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op5_jaccard_join"](spark, folder).collect()}
     assert got == brute.jaccard_components(list(enumerate(texts())))
