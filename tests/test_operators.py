@@ -1,5 +1,7 @@
 """Hand-checkable cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.functions import sequence as fn
@@ -86,6 +88,36 @@ def test_components_and_sides(spark):
     assert all(sides[i] == i % 2 for i in range(31)) and sides[51] == 0
 
 
+def test_graphs_of_whole_tables(spark, tmp_path):
+    from tessera.plans import registry
+
+    rng = random.Random(2)
+    lines = [(1, s) for s in range(20)] + [(p, 20 + rng.randrange(60)) for p in range(2, 30) for _ in range(2)] + [(40, 500)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for p, s in lines:
+        a, b = sorted((find(s), find(1000000 + p)))
+        root[b] = a
+    got = {r["node"]: r["component"] for r in registry.QUERIES["components_whole"](spark, str(tmp_path)).collect()}
+    assert got == {x: find(x) for x in list(root)} and got[1000001] == 0
+
+    spark.createDataFrame([(k, k * k % 25) for k in range(1, 60)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    side = {0: 0}
+    for k in range(1, 60):
+        side[k] = (side[k // 2] + k * k % 25) % 2
+    sides = {r["node"]: (r["component"], r["side"]) for r in registry.QUERIES["signed_components"](spark, str(tmp_path)).collect()}
+    assert sides == {k: (0, s) for k, s in side.items()}
+
+    spark.createDataFrame([(99999, "AACG"), (100000, "CGTT"), (100001, "CGTA")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r["p_partkey"]: r["d"] for r in registry.QUERIES["revcomp_edit"](spark, str(tmp_path)).collect()} == {99999: 0, 100000: 1}
+
+
 def test_fiedler_and_segments(spark):
     block = lambda o: [("g", o + i, o + j, 1.0) for i in range(4) for j in range(i)]
     edges = spark.createDataFrame([*block(0), *block(10), ("g", 0, 10, 0.01)], "g string, a long, b long, w double")
