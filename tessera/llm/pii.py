@@ -8,7 +8,7 @@ and a look-behind (or the end of the last match, ``\\G``) keeps it from
 starting again inside a run that already failed; neither changes a match.
 
 Kinds: ``email``, ``ip`` (parts at most 255), ``card`` (16 to 19 digits, Luhn),
-``phone`` (8 to 15 digits) are the base. ``iban`` (mod-97), ``amex`` (15 digits
+``phone`` (8 to 15 digits) are the base. ``iban`` (country's length, mod-97), ``amex`` (15 digits
 from 34 or 37, Luhn) and ``ssn`` (3-2-4 digits) are added where validator and context
 words reach the score asked for.
 
@@ -57,13 +57,24 @@ def _length_between(c: Column, low: int, high: int) -> Column:
     return F.length(c).between(low, high)
 
 
+#: Length of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 33: "RU", 32: "LC",
+}
+_LISTED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?+[A-Z0-9]){{{n - 4}}}" for n, c in sorted(IBAN_LENGTHS.items()))
+#: A listed country's length, up to 34 characters for others. Only the head is consumed, so a candidate that fails hides none that begins inside it.
+IBAN = rf"(?<![A-Za-z0-9])(?=((?:{_LISTED}|(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20?+[A-Z0-9]){{11,30}})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
+IBAN_HEAD = 4
+
 #: kind: pattern, a cheap test that a text can hold it, validator (None: the pattern is all), whether it is a checksum, context words.
 KINDS = {
     "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: t.contains("@"), None, False, "mail|contact|correo|courriel"),
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: t.contains("."), _octets, False, "ip|host|server|address"),
     "card": (r"(?<![0-9])[0-9](?:[\x20-]?+[0-9])++", None, lambda m: F.when(_length_between(_digits(m), 16, 19), luhn(_digits(m))).otherwise(False), True, "card|visa|karte|carte|tarjeta"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+"), lambda m: _length_between(_digits(m), 8, 15), False, "phone|tel|call|fax"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}(?![A-Za-z0-9])", lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), lambda m: mod97(F.regexp_replace(m, " ", "")), True, "iban|account|konto|compte|cuenta"),
+    "iban": (IBAN, lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), lambda m: mod97(F.regexp_replace(m, " ", "")), True, "iban|account|konto|compte|cuenta"),
     "amex": (r"(?<![0-9])3[47][0-9]{2}[\x20-]?+[0-9]{6}[\x20-]?+[0-9]{5}(?![0-9])", lambda t: t.rlike("3[47][0-9]{2}"), lambda m: luhn(_digits(m)), True, "card|amex|karte|carte|tarjeta"),
     "ssn": (r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda t: t.rlike("[0-9]-[0-9]{2}-[0-9]"), None, False, "ssn|social security"),
 }
@@ -74,7 +85,8 @@ SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 def spans(text: Column, kind: str) -> Column:
     """Array of (kind, start, end, score): confirmed matches of one kind, ascending."""
     pattern, may, valid, checksum, context = KINDS[kind]
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    ahead = kind == "iban"
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(int(ahead)))
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
     none = F.array().cast(SPAN)
 
@@ -82,13 +94,17 @@ def spans(text: Column, kind: str) -> Column:
         start = state["at"] + F.length(row["gap"])
         end = start + F.length(row["hit"])
         confirmed = F.lit(True) if valid is None else valid(row["hit"])
-        near = F.lower(F.right(row["gap"], F.lit(CONTEXT_CHARS))).rlike(rf"\b(?:{context})")
+        eaten = F.substring(row["hit"], 1, IBAN_HEAD) if ahead else row["hit"]
+        # The gap begins behind the last match, the context may begin before it.
+        before = F.concat(state["tail"], F.right(row["gap"], F.lit(CONTEXT_CHARS)))
+        near = F.lower(F.right(before, F.lit(CONTEXT_CHARS))).rlike(rf"\b(?:{context})")
         score = F.lit(0.8 if checksum else 0.5) + F.when(near, 0.2).otherwise(0.0)
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
         take = confirmed & (F.lit(kind in BASE) | (score >= LEAST_SCORE))
-        return F.struct(end.alias("at"), F.when(take, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+        tail = F.right(F.concat(before, F.right(eaten, F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
+        return F.struct((start + F.length(eaten)).alias("at"), tail.alias("tail"), F.when(take, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail"), none.alias("out"))
     walked = F.aggregate(F.filter(rows, lambda r: r["hit"].isNotNull()), begin, walk, lambda s: s["out"])
     able = may(text) if may else text.rlike(pattern)
     return F.when(able, walked).otherwise(none)

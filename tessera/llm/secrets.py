@@ -10,7 +10,7 @@ parsed:
   second a JSON object;
 * ``ssh``   - a base64 blob of length-prefixed fields whose first names the key
   type and whose lengths use up the blob;
-* ``der``   - an unmarked base64 or hex run (64 characters or more) that decodes to
+* ``der``   - an unmarked base64, base64url or hex run (64 characters or more) that decodes to
   such a DER SEQUENCE.
 
 Spans are code points, end exclusive. A null text is empty; an empty table
@@ -44,7 +44,9 @@ NAMES = re.compile("passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 SSH = re.compile(r"(?<![A-Za-z0-9+/])AAAA[A-Za-z0-9+/]{40,}={0,2}")
-BLOB = re.compile(r"(?<![A-Za-z0-9+/])MI[A-Za-z0-9+/]{62,}={0,2}")
+#: Maximal base64 and base64url runs whose first byte can be that of a SEQUENCE (0x30); DER decides. The leading letter lets the matcher skip to it.
+BLOBS = ((re.compile(r"M(?<![A-Za-z0-9+/]M)[A-Za-z0-9+/]{61,}={0,2}"), False), (re.compile(r"M(?<![A-Za-z0-9_-]M)[A-Za-z0-9_-]{61,}={0,2}"), True))
+LEAST_BLOB = 64
 HEX_DER = re.compile(r"(?<![0-9a-fA-F])30[0-9a-fA-F]{62,}")
 
 
@@ -129,8 +131,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "jwt") for m in JWT.finditer(text) if is_jwt(m[1], m[2])]
     if "AAAA" in text:
         found += [(*m.span(), "ssh") for m in SSH.finditer(text) if (d := decode64(m[0])) and is_ssh_key(d)]
-    if "MI" in text:
-        found += [(*m.span(), "der") for m in BLOB.finditer(text) if (d := decode64(m[0])) and is_der_key(d)]
+    # A run of letters and digits alone is one of both alphabets, and counts once.
+    found += sorted({(*m.span(), "der") for blob, url in BLOBS for m in blob.finditer(text) if len(m[0]) >= LEAST_BLOB and (d := decode64(m[0], url)) and is_der_key(d)})
     if "30" in text:
         found += [(*m.span(), "der") for m in HEX_DER.finditer(text) if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
     return [x for x in found if x[2] != "der" or not any(k == "key" and s <= x[0] < e for s, e, k in found)]

@@ -137,6 +137,16 @@ def test_op3_validators(spark):
     assert found[0] == [("iban", 1.0)] and found[1] == [] and [k for k, _ in found[2]] == ["amex"] and [k for k, _ in found[3]] == ["ssn"] and found[4] == []
 
 
+def test_op3_iban_ends_and_context(spark):
+    iban = "DE89370400440532013000"
+    rows = [f"{iban} BANK", f"{iban} 2024", "GB82 WEST 1234 5698 7654 32 OR ELSE", f"AT61 {iban} 1", f"{iban}BANK", "ssn 123-45-6789, 234-56-7890", f"konto {iban}, FR1420041010050500013M02606", "ZZ66 1234 5678 9012 3456"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["score"]) for s in r["pii"] if s["kind"] in ("iban", "ssn")] for r in pii.find_pii(docs).collect()}
+    assert found[0] == found[1] == [("iban", 0, 22, 0.8)] and found[2] == [("iban", 0, 27, 0.8)] and found[3] == [("iban", 5, 27, 0.8)] and found[4] == []
+    assert found[5] == [("ssn", 4, 15, 0.7), ("ssn", 17, 28, 0.7)]
+    assert found[6] == [("iban", 6, 28, 1.0), ("iban", 30, 57, 1.0)]
+
+
 def test_op4_block_max_wand_equals_all_scores():
     rng = np.random.default_rng(1)
     items = [" ".join(f"t{k}" for k in rng.zipf(1.4, rng.integers(5, 30)) % 200) for _ in range(150)]
@@ -301,6 +311,20 @@ def test_op8_structures():
     assert secrets.redact("a token = 'abcdefghijklmnop' b") == "a [secret]' b" and secrets.redact(None) is None
 
 
+def test_op8_unmarked_short_keys():
+    import base64
+
+    rng = random.Random(9)
+    ec = bytes.fromhex("30770201010420") + rng.randbytes(32) + bytes.fromhex("a00a06082a8648ce3d030107a144034200") + b"\x04" + rng.randbytes(64)
+    ed = bytes.fromhex("302e020100300506032b657004220420") + b"\xfb\xff" * 16
+    assert secrets.is_der_key(ec) and secrets.is_der_key(ed)
+    for key, code in ((ec, base64.b64encode), (ed, base64.b64encode), (ed, base64.urlsafe_b64encode)):
+        run = code(key).decode()
+        assert run[:2] != "MI" and len(run) in (164, 64)
+        assert secrets.confirmed_spans(f"see {run} there") == [(4, 4 + len(run), "der")] and secrets.redact(f"see {run} there") == "see [secret] there"
+    assert secrets.confirmed_spans("M" + "A" * 80) == [] and secrets.confirmed_spans("x" + base64.b64encode(ed).decode()) == []
+
+
 def test_op9_learns_and_scores_everything(spark, tmp_path):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["river", "stone", "walks", "under", "light"]) for _ in range(60))
