@@ -70,9 +70,9 @@ def kmers(df: DataFrame, text: str, k: int) -> DataFrame:
     return df.where(F.length(text) >= k).select(F.explode(F.transform(starts, lambda i: F.substr(text, i, F.lit(k)))).alias("kmer"))
 
 
-def per_position(df: DataFrame, text: str, most: int, classes: dict[str, str]) -> DataFrame:
-    """Counts of character classes at each of the first ``most`` positions."""
-    chars = df.select(F.posexplode(F.split(F.substring(text, 1, most), "")).alias("pos", "c")).where("c <> ''")
+def per_position(df: DataFrame, text: str, most: int | None, classes: dict[str, str]) -> DataFrame:
+    """Counts of character classes at each position, or each of the first ``most`` where it is given."""
+    chars = df.select(F.posexplode(F.split(F.col(text) if most is None else F.substring(text, 1, most), "")).alias("pos", "c")).where("c <> ''")
     return chars.groupBy(F.col("pos").cast("bigint").alias("pos")).agg(F.count("*").alias("n"), *[F.count_if(F.contains(F.lit(set_), F.col("c"))).alias(name) for name, set_ in classes.items()])
 
 

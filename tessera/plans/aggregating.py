@@ -98,6 +98,12 @@ def per_position_qc(spark, sf):
     return op.per_position(table(spark, sf, "documents"), "text", 40, {"vowels": "aeiou", "digits": "0123456789"})
 
 
+@query("per_position_whole", """WITH c AS (SELECT i - 1 AS pos, substr(text, CAST(i AS INT), 1) AS c FROM (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM documents))
+ SELECT pos, count(*) AS n, count(*) FILTER (contains('aeiou', c)) AS vowels, count(*) FILTER (contains('0123456789', c)) AS digits FROM c GROUP BY 1""")
+def per_position_whole(spark, sf):
+    return op.per_position(table(spark, sf, "documents"), "text", None, {"vowels": "aeiou", "digits": "0123456789"})
+
+
 @query("tag_molecules", "SELECT user_id, event_type, min(epoch_us(ts)) AS first_at, max(epoch_us(ts)) AS last_at, count(*) AS n FROM events GROUP BY 1, 2")
 def tag_molecules(spark, sf):
     v = table(spark, sf, "events").select("user_id", "event_type", micros("ts").alias("at"))

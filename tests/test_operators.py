@@ -118,6 +118,12 @@ def test_graphs_of_whole_tables(spark, tmp_path):
     assert {r["p_partkey"]: r["d"] for r in registry.QUERIES["revcomp_edit"](spark, str(tmp_path)).collect()} == {99999: 0, 100000: 1}
 
 
+def test_every_position(spark):
+    df = spark.createDataFrame([("a1" * 30,), ("é😀e",), ("",), (None,)], "t string")
+    got = {r["pos"]: (r["n"], r["v"]) for r in aggregating.per_position(df, "t", None, {"v": "aeiou"}).collect()}
+    assert got == {p: (2 if p < 3 else 1, (p % 2 == 0) + (p == 2)) for p in range(60)}
+
+
 def test_fiedler_and_segments(spark):
     block = lambda o: [("g", o + i, o + j, 1.0) for i in range(4) for j in range(i)]
     edges = spark.createDataFrame([*block(0), *block(10), ("g", 0, 10, 0.01)], "g string, a long, b long, w double")
