@@ -54,7 +54,7 @@ def signed_components(edges: DataFrame, a: str, b: str, flip: str, most: int = 6
 def best_orientation(blocks: DataFrame, group: str, index: str, weight: str, most: int = 9) -> DataFrame:
     """Per group of n <= ``most`` ordered blocks, the signs (bit i - 1 for block i > 0; block 0 is fixed) with the highest sum of weight_i * weight_j * s_i * s_j over neighbours.
 
-    ``most`` blocks make 2**(most - 1) rows a group; larger groups are left out, as the enumeration is only meant for few blocks.
+    ``most`` blocks make 2**(most - 1) rows a group; larger groups are left out, ``orientations`` gives the same for all.
     """
     lists = blocks.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct(index, weight))), lambda x: x[weight]).alias("w")).where(F.size("w") <= most)
     masks = lists.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2), F.size("w") - 1).cast("bigint") - 1)))
@@ -65,6 +65,30 @@ def best_orientation(blocks: DataFrame, group: str, index: str, weight: str, mos
     return scored.groupBy(group).agg(F.max(F.struct("score", (-F.col("mask")).alias("neg"))).alias("b")).select(group, (-F.col("b.neg")).alias("mask"), F.col("b.score").alias("score"))
 
 
+def orientations(blocks: DataFrame, group: str, index: str, weight: str) -> DataFrame:
+    """``best_orientation`` of every group: a fold over the blocks with the best score and least mask for either sign of the last one.
+
+    A mask holds 64 blocks; a larger group stops the query.
+    """
+    lists = blocks.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct(index, weight))), lambda x: x[weight]).alias("w"))
+    end = lambda score, neg: F.struct(score.alias("score"), neg.alias("neg"))
+
+    def step(state, i):
+        p = F.element_at("w", i) * F.element_at("w", i + 1)
+        bit = F.pow(F.lit(2), i - 1).cast("bigint")
+        up, down = state["up"], state["down"]
+        return F.struct(
+            F.greatest(end(up["score"] + p, up["neg"]), end(down["score"] - p, down["neg"])).alias("up"),
+            F.greatest(end(up["score"] - p, up["neg"] - bit), end(down["score"] + p, down["neg"] - bit)).alias("down"),
+        )
+
+    none = F.lit(0).cast("bigint")
+    begin = F.struct(end(F.lit(0.0), none).alias("up"), end(F.lit(float("-inf")), none).alias("down"))
+    steps = F.when(F.size("w") > 64, F.raise_error(F.lit("more than 64 blocks in a group"))).when(F.size("w") > 1, F.sequence(F.lit(1), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
+    best = lists.select(group, F.aggregate(steps, begin, step, lambda s: F.greatest(s["up"], s["down"])).alias("b"))
+    return best.select(group, (-F.col("b.neg")).alias("mask"), F.round("b.score", 4).alias("score"))
+
+
 def fiedler_sides(edges: DataFrame, group: str, a: str, b: str, weight: str) -> DataFrame:
     """(group, node, side): sign of the second eigenvector of each group's Laplacian, the smallest node on side 0.
 

@@ -43,6 +43,12 @@ def orientation_enum(spark, sf):
     return op.best_orientation(b, "l_orderkey", "l_linenumber", "w", 6)
 
 
+@query("orientation_whole")
+def orientation_whole(spark, sf):
+    b = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.round(F.sum(F.col("l_quantity") - 25), 2).alias("w"))
+    return op.orientations(b, "l_orderkey", "l_linenumber", "w")
+
+
 @query("fiedler_halves")
 def fiedler_halves(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")

@@ -124,6 +124,15 @@ def test_every_position(spark):
     assert got == {p: (2 if p < 3 else 1, (p % 2 == 0) + (p == 2)) for p in range(60)}
 
 
+def test_orientations_of_all_sizes(spark):
+    rng = random.Random(4)
+    rows = [(g, i, float(rng.randint(-2, 2))) for g in range(120) for i in range(g % 9 + 1)]
+    blocks = spark.createDataFrame(rows, "g long, i long, w double")
+    assert sorted(map(tuple, graph.orientations(blocks, "g", "i", "w").collect())) == sorted(map(tuple, graph.best_orientation(blocks, "g", "i", "w").collect()))
+    long = spark.createDataFrame([(0, i, -1.0 if i % 2 else 1.0) for i in range(64)], "g long, i long, w double")
+    assert tuple(graph.orientations(long, "g", "i", "w").first()) == (0, sum(1 << (i - 1) for i in range(1, 64, 2)), 63.0)
+
+
 def test_fiedler_and_segments(spark):
     block = lambda o: [("g", o + i, o + j, 1.0) for i in range(4) for j in range(i)]
     edges = spark.createDataFrame([*block(0), *block(10), ("g", 0, 10, 0.01)], "g string, a long, b long, w double")
