@@ -286,7 +286,9 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mean_list = max(0.0, float((counts.astype(np.float64) ** 2).sum()) / max(total, 1) - total / len(counts)) if total else 0.0
     boundary = choose_boundary(few, mean_list)
 
-    lists = picked.select("text").where("text is not null").mapInArrow(_signatures(sketch, boundary), LISTS)
+    # One document of each set makes its signatures; copies add none.
+    ones = picked.where("text is not null").join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    lists = ones.select("text").mapInArrow(_signatures(sketch, boundary), LISTS)
     by_sig = Window.partitionBy("light", "sig")
     pivot = F.when(F.col("light"), F.struct((-F.col("n")).cast("float").alias("central"), "node", "n", "pos")).otherwise(F.struct("central", "node", "n", "pos"))
     shared = lists.withColumns({"lo": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig), "pivot": F.max(pivot).over(by_sig)}).where("lo <> hi")

@@ -223,6 +223,17 @@ def test_op5_a_large_group_of_near_copies(spark):
     assert got == brute.jaccard_components(rows)
 
 
+def test_op5_copies_make_no_signatures(spark, monkeypatch):
+    base = [f"x{i}" for i in range(80)]
+    rows = [(k, " ".join(base)) for k in range(40)] + [(40, " ".join([*base[:40], "edited", *base[41:]])), (41, "p q r s t"), (42, "p q r s t"), (43, "p q r s t u")]
+    written, keep = {}, jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, name: written.setdefault(name, keep(df, name)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")).collect() if r["doc_id"] is not None}
+    assert got == brute.jaccard_components(rows)
+    lists = written["lists"].groupBy("light", "sig", "node").count()
+    assert lists.count() > 0 and lists.where("count > 1").count() == 0
+
+
 def test_op5_boundary_follows_the_cost():
     assert jaccard_join.choose_boundary({8: 1000}, 50.0) >= 8
     assert jaccard_join.choose_boundary({16: 1000}, 0.0) == 0
