@@ -34,14 +34,20 @@ def mates(left: DataFrame, right: DataFrame, key: str, at: str, within: str, lat
 
 
 def run_once(out: DataFrame, mode: str) -> DataFrame:
-    """Process all that is there (``availableNow``) into a Parquet table or, in complete mode, a memory table; returns the result."""
+    """Process all that is there (``availableNow``) into a Parquet table; returns the result. In complete mode each batch is the whole result and the last one counts."""
     spark = out.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tessera-streams"
     name = f"stream_{uuid.uuid4().hex}"
     sink = out.writeStream.option("checkpointLocation", f"{shared}/{name}/state").trigger(availableNow=True)
-    if mode == "complete":
-        sink.format("memory").queryName(name).outputMode(mode).start().awaitTermination()
-        return spark.table(name)
     path = f"{shared}/{name}/out"
+    if mode == "complete":
+        done = []
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/{number}")
+            done.append(number)
+
+        sink.foreachBatch(write).outputMode(mode).start().awaitTermination()
+        return spark.read.schema(out.schema).parquet(f"{path}/{done[-1]}") if done else spark.createDataFrame([], out.schema)
     sink.format("parquet").option("path", path).outputMode(mode).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(path)

@@ -133,6 +133,20 @@ def test_orientations_of_all_sizes(spark):
     assert tuple(graph.orientations(long, "g", "i", "w").first()) == (0, sum(1 << (i - 1) for i in range(1, 64, 2)), 63.0)
 
 
+def test_stream_results_are_files(spark, tmp_path):
+    from tessera.plans import registry
+
+    day = "2024-01-01 0{}:00:00"
+    rows = [(k, day.format(k % 8), k % 2) for k in range(8)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("e").alias("event_type"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/part")
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    before = {t.name for t in spark.catalog.listTables()}
+    out = registry.QUERIES["stream_sessions"](spark, str(tmp_path))
+    assert out.inputFiles() and {t.name for t in spark.catalog.listTables()} == before
+    assert sorted((r["user_id"], r["n"], r["sessions"]) for r in out.collect()) == [(0, 4, 1), (1, 4, 1)]
+
+
 def test_fiedler_and_segments(spark):
     block = lambda o: [("g", o + i, o + j, 1.0) for i in range(4) for j in range(i)]
     edges = spark.createDataFrame([*block(0), *block(10), ("g", 0, 10, 0.01)], "g string, a long, b long, w double")
