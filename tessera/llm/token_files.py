@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from struct import pack
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,48 +27,68 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import bounded_batches, documents, materialise, new_path
-from ._tokens import letter_table, load, memo
-from ._words import slabs
+from ._tokens import BLANK, BREAK, DIGIT, INK, LETTER, MARK, QUOTE, Pieces, letter_table, list_offsets, load, pair_table, segments
+from ._words import SPACE, slabs
 
 FILE_SCHEMA = "doc_id long, shard int, local_start long, n_tokens int, ids array<int>"
 #: Bytes of a row group and of a page, rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 8 << 20, 64 << 10, 500
 #: Bytes of input (as the planner knows it) for one file.
 FILE_INPUT = 16 << 20
+#: Neighbouring classes of bytes between which a token never stands: runs of letters, digits and marks are tokens of their own, and white space ends them. A mark after an apostrophe is one run with it, a letter may be a contraction.
+ENDS = {(LETTER, MARK), (LETTER, QUOTE), (LETTER, DIGIT), (DIGIT, LETTER), (DIGIT, MARK), (DIGIT, QUOTE), (MARK, LETTER), (MARK, DIGIT), (QUOTE, DIGIT)}
+#: Bytes that begin characters of more than one byte of which some are white space.
+MAYBE_WHITE = (0xC2, 0xE1, 0xE2, 0xE3)
 
 
-#: White space other than space and line end; pairs of those two.
-OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-DOUBLED = ("  ", " \n", "\n ", "\n\n")
-#: A piece of one pre-token of letters or digits and one of marks, either may be missing.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+def cut_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of bytes with a cut between them, and pairs with a cut before them: a space and what it leads.
 
-
-def uneven(text: str) -> bool:
-    """Whether some white space does not stand alone between two other characters, or is no space or line end."""
-    return text[:1].isspace() or text[-1:].isspace() or any(map(text.__contains__, DOUBLED)) or any(map(text.__contains__, OTHER_SPACE))
-
-
-def pieces_of(text: str) -> tuple[str, list[str]]:
-    """The text up to its first certain cut, then pieces: one that starts with a line end stands as it is, others follow one space.
-
-    A space before a character that is no white space always begins a new
-    pre-token of the byte-level pattern, whatever stands before it; a lone line
-    end is a pre-token of its own.
+    White space that stands before something else gives its last character
+    away: a space goes with what follows, any other is a token of its own.
     """
-    if not uneven(text):
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return first, rest
-    first, *rest = text.split(" ")
-    out: list[str] = []
-    for x in rest:
-        if x and not x[0].isspace():
-            out.append(x)
-        elif out:
-            out[-1] += " " + x
-        else:
-            first += " " + x
-    return first, out
+    white = (BLANK, BREAK)
+    between = pair_table(lambda a, b: (a, b) in ENDS or (a in INK and b in white) or (a == BREAK and b in INK))
+    ahead = pair_table(lambda a, b: a in white and b in INK)
+    lead = [b for b in range(0xC3, 0xF5) if b not in MAYBE_WHITE]
+    ahead[[256 * a + b for a in np.flatnonzero(SPACE) for b in lead]] = True
+    between[[256 * a + b for a in np.flatnonzero(SPACE) if a != 0x20 for b in lead]] = True
+    return between, ahead
+
+
+class ByteLevelEncoder:
+    """Encodes whole slabs by pieces that the byte-level pattern never joins."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load(path)
+        pretoken = lambda c: "".join(w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
+        self.letters = letter_table(pretoken)
+        self.letters[0x20] = pretoken(" ")
+        self.simple = re.compile(f" ?[{''.join(chr(c) for c in self.letters if c != 0x20)}]+").fullmatch
+        self.cuts = cut_tables()
+        self.pieces = Pieces(lambda new: [self.piece(p) for p in new])
+
+    def piece(self, text: str) -> list[int]:
+        """Ids of a piece: a run of plain letters is one pre-token."""
+        if self.simple(text):
+            return [t.id for t in self.tokenizer.model.tokenize(text.translate(self.letters))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text: pa.Array, end_id: int) -> pa.ListArray:
+        """Ids of every row of a text column, each with ``end_id`` behind."""
+        data, start, end, first, left = segments(text, *self.cuts, whole="<|")
+        alone = np.zeros(len(start), bool)
+        alone[first[:-1][left]] = True
+        ids, size = self.pieces.ids(data, start, end, alone)
+        off = list_offsets(first, size)
+        ids = np.insert(ids, off[1:], end_id)
+        return pa.ListArray.from_arrays(pa.array(off + np.arange(len(off)), pa.int32()), pa.array(ids, pa.int32()))
+
+
+@lru_cache(maxsize=2)
+def byte_level_encoder(path: str) -> ByteLevelEncoder:
+    """The encoder of this tokenizer in this worker process; what it remembers outlives a task."""
+    return ByteLevelEncoder(path)
 
 
 def encoder(path: str, end_id: int):
@@ -77,47 +97,13 @@ def encoder(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer, seen, at = load(path), memo(f"token files {path}"), 0
-        letters = letter_table(lambda c: [w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(c)])
-        space = "".join(w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(" "))
-        merge, ends = tokenizer.model.tokenize, tokenizer.encode("\n", add_special_tokens=False).ids
-        merged = lambda pretoken: [t.id for t in merge(pretoken)]
-        packed = lambda ids: pack(f"<{len(ids)}i", *ids)
-        marks: dict[str, bytes] = {}
-        shard = TaskContext.get().partitionId()
-        end = np.int32(end_id).tobytes()
-
-        def ids_of(pieces: list[str]) -> list[bytes]:
-            out = []
-            for p in pieces:
-                line = p[:1] == "\n"
-                m = PLAIN(p, line)
-                if not m:
-                    out.append(packed(tokenizer.encode(p if line else " " + p, add_special_tokens=False).ids))
-                    continue
-                core, mark = m.groups()
-                if not core:  # one pre-token of marks
-                    out.append(packed(ends + merged(mark)) if line else packed(merged(space + mark)))
-                    continue
-                known = (seen.old.get(core) or seen.young.get(core)) if mark and not line else None
-                if known is None:
-                    word = core.translate(letters)
-                    known = packed(ends + merged(word)) if line else packed(merged(space + word))
-                if mark:
-                    known += marks.get(mark) or marks.setdefault(mark, packed(merged(mark)))
-                out.append(known)
-            return out
-
+        own, shard, at = byte_level_encoder(path), TaskContext.get().partitionId(), 0
         for batch in slabs(batches):
-            split = [pieces_of(x or "") for x in batch.column(1).to_pylist()]
-            look = seen.fill(set().union(*(rest for _, rest in split)), ids_of)
-            firsts = tokenizer.encode_batch([x for x, _ in split], add_special_tokens=False)
-            docs = [np.array(f.ids, np.int32).tobytes() + b"".join(map(look.__getitem__, rest)) + end for f, (_, rest) in zip(firsts, split, strict=True)]
-            sizes = np.array([len(x) // 4 for x in docs], np.int64)
-            stop = at + np.cumsum(sizes)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop - at]), pa.int32()), pa.array(np.frombuffer(b"".join(docs), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(sizes), shard, np.int32)), pa.array(stop - sizes), pa.array(sizes, pa.int32()), ids], ["doc_id", "shard", "local_start", "n_tokens", "ids"])
-            at = int(stop[-1]) if len(stop) else at
+            ids = own.encode(batch.column(1), end_id)
+            off = ids.offsets.to_numpy().astype(np.int64)
+            sizes = np.diff(off)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(sizes), shard, np.int32)), pa.array(at + off[:-1]), pa.array(sizes, pa.int32()), ids], ["doc_id", "shard", "local_start", "n_tokens", "ids"])
+            at += int(off[-1])
 
     return encode
 
