@@ -2,7 +2,7 @@
 
 DataFrame functions only. A pattern's matches and the texts between them come
 from ``regexp_extract_all`` and ``split`` with the same expression; running
-lengths of both give code-point offsets, and the text before a match is its
+lengths of both give code-point offsets, and the text around a match is its
 context. Possessive quantifiers keep the matcher from recursing on long runs,
 and a look-behind (or the end of the last match, ``\\G``) keeps it from
 starting again inside a run that already failed; neither changes a match.
@@ -13,7 +13,8 @@ from 34 or 37, Luhn) and ``ssn`` (3-2-4 digits) are added where validator and co
 words reach the score asked for.
 
 Score: 0.5 for the pattern, 0.3 for a passed checksum, 0.2 for a context word
-within 40 characters before. Base spans stay whatever their score.
+within 40 characters before or behind (behind as far as the end of the gap
+that follows the next match). Base spans stay whatever their score.
 
 A null text is empty (no span), repeated rows are scanned alike, an empty
 table gives an empty result, and other columns do not matter.
@@ -87,7 +88,10 @@ def spans(text: Column, kind: str) -> Column:
     pattern, may, valid, checksum, context = KINDS[kind]
     ahead = kind == "iban"
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(int(ahead)))
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
+    gaps = F.split(text, pattern, -1)
+    # A match looked ahead for begins its own following gap.
+    behind = lambda i: F.left(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(hits, i + 1), F.lit("")), F.coalesce(F.get(gaps, i + 2), F.lit(""))), F.lit(CONTEXT_CHARS))
+    rows = F.transform(hits, lambda h, i: F.struct(F.get(gaps, i).alias("gap"), h.alias("hit"), behind(i).alias("behind")))
     none = F.array().cast(SPAN)
 
     def walk(state: Column, row: Column) -> Column:
@@ -97,7 +101,7 @@ def spans(text: Column, kind: str) -> Column:
         eaten = F.substring(row["hit"], 1, IBAN_HEAD) if ahead else row["hit"]
         # The gap begins behind the last match, the context may begin before it.
         before = F.concat(state["tail"], F.right(row["gap"], F.lit(CONTEXT_CHARS)))
-        near = F.lower(F.right(before, F.lit(CONTEXT_CHARS))).rlike(rf"\b(?:{context})")
+        near = F.lower(F.concat_ws(" ", F.right(before, F.lit(CONTEXT_CHARS)), row["behind"])).rlike(rf"\b(?:{context})")
         score = F.lit(0.8 if checksum else 0.5) + F.when(near, 0.2).otherwise(0.0)
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
         take = confirmed & (F.lit(kind in BASE) | (score >= LEAST_SCORE))
@@ -105,7 +109,7 @@ def spans(text: Column, kind: str) -> Column:
         return F.struct((start + F.length(eaten)).alias("at"), tail.alias("tail"), F.when(take, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
 
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail"), none.alias("out"))
-    walked = F.aggregate(F.filter(rows, lambda r: r["hit"].isNotNull()), begin, walk, lambda s: s["out"])
+    walked = F.aggregate(rows, begin, walk, lambda s: s["out"])
     able = may(text) if may else text.rlike(pattern)
     return F.when(able, walked).otherwise(none)
 
