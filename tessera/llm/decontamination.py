@@ -18,8 +18,9 @@ has is looked up as one n-gram of all its words.
 
 The index is built per block of test items (``BLOCK_CHARS`` of text at most, by
 a hash of the item), so what tasks receive has a fixed bound however long the
-benchmark grows; all documents are searched against every block. Each block
-has its own collection statistics.
+benchmark grows; all documents are searched against every block. Document
+frequencies and lengths are those of the whole benchmark, so scores do not
+depend on how it is cut.
 
 Null or empty texts match nothing, items without words are never found, equal
 items are all reported, repeated document rows are reported alike. An empty
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import bounded_batches, documents
+from ._store import bounded_batches, documents, materialise
 from ._words import shingles, slabs, words
 
 K1, B = 1.2, 0.75
@@ -87,15 +88,18 @@ def found_share(part: tuple[np.ndarray, int], grams: dict[int, np.ndarray], h: n
 
 
 class ItemIndex:
-    """Inverted index of one block of test items with block maxima."""
+    """Inverted index of one block of test items with block maxima.
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    ``whole``: (items with words, their mean length, the greatest, number of items
+    of each term) of the benchmark, if the block is not all of it.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], whole: tuple[int, float, int, dict[int, int]] | None = None):
         h, first = words(pa.array(texts, pa.string()))
         keep = [i for i in range(len(ids)) if first[i + 1] > first[i]]
         self.ids = np.array([ids[i] for i in keep], np.int64)
         sizes = np.array([first[i + 1] - first[i] for i in keep], float)
-        self.longest = int(sizes.max()) if len(keep) else 0
-        average = sizes.mean() if len(keep) else 1.0
+        count, average, self.longest, frequency = whole or (len(keep), sizes.mean(), int(sizes.max()), {}) if len(keep) else (0, 1.0, 0, {})
         postings: dict[int, list[tuple[int, int]]] = {}
         for at, i in enumerate(keep):
             for term, tf in zip(*np.unique(h[first[i] : first[i + 1]], return_counts=True), strict=True):
@@ -106,7 +110,8 @@ class ItemIndex:
         for term in self.terms:
             items = np.array([p[0] for p in postings[int(term)]], np.int64)
             tf = np.array([p[1] for p in postings[int(term)]], float)
-            idf = np.log(1 + (len(keep) - len(items) + 0.5) / (len(items) + 0.5))
+            df = frequency.get(int(term), len(items))
+            idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
             impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[items] / average))
             np.add.at(own, items, impact)
             lists.append((items, impact))
@@ -220,39 +225,76 @@ class ItemIndex:
         return best
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question_share: float = QUESTION_SHARE, answer_share: float = ANSWER_SHARE) -> DataFrame:
+def item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (block, text) of items to a row for each different word of an item, the first with the item's length."""
+    for batch in slabs(batches):
+        block, (h, first) = batch.column(0).to_numpy(), words(batch.column(1))
+        for i in np.flatnonzero(np.diff(first)):
+            own = h[first[i] : first[i + 1]]
+            terms = np.unique(own).view(np.int64)
+            size = np.zeros(len(terms), np.int64)
+            size[0] = len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), block[i])), pa.array(size), pa.array(terms)], ["block", "size", "term"])
+
+
+def indexes(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[ItemIndex]:
+    """The index of each block of items; what the driver holds at a time is a block's items and the frequencies of their words."""
+    picked = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    chars = picked.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-2 * chars // block_chars))
+    cut = picked.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    terms = materialise(cut.select("block", "text").mapInArrow(item_terms, "block long, size long, term long"), "item-terms")
+    count, average, longest = terms.where("size > 0").agg(F.count("*"), F.avg("size"), F.max("size")).first()
+    frequency = terms.groupBy("term").agg(F.count("*").alias("df"))
+    for number in range(blocks):
+        rows = cut.where(F.col("block") == number).orderBy("item_id", "text").collect()
+        own = frequency.join(terms.where(F.col("block") == number).select("term").distinct(), "term").collect()
+        yield ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], (count, average, longest, {r["term"] % (1 << 64): r["df"] for r in own}))
+
+
+def leaks_of(index: ItemIndex, text: pa.Array, threshold: float, question_share: float, answer_share: float) -> Iterator[tuple[int, int, float, float, float]]:
+    """(row, item, BM25 share, question share, answer share) of the rows of a text column that hold an item."""
+    h, first = words(text)
+    for i, best in index.match(h, first, threshold).items():
+        own, grams = h[first[i] : first[i + 1]], {}
+        for item, score in best.items():
+            q, a = (found_share(x, grams, own) for x in (index.question[item], index.answer[item]))
+            if q >= question_share and a >= answer_share:
+                yield i, item, score, q, a
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question_share: float = QUESTION_SHARE, answer_share: float = ANSWER_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows (doc_id, item_id, bm25_share, question_share, answer_share) of documents that hold a test item.
 
     ``docs``: doc_id, text; ``items``: item_id, text.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * chars // BLOCK_CHARS))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    schema = "doc_id long, item_id long, bm25_share double, question_share double, answer_share double"
-
-    def searched(number: int) -> DataFrame:
-        rows = items.where("text is not null and item_id is not null").where(block == number).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
-        index = ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows])
+    bounded_batches(docs.sparkSession)
+    names, kinds = ["doc_id", "item_id", "bm25_share", "question_share", "answer_share"], [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
+    def searched(index: ItemIndex) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slabs(batches):
-                out = []
-                h, first = words(batch.column(1))
-                for i, best in index.match(h, first, threshold).items():
-                    doc, own, grams = batch.column(0)[i].as_py(), h[first[i] : first[i + 1]], {}
-                    for item, score in best.items():
-                        q, a = (found_share(x, grams, own) for x in (index.question[item], index.answer[item]))
-                        if q >= question_share and a >= answer_share:
-                            out.append((doc, int(index.ids[item]), score, q, a))
-                names = ["doc_id", "item_id", "bm25_share", "question_share", "answer_share"]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names)
+                found = [(batch.column(0)[i].as_py(), int(index.ids[item]), *shares) for i, item, *shares in leaks_of(index, batch.column(1), threshold, question_share, answer_share)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], names)
+
+        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, bm25_share double, question_share double, answer_share double")
+
+    return reduce(DataFrame.unionByName, map(searched, indexes(items, block_chars)))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whatever their ids, whose text holds no test item; nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
+    for index in indexes(items):
 
-        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
+            for batch in slabs(batches, text_col):
+                clean = np.ones(batch.num_rows, bool)
+                clean[[i for i, *_ in leaks_of(index, batch.column(batch.schema.get_field_index(text_col)), THRESHOLD, QUESTION_SHARE, ANSWER_SHARE)]] = False
+                yield batch.filter(pa.array(clean))
 
-    return reduce(DataFrame.unionByName, map(searched, range(blocks)), spark.createDataFrame([], schema)) if blocks > 1 else searched(0)
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,5 +303,4 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
