@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temp folder only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or f"{tempfile.gettempdir()}/tessera-{spark.sparkContext.applicationId}"
+from tessera.storage import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -49,3 +45,23 @@ def bounded_batches(spark: SparkSession) -> None:
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Characters of a text in a training sample, at most; longer texts are not learned from (they are scored whole).
+SAMPLE_CHARS = 200_000
+
+
+def sample_texts(docs: DataFrame, known: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` rows (doc_id, text, quality): documents with one of the labels ``known`` (a row a doc_id), chosen by a hash of doc_id; of rows with one doc_id the least text."""
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # The sample's size is the bound that makes a broadcast safe.
+    rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))

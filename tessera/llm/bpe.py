@@ -165,8 +165,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage of the pipeline: every document with its ids."""
+    """The last stage of the pipeline: every document with its ids in place of its text, and its other columns."""
     import public_tokenizers
 
-    rows = encode_bpe(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    others = tuple(c for c in docs.columns if c.lower() not in ("text", "ids", "n_tokens", "decoded"))
+    rows = encode_bpe(docs, public_tokenizers.path("word_bpe_49k.json"), keep=others)
+    return rows.select(*others, F.size("ids").cast("long").alias("n_tokens"), "ids")

@@ -10,7 +10,8 @@ scoring adds those up, over every byte of every text.
 
 A null or empty text has no features: its score is what the bias alone gives.
 Without labelled rows of both classes every score is the share of label 1 (or
-0.5). Repeated rows score alike; an empty table gives an empty result; other
+0.5). Of clashing labels of a document the greatest counts, and of repeated
+rows of a document in the sample the least text. Repeated rows score alike; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._store import bounded_batches, documents
+from ._store import bounded_batches, documents, free_name, sample_texts
 from ._words import bounds, buffers, hashes, mix, slabs
 
 SAMPLE_DOCS = 3000
@@ -116,8 +117,7 @@ def learnable(doc_id) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> SubwordClassifier:
     known = labels.where("doc_id is not null and quality in (0, 1)").where(learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").toPandas()
+    rows = sample_texts(docs, known, sample).toPandas()
     if rows.empty:
         return SubwordClassifier()
     rows = rows.sort_values(["doc_id", "text"], kind="stable")
@@ -152,5 +152,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not rejected."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    columns = docs.columns
-    return score_quality(docs, model, name="__quality").where(F.col("__quality") >= THRESHOLD).select(*columns)
+    score = free_name(docs, "quality")
+    return score_quality(docs, model, name=score).where(F.col(score) >= THRESHOLD).select(*docs.columns)

@@ -8,7 +8,8 @@ the distant label of its lines, and repeated lines count as boilerplate.
 Viterbi decodes every line of every document; the share of words that stand in
 content lines is compared with ``LEAST_SHARE``.
 
-A null text has no words: it fails the base rules. Without labelled rows the
+A null text has no words: it fails the base rules. Of clashing labels of
+a document the greatest counts. Without labelled rows the
 prior weights below are used as they are. Repeated rows are judged alike;
 other columns are ignored; an empty table gives an empty result.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import bounded_batches, documents
+from ._store import bounded_batches, documents, sample_texts
 from ._words import bounds, buffers, hashes, shingles, slabs
 
 #: Labelled documents in the training sample, at most.
@@ -198,9 +199,8 @@ class ChainCrf:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> ChainCrf:
     """A CRF of at most ``sample`` labelled documents, chosen by a hash of doc_id."""
-    known = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null").dropDuplicates(["doc_id"])
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").toPandas()
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = sample_texts(docs, known, sample).toPandas()
     crf = ChainCrf()
     if rows.empty:
         return crf

@@ -105,3 +105,33 @@ def quality_counts(text):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaks(docs, items, split, threshold=0.6, question_share=0.5, answer_share=0.5, k1=1.2, b=0.75, n=3):
+    """{(doc_id, item_id): (best BM25 share of any window, question share, answer share)}."""
+    bags = {i: words(t) for i, t in items}
+    bags = {i: w for i, w in bags.items() if w}
+    average = sum(map(len, bags.values())) / len(bags)
+    df = collections.Counter(w for bag in bags.values() for w in set(bag))
+
+    def impact(item, term):
+        tf = bags[item].count(term)
+        idf = math.log(1 + (len(bags) - df[term] + 0.5) / (df[term] + 0.5))
+        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(bags[item]) / average)) if tf else 0.0
+
+    size = max(16, max(map(len, bags.values())))
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    out = {}
+    for d, text in docs:
+        own = words(text)
+        for item in bags:
+            total = sum(impact(item, t) for t in set(bags[item]))
+            share = max((sum(impact(item, t) for t in set(own[at : at + 2 * size])) / total for at in range(0, len(own), size)), default=0.0)
+            parts = []
+            for part in split(dict(items)[item]):
+                w = words(part)
+                k = min(n, len(w))
+                parts.append(len(grams(w, k) & grams(own, k)) / len(grams(w, k)) if k else 1.0)
+            if share >= threshold - 1e-9 and parts[0] >= question_share and parts[1] >= answer_share:
+                out[d, item] = (share, *parts)
+    return out

@@ -148,6 +148,47 @@ def test_op3_iban_ends_and_context(spark):
     assert found[6] == [("iban", 6, 28, 1.0), ("iban", 30, 57, 1.0)]
 
 
+def test_op3_context_on_both_sides(spark):
+    rows = ["123-45-6789 is my ssn", "123-45-6789, 234-56-7890: ssn", "123-45-6789 " + "x" * 40 + " ssn", "123-45-6789 " + "x" * 20 + " ssn"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["pii"] if s["kind"] == "ssn"] for r in pii.find_pii(docs).collect()}
+    assert found == {0: [(0, 11)], 1: [(0, 11), (13, 24)], 2: [], 3: [(0, 11)]}
+
+
+def test_op4_scores_do_not_depend_on_the_blocks(spark, folder):
+    rng = random.Random(9)
+    say = lambda k: " ".join(f"v{min(rng.randrange(300), rng.randrange(300))}" for _ in range(k))
+    items = [(i, f"{say(rng.randrange(5, 30))}. {say(9)}.") for i in range(60)]
+    docs = spark.createDataFrame([(d, f"{say(50)} {items[d % 60][1] if d % 2 else ''} {say(50)}") for d in range(120)], "doc_id long, text string")
+    item_rows = spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string")
+    chars = sum(len(t) for _, t in items)
+    got = [{(r["doc_id"], r["item_id"]): r["bm25_share"] for r in decontamination.find_leaks(docs, item_rows, threshold=0.3, question_share=0, answer_share=0, block_chars=n).collect()} for n in (4 << 20, 2 * chars // 5)]
+    assert len(list(decontamination.indexes(item_rows, 2 * chars // 5))) >= 5
+    assert len(got[0]) >= 60 and got[0] == pytest.approx(got[1])
+
+
+def test_op4_equals_brute_force(spark):
+    """Every pair over the threshold, by BM25 of all items against all windows and plain n-gram sets."""
+    rng = random.Random(10)
+    say = lambda k: " ".join(f"v{min(rng.randrange(200), rng.randrange(200))}" for _ in range(k))
+    items = [(i, f"{say(rng.randrange(4, 20))}. {say(rng.randrange(6, 12))}.") for i in range(25)]
+    docs = [(d, " ".join([say(rng.choice([0, 3, 60, 200])), items[rng.randrange(25)][1] if d % 3 else items[d % 25][1][: rng.randrange(10, 90)], say(20)])) for d in range(80)] + [(80, None), (81, "")]
+    found = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): (r["bm25_share"], r["question_share"], r["answer_share"]) for r in found.collect()}
+    want = brute.leaks(docs, items, decontamination.split_item)
+    assert got.keys() == want.keys() and len(got) > 40
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-6)
+
+
+def test_op4_stage_looks_at_texts_not_at_ids(spark, tmp_path):
+    item = "w1 w2 w3 w4 w5 w6 w7. w8 w9 w10 w11 w12 w13 w14?"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item, 1), (None, "clean words", 2), (5, f"a b {item} c", 3), (5, "other words of the same id", 4), (6, None, 5)]
+    left = decontamination.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, n long"), str(tmp_path)).collect()
+    assert sorted(r["n"] for r in left) == [2, 4, 5]
+
+
 def test_op4_block_max_wand_equals_all_scores():
     rng = np.random.default_rng(1)
     items = [" ".join(f"t{k}" for k in rng.zipf(1.4, rng.integers(5, 30)) % 200) for _ in range(150)]
@@ -340,12 +381,60 @@ def test_op8_structures():
     head, body = part('{"alg":"HS256","typ":"JWT"}'), part('{"sub":"1"}')
     assert [k for _, _, k in secrets.confirmed_spans(f"x {head}.{body}.abc")] == ["jwt"]
     assert secrets.confirmed_spans("eyJub3RoaW5n.abcd.efgh") == []
-    field = lambda b: len(b).to_bytes(4, "big") + b
+    # A public key line is no secret; the private part of the same kind is.
     ssh = base64.b64encode(field(b"ssh-ed25519") + field(bytes(32))).decode()
-    assert [k for _, _, k in secrets.confirmed_spans(f"ssh-ed25519 {ssh}")] == ["ssh"]
+    assert secrets.confirmed_spans(f"ssh-ed25519 {ssh}") == []
+    whole = openssh(64)
+    for data, found in ((whole, ["ssh"]), (whole[:-1], []), (whole + b"\0", []), (openssh(63), [])):
+        assert [k for _, _, k in secrets.confirmed_spans(f"x {base64.b64encode(data).decode()} y")] == found
+    body = base64.encodebytes(whole).decode()
+    assert [k for _, _, k in secrets.confirmed_spans(f"-----BEGIN OPENSSH PRIVATE KEY-----\n{body}-----END OPENSSH PRIVATE KEY-----")] == ["key"]
     assert secrets.redact("a token = 'abcdefghijklmnop' b") == "a [secret]' b" and secrets.redact(None) is None
 
 
+def field(b):
+    return len(b).to_bytes(4, "big") + b
+
+
+def openssh(private):
+    return b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(field(b"ssh-ed25519") + field(bytes(32))) + field(bytes(private))
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def test_op8_lengths_to_the_bottom_and_no_public_keys():
+    import base64
+
+    rng = random.Random(4)
+    number = lambda n: der(2, b"\1" + rng.randbytes(n))
+    algorithm = der(0x30, der(6, bytes.fromhex("2a864886f70d010101")), der(5))
+    rsa = der(0x30, der(2, b"\0"), *(number(n) for n in (128, 2, 127, 64, 64, 64, 64, 64)))
+    private = {"RSA": rsa, "PKCS8": der(0x30, der(2, b"\0"), algorithm, der(4, rsa)), "encrypted": der(0x30, algorithm, der(4, rng.randbytes(200)))}
+    public = {"SPKI": der(0x30, algorithm, der(3, b"\0" + rng.randbytes(160))), "RSA": der(0x30, number(128), number(2)), "certificate": der(0x30, der(0x30, der(2, b"\5"), algorithm), algorithm, der(3, rng.randbytes(60)))}
+    for data in private.values():
+        assert secrets.is_der_key(data) and not secrets.is_der_key(data + b"\0")
+        assert [k for _, _, k in secrets.confirmed_spans("x " + base64.b64encode(data).decode())] == ["der"]
+    for data in public.values():
+        text = base64.b64encode(data).decode()
+        assert not secrets.is_der_key(data) and secrets.confirmed_spans(f"x {text}") == [] and secrets.confirmed_spans(f"-----BEGIN PUBLIC KEY-----\n{text}\n-----END PUBLIC KEY-----") == []
+    # A length inside overruns its element; the outer ones are exact.
+    assert not secrets.is_der_key(bytes.fromhex("30080201003003027f00"))
+    assert not secrets.is_der_key(der(0x30, der(2, b"\0"), bytes.fromhex("3003027f00"), der(4, b"abcd")))
+
+
+def test_op8_encrypted_pem():
+    import base64
+
+    rng = random.Random(5)
+    pem = lambda n, cipher: f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: {cipher},0123456789ABCDEF\n\n{base64.encodebytes(rng.randbytes(n)).decode()}-----END RSA PRIVATE KEY-----"
+    for n, cipher, found in ((608, "AES-128-CBC", ["key"]), (600, "DES-EDE3-CBC", ["key"]), (600, "AES-128-CBC", []), (601, "DES-EDE3-CBC", [])):
+        assert [k for _, _, k in secrets.confirmed_spans(pem(n, cipher))] == found
+
+
 def test_op8_unmarked_short_keys():
     import base64
 
@@ -409,3 +498,16 @@ def test_op10_training_raises_the_likelihood():
     right = sum((crf.decode(x, np.array([0, len(y)])) == y).sum() for x, y in docs)
     assert right / 240 > 0.95
     assert quality_classifier.SubwordClassifier().score(pa.array(["", None])).tolist() == [0.5, 0.5]
+
+
+def test_op10_clashing_labels_and_the_sample(spark):
+    docs = spark.createDataFrame([(1, "b a"), (1, "a b"), (2, "x " * 200_000), (3, None), (4, "y")], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 1)], "doc_id long, quality int")
+    from tessera.llm import _store
+
+    assert sorted(tuple(r) for r in _store.sample_texts(docs, known, 10).collect()) == [(1, "a b", 0), (4, "y", 1)]
+    lines = "\n".join(["good line of many words that says something here."] * 3 + ["$$$ ###"])
+    rows = spark.createDataFrame([(i, f"{i} {lines}") for i in range(8)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(8)]
+    both = [quality_rules.train(rows, spark.createDataFrame(x, "doc_id long, quality int")) for x in (labels + [(1, 0), (3, 0)], [(1, 0), (3, 0)] + labels)]
+    assert (both[0].weights == both[1].weights).all() and (both[0].trans == both[1].trans).all()
