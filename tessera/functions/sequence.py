@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,21 +21,38 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.least(F.levenshtein(a, b), F.levenshtein(a, reverse_complement(b)))
 
 
-def cigar_lengths(cigar: Column, ops: str) -> Column:
-    """Summed lengths of the operations in ``ops``."""
-    pairs = F.arrays_zip(F.regexp_extract_all(cigar, F.lit(OPS), F.lit(1)).alias("n"), F.regexp_extract_all(cigar, F.lit(OPS), F.lit(2)).alias("op"))
-    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, p: a + F.when(F.contains(F.lit(ops), p["op"]), p["n"].cast("bigint")).otherwise(0))
+def cigar_ops(cigar: Column) -> Column:
+    """Array of (n, op), from one pass over the string."""
+    return F.transform(F.regexp_extract_all(cigar, F.lit(OPS), F.lit(0)), lambda x: F.struct(F.left(x, F.length(x) - 1).cast("bigint").alias("n"), F.right(x, F.lit(1)).alias("op")))
+
+
+def ops_length(ops: Column, kinds: str) -> Column:
+    """Summed lengths of the operations in ``kinds`` of a parsed CIGAR."""
+    return F.aggregate(ops, F.lit(0).cast("bigint"), lambda a, p: a + F.when(F.contains(F.lit(kinds), p["op"]), p["n"]).otherwise(0))
+
+
+def cigar_lengths(cigar: Column, kinds: str) -> Column:
+    """Summed lengths of the operations in ``kinds``."""
+    return ops_length(cigar_ops(cigar), kinds)
+
 
+#: Operations of a match and of the aligned block: all but clips.
+MATCH, BLOCK = "M", "MIDNP=X"
 
-def identity(cigar: Column, nm: Column) -> Column:
-    """(matches - mismatches) / block length, as the aligners report them, to six digits."""
-    return F.round((cigar_lengths(cigar, "M=X") - nm) / cigar_lengths(cigar, "M=XIDS"), 6)
+
+def identity(ops: Column, nm: Column) -> Column:
+    """(matches - mismatches) / block length of a parsed CIGAR, to six digits."""
+    return F.round((ops_length(ops, MATCH) - nm) / ops_length(ops, BLOCK), 6)
+
+
+def divergence_identity(nm: Column, matched: Column) -> Column:
+    """1 - mismatch rate (to six digits) of a long read."""
+    return 1 - F.round(nm / matched, 6)
 
 
 def cigar_expand(cigar: Column) -> Column:
     """``3M1I`` as ``MMMI``."""
-    lengths, ops = (F.regexp_extract_all(cigar, F.lit(OPS), F.lit(k)) for k in (1, 2))
-    return F.array_join(F.zip_with(lengths, ops, lambda n, op: F.repeat(op, n.cast("int"))), "")
+    return F.array_join(F.transform(cigar_ops(cigar), lambda x: F.repeat(x["op"], x["n"].cast("int"))), "")
 
 
 def run_lengths(s: Column) -> Column:
@@ -82,11 +101,16 @@ def complexity(s: Column, k: int) -> Column:
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
-    """P(X >= k) for X ~ Binomial(n, p), by a fold over the ratio of neighbouring terms."""
-    first = F.pow(F.lit(1 - p), n)
-    step = lambda s, i: F.struct((s["t"] * (n - i + 1) / i * (p / (1 - p))).alias("t"), (s["c"] + F.when(i < k, s["t"] * (n - i + 1) / i * (p / (1 - p))).otherwise(0.0)).alias("c"))
-    start = F.struct(first.alias("t"), F.when(k > 0, first).otherwise(F.lit(0.0)).alias("c"))
-    return F.when(n < 1, F.when(k <= 0, 1.0).otherwise(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), start, step, lambda s: 1 - s["c"]))
+    """P(X >= k) for X ~ Binomial(n, p), by a fold over the logarithms of its terms, which do not vanish for large n."""
+    odds = math.log(p / (1 - p))
+    first = n * F.lit(math.log(1 - p))
+
+    def step(s: Column, i: Column) -> Column:
+        t = s["t"] + F.ln((n - i + 1) / i) + odds
+        return F.struct(t.alias("t"), (s["c"] + F.when(i >= k, F.exp(t)).otherwise(0.0)).alias("c"))
+
+    start = F.struct(first.alias("t"), F.when(k <= 0, F.exp(first)).otherwise(F.lit(0.0)).alias("c"))
+    return F.when(n < 1, F.when(k <= 0, 1.0).otherwise(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), start, step, lambda s: F.least(s["c"], F.lit(1.0))))
 
 
 def odd_kmer_length(genome: Column) -> Column:
@@ -105,7 +129,7 @@ def two_fields(name: Column) -> Column:
 
 
 def quality_bin(q: Column, edges: tuple[int, ...] = (2, 10, 20, 25, 30, 35, 40)) -> Column:
-    """The greatest edge not above a quality."""
+    """The greatest edge not above a quality; the default edges are the bins of eight that sequencers report."""
     out = F.lit(0)
     for e in edges:
         out = F.when(q >= e, e).otherwise(out)

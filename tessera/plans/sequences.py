@@ -6,20 +6,23 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import sequence as fn
+from tessera.operators.windowing import next_row
 
 from .registry import query, table
 
 
-@query("cigar_parse", """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) + 5 AS matched, CAST(l_quantity AS BIGINT) + 5 + 2 + l_linenumber AS block,
- round((CAST(l_quantity AS BIGINT) + 5 - 1) / (CAST(l_quantity AS BIGINT) + 5 + 2 + l_linenumber), 6) AS identity FROM lineitem""")
+@query("cigar_parse", """WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) + 5 AS matched, CAST(l_quantity AS BIGINT) + 5 + 2 + l_linenumber + l_orderkey % 3 + 4 AS block FROM lineitem)
+ SELECT l_orderkey, l_linenumber, matched, block, round((matched - 1) / block, 6) AS identity FROM c""")
 def cigar_parse(spark, sf):
-    l = table(spark, sf, "lineitem")  # noqa: E741
-    cigar = F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit("M2I"), F.col("l_linenumber").cast("string"), F.lit("D5M"))
-    l = l.select("l_orderkey", "l_linenumber", cigar.alias("cigar"))  # noqa: E741
-    return l.select("l_orderkey", "l_linenumber", fn.cigar_lengths(F.col("cigar"), "M=X").alias("matched"), fn.cigar_lengths(F.col("cigar"), "M=XIDS").alias("block"), fn.identity(F.col("cigar"), F.lit(1)).alias("identity"))
+    n = lambda c: F.col(c).cast("bigint").cast("string")
+    # Clips and padding: neither S nor H is in the block, N and P are.
+    cigar = F.concat(n("l_linenumber"), F.lit("H7S"), n("l_quantity"), F.lit("M2I"), n("l_linenumber"), F.lit("D5M"), (F.col("l_orderkey") % 3).cast("string"), F.lit("N4P"), n("l_quantity"), F.lit("S3H"))
+    ops = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fn.cigar_ops(cigar).alias("ops"))
+    return ops.select("l_orderkey", "l_linenumber", fn.ops_length(F.col("ops"), fn.MATCH).alias("matched"), fn.ops_length(F.col("ops"), fn.BLOCK).alias("block"), fn.identity(F.col("ops"), F.lit(1)).alias("identity"))
 
 
-@query("rle_roundtrip", """WITH s AS (SELECT l_orderkey, l_returnflag AS f, row_number() OVER w - row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS g, row_number() OVER w AS i FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag)),
+@query("rle_roundtrip", """WITH n AS (SELECT l_orderkey, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS i FROM lineitem),
+ s AS (SELECT *, i - row_number() OVER (PARTITION BY l_orderkey, f ORDER BY i) AS g FROM n),
  r AS (SELECT l_orderkey, f, g, count(*) AS n, min(i) AS i FROM s GROUP BY 1, 2, 3) SELECT l_orderkey, string_agg(n || f, '' ORDER BY i) AS rle, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1""")
 def rle_roundtrip(spark, sf):
     s = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))), lambda x: x["l_returnflag"]), "").alias("s"))
@@ -28,19 +31,26 @@ def rle_roundtrip(spark, sf):
     return s.select("l_orderkey", rle.alias("rle"), F.length(F.when(back == F.col("s"), back)).cast("bigint").alias("n"))
 
 
-@query("revcomp_edit", """WITH p AS (SELECT p_partkey, p_name AS a, lead(p_name) OVER (ORDER BY p_partkey) AS b FROM part WHERE p_partkey < 100000) SELECT p_partkey, least(levenshtein(a, b), levenshtein(a, reverse(translate(b, 'ACGTRYMKVBHDacgtrymkvbhd', 'TGCAYRKMBVDHtgcayrkmbvdh')))) AS d FROM p WHERE b IS NOT NULL""")
+NEIGHBOURS = "SELECT p_partkey, p_name AS a, lead(p_name) OVER (ORDER BY p_partkey) AS b FROM part"
+
+
+def _neighbours(spark, sf):
+    """Each part's name with the next one's."""
+    named = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("a"))
+    return next_row(named, "p_partkey", ["a"], 100_000).where("next_a is not null").select("p_partkey", "a", F.col("next_a").alias("b"))
+
+
+@query("revcomp_edit", f"""WITH p AS ({NEIGHBOURS}) SELECT p_partkey, least(levenshtein(a, b), levenshtein(a, reverse(translate(b, 'ACGTRYMKVBHDacgtrymkvbhd', 'TGCAYRKMBVDHtgcayrkmbvdh')))) AS d FROM p WHERE b IS NOT NULL""")
 def revcomp_edit(spark, sf):
-    # The neighbour is the part with the next key, found by an equi-join rather than one window over all rows.
-    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("a"))
-    joined = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b")), "p_partkey")
-    return joined.select("p_partkey", fn.edit_distance(F.col("a"), F.col("b")).cast("bigint").alias("d"))
+    return _neighbours(spark, sf).select("p_partkey", fn.edit_distance(F.col("a"), F.col("b")).cast("bigint").alias("d"))
 
 
-@query("variant_trim")
+@query("variant_trim", f"""WITH p AS ({NEIGHBOURS}), t AS (SELECT p_partkey, a, b, least(list_max([CASE WHEN right(a, CAST(i AS INT)) = right(b, CAST(i AS INT)) THEN i ELSE 0 END FOR i IN range(0, least(length(a), length(b)) + 1)]), least(length(a), length(b)) - 1) AS tail FROM p WHERE b IS NOT NULL),
+ r AS (SELECT p_partkey, left(a, CAST(length(a) - tail AS INT)) AS r, left(b, CAST(length(b) - tail AS INT)) AS a FROM t), h AS (SELECT p_partkey, r, a, least(list_max([CASE WHEN left(r, CAST(i AS INT)) = left(a, CAST(i AS INT)) THEN i ELSE 0 END FOR i IN range(0, least(length(r), length(a)) + 1)]), least(length(r), length(a)) - 1) AS head FROM r)
+ SELECT p_partkey, CAST(100 + head AS INT) AS pos, substr(r, CAST(head AS INT) + 1) AS ref, substr(a, CAST(head AS INT) + 1) AS alt FROM h""")
 def variant_trim(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("a"))
-    joined = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b")), "p_partkey")
-    return joined.select("p_partkey", fn.trim_variant(F.lit(100), F.col("a"), F.col("b")).alias("v")).select("p_partkey", "v.*")
+    trimmed = _neighbours(spark, sf).select("p_partkey", fn.trim_variant(F.lit(100), F.col("a"), F.col("b")).alias("v"))
+    return trimmed.select("p_partkey", F.col("v.pos").cast("int").alias("pos"), "v.ref", "v.alt")
 
 
 @query("binomial_gate", """WITH c AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS k FROM events GROUP BY 1) SELECT user_id, n, k, round(1 - coalesce(list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.1) + (n - i) * ln(0.9)) FOR i IN range(0, k)]), 0), 5) AS tail FROM c""")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import sequence as fn
@@ -42,8 +43,10 @@ def test_copies(spark):
 
 def test_cigar(spark):
     c = F.lit("5S90M2I3D10M")
-    assert value(spark, fn.identity(c, F.lit(5))) == round((100 - 5) / 110, 6)
-    assert value(spark, fn.cigar_lengths(c, "M=X")) == 100
+    assert value(spark, fn.identity(fn.cigar_ops(c), F.lit(5))) == 0.904762
+    assert value(spark, fn.cigar_lengths(c, fn.MATCH)) == 100 and value(spark, fn.cigar_lengths(c, fn.BLOCK)) == 105
+    every = F.lit("1H2S3M4I5D6N7P8=9X")
+    assert value(spark, fn.cigar_lengths(every, fn.BLOCK)) == 3 + 4 + 5 + 6 + 7 + 8 + 9 and value(spark, fn.cigar_lengths(every, fn.MATCH)) == 3
     assert value(spark, fn.run_lengths(fn.cigar_expand(F.lit("3M1I2M")))) == "3M1I2M"
 
 
@@ -54,6 +57,8 @@ def test_sequences(spark):
     assert tuple(value(spark, fn.trim_variant(F.lit(10), F.lit("AAGT"), F.lit("AACT")))) == (12, "G", "C")
     assert round(value(spark, fn.log_mean(F.lit(0.0), F.lit(0.0))), 9) == 0
     assert round(value(spark, fn.binomial_tail(F.lit(4), F.lit(2), 0.5)), 9) == 11 / 16
+    assert round(value(spark, fn.binomial_tail(F.lit(100_000), F.lit(50_000), 0.5)), 3) == 0.501 and value(spark, fn.binomial_tail(F.lit(100_000), F.lit(90_000), 0.5)) < 1e-9
+    assert value(spark, fn.binomial_tail(F.lit(50), F.lit(0), 0.1)) == 1 and value(spark, fn.binomial_tail(F.lit(0), F.lit(1), 0.1)) == 0
     assert value(spark, fn.odd_kmer_length(F.lit(3e9))) == 33
     assert value(spark, fn.normal_name(F.lit("HLA-A*01:01"))) == "A_01_01"
 
@@ -124,26 +129,82 @@ def test_every_position(spark):
     assert got == {p: (2 if p < 3 else 1, (p % 2 == 0) + (p == 2)) for p in range(60)}
 
 
+def test_long_paths(spark):
+    n = 200
+    path = [(i, i + 1, i % 3 % 2) for i in range(n)] + [(n + 10 + i, n + 11 + i, 1) for i in range(0, 50, 2)]
+    shuffled = random.Random(3).sample(range(1000), 61)
+    edges = spark.createDataFrame([*path, *((2000 + shuffled[i], 2000 + shuffled[i + 1], 1) for i in range(60))], "a long, b long, f long")
+    got = {r["node"]: (r["component"], r["side"]) for r in graph.signed_components(edges, "a", "b", "f").collect()}
+    side = 0
+    for i in range(n):
+        assert got[i] == (0, side)
+        side ^= path[i][2]
+    least = min(shuffled)
+    start = shuffled.index(least)
+    assert all(got[2000 + x] == (2000 + least, (i - start) % 2) for i, x in enumerate(shuffled))
+    assert {r["node"]: r["component"] for r in graph.components(edges, "a", "b").collect()} == {k: v[0] for k, v in got.items()}
+
+
 def test_orientations_of_all_sizes(spark):
     rng = random.Random(4)
-    rows = [(g, i, float(rng.randint(-2, 2))) for g in range(120) for i in range(g % 9 + 1)]
-    blocks = spark.createDataFrame(rows, "g long, i long, w double")
-    assert sorted(map(tuple, graph.orientations(blocks, "g", "i", "w").collect())) == sorted(map(tuple, graph.best_orientation(blocks, "g", "i", "w").collect()))
-    long = spark.createDataFrame([(0, i, -1.0 if i % 2 else 1.0) for i in range(64)], "g long, i long, w double")
-    assert tuple(graph.orientations(long, "g", "i", "w").first()) == (0, sum(1 << (i - 1) for i in range(1, 64, 2)), 63.0)
+    groups = {g: [float(rng.randint(-2, 2)) for _ in range(g % 9 + 1)] for g in range(120)}
+    rows = [(g, i, w) for g, own in groups.items() for i, w in enumerate(own)]
+    got = {r[0]: (r[1], r[2]) for r in graph.orientations(spark.createDataFrame(rows, "g long, i long, w double"), "g", "i", "w").collect()}
+    for g, w in groups.items():
+        n, best = len(w) - 1, None
+        for mask in range(1 << n):
+            sign = [1, *(-1 if mask >> i & 1 else 1 for i in range(n))]
+            score = sum(a * b * p * q for a, b, p, q in zip(w, w[1:], sign, sign[1:]))
+            if best is None or score > best[1]:
+                best = (format(mask, f"0{n}b") if n else "", score)
+        assert got[g] == best
+    long = spark.createDataFrame([(0, i, -1.0 if i % 2 else 1.0) for i in range(300)], "g long, i long, w double")
+    assert tuple(graph.orientations(long, "g", "i", "w").first()) == (0, "".join(str(i % 2) for i in range(299, 0, -1)), 299.0)
+
+
+def test_ranges_do_not_show(spark):
+    """Windows cut into ranges give what one window gives."""
+    rng = random.Random(5)
+    spans = spark.createDataFrame([(k, s, s + rng.randrange(1, 60)) for k in "ab" for s in [rng.randrange(2000) for _ in range(120)]], "k string, s long, e long")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = rows(windowing.merge_intervals(spans, "k", "s", "e"))
+    assert all(rows(windowing.merge_ranges(spans, "k", "s", "e", span)) == whole for span in (7, 100, 10**6))
+    depths = spark.createDataFrame([("k", i, float(rng.randrange(10))) for i in range(300)], "k string, pos long, d double")
+    want = rows(windowing.rolling_mean(depths, "k", "pos", "d", 5))
+    assert len(want) == 300 and want[7][3] == sum(r[2] for r in want[2:7]) / 5 and want[2][4] == 2
+    assert all(rows(windowing.rolling_mean(depths, "k", "pos", "d", 5, span)) == want for span in (6, 50))
+    numbers = sorted(rng.sample(range(5000), 80))
+    nexts = windowing.next_row(spark.createDataFrame([(n, str(n)) for n in numbers], "n long, t string"), "n", ["t"], 100)
+    assert rows(nexts.where("next_n is not null")) == [(a, str(a), b, str(b)) for a, b in zip(numbers, numbers[1:])] and nexts.count() == 80
+
+
+def test_scans_go_over_batches(spark):
+    from tessera.operators import scan
+
+    rows = [("k" if i % 5 else "j", 3 * i, 3 * i + 4) for i in range(25_000)]
+    df = spark.createDataFrame(rows, "k string, s long, e long")
+    kept = windowing.greedy_apart(df, "k", "s", "e", 7).groupBy("k").count().collect()
+    for r in kept:
+        last, n = None, 0
+        for _, s, _ in (x for x in rows if x[0] == r["k"]):
+            if last is None or s - last >= 7:
+                last, n = s, n + 1
+        assert r["count"] == n
+    assert list(scan.depth_runs(0.1)([(0, 10), (1, 11), (2, 9), (3, 20), (5, 20), (6, 23)])) == [(0, 3, 30), (3, 4, 20), (5, 6, 20), (6, 7, 23)]
+    assert list(scan.grown(5, 1)([(0, 4), (5, 8), (9, 10), (20, 21)])) == [(0, 10, 8), (20, 21, 1)]
 
 
 def test_stream_results_are_files(spark, tmp_path):
     from tessera.plans import registry
 
-    day = "2024-01-01 0{}:00:00"
-    rows = [(k, day.format(k % 8), k % 2) for k in range(8)]
-    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("e").alias("event_type"))
+    rows = [(k, f"2024-01-01 0{k}:00:00", k % 2) for k in range(8)] + [(8, "2024-01-03 00:00:00", 0)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("e").alias("event_type"), F.lit(1.0).alias("value"))
     df.coalesce(1).write.parquet(f"{tmp_path}/part")
     next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "events.parquet")
     before = {t.name for t in spark.catalog.listTables()}
     out = registry.QUERIES["stream_sessions"](spark, str(tmp_path))
     assert out.inputFiles() and {t.name for t in spark.catalog.listTables()} == before
+    # The session of the last event is still open.
     assert sorted((r["user_id"], r["n"], r["sessions"]) for r in out.collect()) == [(0, 4, 1), (1, 4, 1)]
 
 
@@ -151,15 +212,39 @@ def test_fiedler_and_segments(spark):
     block = lambda o: [("g", o + i, o + j, 1.0) for i in range(4) for j in range(i)]
     edges = spark.createDataFrame([*block(0), *block(10), ("g", 0, 10, 0.01)], "g string, a long, b long, w double")
     assert {r["node"]: r["side"] for r in graph.fiedler_sides(edges, "g", "a", "b", "w").collect()} == {i: 0 for i in range(4)} | {10 + i: 1 for i in range(4)}
-    series = spark.createDataFrame([("k", i, float(i % 3 + (20 if i >= 40 else 0))) for i in range(80)], "k string, o long, v double")
-    assert [(r["start"], r["end"]) for r in graph.segment_means(series, "k", "o", "v").collect()] == [(0, 39), (40, 79)]
+    rng = random.Random(6)
+    series = [rng.gauss(0, 1) + (8 if 60 <= i < 90 else 0) for i in range(160)]
+    df = spark.createDataFrame([("k", 10 * i, v) for i, v in enumerate(series)] + [("one", 5, 2.0)], "k string, o long, v double")
+    got = sorted((r["k"], r["start"], r["end"], r["n"], r["median"] > 4) for r in graph.segments(df, "k", "o", "v", 5.0).collect())
+    assert [x[4] for x in got] == [False, True, False, False] and got[3] == ("one", 5, 5, 1, False)
+    assert abs(got[1][1] - 600) <= 20 and abs(got[1][2] - 890) <= 20 and sum(x[3] for x in got[:3]) == 160
+
+
+def test_best_arc_is_the_best_of_all():
+    """Both cuts at once, ranks of ties averaged and the variance corrected for them, the inner arc bounded."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        x = rng.integers(0, 6, rng.integers(2, 30)).astype(float)
+        n, most = len(x), int(rng.integers(1, 20))
+        ranks = [(2 * (x < v).sum() + (x == v).sum() + 1) / 2 for v in x]
+        ties = sum(int((x == v).sum()) ** 3 - int((x == v).sum()) for v in set(x))
+        spread = (n + 1 - ties / n / (n - 1)) / 12
+        z = lambda i, j: abs(sum(ranks[i:j]) - (j - i) * (n + 1) / 2) / np.sqrt((j - i) * (n - j + i) * spread)  # noqa: B023, E731
+        best = max((z(i, j) for j in range(1, n + 1) for i in range(max(0, j - most), j) if j - i < n), default=0.0) if spread > 0 else 0.0
+        got, i, j = graph.best_arc(x, most)
+        assert got == pytest.approx(best) and (got == 0 or z(i, j) == pytest.approx(best))
 
 
 def test_variants(spark):
     ref = spark.createDataFrame([("c", "ACGTACGT"), ("d", "AA")], "chrom string, seq string")
     var = spark.createDataFrame([("c", 1, "C", "TTT"), ("c", 4, "AC", "A")], "chrom string, pos long, ref string, alt string")
     assert {r["chrom"]: r["seq"] for r in variants.apply_variants(ref, var, "chrom", "seq").collect()} == {"c": "ATTTGTAGT", "d": "AA"}
-    assert tuple(value(spark, variants.best_quality_span(F.lit("!!IIII!!II")))) == (2, 6)
+    span = lambda q, least: tuple(value(spark, variants.best_quality_span(F.lit(q), least=least)))
+    assert span("!!IIII!!II", 3) == (2, 6) and span("!!IIII!!II", 30) == (0, 10)
+    # Too short a stretch gives way to the best window; nothing good at all, to the first bases.
+    assert span("!!II!!5555!!", 4) == (6, 10) and span("!!!!!!!!", 4) == (0, 4) and span('""""""""""', 4) == (0, 4)
     assert value(spark, variants.homopolymers(F.lit("AAACCGTTTT"), 3)) == [3, 4]
     rows = spark.createDataFrame([("k", 0, 10, 1.0), ("k", 5, 15, 2.0), ("k", 20, 30, 1.0)], "k string, s long, e long, q double")
     assert [(r["s"], r["e"]) for r in variants.keep_best_of_overlaps(rows, "k", "s", "e", "q").collect()] == [(5, 15), (20, 30)]
@@ -172,4 +257,4 @@ def test_overlay_and_levels(spark):
     new = spark.createDataFrame([(2, "x"), (3, "y")], "k int, v string")
     assert sorted(map(tuple, joining.overlay(base, new, "k", ["v"]).collect())) == [(1, "a"), (2, "x")]
     tree = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a")], "n string, p string")
-    assert {r["node"]: r["level"] for r in joining.levels(tree, "n", "p", 5).collect()} == {"r": 0, "a": 1, "b": 2}
+    assert {r["node"]: r["level"] for r in joining.levels(tree, "n", "p").collect()} == {"r": 0, "a": 1, "b": 2}
