@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.functions.sequence import OPS
+from tessera.functions.sequence import cigar_ops
+from tessera.operators import scan
 from tessera.operators.joining import near_join
 
 
@@ -99,58 +101,54 @@ def homopolymers(seq: Column, least: int) -> Column:
     return F.transform(F.regexp_extract_all(seq, F.lit(rf"((\S)\2{{{least - 1},}}+)"), F.lit(1)), lambda r: F.length(r))
 
 
-def best_quality_span(qual: Column, limit: float = 0.05) -> Column:
-    """(start, end) of the stretch with the greatest sum of ``limit`` - error probability: a fold over the qualities."""
-    start = F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in (("i", 0, "int"), ("run", 0.0, "double"), ("begin", 0, "int"), ("best", 0.0, "double"), ("s", 0, "int"), ("e", 0, "int"))])
+def best_quality_span(qual: Column, limit: float = 0.05, least: int = 30) -> Column:
+    """(start, end) of the stretch with the greatest sum of ``limit`` - error probability (quality 3 at least); where that is
+    shorter than ``least``, the ``least`` bases of the greatest summed quality; all of a string that is no longer than that."""
+    q = F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
+    n = F.length(qual)
+    start = F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in (("i", 0, "int"), ("run", 0.0, "double"), ("begin", 0, "int"), ("best", 0.0, "double"), ("s", 0, "int"), ("e", least, "int"))])
 
-    def step(a: Column, c: Column) -> Column:
-        gain = limit - F.pow(F.lit(10.0), -(F.ascii(c) - 33) / 10)
-        fresh = a["run"] <= 0
-        run, begin = F.when(fresh, gain).otherwise(a["run"] + gain), F.when(fresh, a["i"]).otherwise(a["begin"])
-        better = run > a["best"]
-        pick = lambda new, old: F.when(better, new).otherwise(old)
-        return F.struct((a["i"] + 1).alias("i"), run.alias("run"), begin.alias("begin"), pick(run, a["best"]).alias("best"), pick(begin, a["s"]).alias("s"), pick(a["i"] + 1, a["e"]).alias("e"))
+    def step(a: Column, x: Column) -> Column:
+        run = a["run"] + (limit - F.pow(F.lit(10.0), -F.greatest(x, F.lit(3)) / 10))
+        better, lost, i = run > a["best"], run < 0, a["i"] + 1
+        pick = lambda test, new, old: F.when(test, new).otherwise(old)
+        return F.struct(i.alias("i"), pick(lost, F.lit(0.0), run).alias("run"), pick(lost, i, a["begin"]).alias("begin"), pick(better, run, a["best"]).alias("best"), pick(better, a["begin"], a["s"]).alias("s"), pick(better, i, a["e"]).alias("e"))
 
-    return F.aggregate(F.filter(F.split(qual, ""), lambda c: c != ""), start, step, lambda a: F.struct(a["s"].alias("start"), a["e"].alias("end")))
+    stretch = F.aggregate(q, start, step, lambda a: F.struct(a["s"].alias("start"), a["e"].alias("end")))
+    total = lambda array: F.aggregate(array, F.lit(0), lambda a, x: a + x)
+    first = total(F.slice(q, 1, least))
+    # Windows by the place of their first base, the sum carried along.
+    window = F.struct(first.alias("sum"), first.alias("best"), F.lit(0).alias("at"))
 
+    def slide(a: Column, i: Column) -> Column:
+        now = a["sum"] + F.element_at(q, i + least) - F.element_at(q, i)
+        return F.struct(now.alias("sum"), F.greatest(now, a["best"]).alias("best"), F.when(now > a["best"], i).otherwise(a["at"]).alias("at"))
 
-def grown_regions(df: DataFrame, key: str, start: str, end: str, size: int, gap: int) -> DataFrame:
-    """Regions that take intervals in order until they hold more than ``size`` bases and the next lies more than ``gap`` away; a fold over each key."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e")))).alias("r"))
-    kind = "array<struct<s:bigint,e:bigint,bases:bigint>>"
+    best = F.aggregate(F.sequence(F.lit(1), n - least), window, slide, lambda a: F.struct(a["at"].alias("start"), (a["at"] + least).alias("end")))
+    return F.when(n <= least, F.struct(F.lit(0).alias("start"), n.alias("end"))).when(stretch["end"] - stretch["start"] >= least, stretch).otherwise(best)
 
-    def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        cut = (last["bases"] > size) & (x["s"] - last["e"] > gap)
-        fresh = F.struct(x["s"].alias("s"), x["e"].alias("e"), (x["e"] - x["s"]).alias("bases"))
-        wider = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), (last["bases"] + x["e"] - x["s"]).alias("bases"))
-        return F.when((F.size(a) == 0) | cut, F.array_append(a, fresh)).otherwise(F.array_append(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), wider)).cast(kind)
 
-    return rows.select(key, F.explode(F.aggregate("r", F.array().cast(kind), step)).alias("x")).select(key, "x.*")
+def grown_regions(df: DataFrame, key: str, start: str, end: str, size: int, gap: int) -> DataFrame:
+    """(key, s, e, bases): regions that take intervals in order until they hold more than ``size`` bases and the next lies more than ``gap`` away."""
+    picked = df.select(key, F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))
+    schema = StructType([picked.schema[key], *(StructField(c, LongType()) for c in ("s", "e", "bases"))])
+    return scan.scan_keys(picked, [key], ["s", "e"], ["s", "e"], scan.grown(size, gap), schema)
 
 
 def keep_best_of_overlaps(df: DataFrame, key: str, start: str, end: str, score: str) -> DataFrame:
-    """Rows in order, of two neighbours that overlap the better (the earlier of equals); a fold over each key."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"), F.col(score).cast("double").alias("q")))).alias("r"))
-
-    def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        apart = (F.size(a) == 0) | (x["s"] >= last["e"])
-        return F.when(apart, F.array_append(a, x)).when(x["q"] > last["q"], F.array_append(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), x)).otherwise(a)
-
-    kind = "array<struct<s:bigint,e:bigint,q:double>>"
-    return rows.select(key, F.explode(F.aggregate("r", F.array().cast(kind), lambda a, x: step(a, x).cast(kind))).alias("x")).select(key, "x.*")
+    """(key, s, e, q): rows in order, of two neighbours that overlap the better (the earlier of equals)."""
+    picked = df.select(key, F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"), F.col(score).cast("double").alias("q"))
+    return scan.scan_keys(picked, [key], ["s", "e", "q"], ["s", "e", "q"], scan.best_of_overlaps, picked.schema)
 
 
 def clip_breakpoints(df: DataFrame, cigar: str, pos: str, least: int = 150) -> DataFrame:
     """(…, op, at, length): clips, insertions and deletions of ``least`` bases or more with their place on the reference."""
-    pairs = F.arrays_zip(F.regexp_extract_all(cigar, F.lit(OPS), F.lit(1)).alias("n"), F.regexp_extract_all(cigar, F.lit(OPS), F.lit(2)).alias("op"))
     kind = "array<struct<op:string,at:bigint,length:bigint>>"
     begin = F.struct(F.col(pos).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
 
     def step(a: Column, p: Column) -> Column:
-        n = p["n"].cast("bigint")
+        n = p["n"]
         hit = F.struct(p["op"].alias("op"), a["at"].alias("at"), n.alias("length"))
         return F.struct((a["at"] + F.when(p["op"].isin("M", "D", "N", "=", "X"), n).otherwise(0)).alias("at"), F.when(p["op"].isin("S", "H", "I", "D") & (n >= least), F.array_append(a["out"], hit)).otherwise(a["out"]).cast(kind).alias("out"))
 
-    return df.select("*", F.explode(F.aggregate(pairs, begin, step, lambda a: a["out"])).alias("x")).select(*df.columns, "x.*")
+    return df.select("*", F.explode(F.aggregate(cigar_ops(F.col(cigar)), begin, step, lambda a: a["out"])).alias("x")).select(*df.columns, "x.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import scan
+
 
 def sessions(df: DataFrame, key: str, at: str, gap: int, order: list[str] | None = None) -> DataFrame:
     """(key, first_at, last_at, n): runs of rows of a key whose steps stay within ``gap``."""
@@ -14,12 +16,23 @@ def sessions(df: DataFrame, key: str, at: str, gap: int, order: list[str] | None
     return marked.groupBy(key, "__s").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n")).drop("__s")
 
 
+def rolling_mean(depths: DataFrame, key: str, pos: str, value: str, width: int, span: int = 100_000) -> DataFrame:
+    """``mean`` and ``seen`` (rows) of the ``width`` positions before each; positions of a key are dense, or rows are dense where gaps do not matter.
+
+    A key is cut into ranges of ``span`` positions, each with the last ``width``
+    positions of the range before, so a long key is many tasks' work.
+    """
+    block = F.floor(F.col(pos) / span)
+    blocks = F.when(F.pmod(F.col(pos), F.lit(span)) >= span - width, F.array(block, block + 1)).otherwise(F.array(block))
+    w = Window.partitionBy(key, "__b").orderBy(pos).rowsBetween(-width, -1)
+    parts = depths.withColumn("__b", F.explode(blocks)).withColumns({"mean": F.avg(value).over(w), "seen": F.count("*").over(w)})
+    return parts.where(F.col("__b") == block).drop("__b")
+
+
 def rolling_below(depths: DataFrame, key: str, pos: str, depth: str, width: int, least: float) -> DataFrame:
     """Half-open windows [pos - width, pos) whose mean depth is below ``least``, merged where they overlap. Positions must be dense."""
-    w = Window.partitionBy(key).orderBy(pos)
-    before = w.rowsBetween(-width, -1)
-    low = depths.withColumns({"__m": F.avg(depth).over(before), "__c": F.count("*").over(before)}).where((F.col("__c") == width) & (F.col("__m") < least))
-    return merge_intervals(low.select(key, (F.col(pos) - width).alias("start"), F.col(pos).alias("end")), key, "start", "end")
+    low = rolling_mean(depths, key, pos, depth, width).where((F.col("seen") == width) & (F.col("mean") < least))
+    return merge_ranges(low.select(key, (F.col(pos) - width).alias("start"), F.col(pos).alias("end")), key, "start", "end")
 
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
@@ -30,6 +43,36 @@ def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return marked.groupBy(key, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__g")
 
 
+def merge_ranges(df: DataFrame, key: str, start: str, end: str, span: int = 100_000) -> DataFrame:
+    """``merge_intervals`` for keys with very many rows: ranges of ``span`` start positions are merged apart, then joined by one row each. Keys are not null."""
+    rows = df.withColumn("__b", F.floor(F.col(start) / span))
+    before = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    reaches = rows.groupBy(key, "__b").agg(F.max(end).alias("__e")).select(key, "__b", F.max("__e").over(before).alias("__before"))
+    w = Window.partitionBy(key, "__b").orderBy(start, end)
+    reach = F.greatest("__before", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = rows.join(reaches, [key, "__b"]).withColumn("__new", F.when(F.col(start) < reach, 0).otherwise(1)).withColumn("__g", F.sum("__new").over(w))
+    # Within a range; group 0 goes on from the ranges before.
+    parts = marked.groupBy(key, "__b", "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"))
+    offsets = parts.groupBy(key, "__b").agg(F.count_if(F.col("__g") > 0).alias("__n")).select(key, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    whole = parts.join(offsets, [key, "__b"]).withColumn("__g", F.col("__o") + F.col("__g"))
+    return whole.groupBy(key, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("n")).drop("__g")
+
+
+def next_row(df: DataFrame, order: str, columns: list[str], width: int) -> DataFrame:
+    """Each row with ``next_*`` of the row that follows by ``order`` (unique numbers), null for the last.
+
+    The window is per range of ``width`` numbers; the last row of a range takes
+    the first of the next one from a table of one row per range.
+    """
+    names = [order, *columns]
+    rows = df.withColumn("__b", F.floor(F.col(order) / width))
+    own = F.lead(F.struct(*names)).over(Window.partitionBy("__b").orderBy(order))
+    firsts = rows.groupBy("__b").agg(F.min_by(F.struct(*names), order).alias("__f"))
+    after = firsts.select("__b", F.lead("__f").over(Window.orderBy("__b")).alias("__a"))
+    both = rows.withColumn("__n", own).join(after, "__b").withColumn("__n", F.coalesce("__n", "__a"))
+    return both.select(*df.columns, *(F.col(f"__n.{c}").alias(f"next_{c}") for c in names))
+
+
 def tied_best(df: DataFrame, group: str, score: str) -> DataFrame:
     """All rows of a group that tie for its best score."""
     best = df.groupBy(group).agg(F.max(score).alias("__m"))
@@ -69,14 +112,15 @@ def switch_errors(df: DataFrame, key: str, order: list[str], agrees: str) -> Dat
 def interpolate(points: DataFrame, known: DataFrame, key: str, at: str, x: str, y: str) -> DataFrame:
     """``points`` with y interpolated between the known points before (or at) and after; at the ends the nearest.
 
-    One sort of both inputs together; no range join.
+    Two sorts of both inputs together, up and down; no range join.
     """
     both = points.select(key, F.col(at).alias("__x"), F.struct(*points.columns).alias("__p"), F.lit(None).cast("double").alias("__y"), F.lit(1).alias("__k")).unionByName(
         known.groupBy(key, x).agg(F.avg(y).alias("__y")).select(key, F.col(x).alias("__x"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("__p"), "__y", F.lit(0).alias("__k"))
     )
-    w = Window.partitionBy(key).orderBy("__x", "__k")
     node = F.when(F.col("__k") == 0, F.struct("__x", "__y"))
-    seen = both.withColumns({"__a": F.last(node, ignorenulls=True).over(w), "__b": F.first(node, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))}).where("__k = 1")
+    up, down = Window.partitionBy(key).orderBy("__x", "__k"), Window.partitionBy(key).orderBy(F.desc("__x"), F.desc("__k"))
+    # Both frames only grow, so a key costs its length; the row itself is no node.
+    seen = both.withColumns({"__a": F.last(node, ignorenulls=True).over(up), "__b": F.last(node, ignorenulls=True).over(down)}).where("__k = 1")
     x0, y0, x1, y1 = F.col("__a.__x"), F.col("__a.__y"), F.col("__b.__x"), F.col("__b.__y")
     line = y0 + (y1 - y0) * (F.col("__x") - x0) / (x1 - x0)
     return seen.select("__p.*", F.coalesce(line, y0, y1).alias("interpolated"))
@@ -103,9 +147,6 @@ def running_offset(df: DataFrame, order: list, size: Column) -> DataFrame:
 
 
 def greedy_apart(df: DataFrame, key: str, at: str, order: str, distance: int) -> DataFrame:
-    """Rows kept one after another if they are ``distance`` or more from the last kept one; a fold over each key's sorted positions."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(at, order))).alias("r"))
-    first = F.struct(F.lit(None).cast("bigint").alias("last"), F.filter("r", lambda x: F.lit(False)).alias("out"))
-    keep = lambda s, x: s["last"].isNull() | (x[at] - s["last"] >= distance)
-    fold = F.aggregate("r", first, lambda s, x: F.when(keep(s, x), F.struct(x[at].cast("bigint").alias("last"), F.array_append(s["out"], x).alias("out"))).otherwise(s), lambda s: s["out"])
-    return rows.select(key, F.explode(fold).alias("x")).select(key, "x.*")
+    """(key, at, order) of rows kept one after another if they are ``distance`` or more from the last kept one."""
+    picked = df.select(key, at, order)
+    return scan.scan_keys(picked, [key], [at, order], [at, order], scan.kept_apart(distance), picked.schema)

@@ -83,9 +83,9 @@ def interval_membership(spark, sf):
     return op.membership({t: x.where(F.col("o_orderstatus") == t).drop("o_orderstatus") for t in "OF"}, "k", "s", "e")
 
 
-@query("homopolymer_runs", """SELECT p_partkey, len(regexp_extract_all(p_name, 'ee|ll|tt|nn|oo|ss|rr')) AS runs FROM part""")
+@query("homopolymer_runs", """WITH c AS (SELECT p_partkey, [CASE WHEN i > 1 AND p_name[CAST(i AS INT)] = p_name[CAST(i AS INT) - 1] AND p_name[CAST(i AS INT)] <> ' ' AND NOT (i > 2 AND p_name[CAST(i AS INT) - 2] = p_name[CAST(i AS INT)]) THEN 1 ELSE 0 END FOR i IN range(1, length(p_name) + 1)] AS begins FROM part)
+ SELECT p_partkey, CAST(coalesce(list_sum(begins), 0) AS BIGINT) AS runs FROM c""")
 def homopolymer_runs(spark, sf):
-    # Names hold no letter three times running, so a run of two or more is a doubled letter.
     return table(spark, sf, "part").select("p_partkey", F.size(op.homopolymers(F.col("p_name"), 2)).cast("bigint").alias("runs"))
 
 
@@ -100,15 +100,37 @@ def region_growth(spark, sf):
     return op.grown_regions(x, "k", "s", "e", 40, 1)
 
 
-@query("overlap_best")
+@query("overlap_best", """WITH RECURSIVE x AS (SELECT o_custkey % 500 AS k, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 1 + o_orderkey % 30 AS BIGINT) AS e, o_totalprice AS q FROM orders),
+ n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, e, q) AS i FROM x),
+ w AS (SELECT k, i, s, e, q, CAST(1 AS BIGINT) AS g FROM n WHERE i = 1 UNION ALL SELECT n.k, n.i, CASE WHEN n.s >= w.e OR n.q > w.q THEN n.s ELSE w.s END, CASE WHEN n.s >= w.e OR n.q > w.q THEN n.e ELSE w.e END, CASE WHEN n.s >= w.e OR n.q > w.q THEN n.q ELSE w.q END,
+ CASE WHEN n.s >= w.e THEN w.g + 1 ELSE w.g END FROM w JOIN n ON n.k = w.k AND n.i = w.i + 1)
+ SELECT k, s, e, q FROM (SELECT *, row_number() OVER (PARTITION BY k, g ORDER BY i DESC) AS r FROM w) WHERE r = 1""")
 def overlap_best(spark, sf):
     s = days("o_orderdate")
     x = table(spark, sf, "orders").select((F.col("o_custkey") % 500).alias("k"), s.alias("s"), (s + 1 + F.col("o_orderkey") % 30).alias("e"), "o_totalprice")
     return op.keep_best_of_overlaps(x, "k", "s", "e", "o_totalprice")
 
 
-@query("clip_breakpoints", """SELECT l_orderkey, l_linenumber, 'I' AS op, CAST(100 + l_linenumber AS BIGINT) AS "at", CAST(l_quantity AS BIGINT) AS length FROM lineitem WHERE l_quantity >= 40""")
+@query("clip_breakpoints", """WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
+ SELECT l_orderkey, l_linenumber, 'S' AS op, CAST(100 AS BIGINT) AS "at", 50 - q AS length FROM c WHERE 50 - q >= 40 UNION ALL SELECT l_orderkey, l_linenumber, 'I', 100 + l_linenumber, q FROM c WHERE q >= 40
+ UNION ALL SELECT l_orderkey, l_linenumber, 'D', 105 + l_linenumber, q + 3 FROM c WHERE q + 3 >= 40 UNION ALL SELECT l_orderkey, l_linenumber, 'H', 110 + l_linenumber + q, 40 FROM c""")
 def clip_breakpoints(spark, sf):
-    cigar = F.concat(F.col("l_linenumber").cast("string"), F.lit("M"), F.col("l_quantity").cast("bigint").cast("string"), F.lit("I5M"))
+    q = F.col("l_quantity").cast("bigint")
+    n = lambda c: c.cast("string")
+    cigar = F.concat(n(50 - q), F.lit("S"), n(F.col("l_linenumber")), F.lit("M"), n(q), F.lit("I5M"), n(q + 3), F.lit("D2M39S40H"))
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", cigar.alias("cigar"), F.lit(100).alias("pos"))
     return op.clip_breakpoints(rows, "cigar", "pos", 40).drop("cigar", "pos")
+
+
+QUALITY = ("abcdefghijklmnopqrstuvwxyz ", "!#%')+-/13579;=?ACEGIK\"$&(*")
+
+
+@query("quality_trim", f"""WITH RECURSIVE t AS (SELECT p_partkey AS k, translate(p_name, '{QUALITY[0]}', '{QUALITY[1].replace("'", "''")}') AS q FROM part),
+ g AS (SELECT k, q, len(q) AS n, [ord(c) - 33 FOR c IN string_split(q, '')] AS v FROM t),
+ f AS (SELECT k, q, n, v, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS run, CAST(0 AS BIGINT) AS b, CAST(0 AS DOUBLE) AS best, CAST(0 AS BIGINT) AS s, CAST(8 AS BIGINT) AS e FROM g UNION ALL
+ SELECT k, q, n, v, i + 1, CASE WHEN r < 0 THEN 0 ELSE r END, CASE WHEN r < 0 THEN i + 1 ELSE b END, CASE WHEN r > best THEN r ELSE best END, CASE WHEN r > best THEN b ELSE s END, CASE WHEN r > best THEN i + 1 ELSE e END FROM (SELECT *, run + (0.05::DOUBLE - pow(10::DOUBLE, -greatest(v[i + 1], 3) / 10::DOUBLE)) AS r FROM f WHERE i < n)),
+ d AS (SELECT *, [list_sum(v[j:j + 7]) FOR j IN range(1, n - 6)] AS sums FROM f WHERE i = n)
+ SELECT k AS p_partkey, CASE WHEN n <= 8 THEN 0 WHEN e - s >= 8 THEN s ELSE list_position(sums, list_max(sums)) - 1 END AS start, CASE WHEN n <= 8 THEN n WHEN e - s >= 8 THEN e ELSE list_position(sums, list_max(sums)) + 7 END AS "end" FROM d""")
+def quality_trim(spark, sf):
+    span = op.best_quality_span(F.translate("p_name", *QUALITY), least=8)
+    return table(spark, sf, "part").select("p_partkey", span.alias("t")).select("p_partkey", F.col("t.start").cast("bigint").alias("start"), F.col("t.end").cast("bigint").alias("end"))

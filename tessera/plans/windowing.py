@@ -39,9 +39,8 @@ def rolling_mask(spark, sf):
     spine = hours.agg(F.min("pos").alias("a"), F.max("pos").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("pos"))
     dense = spine.join(hours, "pos", "left").select(F.lit("all").alias("chrom"), "pos", F.coalesce("c", F.lit(0)).alias("depth"))
     mean = dense.agg(F.avg("depth").alias("least"))
-    w = Window.partitionBy("chrom").orderBy("pos").rowsBetween(-20, -1)
-    low = dense.withColumns({"m": F.avg("depth").over(w), "k": F.count("*").over(w)}).where("k = 20").join(F.broadcast(mean), F.col("m") < F.col("least"))
-    return op.merge_intervals(low.select("chrom", (F.col("pos") - 20).alias("start"), F.col("pos").alias("end")), "chrom", "start", "end").drop("chrom")
+    low = op.rolling_mean(dense, "chrom", "pos", "depth", 20).where("seen = 20").join(F.broadcast(mean), F.col("mean") < F.col("least"))
+    return op.merge_ranges(low.select("chrom", (F.col("pos") - 20).alias("start"), F.col("pos").alias("end")), "chrom", "start", "end").drop("chrom")
 
 
 @query("low_depth_by_key", """WITH d AS (SELECT o_custkey % 10 AS k, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) AS pos, o_totalprice AS depth FROM orders),
