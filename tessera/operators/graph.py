@@ -7,86 +7,69 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import settle
 
-def _settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
-    return df.checkpoint()
+def _changed(after: DataFrame, before: DataFrame, label: str) -> bool:
+    return bool(after.join(before.select("u", F.col(label).alias("__was")), "u").where(F.col(label) != F.col("__was")).limit(1).count())
 
 
-def components(edges: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, by least labels with pointer jumping, so rounds are few even on long paths."""
-    both = _settle(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
-    labels = _settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")))
-    for _ in range(most):
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component): the smallest node reachable, by least labels with pointer jumping, until no label changes; rounds are few even on long paths."""
+    both = settle(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
+    labels = settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")))
+    while True:
         near = both.join(labels.select(F.col("u").alias("v"), F.col("c").alias("n")), "v").groupBy("u").agg(F.min("n").alias("n"))
         after = labels.join(near, "u").select("u", F.least("c", "n").alias("c"))
-        jump = after.alias("x").join(after.select(F.col("u").alias("c"), F.col("c").alias("j")).alias("y"), "c").select("u", F.least("c", "j").alias("c"))
-        jump = _settle(jump)
-        changed = jump.join(labels.withColumnRenamed("c", "was"), "u").where("c <> was").limit(1).count()
-        labels = jump
+        jump = settle(after.alias("x").join(after.select(F.col("u").alias("c"), F.col("c").alias("j")).alias("y"), "c").select("u", F.least("c", "j").alias("c")))
+        changed, labels = _changed(jump, labels, "c"), jump
         if not changed:
-            break
-    return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
+            return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 
-def signed_components(edges: DataFrame, a: str, b: str, flip: str, most: int = 60) -> DataFrame:
+def signed_components(edges: DataFrame, a: str, b: str, flip: str) -> DataFrame:
     """(node, component, side): components whose edges say same side (0) or other side (1); side 0 is the smallest node's.
 
-    Labels are (component, side) pairs and the least pair wins, a side crossing an edge by its sign; contradictory cycles get the lesser side.
+    Labels are (component, side) pairs and the least pair wins, a side crossing
+    an edge by its sign; a label then takes the label of its own component
+    (pointer jumping with parity), until none changes. In a component with
+    contradictory cycles nodes get the lesser side.
     """
-    both = _settle(edges.select(F.col(a).alias("u"), F.col(b).alias("v"), F.col(flip).alias("f")).union(edges.select(F.col(b), F.col(a), F.col(flip))).distinct())
-    labels = _settle(both.select(F.col("u")).distinct().select("u", F.struct(F.col("u").alias("c"), F.lit(0).cast("bigint").alias("s")).alias("l")))
-    for _ in range(most):
-        seen = both.join(labels.select(F.col("u").alias("v"), "l"), "v").select("u", F.struct(F.col("l.c").alias("c"), (F.col("l.s") + F.col("f")).cast("bigint").bitwiseAND(F.lit(1).cast("bigint")).alias("s")).alias("l"))
-        after = _settle(labels.union(seen).groupBy("u").agg(F.min("l").alias("l")))
-        changed = after.join(labels.withColumnRenamed("l", "was"), "u").where("l <> was").limit(1).count()
-        labels = after
+    both = settle(edges.select(F.col(a).alias("u"), F.col(b).alias("v"), F.col(flip).cast("bigint").alias("f")).union(edges.select(F.col(b), F.col(a), F.col(flip).cast("bigint"))).distinct())
+    pair = lambda c, s: F.struct(F.col(c).alias("c"), s.alias("s"))
+    labels = settle(both.select("u").distinct().select("u", pair("u", F.lit(0).cast("bigint")).alias("l")))
+    while True:
+        seen = both.join(labels.select(F.col("u").alias("v"), "l"), "v").select("u", pair("l.c", F.col("l.s").bitwiseXOR(F.col("f"))).alias("l"))
+        after = labels.union(seen).groupBy("u").agg(F.min("l").alias("l"))
+        roots = after.select(F.col("u").alias("r"), F.col("l").alias("j"))
+        jump = settle(after.join(roots, F.col("l.c") == F.col("r")).select("u", F.least("l", pair("j.c", F.col("l.s").bitwiseXOR(F.col("j.s")))).alias("l")))
+        changed, labels = _changed(jump, labels, "l"), jump
         if not changed:
-            break
-    return labels.select(F.col("u").alias("node"), F.col("l.c").alias("component"), F.col("l.s").alias("side"))
-
-
-def best_orientation(blocks: DataFrame, group: str, index: str, weight: str, most: int = 9) -> DataFrame:
-    """Per group of n <= ``most`` ordered blocks, the signs (bit i - 1 for block i > 0; block 0 is fixed) with the highest sum of weight_i * weight_j * s_i * s_j over neighbours.
-
-    ``most`` blocks make 2**(most - 1) rows a group; larger groups are left out, ``orientations`` gives the same for all.
-    """
-    lists = blocks.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct(index, weight))), lambda x: x[weight]).alias("w")).where(F.size("w") <= most)
-    masks = lists.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2), F.size("w") - 1).cast("bigint") - 1)))
-    sign = lambda i: F.when(i == 0, 1.0).otherwise(1.0 - 2.0 * F.expr("cast(1 as bigint)").cast("double") * F.col("mask").bitwiseAND(F.pow(F.lit(2), i - 1).cast("bigint")).cast("boolean").cast("double"))
-    signed = F.transform("w", lambda x, i: x * sign(i))
-    score = F.aggregate(F.when(F.size("w") > 1, F.sequence(F.lit(1), F.size("w") - 1)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.element_at(signed, i) * F.element_at(signed, i + 1))
-    scored = masks.select(group, "mask", F.round(score, 4).alias("score"))
-    return scored.groupBy(group).agg(F.max(F.struct("score", (-F.col("mask")).alias("neg"))).alias("b")).select(group, (-F.col("b.neg")).alias("mask"), F.col("b.score").alias("score"))
+            return labels.select(F.col("u").alias("node"), F.col("l.c").alias("component"), F.col("l.s").alias("side"))
 
 
 def orientations(blocks: DataFrame, group: str, index: str, weight: str) -> DataFrame:
-    """``best_orientation`` of every group: a fold over the blocks with the best score and least mask for either sign of the last one.
+    """Per group of ordered blocks, the signs with the highest sum of weight_i * weight_j * s_i * s_j over neighbours, the first block's sign fixed.
 
-    A mask holds 64 blocks; a larger group stops the query.
+    (group, mask, score): ``mask`` has a digit for each block but the first, the
+    last block in front, 1 where its sign is turned; of equal scores the least
+    mask. Only neighbours meet in a term, so a fold that keeps the best score
+    for either sign of the last block is exact for groups of any size.
     """
     lists = blocks.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct(index, weight))), lambda x: x[weight]).alias("w"))
-    end = lambda score, neg: F.struct(score.alias("score"), neg.alias("neg"))
+    end = lambda score, mask: F.struct(score.alias("score"), mask.alias("mask"))
+    better = lambda a, b: F.when((a["score"] > b["score"]) | ((a["score"] == b["score"]) & (a["mask"] <= b["mask"])), a).otherwise(b)
 
     def step(state, i):
         p = F.element_at("w", i) * F.element_at("w", i + 1)
-        bit = F.pow(F.lit(2), i - 1).cast("bigint")
         up, down = state["up"], state["down"]
-        return F.struct(
-            F.greatest(end(up["score"] + p, up["neg"]), end(down["score"] - p, down["neg"])).alias("up"),
-            F.greatest(end(up["score"] - p, up["neg"] - bit), end(down["score"] + p, down["neg"] - bit)).alias("down"),
-        )
+        put = lambda side, sign, digit: end(side["score"] + sign * p, F.concat(F.lit(digit), side["mask"]))
+        return F.struct(better(put(up, 1, "0"), put(down, -1, "0")).alias("up"), better(put(up, -1, "1"), put(down, 1, "1")).alias("down"))
 
-    none = F.lit(0).cast("bigint")
-    begin = F.struct(end(F.lit(0.0), none).alias("up"), end(F.lit(float("-inf")), none).alias("down"))
-    steps = F.when(F.size("w") > 64, F.raise_error(F.lit("more than 64 blocks in a group"))).when(F.size("w") > 1, F.sequence(F.lit(1), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
-    best = lists.select(group, F.aggregate(steps, begin, step, lambda s: F.greatest(s["up"], s["down"])).alias("b"))
-    return best.select(group, (-F.col("b.neg")).alias("mask"), F.round("b.score", 4).alias("score"))
+    begin = F.struct(end(F.lit(0.0), F.lit("")).alias("up"), end(F.lit(float("-inf")), F.lit("")).alias("down"))
+    steps = F.when(F.size("w") > 1, F.sequence(F.lit(1), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
+    best = lists.select(group, F.aggregate(steps, begin, step, lambda s: better(s["up"], s["down"])).alias("b"))
+    return best.select(group, F.col("b.mask").alias("mask"), F.round("b.score", 4).alias("score"))
 
 
 def fiedler_sides(edges: DataFrame, group: str, a: str, b: str, weight: str) -> DataFrame:
@@ -112,34 +95,61 @@ def fiedler_sides(edges: DataFrame, group: str, a: str, b: str, weight: str) ->
     return picked.groupBy(group).applyInPandas(solve, f"{group} {kind[group]}, node long, side long")
 
 
-def segment_means(df: DataFrame, key: str, order: str, value: str, least_z: float = 3.0, least_size: int = 8) -> DataFrame:
-    """(key, start, end, mean): binary segmentation of each key's series; a cut is made where the rank-sum z is greatest and at least ``least_z``."""
+def best_arc(x: np.ndarray, most: int) -> tuple[float, int, int]:
+    """(z, i, j): the stretch i:j of at most ``most`` values whose rank sum is farthest from chance, by a Mann-Whitney z corrected for ties."""
+    n = len(x)
+    _, inverse, count = np.unique(x, return_inverse=True, return_counts=True)
+    last = np.cumsum(count)
+    rank = (last - 0.5 * (count - 1))[inverse]
+    spread = (n + 1 - (count.astype(float) ** 3 - count).sum() / n / (n - 1)) / 12 if n > 1 else 0.0
+    if spread <= 0:
+        return 0.0, -1, -1
+    total = np.concatenate([[0.0], np.cumsum(rank)])
+    best = (0.0, -1, -1)
+    for j in range(1, n + 1):
+        i = np.arange(max(0, j - most), j)
+        size = j - i
+        i, size = i[size < n], size[size < n]
+        if len(i):
+            z = np.abs(total[j] - total[i] - 0.5 * size * (n + 1)) / np.sqrt((n - size) * size * spread)
+            k = int(z.argmax())
+            if z[k] > best[0]:
+                best = (float(z[k]), int(i[k]), j)
+    return best
+
+
+def circular_segments(x: np.ndarray, threshold: float, most: int, least: int = 4) -> list[tuple[int, int]]:
+    """Ranges of a series: the best arc cuts a range in three while its z passes ``threshold``, parts under ``least`` values are not cut again."""
+    todo, done = [(0, len(x))], []
+    while todo:
+        begin, end = todo.pop()
+        z, i, j = best_arc(x[begin:end], most)
+        if z <= threshold:
+            done.append((begin, end))
+            continue
+        for a, b in ((begin, begin + i), (begin + i, begin + j), (begin + j, end)):
+            if b - a >= least:
+                todo.append((a, b))
+            elif b > a:
+                done.append((a, b))
+    return sorted(done)
 
-    def best_cut(x: np.ndarray) -> tuple[int, float]:
-        n = len(x)
-        rank = pd.Series(x).rank().to_numpy()
-        k = np.arange(1, n)
-        u = np.cumsum(rank)[:-1] - k * (k + 1) / 2
-        z = np.abs(u - k * (n - k) / 2) / np.sqrt(np.maximum(k * (n - k) * (n + 1) / 12, 1e-12))
-        z[(k < least_size) | (n - k < least_size)] = -1
-        at = int(z.argmax())
-        return at + 1, float(z[at])
+
+def segments(df: DataFrame, key: str, order: str, value: str, threshold: float = 3.0, most: int = 200) -> DataFrame:
+    """(key, start, end, n, median): circular binary segmentation of each key's series; ``most`` bounds the inner arc.
+
+    A key's series meets in one task and costs its length times ``most`` a cut:
+    keys are meant to be chromosomes of binned depth.
+    """
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("o", kind="stable")
-        x, todo, done = rows["v"].to_numpy(float), [(0, len(rows))], []
-        while todo:
-            a, b = todo.pop()
-            cut, z = best_cut(x[a:b]) if b - a >= 2 * least_size else (0, -1.0)
-            if z >= least_z:
-                todo += [(a, a + cut), (a + cut, b)]
-            else:
-                done.append((a, b))
-        return pd.DataFrame([{key: rows[key].iloc[0], "start": rows["o"].iloc[a], "end": rows["o"].iloc[b - 1], "mean": x[a:b].mean()} for a, b in sorted(done)])
+        x, at = rows["v"].to_numpy(float), rows["o"].to_numpy()
+        return pd.DataFrame([{key: rows[key].iloc[0], "start": at[a], "end": at[b - 1], "n": b - a, "median": np.sort(x[a:b])[(b - a) // 2]} for a, b in circular_segments(x, threshold, most)])
 
     kind = dict(df.dtypes)
     picked = df.select(key, F.col(order).cast("long").alias("o"), F.col(value).cast("double").alias("v"))
-    return picked.groupBy(key).applyInPandas(solve, f"{key} {kind[key]}, start long, end long, mean double")
+    return picked.groupBy(key).applyInPandas(solve, f"{key} {kind[key]}, start long, end long, n long, median double")
 
 
 def bloom_semi(left: DataFrame, right: DataFrame, key: str, bits: int = 20) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import settle
+
 
 def lookup(facts: DataFrame, dim: DataFrame, key: str, value: str, default) -> DataFrame:
     """Left join to a dimension; a missing value becomes ``default``. Whether to broadcast is left to the planner, which knows the sizes."""
@@ -86,14 +88,18 @@ def best_pairing(cost: dict[tuple[str, str], Column]) -> Column:
     return F.least(cost["a", "x"] + cost["b", "y"], cost["a", "y"] + cost["b", "x"])
 
 
-def levels(nodes: DataFrame, node: str, parent: str, most: int) -> DataFrame:
-    """(node, level): roots (no parent) are 0, children one more, up to ``most`` levels; one join a level."""
+def levels(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, level): roots (no parent) are 0, children one more, to the last level; one join a level, each written so that lineage stays short.
+
+    Nodes of a cycle hang from no root and are not in the result.
+    """
     current = nodes.where(F.col(parent).isNull()).select(F.col(node).alias("node"), F.lit(0).cast("bigint").alias("level"))
-    out = [current]
-    children = nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    for i in range(1, most + 1):
-        current = children.join(current.select(F.col("node").alias("parent")), "parent").select("node", F.lit(i).cast("bigint").alias("level"))
+    children = settle(nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("parent")))
+    out, i = [], 0
+    while not out or current.limit(1).count():
         out.append(current)
+        i += 1
+        current = settle(children.join(current.select(F.col("node").alias("parent")), "parent").select("node", F.lit(i).cast("bigint").alias("level")))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -48,11 +48,15 @@ def property_filter_dsl(spark, sf):
     return table(spark, sf, "lineitem").where(op.compile_rules(rule)).select("l_orderkey", "l_linenumber")
 
 
-@query("bitflag_filter", """SELECT l_orderkey, l_linenumber, CAST(l_linenumber * 37 % 256 AS BIGINT) AS flag FROM lineitem
- WHERE ((l_linenumber * 37 % 256) & 4) = 4 AND ((l_linenumber * 37 % 256) & 17) = 0""")
+FLAG = "(l_orderkey * 7 + l_linenumber * 37) % 4096"
+
+
+@query("bitflag_filter", f"""SELECT l_orderkey, l_linenumber, CAST({FLAG} AS BIGINT) AS flag FROM lineitem
+ WHERE ({FLAG}) & 1 = 1 AND ({FLAG}) & {0x904} = 0 AND l_quantity >= 20""")
 def bitflag_filter(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") * 37 % 256).cast("bigint").alias("flag"))
-    return rows.where(op.flags("flag", need=4, lack=17))
+    # Paired, and neither unmapped, secondary nor supplementary; a least mapping quality beside.
+    rows = table(spark, sf, "lineitem").where("l_quantity >= 20").select("l_orderkey", "l_linenumber", F.expr(FLAG).cast("bigint").alias("flag"))
+    return rows.where(op.flags("flag", need=1, lack=0x904))
 
 
 @query("two_pass_max_filter", "SELECT o_orderkey FROM orders WHERE o_totalprice <= (SELECT avg(o_totalprice) + 4 * sqrt(avg(o_totalprice)) FROM orders)")
@@ -114,12 +118,12 @@ def downsample_hash(spark, sf):
     return table(spark, sf, "events").where((F.col("event_id") * F.lit(2654435761)) % F.lit(4294967296) < 0.3 * 4294967296).select("event_id")
 
 
-@query("barcode_llr", """WITH c AS (SELECT l_suppkey, count(*) FILTER (l_returnflag <> 'R') AS good, count(*) FILTER (l_returnflag = 'R') AS bad FROM lineitem GROUP BY 1)
- SELECT l_suppkey, round(good * ln(0.7) + bad * ln(0.3) - (good + bad) * ln(0.5), 6) AS llr FROM c WHERE good * ln(0.7) + bad * ln(0.3) - (good + bad) * ln(0.5) < 0""")
+@query("barcode_llr", """WITH c AS (SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS good, count(*) FILTER (l_returnflag = 'R') AS bad FROM lineitem GROUP BY 1)
+ SELECT l_orderkey, round(good * ln(0.7) + bad * ln(0.3) - (good + bad) * ln(0.5), 6) AS llr FROM c WHERE good * ln(0.7) + bad * ln(0.3) - (good + bad) * ln(0.5) < 0""")
 def barcode_llr(spark, sf):
-    c = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") != "R").alias("good"), F.count_if(F.col("l_returnflag") == "R").alias("bad"))
+    c = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") != "R").alias("good"), F.count_if(F.col("l_returnflag") == "R").alias("bad"))
     llr = F.col("good") * F.ln(F.lit(0.7)) + F.col("bad") * F.ln(F.lit(0.3)) - (F.col("good") + F.col("bad")) * F.ln(F.lit(0.5))
-    return c.withColumn("llr", llr).where("llr < 0").select("l_suppkey", F.round("llr", 6).alias("llr"))
+    return c.withColumn("llr", llr).where("llr < 0").select("l_orderkey", F.round("llr", 6).alias("llr"))
 
 
 @query("topk_then_filter", "SELECT o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100) WHERE o_orderstatus = 'F'")

@@ -177,7 +177,7 @@ def anti_list(spark, sf):
 def recursive_levels(spark, sf):
     tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
     nodes = [table(spark, sf, "region").select(tag("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent")), table(spark, sf, "nation").select(tag("n", "n_nationkey"), tag("r", "n_regionkey")), table(spark, sf, "supplier").select(tag("s", "s_suppkey"), tag("n", "s_nationkey"))]
-    return op.levels(reduce(DataFrame.union, nodes), "node", "parent", 3)
+    return op.levels(reduce(DataFrame.union, nodes), "node", "parent")
 
 
 @query("set_algebra", """WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
@@ -187,10 +187,10 @@ def set_algebra(spark, sf):
     return sets.algebra(v.where("event_type = 'error'").select("user_id"), v.where("event_type = 'purchase'").select("user_id"), "user_id")
 
 
-@query("unique_to_one", "SELECT l_partkey, min(s_nationkey) AS nation FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING count(DISTINCT s_nationkey) = 1")
+@query("unique_to_one", "SELECT l_orderkey, min(s_nationkey) AS nation FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING count(DISTINCT s_nationkey) = 1")
 def unique_to_one(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    return sets.unique_to_one(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").join(s, "l_suppkey"), "l_partkey", "s_nationkey").withColumnRenamed("s_nationkey", "nation")
+    return sets.unique_to_one(table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(s, "l_suppkey"), "l_orderkey", "s_nationkey").withColumnRenamed("s_nationkey", "nation")
 
 
 @query("interval_compare", """WITH x AS (SELECT o_custkey AS k, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s FROM orders) SELECT k, count(*) AS n, min(s) AS first_day, max(s) + 30 AS last_day FROM x GROUP BY 1""")

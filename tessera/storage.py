@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -15,3 +16,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{tempfile.gettempdir()}/tessera-{spark.sparkContext.applicationId}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read that: lineage ends, lost executors recompute nothing, and the planner knows its size."""
+    path = f"{shared_dir(df.sparkSession)}/tessera/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

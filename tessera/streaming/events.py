@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import shared_dir
+
 
 def file_stream(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """Parquet files of a folder as a stream; the schema comes from one static read."""
@@ -33,21 +35,10 @@ def mates(left: DataFrame, right: DataFrame, key: str, at: str, within: str, lat
     return l.join(r, F.expr(f"k = rk and r_at >= l_at and r_at <= l_at + interval {within}")).select("k", "l_id", "r_id")
 
 
-def run_once(out: DataFrame, mode: str) -> DataFrame:
-    """Process all that is there (``availableNow``) into a Parquet table; returns the result. In complete mode each batch is the whole result and the last one counts."""
+def run_once(out: DataFrame) -> DataFrame:
+    """Process all that is there (``availableNow``) in append mode into a Parquet table and read that: windows and sessions are written once the watermark has passed them, and their state goes."""
     spark = out.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tessera-streams"
-    name = f"stream_{uuid.uuid4().hex}"
-    sink = out.writeStream.option("checkpointLocation", f"{shared}/{name}/state").trigger(availableNow=True)
-    path = f"{shared}/{name}/out"
-    if mode == "complete":
-        done = []
-
-        def write(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{path}/{number}")
-            done.append(number)
-
-        sink.foreachBatch(write).outputMode(mode).start().awaitTermination()
-        return spark.read.schema(out.schema).parquet(f"{path}/{done[-1]}") if done else spark.createDataFrame([], out.schema)
-    sink.format("parquet").option("path", path).outputMode(mode).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/stream_{uuid.uuid4().hex}"
+    sink = out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    sink.format("parquet").option("path", f"{folder}/out").outputMode("append").start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
