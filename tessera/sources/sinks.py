@@ -51,3 +51,19 @@ def write_fragments(sites: DataFrame, path: str) -> None:
 def write_table(rows: DataFrame, path: str, sep: str = ",") -> None:
     """Reports and metrics: delimited text with a header."""
     rows.write.option("sep", sep).option("header", True).csv(path)
+
+
+def write_frequencies(rows: DataFrame, path: str, sites: int) -> None:
+    """(file, freq) lines and a last one that gives the number of heterozygous sites."""
+    lines = rows.select(F.lit(0).alias("i"), F.concat_ws(" ", "file", F.round("freq", 6).cast("string")).alias("value"))
+    tail = rows.sparkSession.createDataFrame([(1, f"# The number of heterozygous variants is {sites}")], "i int, value string")
+    lines.unionByName(tail).orderBy("i", "value").select("value").write.text(path)
+
+
+#: Columns of the copy-number report.
+COPY_REPORT = ("sample", "gene", "first", "second", "freq1", "freq2", "sites", "purity", "ploidy", "copies1", "copies2", "loss")
+
+
+def write_copies(rows: DataFrame, path: str) -> None:
+    """The report of haplotype copies, one line a sample and gene."""
+    rows.select(*COPY_REPORT).orderBy("sample", "gene").write.option("sep", "\t").option("header", True).csv(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.alignments import overlapping
+
 BLAST6 = "query string, subject string, pident double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double"
 PAF = "qname string, qlen int, qstart int, qend int, strand string, tname string, tlen int, tstart int, tend int, matches int, block int, mapq int"
 
@@ -61,10 +63,10 @@ def fetch(sequences: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments with flags, CIGAR and tags; header lines are dropped, ``pos`` is 0-based."""
+    """Alignments with flags, CIGAR and tags; header lines (``@XX`` and a tab) are dropped, ``pos`` is 0-based."""
     f = F.split("value", "\t")
     tags = F.map_from_entries(F.transform(F.slice(f, 12, 1 << 20), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.regexp_replace(t, "^..:.:", "").alias("value"))))
-    return spark.read.text(path).where("value not like '@%'").where(F.size(f) >= 11).select(
+    return spark.read.text(path).where(~F.col("value").rlike("^@[A-Z]{2}\t")).where(F.size(f) >= 11).select(
         f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("rname"), (f[3].cast("int") - 1).alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), f[6].alias("rnext"), f[9].alias("seq"), f[10].alias("qual"), tags.alias("tags")
     )
 
@@ -88,6 +90,20 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
     })
 
 
+def vcf_samples(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, pos, ref, alts, sample, gt, phased, ad, dp, ps): a row per record and sample, the samples' names from the header line."""
+    lines = spark.read.text(path)
+    head = lines.where("value like '#CHROM%'").first()
+    names = head["value"].split("\t")[9:] if head else []
+    f, keys = F.split("value", "\t"), F.split(F.col("format"), ":")
+    rows = lines.where("value not like '#%'").where(F.size(f) >= 9 + len(names)).select(f[0].alias("chrom"), (f[1].cast("int") - 1).alias("pos"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"), f[8].alias("format"), F.explode(F.array(*[F.struct(F.lit(n).alias("sample"), f[9 + i].alias("v")) for i, n in enumerate(names)])).alias("s"))
+    # Trailing fields may be left out: they are null.
+    field = lambda k: F.get(F.split("s.v", ":"), (F.array_position(keys, k) - 1).cast("int"))
+    numbers = lambda c: F.transform(F.split(c, ","), lambda a: a.try_cast("int"))
+    gt = field("GT")
+    return rows.select("chrom", "pos", "ref", "alts", F.col("s.sample").alias("sample"), F.transform(F.split(gt, "[/|]"), lambda a: a.try_cast("int")).alias("gt"), F.contains(gt, F.lit("|")).alias("phased"), numbers(field("AD")).alias("ad"), field("DP").try_cast("int").alias("dp"), F.coalesce(field("PS").try_cast("int"), F.lit(0)).alias("ps"))
+
+
 def blast(spark: SparkSession, path: str) -> DataFrame:
     return _tsv(spark, path, BLAST6)
 
@@ -105,16 +121,21 @@ def contig_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fragments(spark: SparkSession, path: str) -> DataFrame:
-    """Linked-site fragments: (name, site, allele, quality), one row per site; sites are 0-based.
+    """Linked-site fragments: (name, kind, barcode, mate, insert, site, allele, quality), one row per site; sites are 0-based.
 
     A line is ``n name [more fields] start alleles start alleles ... qualities``; how many more fields a dialect has follows from the length of the line.
+    Of three more the first is the kind: 1 (mate pairs over long ranges) is followed by the mate's first site and the insert size, 2 (linked reads) by the barcode.
     """
     f = F.split(F.trim("value"), r"\s+")
     n = f[0].cast("int")
     head = F.size(f) - 2 * n - 1
-    lines = spark.read.text(path).where("trim(value) <> ''").select(f[1].alias("name"), F.slice(f, head + 1, n * 2).alias("runs"), F.element_at(f, head + n * 2 + 1).alias("quals"), n.alias("n"))
+    extra = lambda k: F.when(head >= 5, F.get(f, F.lit(k)))
+    kind = extra(2).try_cast("int")
+    facts = [kind.alias("kind"), F.when(kind == 2, extra(3)).alias("barcode"), F.when(kind == 1, extra(3).try_cast("int") - 1).alias("mate"), F.when(kind == 1, extra(4).try_cast("int")).alias("insert")]
+    lines = spark.read.text(path).where("trim(value) <> ''").select(f[1].alias("name"), *facts, F.slice(f, head + 1, n * 2).alias("runs"), F.element_at(f, head + n * 2 + 1).alias("quals"), n.alias("n"))
     sites = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.transform(F.split(F.get("runs", i * 2 + 1), ""), lambda c, j: F.struct((F.get("runs", i * 2).cast("int") - 1 + j).alias("site"), c.alias("allele")))))
-    return lines.select("name", "quals", F.posexplode(sites).alias("k", "s")).select("name", "s.site", F.col("s.allele").try_cast("int").alias("allele"), (F.ascii(F.substr("quals", F.col("k") + 1, F.lit(1))) - 33).alias("quality"))
+    facts = ["name", "kind", "barcode", "mate", "insert"]
+    return lines.select(*facts, "quals", F.posexplode(sites).alias("k", "s")).select(*facts, "s.site", F.col("s.allele").try_cast("int").alias("allele"), (F.ascii(F.substr("quals", F.col("k") + 1, F.lit(1))) - 33).alias("quality"))
 
 
 def dimension(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
@@ -140,8 +161,7 @@ def breakpoints(spark: SparkSession, path: str, excluded: DataFrame | None = Non
     rows = _tsv(spark, path, "chrom string, start bigint, strand string, chrom2 string, end bigint, strand2 string, seq string").where("chrom = chrom2")
     if excluded is None:
         return rows
-    e = excluded.select(F.col("chrom").alias("c"), F.col("start").alias("s"), F.col("end").alias("e"))
-    return rows.join(e, (F.col("chrom") == F.col("c")) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), "left_anti")
+    return overlapping(rows, excluded, ["chrom"], "start", "end", 1 << 13, "left_anti")
 
 
 def key_values(spark: SparkSession, path: str) -> DataFrame:

@@ -54,7 +54,7 @@ def test_vcf_round_trip(spark, tmp_path):
 
 def test_fragments(spark, tmp_path):
     path = put(tmp_path, "f", "2 r1 3 01 7 1 III\n1 r2 0 -1 -1 4 10 I5\n")
-    got = sorted(map(tuple, text.fragments(spark, path).collect()))
+    got = sorted(map(tuple, text.fragments(spark, path).select("name", "site", "allele", "quality").collect()))
     assert got == [("r1", 2, 0, 40), ("r1", 3, 1, 40), ("r1", 6, 1, 40), ("r2", 3, 1, 40), ("r2", 4, 0, 20)]
     sinks.write_fragments(text.fragments(spark, path), str(tmp_path / "fo"))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "fo")).collect()) == ["r1 2:2 6:1", "r2 3:2"]
@@ -76,3 +76,29 @@ def test_small_formats(spark, tmp_path):
     bp = put(tmp_path, "bp", "c\t10\t+\tc\t20\t+\tA\nc\t10\t+\td\t20\t+\tA\nc\t50\t+\tc\t60\t+\tA\n")
     out = text.breakpoints(spark, bp, spark.createDataFrame([("c", 55, 70)], "chrom string, start long, end long"))
     assert [r["start"] for r in out.collect()] == [10]
+
+
+def test_alignments_and_samples(spark, tmp_path):
+    row = "\t".join(["@read1", "0", "c", "5", "60", "4M", "*", "0", "0", "ACGT", "IIII", "NM:i:1"])
+    (tmp_path / "a.sam").write_text("@HD\tVN:1.6\n@SQ\tSN:c\tLN:10\n" + row + "\n")
+    assert [(r["qname"], r["pos"], r["tags"]["NM"]) for r in text.sam(spark, f"{tmp_path}/a.sam").collect()] == [("@read1", 4, "1")]
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\n"
+    (tmp_path / "a.vcf").write_text(head + "c\t3\t.\tA\tC,G\t50\tPASS\t.\tGT:AD:DP:PS\t0|1:5,6,0:11:7\t1/2\n")
+    got = {r["sample"]: (r["pos"], r["gt"], r["phased"], r["ad"], r["dp"], r["ps"]) for r in text.vcf_samples(spark, f"{tmp_path}/a.vcf").collect()}
+    assert got == {"s1": (2, [0, 1], True, [5, 6, 0], 11, 7), "s2": (2, [1, 2], False, None, None, 0)}
+
+
+def test_fragment_dialects(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("1 r1 3 011 III\n2 r2 2 ACGT-1 -1 3 01 9 1 III\n1 r3 1 40 500 3 0 I\n")
+    got = {(r["name"], r["site"]): (r["kind"], r["barcode"], r["mate"], r["insert"], r["allele"]) for r in text.fragments(spark, f"{tmp_path}/f.txt").collect()}
+    assert got[("r1", 3)] == (None, None, None, None, 1) and got[("r2", 8)] == (2, "ACGT-1", None, None, 1) and got[("r3", 2)] == (1, None, 39, 500, 0) and len(got) == 7
+
+
+def test_report_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("h1", 0.75), ("h2", 0.25)], "file string, freq double")
+    sinks.write_frequencies(rows, f"{tmp_path}/freq", 12)
+    lines = [r["value"] for r in spark.read.text(f"{tmp_path}/freq").collect()]
+    assert sorted(lines)[0].endswith("is 12") and sorted(lines)[1:] == ["h1 0.75", "h2 0.25"]
+    one = spark.createDataFrame([("s", "g", "a", "b", 0.8, 0.2, 30, 0.5, 2.0, 2.0, 0.0, "Y")], ", ".join(f"{c} string" if c in ("sample", "gene", "first", "second", "loss") else f"{c} double" if c != "sites" else "sites int" for c in sinks.COPY_REPORT))
+    sinks.write_copies(one, f"{tmp_path}/copies")
+    assert len(spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/copies").columns) == 12
