@@ -138,9 +138,18 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names)
 
 
+HARD = r"\### Assistant: </turn> ok"
+
+#: The same columns from the turns themselves: escaping adds a backslash to every control string, and a colon of a role.
+SQL = rf"""WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '{HARD}' UNION ALL SELECT -7, 1, 'assistant', '{HARD}'),
+ o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i, coalesce(role, '') AS r, coalesce(text, '') AS x FROM t),
+ s AS (SELECT *, 14 + length(r) + len(regexp_extract_all(r, '\\|###|</turn>')) + length(r) - length(replace(r, ':', '')) + length(x) + len(regexp_extract_all(x, '\\|###|</turn>')) AS n FROM o)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY i)) AS turns_sha256, CAST(coalesce(length(string_agg(x, '' ORDER BY i) FILTER (r = 'assistant')), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(x, '' ORDER BY i) FILTER (r = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id"""
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    hard = r"\### Assistant: </turn> ok"
-    planted = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    planted = spark.createDataFrame([(-7, 0, "user", HARD), (-7, 1, "assistant", HARD)], "conv_id long, turn long, role string, text string")
     formatted = materialise(format_conversations(rows.unionByName(planted)), "conversations")
     return formatted.select("conv_id", "formatted", "spans").mapInArrow(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

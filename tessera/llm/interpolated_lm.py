@@ -1,30 +1,36 @@
 """LM scoring by deleted interpolation.
 
-The probability of a token is a mixture of the maximum-likelihood estimates
-of all orders up to ``order`` and a uniform one; the mixture weights belong to
-buckets of the frequency of the context (its power of two) and are learned by
-expectation-maximisation: one fold of the training documents is deleted from
-the counts, and the weights maximise the likelihood of its n-grams under the
-counts of the others. The final estimates use the counts of all training
+The probability of a token is built up from the uniform one: each order mixes
+its maximum-likelihood estimate with the probability by the order below. The
+weight of an order belongs to a bucket of the frequency of its context (a
+power of two) and is learned by expectation-maximisation: one fold of the
+training documents is deleted from the counts, and the weights maximise the
+likelihood of its n-grams under the counts of the others, until no weight
+moves by ``TOLERANCE``. The final estimates use the counts of all training
 documents.
 
-How it is distributed. Documents are packed into chunks (a written table). The
-distinct n-grams of a chunk, as sorted 64-bit hashes, are cut into hash ranges
-and shuffled with their counts, one blob per chunk and range; the owner of a
+How it is distributed. Documents are packed into chunks (a written table,
+bucketed by chunk). The distinct n-grams of a chunk, as sorted hashes (64
+bits, above order 1 the upper 56), are cut into hash ranges and shuffled with
+their counts, one blob per chunk and range that holds any; the owner of a
 range adds up the counts and answers every blob with the totals in the blob's
-own order, so answers carry no keys. A chunk then has the counts of all its
-n-grams in place. What is shuffled is proportional to the distinct n-grams of
-each chunk, no key has more than one entry per chunk (so a frequent word is
-not a hot key), and nothing but the mixture weights and corpus totals meets in
-the driver.
+own order, so answers carry no keys. Answers go back to the bucket of their
+chunk, whose texts stay where they are. What is shuffled is proportional to
+the distinct n-grams of each chunk, no key has more than one entry per chunk
+(so a frequent word is not a hot key), and nothing but the mixture weights and
+corpus totals meets in the driver. With ``chunk_tokens`` and ``range_keys``
+as they are, a larger corpus has more blobs of fewer keys each, in the end one
+for each distinct n-gram of a chunk; workers with more memory take larger ones.
 
 A null text is empty: its only token is the end. A null doc_id hashes as the
-empty string. Repeated rows count as often as they occur. An empty table gives
-an empty result. Other columns are ignored.
+empty string. Repeated rows count as often as they occur, a very long text
+makes a chunk of its own. An empty table gives an empty result. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +40,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import bounded_batches, documents, materialise
+from ._store import bounded_batches, documents, materialise, new_path, release
 from ._words import mix, slabs, words
 
 #: Tokens of a chunk, and n-grams of a hash range (about).
 CHUNK_TOKENS, RANGE_KEYS = 2_000_000, 4_000_000
-EM_STEPS = 10
-BUCKETS = 24
+#: Bits that are left off the hashes of higher orders.
+SHORTER = np.uint64(8)
+ORDER, TOLERANCE, BUCKETS = 3, 1e-3, 24
 HELD_OUT, FOLDS, DELETED = 2, 7, 3
 BEGIN, END = np.uint64(0x5BD1E995A7C3D4E1), np.uint64(0x2545F4914F6CDD1D)
 
@@ -72,18 +79,18 @@ def positions(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at if n else np.zeros(1, np.int64)
 
 
-def grams(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
+def grams(tokens: np.ndarray, at: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """Keys of the grams of order 1, 2, ... that end at each position, padded with BEGIN inside their row."""
-    keys = [mix(tokens)]
+    key = mix(tokens)
+    yield key
     begin = np.zeros(len(tokens), np.int64)
     begin[at[:-1]] = at[:-1]
     begin = np.maximum.accumulate(begin) if len(begin) else begin
     place = np.arange(len(tokens))
-    with np.errstate(over="ignore"):
-        for k in range(1, order):
-            before = tokens[np.maximum(place - k, begin)]
-            keys.append(mix(keys[-1] * np.uint64(0x9FB21C651E98DF25) + before + np.uint64(k)))
-    return keys
+    for k in range(1, order):
+        with np.errstate(over="ignore"):
+            key = mix(key * np.uint64(0x9FB21C651E98DF25) + tokens[np.maximum(place - k, begin)] + np.uint64(k))
+        yield key >> SHORTER
 
 
 def _blob(batch: pa.RecordBatch | pa.Table) -> bytes:
@@ -93,163 +100,179 @@ def _blob(batch: pa.RecordBatch | pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def chunk_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (doc_id, part, text) to one row per chunk that holds its documents."""
-    from pyspark import TaskContext
+def chunk_docs(chunk_tokens: int):
+    """A mapInArrow function: (doc_id, part, text) to one row per chunk that holds its documents."""
 
-    number, held, size = TaskContext.get().partitionId() << 24, [], 0
-    limit = 6 * CHUNK_TOKENS
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
 
-    def emit() -> pa.RecordBatch:
-        nonlocal number
-        number += 1
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        return pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int64()), "docs": pa.array([_blob(whole)], pa.binary())})
+        def emit() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int64()), "docs": pa.array([_blob(whole)], pa.binary())})
 
-    for batch in slabs(batches, "text"):
-        held.append(batch)
-        size += batch.column(2).nbytes
-        if size > limit:
+        for batch in slabs(batches, "text"):
+            held.append(batch)
+            size += batch.column(2).nbytes
+            if size > 6 * chunk_tokens:
+                yield emit()
+                number, held, size = number + 1, [], 0
+        if held:
             yield emit()
-            held, size = [], 0
-    if held:
-        yield emit()
+
+    return run
 
 
-def open_chunk(blob: bytes, order: int) -> tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]:
+def open_chunk(blob: bytes, order: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, Iterator[np.ndarray]]:
+    """(documents, part of each position, first position of each document, keys of each order)."""
     docs = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
     tokens, at = positions(docs.column(2))
-    return docs, at, grams(tokens, at, order)
+    return docs, np.repeat(docs.column(1).to_numpy(), np.diff(at)), at, grams(tokens, at, order)
 
 
 def chunk_counts(order: int, ranges: int):
-    """mapInArrow: a chunk to one row per order and hash range, with its sorted keys and their counts."""
+    """mapInArrow: a chunk to one row per order and hash range that it has keys in, with the sorted keys and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs, at, keys = open_chunk(blob.as_py(), order)
-                part = np.repeat(docs.column(1).to_numpy(), np.diff(at))
-                rows = []
+                _, part, _, keys = open_chunk(blob.as_py(), order)
                 for k, key in enumerate(keys, 1):
-                    unique, inverse = np.unique(key, return_inverse=True)
-                    train = np.bincount(inverse, weights=part > 0, minlength=len(unique)).astype(np.uint32)
-                    gone = np.bincount(inverse, weights=part == 2, minlength=len(unique)).astype(np.uint32)
-                    cut = [0, *np.searchsorted(unique, edges), len(unique)]
-                    for r in range(ranges):
-                        a, b = cut[r], cut[r + 1]
-                        if b > a:
-                            rows.append((r, k, chunk, pack(np.diff(unique[a:b], prepend=np.uint64(0))), pack(train[a:b]), pack(gone[a:b])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "n", "chunk", "keys", "train", "gone"])
+                    unique = np.unique(key)
+                    # Sorting the keys of a part and looking the others up in order is faster than an inverse.
+                    train, gone = (np.diff(np.searchsorted(np.sort(key[x]), unique), append=x.sum()).astype(np.uint32) for x in (part > 0, part == 2))
+                    bits = 64 - (int(SHORTER) if k > 1 else 0)
+                    edges = np.array([(i << bits) // ranges for i in range(1, ranges)], np.uint64)
+                    cut = np.concatenate([[0], np.searchsorted(unique, edges), [len(unique)]])
+                    rows = [(r, k, chunk, pack(np.diff(unique[a:b], prepend=np.uint64(0))), pack(train[a:b]), pack(gone[a:b])) for r in np.flatnonzero(np.diff(cut)).tolist() for a, b in [(cut[r], cut[r + 1])]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "n", "chunk", "keys", "train", "gone"])
 
     return run
 
 
 def add_up(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The blobs of one hash range and order to totals for each, and a row (chunk -1) of tokens and types of the range."""
+    """The blobs of one hash range and order to totals for each; those of order 1 also say how many training tokens and new types each brings, of all and of the kept folds."""
     keys = [np.cumsum(unpack(b, np.uint64), dtype=np.uint64) for b in rows["keys"]]
-    unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    train, gone = (np.bincount(inverse, weights=np.concatenate([unpack(b, np.uint32) for b in rows[c]]), minlength=len(unique)).astype(np.uint32) for c in ("train", "gone"))
+    unique, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    own = [np.concatenate([unpack(b, np.uint32) for b in rows[c]]) for c in ("train", "gone")]
+    train, gone = (np.bincount(inverse, weights=x, minlength=len(unique)).astype(np.uint32) for x in own)
     cut = np.cumsum([0, *map(len, keys)])
     parts = [inverse[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    begin = unique == mix(np.array([BEGIN]))[0] if key[1] == 1 else np.ones(len(unique), bool)
-    tokens, types = int(train[~begin].sum()), int((train[~begin] > 0).sum())
-    return pd.DataFrame({
-        "range": key[0], "n": key[1], "chunk": [*rows["chunk"], -1], "train": [*(pack(train[p]) for p in parts), b""], "gone": [*(pack(gone[p]) for p in parts), b""],
-        "tokens": [0] * len(parts) + [tokens], "types": [0] * len(parts) + [types],
-    })
+    out = {"range": key[0], "n": key[1], "chunk": rows["chunk"], "train": [pack(train[p]) for p in parts], "gone": [pack(gone[p]) for p in parts]}
+    real = unique != mix(np.array([BEGIN]))[0] if key[1] == 1 else np.zeros(len(unique), bool)
+    brings = np.searchsorted(cut, first, side="right") - 1
+    kept = train - gone
+    for name, held, types in (("all", own[0], train), ("kept", own[0] - own[1], kept)):
+        total = np.concatenate([[0], np.cumsum(held * real[inverse], dtype=np.int64)])
+        out |= {f"{name}_tokens": np.diff(total[cut]), f"{name}_types": np.bincount(brings[real & (types > 0)], minlength=len(parts))}
+    return pd.DataFrame(out)
 
 
-ANSWER = "range int, n int, chunk long, train binary, gone binary, tokens long, types long"
+TOTALS = ("all_tokens", "all_types", "kept_tokens", "kept_types")
+ANSWER = "range int, n int, chunk long, train binary, gone binary, " + ", ".join(f"{c} long" for c in TOTALS)
 
 
 def chunk_answers(order: int):
-    """mapInArrow: (docs blob, answers) of a chunk to its documents with the counts at every position."""
+    """mapInArrow: (docs blob, answers, totals) of a chunk to its documents with the counts at every position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, answers in zip(batch.column(0), batch.column(1), strict=True):
-                docs, at, keys = open_chunk(blob.as_py(), order)
-                part = np.repeat(docs.column(1).to_numpy(), np.diff(at))
+            for i, (blob, answers) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
+                docs, part, at, keys = open_chunk(blob.as_py(), order)
                 answers = sorted(answers.as_py(), key=lambda a: (a["n"], a["range"]))
                 row: dict[str, bytes] = {}
-                kept_counts = []
+                deleted = part == 2
                 for k, key in enumerate(keys, 1):
                     inverse = np.unique(key, return_inverse=True)[1]
                     train, gone = (np.concatenate([unpack(a[c], np.uint32) for a in answers if a["n"] == k])[inverse] for c in ("train", "gone"))
-                    row[f"c{k}"] = pack(train)
-                    kept_counts.append((train - gone)[part == 2])
-                # The deleted fold alone, for expectation-maximisation.
-                begin = np.zeros(len(part), bool)
-                begin[at[:-1]] = True
-                row |= {f"d{k}": pack(c) for k, c in enumerate(kept_counts, 1)} | {"d_begin": pack(begin[part == 2].view(np.uint8))}
+                    # The deleted fold alone, under the counts of the others, for expectation-maximisation.
+                    row |= {f"c{k}": pack(train), f"d{k}": pack((train - gone)[deleted])}
+                begin = np.zeros(len(part), np.uint8)
+                begin[at[:-1]] = 1
+                row["d_begin"] = pack(begin[deleted])
                 meta = pa.RecordBatch.from_arrays([docs.column(0), docs.column(1), pa.array(np.diff(at))], ["doc_id", "part", "size"])
-                yield pa.RecordBatch.from_pydict({"docs": pa.array([_blob(meta)], pa.binary())} | {k: pa.array([v], pa.binary()) for k, v in row.items()})
+                totals = {c: batch.column(2 + j).slice(i, 1) for j, c in enumerate(TOTALS)}
+                yield pa.RecordBatch.from_pydict({"docs": pa.array([_blob(meta)], pa.binary())} | {k: pa.array([row[k]], pa.binary()) for k in _columns(order)[1:]} | totals)
 
     return run
 
 
-def estimates(counts: list[np.ndarray], begin: np.ndarray, n: float, v: float) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, [positions, order + 1] estimates from uniform to the highest order) of all positions that are no BEGIN."""
+def _columns(order: int) -> list[str]:
+    return ["docs", *(f"{x}{k}" for x in "cd" for k in range(1, order + 1)), "d_begin"]
+
+
+def estimates(counts: list[np.ndarray], begin: np.ndarray, n: float, v: float) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
+    """(uniform probability, bucket and estimate of each order) at all positions that are no BEGIN. Order 1 has one context."""
     real = np.flatnonzero(~begin)
-    f = np.empty((len(real), len(counts) + 1))
-    f[:, 0] = 1.0 / (v + 1)
-    f[:, 1] = counts[0][real] / max(n, 1)
-    context = np.zeros(len(real))
+    buckets, found = [np.zeros(len(real), np.int64)], [counts[0][real] / max(n, 1)]
     for k in range(1, len(counts)):
         context = counts[k - 1][real - 1].astype(float)
-        f[:, k + 1] = counts[k][real] / np.maximum(context, 1)
-    bucket = np.minimum(np.ceil(np.log2(context + 1)), BUCKETS - 1).astype(np.int64)
-    return bucket, f
+        buckets.append(np.minimum(np.ceil(np.log2(context + 1)), BUCKETS - 1).astype(np.int64))
+        found.append(counts[k][real] / np.maximum(context, 1))
+    return 1.0 / (v + 1), buckets, found
+
+
+def mixture(weights: np.ndarray, uniform: float, buckets: list[np.ndarray], found: list[np.ndarray]) -> list[np.ndarray]:
+    """Probabilities by the orders up to 0, 1, 2, ...: ``weights[k - 1, bucket]`` is the share of order k."""
+    out = [np.full(len(found[0]), uniform)]
+    for w, bucket, f in zip(weights, buckets, found, strict=True):
+        own = w[bucket]
+        out.append(own * f + (1 - own) * out[-1])
+    return out
 
 
-def learn_weights(counts: DataFrame, order: int, n: int, v: int, steps: int = EM_STEPS) -> np.ndarray:
-    """Mixture weights [bucket, order + 1] by EM over every n-gram of the deleted fold; each step is one job whose partial sums are of fixed size."""
-    weights = np.full((BUCKETS, order + 1), 1.0 / (order + 1))
-    width = order + 1
+def learn_weights(counts: DataFrame, order: int, n: int, v: int) -> np.ndarray:
+    """Weights [order, bucket] by EM over every n-gram of the deleted fold; each step is one job whose partial sums are of fixed size."""
+    weights = np.full((order, BUCKETS), 0.5)
 
     def step(w: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((BUCKETS, width))
+            taken, reached = np.zeros((order, BUCKETS)), np.zeros((order, BUCKETS))
             for batch in batches:
                 for row in batch.to_pylist():
-                    bucket, f = estimates([unpack(row[f"d{k}"], np.uint32) for k in range(1, order + 1)], unpack(row["d_begin"], np.uint8).astype(bool), n, v)
-                    p = w[bucket] * f
-                    p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
-                    for k in range(width):
-                        total[:, k] += np.bincount(bucket, weights=p[:, k], minlength=BUCKETS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(BUCKETS), width)), pa.array(np.tile(np.arange(width), BUCKETS)), pa.array(total.ravel())], ["bucket", "k", "mass"])
+                    uniform, buckets, found = estimates([unpack(row[f"d{k}"], np.uint32) for k in range(1, order + 1)], unpack(row["d_begin"], np.uint8).astype(bool), n, v)
+                    p = mixture(w, uniform, buckets, found)
+                    left = np.ones(len(p[0]))
+                    for k in range(order - 1, -1, -1):
+                        # The share of each position that comes down to order k + 1, and of it what that order explains.
+                        reached[k] += np.bincount(buckets[k], weights=left, minlength=BUCKETS)
+                        own = left * w[k][buckets[k]] * found[k] / p[k + 1]
+                        taken[k] += np.bincount(buckets[k], weights=own, minlength=BUCKETS)
+                        left -= own
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(order), BUCKETS)), pa.array(np.tile(np.arange(BUCKETS), order)), pa.array(taken.ravel()), pa.array(reached.ravel())], ["k", "bucket", "taken", "reached"])
 
         return run
 
-    deleted = counts.select(*(f"d{k}" for k in range(1, order + 1)), "d_begin")
-    for _ in range(steps):
-        mass = np.full((BUCKETS, width), 1e-3)
-        for r in deleted.mapInArrow(step(weights), "bucket long, k long, mass double").groupBy("bucket", "k").agg(F.sum("mass").alias("mass")).collect():
-            mass[r["bucket"], r["k"]] += r["mass"]
-        weights = mass / mass.sum(axis=1, keepdims=True)
-    return weights
+    deleted = counts.select(*_columns(order)[1 + order :])
+    while True:
+        taken, reached = np.full((order, BUCKETS), 1e-3), np.full((order, BUCKETS), 2e-3)
+        for r in deleted.mapInArrow(step(weights), "k long, bucket long, taken double, reached double").groupBy("k", "bucket").agg(F.sum("taken").alias("taken"), F.sum("reached").alias("reached")).collect():
+            taken[r["k"], r["bucket"]] += r["taken"]
+            reached[r["k"], r["bucket"]] += r["reached"]
+        before, weights = weights, taken / reached
+        if np.abs(weights - before).max() < TOLERANCE:
+            return weights
 
 
 def score_chunks(order: int, weights: np.ndarray, n: int, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                docs = pa.ipc.open_stream(row["docs"]).read_all().combine_chunks()
+                docs = pa.ipc.open_stream(row["docs"]).read_all().combine_chunks().to_batches()[0]
                 size = docs.column("size").to_numpy()
                 counts = [unpack(row[f"c{k}"], np.uint32) for k in range(1, order + 1)]
                 begin = np.zeros(size.sum(), bool)
                 begin[np.cumsum(size) - size] = True
-                bucket, f = estimates(counts, begin, n, v)
+                p = mixture(weights, *estimates(counts, begin, n, v))[-1]
                 cut = np.concatenate([[0], np.cumsum(size - 1)])
                 per_doc = lambda x: np.add.reduceat(x, cut[:-1])  # noqa: B023, E731  every document has its end
                 c = counts[0][~begin].astype(float)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        docs.column("doc_id").combine_chunks() if isinstance(docs.column("doc_id"), pa.ChunkedArray) else docs.column("doc_id"),
-                        pa.array(docs.column("part").to_numpy() == 0), pa.array(size - 1), pa.array(per_doc((c > 0).astype(np.int64))), pa.array(np.full(len(size), n)),
-                        pa.array(per_doc(np.log10((c + 1) / (n + 1.0 * (v + 1))))), pa.array(per_doc(np.log10((weights[bucket] * f).sum(axis=1)))),
+                        docs.column("doc_id"), pa.array(docs.column("part").to_numpy() == 0), pa.array(size - 1), pa.array(per_doc((c > 0).astype(np.int64))), pa.array(np.full(len(size), n)),
+                        pa.array(per_doc(np.log10((c + 1) / (n + 1.0 * (v + 1))))), pa.array(per_doc(np.log10(p))),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
@@ -260,24 +283,28 @@ def score_chunks(order: int, weights: np.ndarray, n: int, v: int):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, part, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, part, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS, range_keys: int = RANGE_KEYS) -> DataFrame:
     """Score every text. ``part``: 0 learns nothing from a row, 1 counts it, 2 counts it and deletes it while weights are learned."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), part.cast("int").alias("part"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chunks = materialise(rows.mapInArrow(chunk_docs, "chunk long, docs binary"), "lm-chunks")
-    n_chunks = chunks.count()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_chunks * CHUNK_TOKENS // RANGE_KEYS))
-    blobs = chunks.repartition(max(1, n_chunks)).mapInArrow(chunk_counts(order, ranges), "range int, n int, chunk long, keys binary, train binary, gone binary")
-    answers = materialise(blobs.groupBy("range", "n").applyInPandas(add_up, ANSWER), "lm-answers")
-    n, v = answers.where("chunk = -1 and n = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    of_chunk = answers.where("chunk <> -1").groupBy("chunk").agg(F.collect_list(F.struct("range", "n", "train", "gone")).alias("answers"))
-    columns = ", ".join(["docs binary", *(f"{x}{k} binary" for x in "cd" for k in range(1, order + 1)), "d_begin binary"])
-    names = [c.split()[0] for c in columns.split(", ")]
-    joined = chunks.join(of_chunk, "chunk").select("docs", "answers")
-    counts = materialise(joined.mapInArrow(chunk_answers(order), ", ".join(f"{c} binary" for c in ["docs", *(f"c{k}" for k in range(1, order + 1)), *(f"d{k}" for k in range(1, order + 1)), "d_begin"])), "lm-counts").select(*names)
-    weights = learn_weights(counts, order, n, v)
-    return counts.select("docs", *(f"c{k}" for k in range(1, order + 1))).mapInArrow(score_chunks(order, weights, n, v), SCORES)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"tessera_lm_chunks_{uuid.uuid4().hex}"
+    writer = rows.mapInArrow(chunk_docs(chunk_tokens), "chunk long, docs binary").write.format("parquet").option("compression", "zstd")
+    writer.bucketBy(width, "chunk").option("path", new_path(spark, "lm-chunks")).saveAsTable(name)
+    chunks = spark.table(name)
+    ranges = max(width, -(-chunks.count() * chunk_tokens // range_keys))
+    blobs = chunks.mapInArrow(chunk_counts(order, ranges), "range int, n int, chunk long, keys binary, train binary, gone binary")
+    answers = blobs.groupBy("range", "n").applyInPandas(add_up, ANSWER)
+    of_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("range", "n", "train", "gone")).alias("answers"), *(F.sum(c).alias(c) for c in TOTALS))
+    names = _columns(order)
+    schema = ", ".join([*(f"{c} binary" for c in names), *(f"{c} long" for c in TOTALS)])
+    counts = materialise(chunks.join(of_chunk, "chunk").select("docs", "answers", *TOTALS).mapInArrow(chunk_answers(order), schema), "lm-counts")
+    release(chunks)
+    spark.sql(f"DROP TABLE {name}")
+    totals = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS)).first()
+    weights = learn_weights(counts, order, totals["kept_tokens"], totals["kept_types"])
+    return counts.select("docs", *names[1 : 1 + order]).mapInArrow(score_chunks(order, weights, totals["all_tokens"], totals["all_types"]), SCORES)
 
 
 def op1_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,16 +18,20 @@ Two documents link when the Jaccard similarity of their shingle sets reaches
    Lists are not expanded to pairs at once: first each list's most central set
    (of the most common shingles) is compared with the others; only sets that are
    then still in different components are paired, so a group of near copies
-   costs about its size.
+   costs about its size. A list that the sketch says may be longer than ``LONG``
+   is cut into parts, by a hash of the set; each part has a central set of its
+   own, and the parts' central sets are compared with the most central of them.
 5. The boundary x minimises the estimated cost of both parts, from the
    histogram of set sizes and the mean list length seen by the sketch.
 6. Candidate pairs pass an exact upper bound on the overlap (parity bitmaps of
    512 bits), then the sets themselves are intersected, rebuilt from the texts.
 
 With fewer words than a shingle has, the whole sequence is one shingle. Null
-or empty texts have the empty set and link with nothing. A row with a null
-doc_id takes the component of its equal sets, else null. Repeated rows are
-copies. An empty table gives an empty result. Other columns are ignored.
+or empty texts have the empty set and link with nothing. Rows are told apart
+by a hash of doc_id and text, so one doc_id may have several texts, each linked
+by what it says; repeated rows are copies. A row with a null doc_id takes the
+component of what it links with, null if nothing there has a doc_id. An empty
+table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,12 +47,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import bounded_batches, documents, materialise
+from ._store import bounded_batches, documents, free_name, materialise, release
 from ._words import mix, shingles, slabs, words
 
 SHINGLE, PERCENT = 5, 80
 #: Counters of the sketch and of the filter of wanted documents (bits of their number), and counters per shuffled row.
 SKETCH_BITS, FILTER_BITS, ROW_BITS = 20, 23, 12
+#: Sets of a part of a long list, about.
+LONG = 4096
 #: Light sets are never larger than this, whatever the costs say.
 MOST_LIGHT = 16
 BITMAP = [f"b{i}" for i in range(8)]
@@ -59,8 +65,18 @@ def needed(a: int, b: int) -> int:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-def shingle_set(h: np.ndarray) -> np.ndarray:
-    return np.unique(shingles(h, SHINGLE))
+def shingle_sets(h: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """Sorted distinct shingles of each row: all windows are hashed in one go, then each row's are sorted in place."""
+    windows = shingles(h, SHINGLE)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a < SHINGLE:
+            yield shingles(h[a:b], SHINGLE)
+            continue
+        s = windows[a : b - SHINGLE + 1]
+        s.sort()
+        new = np.ones(len(s), bool)
+        np.not_equal(s[1:], s[:-1], out=new[1:])
+        yield s if new.all() else s[new]
 
 
 def node_of(s: np.ndarray) -> np.int64:
@@ -103,46 +119,48 @@ def _add_rows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def add_sketches(rows: DataFrame, bits: int) -> np.ndarray:
     """Sum of sketches given as rows (part, salt, counts); the sum has a fixed size."""
     schema = "part int, counts binary"
-    some = rows.groupBy("part", "salt").applyInPandas(_add_rows, schema)
+    # Few but heavy rows: by hand, else the planner puts them into one task.
+    some = rows.repartition(64, "part", "salt").groupBy("part", "salt").applyInPandas(_add_rows, schema)
     out = np.zeros(1 << bits, np.int32)
     step = 1 << ROW_BITS
-    for r in some.groupBy("part").applyInPandas(_add_rows, schema).collect():
+    for r in some.repartition(64, "part").groupBy("part").applyInPandas(_add_rows, schema).collect():
         out[r["part"] * step : (r["part"] + 1) * step] = _sketch_row(bytes(r["counts"]))
     return out
 
 
-SETS = "kind int, doc_id long, node long, n long, " + ", ".join(f"{b} long" for b in BITMAP) + ", part int, salt int, counts binary"
+SETS = "kind int, doc_id long, rid long, node long, n long, " + ", ".join(f"{b} long" for b in BITMAP) + ", part int, salt int, counts binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: documents to their node, size and bitmap (kind 0), then the task's sketch (kind 1)."""
+    """mapInArrow: (doc_id, rid, text) to each row's node, size and bitmap (kind 0), then the task's sketch (kind 1)."""
     from pyspark import TaskContext
 
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    kinds = [pa.int32(), *[pa.int64()] * 11, pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int32(), *[pa.int64()] * 12, pa.int32(), pa.int32(), pa.binary()]
     names = [f.split()[0] for f in SETS.split(", ")]
 
     def rows(values: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names)
 
     for batch in slabs(batches):
-        h, first = words(batch.column(1))
+        h, first = words(batch.column(2))
         m = batch.num_rows
         node, size, bits = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros((m, 8), np.int64)
-        for i in range(m):
-            s = shingle_set(h[first[i] : first[i + 1]])
+        for i, s in enumerate(shingle_sets(h, first)):
             size[i] = len(s)
             if len(s):
                 node[i], bits[i] = node_of(s), parity(s)
-                counts += np.bincount((s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS) if len(s) > 1 << 16 else 0
-                if len(s) <= 1 << 16:
-                    counts[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)] += 1
-        yield rows([np.zeros(m, np.int32), batch.column(0), pa.array(node, mask=size == 0), size, *bits.T, *[pa.nulls(m, t) for t in kinds[-3:]]])
+                place = (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+                if len(s) > 1 << 16:
+                    counts += np.bincount(place, minlength=1 << SKETCH_BITS)
+                else:
+                    counts[place] += 1
+        yield rows([np.zeros(m, np.int32), batch.column(0), batch.column(1), pa.array(node, mask=size == 0), size, *bits.T, *[pa.nulls(m, t) for t in kinds[-3:]]])
     salt = TaskContext.get().partitionId() % 64
     out = _sketch_rows(counts)
     if out:
         m = len(out)
-        yield rows([np.ones(m, np.int32), *[pa.nulls(m, t) for t in kinds[1:12]], [p for p, _ in out], np.full(m, salt, np.int32), [c for _, c in out]])
+        yield rows([np.ones(m, np.int32), *[pa.nulls(m, t) for t in kinds[1:13]], [p for p, _ in out], np.full(m, salt, np.int32), [c for _, c in out]])
 
 
 def choose_boundary(sizes: dict[int, int], mean_list: float) -> int:
@@ -163,7 +181,7 @@ def light_sizes(s: int, x: int) -> list[int]:
     return sorted({c for t in range(needed_alone(s), min(x, 100 * s // PERCENT) + 1) if (c := needed(s, t)) <= min(s, t)})
 
 
-LISTS = "light boolean, sig long, node long, n int, pos int, central float"
+LISTS = "light boolean, sig long, salt int, parts int, node long, n int, pos int, central float"
 
 
 def _signatures(sketch, boundary: int):
@@ -174,8 +192,7 @@ def _signatures(sketch, boundary: int):
         for batch in slabs(batches, "text", 2 << 20):
             h, first = words(batch.column(0))
             parts: list[tuple] = []
-            for i in range(batch.num_rows):
-                s = shingle_set(h[first[i] : first[i + 1]])
+            for s in shingle_sets(h, first):
                 k = len(s)
                 if not k:
                     continue
@@ -184,7 +201,7 @@ def _signatures(sketch, boundary: int):
                     own = s.tolist()
                     sigs = [hash((c, *sub)) for c in light_sizes(k, boundary) for sub in combinations(own, c)]
                     sizes = [c for c in light_sizes(k, boundary) for _ in range(comb(k, c))]
-                    parts.append((True, np.array(sigs, np.int64), node, k, np.array(sizes, np.int32), 0.0))
+                    parts.append((True, np.array(sigs, np.int64), np.ones(len(sigs), np.int32), node, k, np.array(sizes, np.int32), 0.0))
                 if 100 * k > PERCENT * boundary:
                     often = counts[(s & mask).astype(np.int64)]
                     p = k - needed_alone(k) + 1
@@ -195,14 +212,15 @@ def _signatures(sketch, boundary: int):
                     else:
                         rare = np.arange(k)
                     prefix = rare[np.lexsort((s[rare], often[rare]))][:p]
-                    parts.append((False, s[prefix].view(np.int64), node, k, np.arange(len(prefix), dtype=np.int32), float(np.log2(often + 1.0).mean())))
+                    parts.append((False, s[prefix].view(np.int64), (often[prefix] // LONG + 1).astype(np.int32), node, k, np.arange(len(prefix), dtype=np.int32), float(np.log2(often + 1.0).mean())))
             if not parts:
                 continue
             size = [len(x[1]) for x in parts]
             spread = lambda j, t: np.repeat(np.array([x[j] for x in parts], t), size)  # noqa: B023, E731
+            cuts, nodes = np.concatenate([x[2] for x in parts]), spread(3, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(spread(0, bool)), pa.array(np.concatenate([x[1] for x in parts])), pa.array(spread(2, np.int64)), pa.array(spread(3, np.int32)), pa.array(np.concatenate([x[4] for x in parts])), pa.array(spread(5, np.float32))],
-                ["light", "sig", "node", "n", "pos", "central"],
+                [pa.array(spread(0, bool)), pa.array(np.concatenate([x[1] for x in parts])), pa.array((mix(nodes.view(np.uint64)) % cuts.astype(np.uint64)).astype(np.int32)), pa.array(cuts), pa.array(nodes), pa.array(spread(4, np.int32)), pa.array(np.concatenate([x[5] for x in parts])), pa.array(spread(6, np.float32))],
+                ["light", "sig", "salt", "parts", "node", "n", "pos", "central"],
             )
 
     return run
@@ -214,11 +232,11 @@ def _room(a_n: str, a_pos: str, b_n: str, b_pos: str) -> F.Column:
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct node pairs (a, b) whose parity bitmaps allow a link, as rep pairs (u, v)."""
+    """Distinct node pairs (a, b) whose parity bitmaps allow a link, with a row of each (u, v)."""
     side = lambda k, d: nodes.select(F.col("node").alias(k), F.col("rep").alias(d), F.col("n").alias(f"n_{k}"), *(F.col(b).alias(f"{b}_{k}") for b in BITMAP))
     both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a", "u"), "a").join(side("b", "v"), "b")
     differ = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in BITMAP), F.lit(0))
-    return both.where(differ * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)).select("u", "v")
+    return both.where(differ * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)).select("a", "b", "u", "v")
 
 
 def _wanted(ids: DataFrame) -> np.ndarray:
@@ -240,8 +258,13 @@ def _filter_place(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``rid``, a hash of both that tells rows apart."""
+    return docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (u, v) of doc_ids whose shingle sets link, by the sets themselves."""
+    """Those node pairs (a, b), with a row of each (u, v), whose shingle sets link, by the sets themselves; as (u, v)."""
     spark = docs.sparkSession
     packed = np.packbits(_wanted(pairs.select("u").union(pairs.select("v"))))
     wanted = spark.sparkContext.broadcast(packed)
@@ -253,32 +276,33 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    texts = docs.where("doc_id is not null and text is not null").mapInArrow(pick, "doc_id long, text string")
-    side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
-    joined = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
+    texts = _texts(docs.where("text is not null")).select("rid", "text").mapInArrow(pick, "rid long, text string")
+    # Rows that are repeated have one rid.
+    side = lambda k: texts.select(F.col("rid").alias(k), F.col("text").alias(f"text_{k}")).dropDuplicates([k])
+    joined = pairs.join(side("u"), "u").join(side("v"), "v").select("a", "b", "text_u", "text_v")
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slabs(slabs(batches, "text_u"), "text_v"):
-            sides = [words(batch.column(2)), words(batch.column(3))]
             keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                a, b = (shingle_set(h[f[i] : f[i + 1]]) for h, f in sides)
+            for i, (a, b) in enumerate(zip(*(shingle_sets(*words(batch.column(c))) for c in (2, 3)), strict=True)):
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 keep[i] = bool(common) and 100 * common >= PERCENT * (len(a) + len(b) - common)
             if keep.any():
-                yield batch.select(["u", "v"]).filter(pa.array(keep))
+                yield batch.select(["a", "b"]).rename_columns(["u", "v"]).filter(pa.array(keep))
 
     return materialise(joined.mapInArrow(intersect, "u long, v long").distinct(), "links")
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, texts, labels) of ``docs`` (doc_id, text): a row per row, with its node; a row per different row (rid, doc_id, node, copies);
+    and (node, label, component_id) of every node, label being equal for linked ones."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = materialise(picked.mapInArrow(_sets, SETS), "sets")
+    table = materialise(_texts(docs).select("doc_id", "rid", "text").mapInArrow(_sets, SETS), "sets")
     sets = table.where("kind = 0")
-    nodes = materialise(sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITMAP)), "nodes")
+    texts = sets.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("node").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITMAP))
+    nodes = texts.where("node is not null").groupBy("node").agg(F.min("rid").alias("rep"), F.min_by("copies", "rid").alias("copies"), F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITMAP))
+    nodes = materialise(nodes, "nodes")
     counts = add_sketches(table.where("kind = 1").select("part", "salt", "counts"), SKETCH_BITS)
     sketch = spark.sparkContext.broadcast(counts)
     few = {r["n"]: r["count"] for r in nodes.where(F.col("n") <= MOST_LIGHT * 100 // PERCENT).groupBy("n").count().collect()}
@@ -286,36 +310,50 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mean_list = max(0.0, float((counts.astype(np.float64) ** 2).sum()) / max(total, 1) - total / len(counts)) if total else 0.0
     boundary = choose_boundary(few, mean_list)
 
-    # One document of each set makes its signatures; copies add none.
-    ones = picked.where("text is not null").join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    lists = ones.select("text").mapInArrow(_signatures(sketch, boundary), LISTS)
-    by_sig = Window.partitionBy("light", "sig")
+    # One row of each set makes its signatures; copies add none.
+    mine = _texts(docs.where("text is not null")).join(nodes.select(F.col("rep").alias("rid"), "copies"), "rid").select("rid", "copies", "text")
+    ones = mine.where("copies = 1").select("text").union(mine.where("copies > 1").dropDuplicates(["rid"]).select("text"))
+    lists = ones.mapInArrow(_signatures(sketch, boundary), LISTS)
+    by_part = Window.partitionBy("light", "sig", "salt")
     pivot = F.when(F.col("light"), F.struct((-F.col("n")).cast("float").alias("central"), "node", "n", "pos")).otherwise(F.struct("central", "node", "n", "pos"))
-    shared = lists.withColumns({"lo": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig), "pivot": F.max(pivot).over(by_sig)}).where("lo <> hi")
-    shared = materialise(shared.select("light", "sig", "node", "n", "pos", F.col("pivot.node").alias("p_node"), F.col("pivot.n").alias("p_n"), F.col("pivot.pos").alias("p_pos")), "lists")
+    shared = lists.withColumns({"lo": F.min("node").over(by_part), "hi": F.max("node").over(by_part), "pivot": F.max(pivot).over(by_part)}).where("lo <> hi or parts > 1")
+    shared = materialise(shared.select("light", "sig", "parts", "central", "node", "n", "pos", F.col("pivot.node").alias("p_node"), F.col("pivot.n").alias("p_n"), F.col("pivot.pos").alias("p_pos")), "lists")
 
     # Light part: pos is the subset size c, the pivot is the smallest holder; sharing the subset proves the link.
-    proven = shared.where("light and node <> p_node").where(F.expr(f"{100 + PERCENT} * pos >= {PERCENT} * (n + p_n)")).select(F.col("node").alias("a"), F.col("p_node").alias("b"))
-    light = proven.distinct().join(nodes.select(F.col("node").alias("a"), F.col("rep").alias("u")), "a").join(nodes.select(F.col("node").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
-    # Heavy part, first each list's pivot against the others.
+    proven = shared.where("light and node <> p_node").where(F.expr(f"{100 + PERCENT} * pos >= {PERCENT} * (n + p_n)")).select(F.col("node").alias("u"), F.col("p_node").alias("v")).distinct()
+    # Heavy part, first each list's pivot against the others; parts of a long list have a pivot each, one row a part.
     heavy = shared.where(~F.col("light"))
     larger = lambda a, b: F.expr(f"greatest({a}, {b}) > {boundary}")
-    stars = heavy.where("node <> p_node").where(_room("n", "pos", "p_n", "p_pos") & larger("n", "p_n")).select(F.col("node").alias("a"), F.col("p_node").alias("b"))
-    links = verify(materialise(_bounded(stars, nodes), "pairs"), picked)
-    roots = materialise(components(links.union(light)), "roots")
-    # Then the sets of a list that are still in different components.
-    label = nodes.select("node", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("label"))
-    left = heavy.select("sig", "node", "n", "pos").distinct().join(label, "node")
-    by_sig = Window.partitionBy("sig")
-    left = materialise(left.withColumns({"lo": F.min("label").over(by_sig), "hi": F.max("label").over(by_sig)}).where("lo <> hi").select("sig", "node", "n", "pos", "label"), "left")
+    heads = heavy.where("parts > 1 and node = p_node").select("sig", "node", "n", "pos", F.max(F.struct("central", "node", "n", "pos")).over(Window.partitionBy("sig")).alias("p"))
+    heads = heads.select("node", "n", "pos", F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
+    stars = heavy.select(*heads.columns).union(heads).where("node <> p_node").where(_room("n", "pos", "p_n", "p_pos") & larger("n", "p_n")).select(F.col("node").alias("a"), F.col("p_node").alias("b"))
+    pairs = materialise(_bounded(stars, nodes), "pairs")
+    links = verify(pairs, docs)
+    release(pairs)
+    roots = materialise(components(links.union(proven)), "roots")
+    # Then the sets of a list that are still in different components; most lists hold one by now.
+    named = lambda: nodes.select("node", "least").join(roots, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    left = heavy.select("sig", "node", "n", "pos").join(named().select("node", "label"), "node")
+    mixed = left.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+    left = materialise(left.join(mixed, "sig", "left_semi").select("sig", "node", "n", "pos", "label"), "left")
     other = left.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "pos", "label")))
     cross = left.join(other, "sig").where(F.col("node") < F.col("o_node")).where("label <> o_label").where(_room("n", "pos", "o_n", "o_pos") & larger("n", "o_n"))
     more = materialise(_bounded(cross.select(F.col("node").alias("a"), F.col("o_node").alias("b")), nodes), "pairs")
+    release(left)
+    release(shared)
     if more.limit(1).count():
-        more = verify(more, picked)
+        more = verify(more, docs)
         roots = components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
-    named = nodes.select("node", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    return sets.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    labels = named().select("node", "label", "least")
+    smallest = labels.groupBy("label").agg(F.min("least").alias("component_id"))
+    return sets, texts, labels.join(smallest, "label").select("node", "label", "component_id")
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    sets, _, labels = linked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    joined = sets.select("doc_id", "n", "node").join(labels.select("node", "component_id"), "node", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,6 +361,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component; rows without doc_id stay."""
-    kept = join_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    """Of each group of linked documents the one with the smallest doc_id (null last), of the same row repeated one; documents without words stay."""
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    _, texts, labels = linked(picked)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
+    chosen = texts.where("node is not null").join(labels, "node").groupBy("label").agg(F.min_by(F.struct("rid", "copies"), first).alias("x")).select("x.rid", "x.copies")
+    rid, copies = free_name(docs, "rid"), free_name(docs, "copies")
+    kept = chosen.union(texts.where("node is null").select("rid", F.lit(1).cast("long"))).toDF(rid, copies)
+    rows = docs.withColumn(rid, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(kept, rid)
+    return rows.where(F.col(copies) == 1).union(rows.where(F.col(copies) > 1).dropDuplicates([rid])).select(*docs.columns)

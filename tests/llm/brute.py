@@ -135,3 +135,52 @@ def leaks(docs, items, split, threshold=0.6, question_share=0.5, answer_share=0.
             if share >= threshold - 1e-9 and parts[0] >= question_share and parts[1] >= answer_share:
                 out[d, item] = (share, *parts)
     return out
+
+
+def interpolated(docs, part, order, tolerance=1e-3):
+    """{doc_id: log10 probability}: orders mixed from the bottom up, weights by context bucket from EM on the part-2 rows under the counts of the others."""
+    tokens = {i: ["<b>", *words(t), "<e>"] for i, t in docs}
+
+    def gram(w, p, k):
+        return tuple(w[max(p - j, 0)] for j in range(k))
+
+    def count(rows):
+        out = collections.Counter()
+        for w in rows:
+            out.update(gram(w, p, k) for p in range(len(w)) for k in range(1, order + 1))
+        n = sum(len(w) - 1 for w in rows)
+        return out, n, len({x for w in rows for x in w[1:]})
+
+    def levels(w, p, c, n, v):
+        f, b = [c[gram(w, p, 1)] / max(n, 1)], [0]
+        for k in range(2, order + 1):
+            context = c[gram(w, p - 1, k - 1)]
+            f.append(c[gram(w, p, k)] / max(context, 1))
+            b.append(min(math.ceil(math.log2(context + 1)), 23))
+        return f, b, 1 / (v + 1)
+
+    def mix(lam, f, b, u):
+        out = [u]
+        for k in range(order):
+            out.append(lam[k][b[k]] * f[k] + (1 - lam[k][b[k]]) * out[-1])
+        return out
+
+    kept = count([tokens[i] for i in tokens if part[i] == 1])
+    rows = [levels(tokens[i], p, *kept) for i in tokens if part[i] == 2 for p in range(1, len(tokens[i]))]
+    lam = [[0.5] * 24 for _ in range(order)]
+    while True:
+        taken, reached = [[1e-3] * 24 for _ in range(order)], [[2e-3] * 24 for _ in range(order)]
+        for f, b, u in rows:
+            p, left = mix(lam, f, b, u), 1.0
+            for k in reversed(range(order)):
+                reached[k][b[k]] += left
+                own = left * lam[k][b[k]] * f[k] / p[k + 1]
+                taken[k][b[k]] += own
+                left -= own
+        new = [[x / y for x, y in zip(t, r)] for t, r in zip(taken, reached)]
+        moved = max(abs(x - y) for a, b in zip(new, lam) for x, y in zip(a, b))
+        lam = new
+        if moved < tolerance:
+            break
+    whole = count([tokens[i] for i in tokens if part[i] > 0])
+    return {i: sum(math.log10(mix(lam, *levels(w, p, *whole))[-1]) for p in range(1, len(w))) for i, w in tokens.items()}

@@ -95,8 +95,25 @@ def test_op1_learns_what_follows_what(spark):
     assert len(scored) == 60 and all(r["score"] > 0.5 * r["base_score"] for r in scored)
     assert sum(r["held_out"] for r in scored) == 9
     counts = [np.array([5, 3, 2]), np.array([5, 2, 1])]
-    bucket, f = interpolated_lm.estimates(counts, np.array([True, False, False]), 10, 4)
-    assert f[0, 2] == 2 / 5 and f[1, 2] == 1 / 3 and f[0, 1] == 0.3 and bucket.tolist() == [3, 2]
+    uniform, buckets, f = interpolated_lm.estimates(counts, np.array([True, False, False]), 10, 4)
+    assert uniform == 0.2 and f[1].tolist() == [2 / 5, 1 / 3] and f[0].tolist() == [0.3, 0.2] and buckets[1].tolist() == [3, 2]
+
+
+def test_op1_score_equals_brute_force(spark):
+    rng = random.Random(12)
+    follow = {i: [rng.randrange(30) for _ in range(3)] for i in range(40)}
+    docs = [(100, None), (101, ""), (102, "W1 w1 W1")]
+    for d in range(50):
+        w = [rng.randrange(30)]
+        for _ in range(rng.randrange(60)):
+            w.append(rng.choice(follow[w[-1]]) if rng.random() < 0.8 else rng.randrange(40))
+        docs.append((d, " ".join(f"w{x}" for x in w)))
+    part = {i: 0 if i % 7 == 0 else 2 if i % 5 == 0 else 1 for i, _ in docs}
+    column = F.when(F.col("doc_id") % 7 == 0, 0).when(F.col("doc_id") % 5 == 0, 2).otherwise(1)
+    for order, size in ((3, 2_000_000), (2, 20)):
+        scored = interpolated_lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), column, order=order, chunk_tokens=size, range_keys=50)
+        assert {r["doc_id"]: r["score"] for r in scored.collect()} == pytest.approx(brute.interpolated(docs, part, order), rel=1e-9)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tessera")]
 
 
 def test_op2_files_hold_what_the_library_says(spark, folder):
@@ -270,12 +287,37 @@ def test_op5_copies_make_no_signatures(spark, monkeypatch):
     rows = [(k, " ".join(base)) for k in range(40)] + [(40, " ".join([*base[:40], "edited", *base[41:]])), (41, "p q r s t"), (42, "p q r s t"), (43, "p q r s t u")]
     written, keep = {}, jaccard_join.materialise
     monkeypatch.setattr(jaccard_join, "materialise", lambda df, name: written.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(jaccard_join, "release", lambda df: None)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")).collect() if r["doc_id"] is not None}
     assert got == brute.jaccard_components(rows)
     lists = written["lists"].groupBy("light", "sig", "node").count()
     assert lists.count() > 0 and lists.where("count > 1").count() == 0
 
 
+def test_op5_long_lists_are_cut_and_lose_nothing(spark, monkeypatch):
+    """A passage that many documents share, some of which say little else, with parts of three sets."""
+    monkeypatch.setattr(jaccard_join, "LONG", 3)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    say = lambda n: [f"q{rng.randrange(5000)}" for _ in range(n)]
+    rows = [(k, " ".join([*say(rng.choice([0, 1, 3, 8, 14, 60])), *passage, *say(rng.choice([0, 1, 3, 8, 60]))])) for k in range(250)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.jaccard_components(rows)
+    assert got == want and 5 < len({c for _, c in want.values()}) < 240
+
+
+def test_op5_repeated_and_missing_ids(spark):
+    base = [f"x{i}" for i in range(60)]
+    near = " ".join([*base[:30], "edited", *base[31:]])
+    rows = [(1, " ".join(base), "a"), (1, "quite another text of one id", "b"), (2, near, "c"), (2, near, "d"), (None, near, "e"), (None, "a lonely text without any id", "f"), (None, "a lonely text without any id", "g"), (3, None, "h"), (None, None, "i"), (4, "", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.join_components(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (2, 1), (None, 1), (None, None), (None, None), (3, 3), (None, None), (4, 4)], key=str)
+    left = jaccard_join.stage(spark, docs, "").collect()
+    names = [r["rid"] for r in left]
+    assert len(names) == 6 and {"a", "b", "h", "i", "j"} <= set(names) and len({"f", "g"} & set(names)) == 1
+
+
 def test_op5_boundary_follows_the_cost():
     assert jaccard_join.choose_boundary({8: 1000}, 50.0) >= 8
     assert jaccard_join.choose_boundary({16: 1000}, 0.0) == 0
@@ -296,6 +338,20 @@ def test_op6_detects_rewritten_history():
     assert chat_format.locate([("user", "a"), ("assistant", "b")], counted)[2] == [1]
 
 
+def test_op6_query_equals_its_sql(spark, folder):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
+    for sf in ("", "/root/testdata/sf0.01"):
+        if sf:
+            duck.execute(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+        cursor = duck.execute(queries.ORACLE_SQL["op6_chat_format"])
+        names = [d[0] for d in cursor.description]
+        want = sorted(cursor.fetchall(), key=str)
+        assert sorted(map(tuple, queries.QUERIES["op6_chat_format"](spark, sf or folder).select(*names).collect()), key=str) == want and len(want) > 3
+
+
 def test_op6_query(spark, folder):
     got = {r["conv_id"]: r for r in queries.QUERIES["op6_chat_format"](spark, folder).collect()}
     hard = r"\### Assistant: </turn> ok"
