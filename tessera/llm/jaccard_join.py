@@ -263,8 +263,20 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("rid", F.xxhash64("doc_id", "text"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those node pairs (a, b), with a row of each (u, v), whose shingle sets link, by the sets themselves; as (u, v)."""
+def _one_of_each(rows: DataFrame, key: str, copies: str, repeated: bool) -> DataFrame:
+    """``rows`` without repeated keys; texts are only dealt out again where some key has copies."""
+    return rows.where(F.col(copies) == 1).union(rows.where(F.col(copies) > 1).dropDuplicates([key])) if repeated else rows
+
+
+def _any_copies(rows: DataFrame) -> bool:
+    return bool(rows.where("copies > 1").limit(1).count())
+
+
+def verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """Those node pairs (a, b), with a row of each (u, v), whose shingle sets link, by the sets themselves; as (u, v).
+
+    ``repeated``: whether rows of ``docs`` that stand for a node may be there more than once.
+    """
     spark = docs.sparkSession
     packed = np.packbits(_wanted(pairs.select("u").union(pairs.select("v"))))
     wanted = spark.sparkContext.broadcast(packed)
@@ -277,8 +289,8 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(keep))
 
     texts = _texts(docs.where("text is not null")).select("rid", "text").mapInArrow(pick, "rid long, text string")
-    # Rows that are repeated have one rid.
-    side = lambda k: texts.select(F.col("rid").alias(k), F.col("text").alias(f"text_{k}")).dropDuplicates([k])
+    one = texts.dropDuplicates(["rid"]) if repeated else texts
+    side = lambda k: one.select(F.col("rid").alias(k), F.col("text").alias(f"text_{k}"))
     joined = pairs.join(side("u"), "u").join(side("v"), "v").select("a", "b", "text_u", "text_v")
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,9 +323,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     boundary = choose_boundary(few, mean_list)
 
     # One row of each set makes its signatures; copies add none.
+    repeated = _any_copies(nodes)
     mine = _texts(docs.where("text is not null")).join(nodes.select(F.col("rep").alias("rid"), "copies"), "rid").select("rid", "copies", "text")
-    ones = mine.where("copies = 1").select("text").union(mine.where("copies > 1").dropDuplicates(["rid"]).select("text"))
-    lists = ones.mapInArrow(_signatures(sketch, boundary), LISTS)
+    lists = _one_of_each(mine, "rid", "copies", repeated).select("text").mapInArrow(_signatures(sketch, boundary), LISTS)
     by_part = Window.partitionBy("light", "sig", "salt")
     pivot = F.when(F.col("light"), F.struct((-F.col("n")).cast("float").alias("central"), "node", "n", "pos")).otherwise(F.struct("central", "node", "n", "pos"))
     shared = lists.withColumns({"lo": F.min("node").over(by_part), "hi": F.max("node").over(by_part), "pivot": F.max(pivot).over(by_part)}).where("lo <> hi or parts > 1")
@@ -328,7 +340,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     heads = heads.select("node", "n", "pos", F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
     stars = heavy.select(*heads.columns).union(heads).where("node <> p_node").where(_room("n", "pos", "p_n", "p_pos") & larger("n", "p_n")).select(F.col("node").alias("a"), F.col("p_node").alias("b"))
     pairs = materialise(_bounded(stars, nodes), "pairs")
-    links = verify(pairs, docs)
+    links = verify(pairs, docs, repeated)
     release(pairs)
     roots = materialise(components(links.union(proven)), "roots")
     # Then the sets of a list that are still in different components; most lists hold one by now.
@@ -342,7 +354,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     release(left)
     release(shared)
     if more.limit(1).count():
-        more = verify(more, docs)
+        more = verify(more, docs, repeated)
         roots = components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     labels = named().select("node", "label", "least")
     smallest = labels.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -367,6 +379,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
     chosen = texts.where("node is not null").join(labels, "node").groupBy("label").agg(F.min_by(F.struct("rid", "copies"), first).alias("x")).select("x.rid", "x.copies")
     rid, copies = free_name(docs, "rid"), free_name(docs, "copies")
-    kept = chosen.union(texts.where("node is null").select("rid", F.lit(1).cast("long"))).toDF(rid, copies)
-    rows = docs.withColumn(rid, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(kept, rid)
-    return rows.where(F.col(copies) == 1).union(rows.where(F.col(copies) > 1).dropDuplicates([rid])).select(*docs.columns)
+    kept = materialise(chosen.union(texts.where("node is null").select("rid", F.lit(1).cast("long"))), "kept")
+    rows = docs.withColumn(rid, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(kept.toDF(rid, copies), rid)
+    return _one_of_each(rows, rid, copies, _any_copies(kept)).select(*docs.columns)
