@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sequence import cigar_ops, ops_length, reverse_complement
+from tessera.operators.binning import COMPARE, property_filter
 
 #: Flag bits: paired, unmapped, reverse, first, second, secondary, failed, duplicate, supplementary.
 PAIRED, PROPER, UNMAPPED, MATE_UNMAPPED, REVERSE, FIRST, SECOND, SECONDARY, FAILED, DUPLICATE, SUPPLEMENTARY = 1, 2, 4, 8, 16, 64, 128, 256, 512, 1024, 2048
@@ -168,3 +169,49 @@ def fuzzy_distinct(rows: DataFrame, key: str, start: str, end: str, slack: int)
 
     picked = rows.select(key, F.col(start).cast("bigint").alias(start), F.col(end).cast("bigint").alias(end))
     return scan.scan_keys(picked, [key], [start, end], [start, end], fold, StructType([picked.schema[key], StructField(start, LongType()), StructField(end, LongType())]))
+
+
+def _flag(bits: int, set_: bool = True):
+    return lambda: has(F.col("flag"), bits) if set_ else ~has(F.col("flag"), bits)
+
+
+#: The named properties of an alignment that a filter may test.
+PROPERTIES = {
+    "alignmentFlag": lambda: F.col("flag"), "cigar": lambda: F.col("cigar"), "insertSize": lambda: F.col("insert_size"), "isDuplicate": _flag(DUPLICATE), "isFailedQC": _flag(FAILED), "isFirstMate": _flag(FIRST),
+    "isMapped": _flag(UNMAPPED, False), "isMateMapped": _flag(MATE_UNMAPPED, False), "isMateReverseStrand": _flag(32), "isPaired": _flag(PAIRED), "isPrimaryAlignment": _flag(SECONDARY, False), "isProperPair": _flag(PROPER),
+    "isReverseStrand": _flag(REVERSE), "isSecondMate": _flag(SECOND), "isSingleton": lambda: has(F.col("flag"), PAIRED | MATE_UNMAPPED) & ~has(F.col("flag"), UNMAPPED), "length": lambda: F.length("seq"), "mapQuality": lambda: F.col("mapq"),
+    "matePosition": lambda: F.col("mate_pos"), "mateReference": lambda: F.col("rnext"), "name": lambda: F.col("qname"), "position": lambda: F.col("pos"), "queryBases": lambda: F.col("seq"), "reference": lambda: F.col("rname"),
+}
+
+
+def named_filter(properties: dict[str, str]) -> Column:
+    """All of ``{property: test}``: ``true`` or ``false``, a number behind ``>=``, ``<``, ``!`` and so on, or text with ``*`` at an end; ``tag`` is ``XX:test``.
+
+    Such predicates combine by ``&``, ``|`` and ``~`` and are pushed into the scan where they are on columns.
+    """
+    tests = []
+    for name, text in properties.items():
+        key, _, rest = text.partition(":")
+        value, text = (F.col("tags")[key], rest) if name == "tag" else (PROPERTIES[name](), text)
+        if text.lower() in ("true", "false"):
+            tests.append(value if text.lower() == "true" else ~value)
+        else:
+            rule = property_filter(f"x:{text}")
+            tests.append(COMPARE[rule["op"]](value.try_cast("double") if isinstance(rule["value"], float) else value.cast("string"), rule["value"]))
+    return reduce(Column.__and__, tests)
+
+
+def cycle_qualities(rows: DataFrame, seq: str, qual: str, high: int = 20) -> DataFrame:
+    """(cycle, n, mean, high, gc) over all reads: mean quality, bases of good quality, and G or C at each position."""
+    pairs = F.posexplode(F.arrays_zip(F.split(seq, "").alias("b"), F.split(qual, "").alias("q")))
+    one = rows.where(F.length(seq) > 0).select(pairs.alias("cycle", "x")).select("cycle", "x.b", (F.ascii("x.q") - 33).alias("q"))
+    return one.groupBy(F.col("cycle").cast("bigint").alias("cycle")).agg(F.count("*").alias("n"), F.round(F.avg("q"), 4).alias("mean"), F.count_if(F.col("q") >= high).alias("high"), F.count_if(F.col("b").isin("G", "C")).alias("gc"))
+
+
+def called_insertions(calls: DataFrame, least: int = 50, longest_ref: int = 30, quality: float = 100) -> DataFrame:
+    """(chrom, pos, seq) of long insertions among a call's alternates: those that begin with the reference base(s) stand behind them, those that end with them before."""
+    rows = calls.where(F.col("qual") >= quality).select("chrom", "pos", "ref", F.explode(F.arrays_zip("alts", "lens")).alias("x")).select("chrom", "pos", "ref", F.col("x.alts").alias("alt"), F.col("x.lens").alias("len"))
+    n, m = F.length("ref"), F.length("alt")
+    long = rows.where((F.col("len") >= least) & (m >= longest_ref))
+    behind = long.where(F.startswith("alt", "ref")).select("chrom", (F.col("pos") + n).alias("pos"), F.substr("alt", n, m).alias("seq"))
+    return behind.union(long.where(F.endswith("alt", "ref")).select("chrom", "pos", F.substr("alt", F.lit(1), m - n)))

@@ -176,3 +176,25 @@ def breakpoint_rules(spark, sf):
 @query("zero_depth_share", "SELECT l_suppkey, round(avg(CASE WHEN l_quantity < 3 THEN 1.0 ELSE 0.0 END), 6) AS share FROM lineitem GROUP BY 1")
 def zero_depth_share(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg(F.when(F.col("l_quantity") < 3, 1.0).otherwise(0.0)), 6).alias("share"))
+
+
+@query("named_properties", f"""SELECT l_orderkey, l_linenumber FROM lineitem WHERE (({FLAG}) & 4 = 0 AND ({FLAG}) & 16 = 16 AND l_quantity >= 20 AND l_suppkey % 20 <> 3) OR (l_linestatus LIKE 'O%' AND ({FLAG}) & 1024 = 0 AND l_partkey < 50)""")
+def named_properties(spark, sf):
+    rows = _alignments(spark, sf).withColumns({"tags": F.create_map(F.lit("LS"), F.col("l_linestatus")), "l_linenumber": F.col("nm")})
+    keep = op.named_filter({"isMapped": "true", "isReverseStrand": "true", "mapQuality": ">=20", "reference": "!3"}) | op.named_filter({"tag": "LS:O*", "isDuplicate": "false", "position": "<50"})
+    return rows.where(keep).select(F.col("qname").alias("l_orderkey"), "l_linenumber")
+
+
+@query("cycle_qualities", f"""WITH r AS ({READS}), c AS (SELECT i - 1 AS cycle, seq[CAST(i AS INT)] AS b, ord(qual[CAST(i AS INT)]) - 33 AS q FROM (SELECT seq, qual, unnest(range(1, length(seq) + 1)) AS i FROM r))
+ SELECT cycle, count(*) AS n, round(avg(q), 4) AS mean, count(*) FILTER (q >= 20) AS high, count(*) FILTER (b IN ('G', 'C')) AS gc FROM c GROUP BY 1""")
+def cycle_qualities(spark, sf):
+    return op.cycle_qualities(_reads(spark, sf), "seq", "qual")
+
+
+@query("called_insertions", """WITH c AS (SELECT p_partkey AS pos, p_brand AS chrom, left(p_name, 2) AS ref, p_retailprice AS qual, unnest([{'alt': left(p_name, 2) || p_type || p_name, 'len': p_size * 3}, {'alt': p_name || p_type || left(p_name, 2), 'len': p_size * 2}, {'alt': p_type, 'len': 99}]) AS x FROM part),
+ l AS (SELECT chrom, pos, ref, x['alt'] AS alt FROM c WHERE qual >= 905 AND x['len'] >= 50 AND length(x['alt']) >= 15)
+ SELECT chrom, pos + length(ref) AS pos, substr(alt, length(ref)) AS seq FROM l WHERE left(alt, 2) = ref UNION ALL SELECT chrom, pos, left(alt, length(alt) - length(ref)) FROM l WHERE right(alt, 2) = ref""")
+def called_insertions(spark, sf):
+    ref = F.left(F.col("p_name"), F.lit(2))
+    calls = table(spark, sf, "part").select(F.col("p_brand").alias("chrom"), F.col("p_partkey").alias("pos"), ref.alias("ref"), F.array(F.concat(ref, "p_type", "p_name"), F.concat("p_name", "p_type", ref), F.col("p_type")).alias("alts"), F.array(F.col("p_size") * 3, F.col("p_size") * 2, F.lit(99)).alias("lens"), F.col("p_retailprice").alias("qual"))
+    return op.called_insertions(calls, longest_ref=15, quality=905)
