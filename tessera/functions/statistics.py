@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def log_gamma(x: Column) -> Column:
     """ln of the gamma function for x > 0: Stirling's series at x + 8, less the factors stepped over; about 12 digits."""
     z = x + 8
-    series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3))) + 1 / (1260 * F.pow(z, F.lit(5)))
+    #: Stirling's coefficients.
+    series = sum((F.lit(c) / F.pow(z, F.lit(2 * i + 1)) for i, c in enumerate((1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188))), F.lit(0.0))
     steps = x
     for k in range(1, 8):
         steps = steps * (x + k)
