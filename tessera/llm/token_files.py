@@ -34,7 +34,7 @@ FILE_SCHEMA = "doc_id long, shard int, local_start long, n_tokens int, ids array
 #: Bytes of a row group and of a page, rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 8 << 20, 64 << 10, 500
 #: Bytes of input (as the planner knows it) for one file.
-FILE_INPUT = 16 << 20
+FILE_INPUT = 64 << 20
 #: Neighbouring classes of bytes between which a token never stands: runs of letters, digits and marks are tokens of their own, and white space ends them. A mark after an apostrophe is one run with it, a letter may be a contraction.
 ENDS = {(LETTER, MARK), (LETTER, QUOTE), (LETTER, DIGIT), (DIGIT, LETTER), (DIGIT, MARK), (DIGIT, QUOTE), (MARK, LETTER), (MARK, DIGIT), (QUOTE, DIGIT)}
 #: Bytes that begin characters of more than one byte of which some are white space.
@@ -115,7 +115,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if files is None:
         known = int(picked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-known // FILE_INPUT), 100_000))
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known // FILE_INPUT))
     rows = picked.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(encoder(tokenizer_path, end_id), FILE_SCHEMA)
     path = new_path(spark, "tokens")
     rows.write.options(

@@ -51,3 +51,17 @@ def test_decontamination_and_secret_stages(spark, docs):
 def test_stages_accept_an_empty_table(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_with_odd_rows_and_columns(spark):
+    """No lang or source, names that clash with ours, nulls, empty and repeated rows, one long text."""
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, near, "a", 1, 0.5), (2, near + " more", "b", 1, 0.5), (2, near + " more", "b", 1, 0.5), (None, None, None, None, None), (3, "", "c", 1, 0.5), (None, near, "d", 1, 0.5), (4, "x y " * 50_000, "e", 1, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid string, copies int, quality double")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema == docs.schema and out.count() <= len(rows), name
+    kept = [r["rid"] for r in jaccard_join.stage(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted(["a", None, "c", "e"], key=str)
+    ids = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert ids.columns == ["doc_id", "rid", "copies", "quality", "n_tokens", "ids"] and ids.count() == len(rows)
