@@ -77,9 +77,9 @@ def mendelian_conflict(child: tuple[Column, Column], mother: tuple[Column, Colum
     return ~((fits(a, mother) & fits(b, father)) | (fits(b, mother) & fits(a, father)))
 
 
-def overlay(base: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``base`` with ``columns`` replaced where ``updates`` has the key and a value."""
-    new = updates.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+def overlay(base: DataFrame, updates: DataFrame, key: str | list[str], columns: list[str]) -> DataFrame:
+    """``base`` with ``columns`` replaced where ``updates`` has the key (one column or several) and a value."""
+    new = updates.select(*([key] if isinstance(key, str) else key), *[F.col(c).alias(f"__{c}") for c in columns])
     return base.join(new, key, "left").select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns])
 
 

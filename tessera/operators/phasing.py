@@ -92,6 +92,6 @@ def shared_by_most(rows: DataFrame, option: str, group: str) -> DataFrame:
 
 
 def flip_scores(fragments: DataFrame, name: str, block: str, agrees: str) -> DataFrame:
-    """(block, keep, turn): summed log10 odds of fragments for a block's phase and against it; ``agrees`` is the probability that an observation fits."""
+    """(block, keep, turn, flip): summed log10 odds of fragments for a block's phase and against it; ``agrees`` is the probability that an observation fits."""
     per = fragments.groupBy(name, block).agg(F.sum(F.log10(agrees)).alias("k"), F.sum(F.log10(1 - F.col(agrees))).alias("t"))
-    return per.groupBy(block).agg(F.sum("k").alias("keep"), F.sum("t").alias("turn"))
+    return per.groupBy(block).agg(F.sum("k").alias("keep"), F.sum("t").alias("turn")).withColumn("flip", F.col("turn") > F.col("keep"))

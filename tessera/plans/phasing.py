@@ -52,10 +52,10 @@ def fragment_log_odds(spark, sf):
     return out.select("a", "b", F.round("same", 4).alias("same"), F.round("opposite", 4).alias("opposite"))
 
 
-@query("flip_penalty", """WITH f AS (SELECT l_orderkey, l_suppkey % 6 AS b, sum(log10(0.05 + l_discount * 9)) AS k, sum(log10(1 - (0.05 + l_discount * 9))) AS t FROM lineitem GROUP BY 1, 2) SELECT b, round(sum(k), 3) AS keep, round(sum(t), 3) AS turn FROM f GROUP BY 1""")
+@query("flip_penalty", """WITH f AS (SELECT l_orderkey, l_suppkey % 6 AS b, sum(log10(0.05 + l_discount * 9)) AS k, sum(log10(1 - (0.05 + l_discount * 9))) AS t FROM lineitem GROUP BY 1, 2) SELECT b, round(sum(k), 3) AS keep, round(sum(t), 3) AS turn, sum(t) > sum(k) AS flip FROM f GROUP BY 1""")
 def flip_penalty(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 6).alias("b"), (F.lit(0.05) + F.col("l_discount") * 9).alias("p"))
-    return op.flip_scores(rows, "l_orderkey", "b", "p").select("b", F.round("keep", 3).alias("keep"), F.round("turn", 3).alias("turn"))
+    return op.flip_scores(rows, "l_orderkey", "b", "p").select("b", F.round("keep", 3).alias("keep"), F.round("turn", 3).alias("turn"), "flip")
 
 
 TABLES = """SELECT l_partkey, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'O') AS a, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus <> 'O') AS b, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS c, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'O') AS d FROM lineitem GROUP BY 1"""
@@ -190,3 +190,24 @@ def sequence_merge(spark, sf):
 @query("hmm_emissions", "SELECT event_type, CAST(floor(value / 25) AS BIGINT) AS symbol, count(*) AS n FROM events GROUP BY 1, 2")
 def hmm_emissions(spark, sf):
     return table(spark, sf, "events").groupBy("event_type", F.floor(F.col("value") / 25).alias("symbol")).agg(F.count("*").alias("n"))
+
+
+@query("phase_copy", """WITH p AS (SELECT event_id, user_id, event_id % 2 AS gt, event_id % 100 AS ps FROM events WHERE event_type IN ('click', 'view')) SELECT e.event_id, coalesce(p.gt, -1) AS gt, coalesce(p.ps, 0) AS ps FROM events e LEFT JOIN p ON p.event_id = e.event_id AND p.user_id = e.user_id AND e.value < 50""")
+def phase_copy(spark, sf):
+    # Genotype and phase set of a phased call set, put onto the original records by position and allele.
+    e = table(spark, sf, "events")
+    original = e.select("event_id", F.when(F.col("value") < 50, F.col("user_id")).alias("user_id"), F.lit(-1).cast("bigint").alias("gt"), F.lit(0).cast("bigint").alias("ps"))
+    phased = e.where("event_type in ('click', 'view')").select("event_id", "user_id", (F.col("event_id") % 2).alias("gt"), (F.col("event_id") % 100).alias("ps"))
+    from tessera.operators.joining import overlay
+
+    return overlay(original, phased, ["event_id", "user_id"], ["gt", "ps"]).drop("user_id")
+
+
+@query("base_classes", f"""WITH t AS (SELECT p_partkey, translate(p_name, '{BASES[0]}', '{BASES[1]}') AS q FROM part) SELECT p_partkey, length(q) - length(replace(q, 'A', '')) AS a, length(q) - length(replace(q, 'C', '')) AS c, length(q) - length(replace(q, 'G', '')) AS g, length(q) - length(replace(q, 'T', '')) AS t,
+ length(q) - length(replace(q, 'N', '')) AS ambiguous, (length(q) - length(replace(q, 'CG', ''))) // 2 AS cpg FROM t""")
+def base_classes(spark, sf):
+    from tessera.operators.aggregating import class_counts
+
+    q = table(spark, sf, "part").select("p_partkey", F.translate("p_name", *BASES).alias("q"))
+    counts = class_counts(F.col("q"), {"a": "A", "c": "C", "g": "G", "t": "T", "ambiguous": "RYMKSWBDHVN"})
+    return q.select("p_partkey", *counts, F.regexp_count("q", F.lit("CG")).cast("bigint").alias("cpg"))

@@ -26,6 +26,15 @@ def distance_eval(spark, sf):
     return op.evaluate(v.where("event_type = 'purchase'"), v.where("event_type = 'click'"), ["user_id"], "p", 7_200_000_000)
 
 
+@query("distance_eval_strata", """WITH t AS (SELECT user_id, epoch_us(ts) AS p, value < 60 AS c FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, epoch_us(ts) AS p, value < 60 AS c FROM events WHERE event_type = 'click'),
+ a AS (SELECT count(*) AS t, count(*) FILTER (NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = t.user_id AND abs(c.p - t.p) <= 7200000000)) AS fn FROM t WHERE t.c), b AS (SELECT count(*) AS c, count(*) FILTER (NOT EXISTS (SELECT 1 FROM t WHERE t.user_id = c.user_id AND abs(c.p - t.p) <= 7200000000)) AS fp FROM c WHERE c.c)
+ SELECT t - fn AS tp, fn, fp, round(100 * fn / t, 4) AS fnr, round(100 * fp / c, 4) AS fdr FROM a, b""")
+def distance_eval_strata(spark, sf):
+    # Only one stratum is counted; all rows still serve as matches.
+    v = table(spark, sf, "events").select("user_id", "event_type", micros("ts").alias("p"), "value")
+    return op.evaluate(v.where("event_type = 'purchase'"), v.where("event_type = 'click'"), ["user_id"], "p", 7_200_000_000, F.col("value") < 60)
+
+
 @query("genotype_likelihoods", """WITH p AS (SELECT p_partkey, CAST(p_size * 3 % 50 AS DOUBLE) AS a, CAST(p_size * 7 % 41 AS DOUBLE) + 30 AS b, CAST(p_size * 11 % 47 AS DOUBLE) AS c FROM part)
  SELECT p_partkey, CASE WHEN a <= b AND a <= c THEN '0/0' WHEN b <= c THEN '0/1' ELSE '1/1' END AS gt, list_sort([a, b, c])[2] - list_sort([a, b, c])[1] AS gq FROM p""")
 def genotype_likelihoods(spark, sf):
