@@ -44,7 +44,7 @@ from ._store import bounded_batches, documents, materialise, new_path, release
 from ._words import mix, slabs, words
 
 #: Tokens of a chunk, and n-grams of a hash range (about).
-CHUNK_TOKENS, RANGE_KEYS = 2_000_000, 4_000_000
+CHUNK_TOKENS, RANGE_KEYS = 1_000_000, 1_000_000
 #: Bits that are left off the hashes of higher orders.
 SHORTER = np.uint64(8)
 ORDER, TOLERANCE, BUCKETS = 3, 1e-3, 24
@@ -83,13 +83,13 @@ def grams(tokens: np.ndarray, at: np.ndarray, order: int) -> Iterator[np.ndarray
     """Keys of the grams of order 1, 2, ... that end at each position, padded with BEGIN inside their row."""
     key = mix(tokens)
     yield key
-    begin = np.zeros(len(tokens), np.int64)
-    begin[at[:-1]] = at[:-1]
-    begin = np.maximum.accumulate(begin) if len(begin) else begin
-    place = np.arange(len(tokens))
+    begin = np.repeat(at[:-1], np.diff(at)).astype(np.int32)
+    place = np.arange(len(tokens), dtype=np.int32)
     for k in range(1, order):
         with np.errstate(over="ignore"):
-            key = mix(key * np.uint64(0x9FB21C651E98DF25) + tokens[np.maximum(place - k, begin)] + np.uint64(k))
+            key = key * np.uint64(0x9FB21C651E98DF25) + np.uint64(k)
+            key += tokens[np.maximum(place - np.int32(k), begin)]
+            key = mix(key)
         yield key >> SHORTER
 
 
@@ -295,11 +295,13 @@ def score_documents(docs: DataFrame, part, order: int = ORDER, id_col: str = "do
     chunks = spark.table(name)
     ranges = max(width, -(-chunks.count() * chunk_tokens // range_keys))
     blobs = chunks.mapInArrow(chunk_counts(order, ranges), "range int, n int, chunk long, keys binary, train binary, gone binary")
-    answers = blobs.groupBy("range", "n").applyInPandas(add_up, ANSWER)
+    # A table of its own: the blobs' shuffle is gone before the answers are dealt out.
+    answers = materialise(blobs.groupBy("range", "n").applyInPandas(add_up, ANSWER), "lm-answers")
     of_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("range", "n", "train", "gone")).alias("answers"), *(F.sum(c).alias(c) for c in TOTALS))
     names = _columns(order)
     schema = ", ".join([*(f"{c} binary" for c in names), *(f"{c} long" for c in TOTALS)])
     counts = materialise(chunks.join(of_chunk, "chunk").select("docs", "answers", *TOTALS).mapInArrow(chunk_answers(order), schema), "lm-counts")
+    release(answers)
     release(chunks)
     spark.sql(f"DROP TABLE {name}")
     totals = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS)).first()
