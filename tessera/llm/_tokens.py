@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from ._words import SPACE, buffers, hashes
 
 #: Pieces that a worker remembers, at most (about 40 bytes each), and bytes of a piece that is remembered.
-MOST_PIECES, LONGEST = 2_000_000, 64
+MOST_PIECES, LONGEST = 400_000, 64
 #: Classes of bytes: unknown (not ASCII, or control characters), space, other white space, letter, digit, apostrophe, mark.
 OTHER, BLANK, BREAK, LETTER, DIGIT, QUOTE, MARK = range(7)
 CLASS = np.full(256, OTHER, np.int8)

@@ -45,6 +45,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._graph import components
 from ._store import bounded_batches, documents, free_name, materialise, release
@@ -263,13 +264,33 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("rid", F.xxhash64("doc_id", "text"))
 
 
-def _one_of_each(rows: DataFrame, key: str, copies: str, repeated: bool) -> DataFrame:
-    """``rows`` without repeated keys; texts are only dealt out again where some key has copies."""
-    return rows.where(F.col(copies) == 1).union(rows.where(F.col(copies) > 1).dropDuplicates([key])) if repeated else rows
+def _passing(ids: DataFrame, schema: StructType, inside: bool):
+    """A mapInArrow function: rows whose first column passes the filter of ``ids`` (all of those do), or the others."""
+    packed = ids.sparkSession.sparkContext.broadcast(np.packbits(_wanted(ids)))
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = np.unpackbits(packed.value).astype(bool)
+        for batch in batches:
+            keep = passes[_filter_place(batch.column(0).to_numpy(zero_copy_only=False))] == inside
+            if keep.any():
+                yield batch.filter(pa.array(keep))
 
-def _any_copies(rows: DataFrame) -> bool:
-    return bool(rows.where("copies > 1").limit(1).count())
+    return pick, schema
+
+
+def _chosen(rows: DataFrame, rid: str, texts: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows (``rid`` first) that ``kept`` (rid) names, one of each. ``texts``: every rid with how often it is there.
+
+    Most rows are kept, so the others are looked for: rows that pass no filter
+    of theirs stay where they are, and only the rest is dealt out and joined.
+    """
+    named = kept.select("rid", F.lit(True).alias("kept"))
+    odd = texts.select("rid", "copies").join(named, "rid", "left").where("kept is null or copies > 1")
+    odd = materialise(odd.select("rid", F.coalesce("kept", F.lit(False)).alias("kept")), "odd")
+    sure = rows.mapInArrow(*_passing(odd.select("rid"), rows.schema, False))
+    other = rows.mapInArrow(*_passing(odd.select("rid"), rows.schema, True)).join(odd.select(F.col("rid").alias(rid), F.col("kept").alias(kept_name := free_name(rows, "kept"))), rid, "left")
+    once = other.where(F.col(kept_name).isNull()).drop(kept_name)
+    return sure.union(once).union(other.where(F.col(kept_name)).drop(kept_name).dropDuplicates([rid]))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
@@ -277,18 +298,8 @@ def verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
 
     ``repeated``: whether rows of ``docs`` that stand for a node may be there more than once.
     """
-    spark = docs.sparkSession
-    packed = np.packbits(_wanted(pairs.select("u").union(pairs.select("v"))))
-    wanted = spark.sparkContext.broadcast(packed)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = np.unpackbits(wanted.value).astype(bool)
-        for batch in batches:
-            keep = passes[_filter_place(batch.column(0).to_numpy(zero_copy_only=False))]
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-
-    texts = _texts(docs.where("text is not null")).select("rid", "text").mapInArrow(pick, "rid long, text string")
+    rows = _texts(docs.where("text is not null")).select("rid", "text")
+    texts = rows.mapInArrow(*_passing(pairs.select("u").union(pairs.select("v")), rows.schema, True))
     one = texts.dropDuplicates(["rid"]) if repeated else texts
     side = lambda k: one.select(F.col("rid").alias(k), F.col("text").alias(f"text_{k}"))
     joined = pairs.join(side("u"), "u").join(side("v"), "v").select("a", "b", "text_u", "text_v")
@@ -323,9 +334,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     boundary = choose_boundary(few, mean_list)
 
     # One row of each set makes its signatures; copies add none.
-    repeated = _any_copies(nodes)
-    mine = _texts(docs.where("text is not null")).join(nodes.select(F.col("rep").alias("rid"), "copies"), "rid").select("rid", "copies", "text")
-    lists = _one_of_each(mine, "rid", "copies", repeated).select("text").mapInArrow(_signatures(sketch, boundary), LISTS)
+    repeated = bool(nodes.where("copies > 1").limit(1).count())
+    mine = _chosen(_texts(docs.where("text is not null")).select("rid", "text"), "rid", texts.where("node is not null"), nodes.select(F.col("rep").alias("rid")))
+    lists = mine.select("text").mapInArrow(_signatures(sketch, boundary), LISTS)
     by_part = Window.partitionBy("light", "sig", "salt")
     pivot = F.when(F.col("light"), F.struct((-F.col("n")).cast("float").alias("central"), "node", "n", "pos")).otherwise(F.struct("central", "node", "n", "pos"))
     shared = lists.withColumns({"lo": F.min("node").over(by_part), "hi": F.max("node").over(by_part), "pivot": F.max(pivot).over(by_part)}).where("lo <> hi or parts > 1")
@@ -377,8 +388,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     _, texts, labels = linked(picked)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
-    chosen = texts.where("node is not null").join(labels, "node").groupBy("label").agg(F.min_by(F.struct("rid", "copies"), first).alias("x")).select("x.rid", "x.copies")
-    rid, copies = free_name(docs, "rid"), free_name(docs, "copies")
-    kept = materialise(chosen.union(texts.where("node is null").select("rid", F.lit(1).cast("long"))), "kept")
-    rows = docs.withColumn(rid, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(kept.toDF(rid, copies), rid)
-    return _one_of_each(rows, rid, copies, _any_copies(kept)).select(*docs.columns)
+    chosen = texts.where("node is not null").join(labels, "node").groupBy("label").agg(F.min_by("rid", first).alias("rid")).select("rid")
+    rid = free_name(docs, "rid")
+    rows = docs.withColumn(rid, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return _chosen(rows.select(rid, *docs.columns), rid, texts.where("node is not null"), chosen).select(*docs.columns)
