@@ -9,6 +9,7 @@ n^2 / 3.7e19 (3e-6 for ten million).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,6 +114,15 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker between tasks holds none for later."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slabs(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds at most about ``most`` bytes of text; a longer text stands alone."""
     for batch in batches:
@@ -125,3 +135,4 @@ def slabs(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4
             j = max(i + 1, int(np.searchsorted(total, before + most, side="right")))
             yield batch.slice(i, j - i)
             i = j
+    give_back()

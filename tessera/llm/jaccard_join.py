@@ -186,12 +186,12 @@ LISTS = "light boolean, sig long, salt int, parts int, node long, n int, pos int
 
 
 def _signatures(sketch, boundary: int):
-    """mapInArrow: documents to their subset and prefix signatures."""
+    """mapInArrow: (rid, text) of documents to their subset and prefix signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, mask = sketch.value, np.uint64((1 << SKETCH_BITS) - 1)
         for batch in slabs(batches, "text", 2 << 20):
-            h, first = words(batch.column(0))
+            h, first = words(batch.column(1))
             parts: list[tuple] = []
             for s in shingle_sets(h, first):
                 k = len(s)
@@ -278,8 +278,8 @@ def _passing(ids: DataFrame, schema: StructType, inside: bool):
     return pick, schema
 
 
-def _chosen(rows: DataFrame, rid: str, texts: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows (``rid`` first) that ``kept`` (rid) names, one of each. ``texts``: every rid with how often it is there.
+def _chosen(rows: DataFrame, rid: str, texts: DataFrame, kept: DataFrame, then=None, schema: str | None = None) -> DataFrame:
+    """The rows (``rid`` first) that ``kept`` (rid) names, one of each, or what the mapInArrow function ``then`` makes of them. ``texts``: every rid with how often it is there.
 
     Most rows are kept, so the others are looked for: rows that pass no filter
     of theirs stay where they are, and only the rest is dealt out and joined.
@@ -287,10 +287,13 @@ def _chosen(rows: DataFrame, rid: str, texts: DataFrame, kept: DataFrame) -> Dat
     named = kept.select("rid", F.lit(True).alias("kept"))
     odd = texts.select("rid", "copies").join(named, "rid", "left").where("kept is null or copies > 1")
     odd = materialise(odd.select("rid", F.coalesce("kept", F.lit(False)).alias("kept")), "odd")
-    sure = rows.mapInArrow(*_passing(odd.select("rid"), rows.schema, False))
+    apart = _passing(odd.select("rid"), rows.schema, False)[0]
+    # One function, so that a task needs one worker.
+    sure = rows.mapInArrow((lambda batches: then(apart(batches))) if then else apart, schema or rows.schema)
     other = rows.mapInArrow(*_passing(odd.select("rid"), rows.schema, True)).join(odd.select(F.col("rid").alias(rid), F.col("kept").alias(kept_name := free_name(rows, "kept"))), rid, "left")
     once = other.where(F.col(kept_name).isNull()).drop(kept_name)
-    return sure.union(once).union(other.where(F.col(kept_name)).drop(kept_name).dropDuplicates([rid]))
+    rest = once.union(other.where(F.col(kept_name)).drop(kept_name).dropDuplicates([rid]))
+    return sure.union(rest.mapInArrow(then, schema) if then else rest)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
@@ -335,8 +338,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     # One row of each set makes its signatures; copies add none.
     repeated = bool(nodes.where("copies > 1").limit(1).count())
-    mine = _chosen(_texts(docs.where("text is not null")).select("rid", "text"), "rid", texts.where("node is not null"), nodes.select(F.col("rep").alias("rid")))
-    lists = mine.select("text").mapInArrow(_signatures(sketch, boundary), LISTS)
+    rows = _texts(docs.where("text is not null")).select("rid", "text")
+    lists = _chosen(rows, "rid", texts.where("node is not null"), nodes.select(F.col("rep").alias("rid")), _signatures(sketch, boundary), LISTS)
     by_part = Window.partitionBy("light", "sig", "salt")
     pivot = F.when(F.col("light"), F.struct((-F.col("n")).cast("float").alias("central"), "node", "n", "pos")).otherwise(F.struct("central", "node", "n", "pos"))
     shared = lists.withColumns({"lo": F.min("node").over(by_part), "hi": F.max("node").over(by_part), "pivot": F.max(pivot).over(by_part)}).where("lo <> hi or parts > 1")
