@@ -16,18 +16,26 @@ Score: 0.5 for the pattern, 0.3 for a passed checksum, 0.2 for a context word
 within 40 characters before or behind (behind as far as the end of the gap
 that follows the next match). Base spans stay whatever their score.
 
-A null text is empty (no span), repeated rows are scanned alike, an empty
+Spans of one kind never overlap and have different starts; spans of different
+kinds may, and all stay, also those that start alike. Texts are scanned whole,
+a very long one in one task; time grows with its length and its matches.
+
+A null or empty text has no span, repeated rows are scanned alike, an empty
 table gives an empty result, and other columns do not matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import documents
 
 CONTEXT_CHARS = 40
+#: Matches whose spans are gathered together.
+BLOCK = 512
 #: Least score of a span that is not in the base.
 LEAST_SCORE = 0.7
 
@@ -83,16 +91,27 @@ BASE = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spans(text: Column, kind: str) -> Column:
-    """Array of (kind, start, end, score): confirmed matches of one kind, ascending."""
+    """Array of (kind, start, end, score): confirmed matches of one kind, ascending.
+
+    The time is linear in the text but for the arrays of confirmed spans, which are copied as
+    they grow; they are gathered in blocks of ``BLOCK`` matches, and blocks in one array.
+    """
     pattern, may, valid, checksum, context = KINDS[kind]
     ahead = kind == "iban"
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(int(ahead)))
-    gaps = F.split(text, pattern, -1)
-    # A match looked ahead for begins its own following gap.
-    behind = lambda i: F.left(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(hits, i + 1), F.lit("")), F.coalesce(F.get(gaps, i + 2), F.lit(""))), F.lit(CONTEXT_CHARS))
-    rows = F.transform(hits, lambda h, i: F.struct(F.get(gaps, i).alias("gap"), h.alias("hit"), behind(i).alias("behind")))
-    none = F.array().cast(SPAN)
+    none, blocks = F.array().cast(SPAN), F.array().cast(f"array<{SPAN}>")
+
+    def rows(found: Column) -> Column:
+        gaps, hits = found["gaps"], found["hits"]
+        # A match looked ahead for begins its own following gap.
+        near = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(CONTEXT_CHARS))
+        behind = lambda i: F.left(F.concat(near(F.get(gaps, i + 1)), near(F.get(hits, i + 1)), near(F.get(gaps, i + 2))), F.lit(CONTEXT_CHARS))
+        return F.transform(hits, lambda h, i: F.struct(F.get(gaps, i).alias("gap"), h.alias("hit"), behind(i).alias("behind")))
 
     def walk(state: Column, row: Column) -> Column:
         start = state["at"] + F.length(row["gap"])
@@ -100,18 +119,27 @@ def spans(text: Column, kind: str) -> Column:
         confirmed = F.lit(True) if valid is None else valid(row["hit"])
         eaten = F.substring(row["hit"], 1, IBAN_HEAD) if ahead else row["hit"]
         # The gap begins behind the last match, the context may begin before it.
-        before = F.concat(state["tail"], F.right(row["gap"], F.lit(CONTEXT_CHARS)))
-        near = F.lower(F.concat_ws(" ", F.right(before, F.lit(CONTEXT_CHARS)), row["behind"])).rlike(rf"\b(?:{context})")
+        before = F.right(F.concat(state["tail"], F.right(row["gap"], F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
+        near = F.lower(F.concat_ws(" ", before, row["behind"])).rlike(rf"\b(?:{context})")
         score = F.lit(0.8 if checksum else 0.5) + F.when(near, 0.2).otherwise(0.0)
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-        take = confirmed & (F.lit(kind in BASE) | (score >= LEAST_SCORE))
+        span = lambda score: F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
+        more = let(score, lambda s: F.when(F.lit(kind in BASE) | (s >= LEAST_SCORE), F.array_append(state["out"], span(s))).otherwise(state["out"]))
         tail = F.right(F.concat(before, F.right(eaten, F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
-        return F.struct((start + F.length(eaten)).alias("at"), tail.alias("tail"), F.when(take, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+        return F.struct((start + F.length(eaten)).alias("at"), tail.alias("tail"), F.when(confirmed, more).otherwise(state["out"]).alias("out"))
+
+    def walk_block(state: Column, block: Column) -> Column:
+        begin = F.struct(state["at"].alias("at"), state["tail"].alias("tail"), none.alias("out"))
+        end = lambda s: F.struct(s["at"].alias("at"), s["tail"].alias("tail"), F.array_append(state["out"], s["out"]).alias("out"))
+        return let(F.aggregate(block, begin, walk), end)
+
+    def walk_all(rows: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)), F.lit(BLOCK))
+        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail"), blocks.alias("out"))
+        return F.aggregate(F.transform(numbers, lambda n: F.slice(rows, n + 1, BLOCK)), begin, walk_block, lambda s: F.flatten(s["out"]))
 
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail"), none.alias("out"))
-    walked = F.aggregate(rows, begin, walk, lambda s: s["out"])
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(int(ahead))).alias("hits"))
     able = may(text) if may else text.rlike(pattern)
-    return F.when(able, walked).otherwise(none)
+    return F.when(able, let(found, lambda f: let(rows(f), walk_all))).otherwise(none)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:

@@ -149,6 +149,17 @@ def test_op3_spans(spark, folder):
         assert [r[f"n_{k}"] for k in brute.PII] == [sum(s.startswith(k) for s in want.split(",")) for k in brute.PII]
 
 
+def test_op3_time_is_linear_in_the_matches(spark):
+    import time
+
+    began = time.time()
+    mails = " ".join(f"u{i}@example.com" for i in range(16_000))
+    numbers = ", ".join(str(10 + i % 90) for i in range(250_000))
+    rows = {r["doc_id"]: r["pii"] for r in pii.find_pii(spark.createDataFrame([(1, mails), (2, numbers)], "doc_id long, text string")).collect()}
+    assert ",".join(f"{x['kind']}:{x['start']}:{x['end']}" for x in rows[1]) == brute.pii(mails) and rows[2] == []
+    assert time.time() - began < 60  # hours before spans of a text were gathered once
+
+
 def test_op3_validators(spark):
     docs = spark.createDataFrame([(0, "konto DE89 3704 0044 0532 0130 00."), (1, "DE89 3704 0044 0532 0130 01"), (2, "amex 378282246310005"), (3, "ssn 123-45-6789, 987-65-4321"), (4, "123-45-6789")], "doc_id long, text string")
     found = {r["doc_id"]: [(s["kind"], s["score"]) for s in r["pii"]] for r in pii.find_pii(docs).collect()}
