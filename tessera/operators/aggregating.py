@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.windowing import join_on, totals_below
+
 
 def first_hit(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
     """``value`` of the first row of each key by ``order``; ``min_by`` needs no sort of the group."""
@@ -26,7 +28,19 @@ def trimmed_mean(df: DataFrame, key: str, order: list, value: str, ends: int) ->
 
 def depth_stats(df: DataFrame, key: str, value: str, above: float = 0) -> DataFrame:
     """Mean, exact median, share above a bound, and count."""
-    return df.groupBy(key).agg(F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.avg(F.when(F.col(value) > above, 1.0).otherwise(0.0)).alias("covered"), F.count("*").alias("n"))
+    stats = df.groupBy(key).agg(F.avg(value).alias("mean"), F.avg(F.when(F.col(value) > above, 1.0).otherwise(0.0)).alias("covered"), F.count("*").alias("n"))
+    return join_on(stats, exact_percentiles(df, [key], value, {"median": 0.5}), [key], "left").select(key, "mean", "median", "covered", "n")
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Interpolated percentiles of each key, exact: equal values are counted first, and ranks come from ranges of values, so no task holds a key's values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    ranked = totals_below(counts, keys, value, "__c", "__below")
+    total = ranked.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    at = lambda q: (F.col("__n") - 1) * F.lit(q)
+    held = lambda rank: F.max(F.when((F.col("__below") <= rank) & (rank < F.col("__below") + F.col("__c")), F.col(value)))
+    line = lambda q: held(F.floor(at(q))) + (held(F.ceil(at(q))) - held(F.floor(at(q)))) * (F.max(at(q)) - F.floor(F.max(at(q))))
+    return join_on(ranked, total, keys).groupBy(*keys).agg(*(line(q).alias(name) for name, q in shares.items()))
 
 
 def phase_ratio(df: DataFrame, key: str, beta: Column, first: Column) -> DataFrame:
@@ -70,16 +84,16 @@ def kmers(df: DataFrame, text: str, k: int) -> DataFrame:
     return df.where(F.length(text) >= k).select(F.explode(F.transform(starts, lambda i: F.substr(text, i, F.lit(k)))).alias("kmer"))
 
 
-def per_position(df: DataFrame, text: str, most: int | None, classes: dict[str, str]) -> DataFrame:
-    """Counts of character classes at each position, or each of the first ``most`` where it is given."""
-    chars = df.select(F.posexplode(F.split(F.col(text) if most is None else F.substring(text, 1, most), "")).alias("pos", "c")).where("c <> ''")
+def per_position(df: DataFrame, text: str, classes: dict[str, str]) -> DataFrame:
+    """Counts of character classes at each position of the whole texts."""
+    chars = df.select(F.posexplode(F.split(F.col(text), "")).alias("pos", "c")).where("c <> ''")
     return chars.groupBy(F.col("pos").cast("bigint").alias("pos")).agg(F.count("*").alias("n"), *[F.count_if(F.contains(F.lit(set_), F.col("c"))).alias(name) for name, set_ in classes.items()])
 
 
 def fenced_mean(df: DataFrame, key: str, value: str, fence: float = 1.5) -> DataFrame:
     """Quartiles, then mean and deviation of the values inside the quartiles widened by ``fence`` times their distance."""
-    q = df.groupBy(key).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
-    inside = df.join(q, key).where((F.col(value) >= F.col("q1") - fence * (F.col("q3") - F.col("q1"))) & (F.col(value) <= F.col("q3") + fence * (F.col("q3") - F.col("q1"))))
+    q = exact_percentiles(df, [key], value, {"q1": 0.25, "q3": 0.75})
+    inside = join_on(df, q, [key]).where((F.col(value) >= F.col("q1") - fence * (F.col("q3") - F.col("q1"))) & (F.col(value) <= F.col("q3") + fence * (F.col("q3") - F.col("q1"))))
     return inside.groupBy(key).agg(F.first("q1").alias("q1"), F.first("q3").alias("q3"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count("*").alias("n"))
 
 
@@ -97,13 +111,23 @@ def pair_cover(df: DataFrame, item: str, option: str, cost: str) -> DataFrame:
     return sums.withColumn("cost", F.round("cost", 2))
 
 
-def n50(df: DataFrame, key: str, length: str, order: str) -> DataFrame:
-    """The length at which the running total of descending lengths first passes half of all."""
-    w = Window.partitionBy(key).orderBy(F.desc(length), order)
-    run = df.withColumns({"run": F.sum(length).over(w), "all": F.sum(length).over(Window.partitionBy(key))})
+def n50(df: DataFrame, key: str, length: str) -> DataFrame:
+    """The length at which the running total of descending lengths first passes half of all; lengths are counted first, so a window has a row a length."""
+    counts = df.groupBy(key, length).agg((F.count("*") * F.col(length)).alias("__s"))
+    w = Window.partitionBy(key).orderBy(F.desc(length))
+    run = counts.withColumns({"run": F.sum("__s").over(w), "all": F.sum("__s").over(Window.partitionBy(key))})
     return run.where(F.col("run") * 2 > F.col("all")).groupBy(key).agg(F.max(length).alias("n50"))
 
 
+def an50(df: DataFrame, key: str, span: str, phased: str, within: str, sites: str) -> DataFrame:
+    """The adjusted span (span times the phased share of its sites) at which blocks in descending order first hold more than half of a key's ``sites`` in phased ones; no row for a key that never does."""
+    blocks = df.where(F.col(within) > 0).select(key, (F.col(span) * F.col(phased) / F.col(within)).alias("an50"), F.col(phased).alias("__p"), F.col(sites).alias("__n"))
+    counts = blocks.groupBy(key, "an50").agg(F.sum("__p").alias("__s"))
+    whole = blocks.groupBy(key).agg(F.sum("__p").alias("__all"), F.max("__n").alias("__n"))
+    passed = join_on(totals_below(counts, [key], "an50", "__s"), whole, [key]).where(2 * (F.col("__all") - F.col("below")) > F.col("__n"))
+    return passed.groupBy(key).agg(F.max("an50").alias("an50"))
+
+
 def weighted_identity(df: DataFrame, key: str, mismatches: Column, length: str) -> DataFrame:
     """100 * (1 - mismatches / length) over all rows of a key."""
     return df.groupBy(key).agg((100 * (1 - F.sum(mismatches) / F.sum(length))).alias("identity"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sequence import cigar_ops, ops_length, reverse_complement
+from tessera.operators.aggregating import exact_percentiles
 from tessera.operators.binning import COMPARE, property_filter
 
 #: Flag bits: paired, unmapped, reverse, first, second, secondary, failed, duplicate, supplementary.
@@ -47,8 +48,9 @@ def overlap_states(rows: DataFrame, spans: DataFrame, keys: list[str], start: st
 
 
 def sampled(name: Column, rate: float, seed: int = 0) -> Column:
-    """Whether a whole number that stands for a name is in a sample of ``rate``; rows of a name go together."""
-    return ((name + seed) * F.lit(2654435761)) % F.lit(1 << 32) < rate * (1 << 32)
+    """Whether a name (text or number) is in a sample of ``rate``, by the first 32 bits of the MD5 of seed and name; rows of a name go together."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name.cast("string")))
+    return F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint") < F.lit(rate * (1 << 32))
 
 
 def to_bed(rows: DataFrame) -> DataFrame:
@@ -91,7 +93,9 @@ def flag_counts(rows: DataFrame, flag: str, insert: Column) -> DataFrame:
         "both_mapped": both, "first": has(f, PAIRED | FIRST), "second": has(f, PAIRED | SECOND), "singletons": has(f, PAIRED | MATE_UNMAPPED) & ~has(f, UNMAPPED),
     }
     size = F.when(has(f, PAIRED | PROPER | FIRST) & both, insert)
-    return rows.agg(F.count("*").alias("total"), *(F.count_if(t).alias(n) for n, t in tests.items()), F.round(F.avg(size), 4).alias("insert_mean"), F.percentile(size, 0.5).alias("insert_median"))
+    counts = rows.agg(F.count("*").alias("total"), *(F.count_if(t).alias(n) for n, t in tests.items()), F.round(F.avg(size), 4).alias("insert_mean")).withColumn("__k", F.lit(0))
+    median = exact_percentiles(rows.select(F.lit(0).alias("__k"), size.alias("__size")), ["__k"], "__size", {"insert_median": 0.5})
+    return counts.join(median, "__k", "left").drop("__k")
 
 
 def split_values(rows: DataFrame, flag: str, reference: str, tag: Column) -> DataFrame:

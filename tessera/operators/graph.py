@@ -7,11 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.storage import settle
-
-
-def _changed(after: DataFrame, before: DataFrame, label: str) -> bool:
-    return bool(after.join(before.select("u", F.col(label).alias("__was")), "u").where(F.col(label) != F.col("__was")).limit(1).count())
+from tessera.storage import discard, settle
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -20,10 +16,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     labels = settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")))
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), F.col("c").alias("n")), "v").groupBy("u").agg(F.min("n").alias("n"))
-        after = labels.join(near, "u").select("u", F.least("c", "n").alias("c"))
-        jump = settle(after.alias("x").join(after.select(F.col("u").alias("c"), F.col("c").alias("j")).alias("y"), "c").select("u", F.least("c", "j").alias("c")))
-        changed, labels = _changed(jump, labels, "c"), jump
-        if not changed:
+        after = labels.join(near, "u").select("u", F.least("c", "n").alias("c"), F.col("c").alias("was"))
+        jump = settle(after.join(after.select(F.col("u").alias("c"), F.col("c").alias("j")), "c").select("u", F.least("c", "j").alias("c"), "was"))
+        discard(labels)
+        labels = jump.select("u", "c")
+        if not jump.where("c <> was").limit(1).count():
+            discard(both)
             return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 
@@ -40,11 +38,14 @@ def signed_components(edges: DataFrame, a: str, b: str, flip: str) -> DataFrame:
     labels = settle(both.select("u").distinct().select("u", pair("u", F.lit(0).cast("bigint")).alias("l")))
     while True:
         seen = both.join(labels.select(F.col("u").alias("v"), "l"), "v").select("u", pair("l.c", F.col("l.s").bitwiseXOR(F.col("f"))).alias("l"))
-        after = labels.union(seen).groupBy("u").agg(F.min("l").alias("l"))
+        both_labels = labels.withColumn("was", F.col("l")).union(seen.withColumn("was", F.lit(None)))
+        after = both_labels.groupBy("u").agg(F.min("l").alias("l"), F.max("was").alias("was"))
         roots = after.select(F.col("u").alias("r"), F.col("l").alias("j"))
-        jump = settle(after.join(roots, F.col("l.c") == F.col("r")).select("u", F.least("l", pair("j.c", F.col("l.s").bitwiseXOR(F.col("j.s")))).alias("l")))
-        changed, labels = _changed(jump, labels, "l"), jump
-        if not changed:
+        jump = settle(after.join(roots, F.col("l.c") == F.col("r")).select("u", F.least("l", pair("j.c", F.col("l.s").bitwiseXOR(F.col("j.s")))).alias("l"), "was"))
+        discard(labels)
+        labels = jump.select("u", "l")
+        if not jump.where("l <> was").limit(1).count():
+            discard(both)
             return labels.select(F.col("u").alias("node"), F.col("l.c").alias("component"), F.col("l.s").alias("side"))
 
 

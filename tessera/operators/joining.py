@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.storage import settle
+from tessera.storage import discard, settle
 
 
 def lookup(facts: DataFrame, dim: DataFrame, key: str, value: str, default) -> DataFrame:
@@ -100,9 +100,20 @@ def levels(nodes: DataFrame, node: str, parent: str) -> DataFrame:
         out.append(current)
         i += 1
         current = settle(children.join(current.select(F.col("node").alias("parent")), "parent").select("node", F.lit(i).cast("bigint").alias("level")))
+    discard(children, current)
     return reduce(DataFrame.unionByName, out)
 
 
+def shared_lengths(sources: dict[str, DataFrame], key: str, start: str, end: str) -> DataFrame:
+    """(key, held, n): positions that just the sources named in ``held`` (joined in order) cover, by one sweep over all ends of half-open intervals."""
+    ends = [df.select(key, F.explode(F.array(*[F.struct(F.col(c).alias("at"), *[F.lit(d if other == name else 0).alias(f"d_{other}") for other in sources]) for c, d in ((start, 1), (end, -1))])).alias("x")).select(key, "x.*") for name, df in sources.items()]
+    events = reduce(DataFrame.union, ends).groupBy(key, "at").agg(*(F.sum(f"d_{n}").alias(f"d_{n}") for n in sources))
+    w = Window.partitionBy(key).orderBy("at")
+    held = F.concat(*[F.when(F.sum(f"d_{n}").over(w) > 0, n).otherwise("") for n in sources])
+    parts = events.select(key, held.alias("held"), (F.lead("at").over(w) - F.col("at")).alias("n")).where("n is not null and held <> ''")
+    return parts.groupBy(key, "held").agg(F.sum("n").alias("n"))
+
+
 def explode_aliases(rows: DataFrame, members: str, group: str, separator: str = "/") -> DataFrame:
     """(member, group) of packed member lists; an empty group names the member itself."""
     one = rows.select(F.explode(F.split(members, separator)).alias("member"), F.col(group))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ def rolling_mean(depths: DataFrame, key: str, pos: str, value: str, width: int,
     positions of the range before, so a long key is many tasks' work.
     """
     block = F.floor(F.col(pos) / span)
-    blocks = F.when(F.pmod(F.col(pos), F.lit(span)) >= span - width, F.array(block, block + 1)).otherwise(F.array(block))
+    # A position counts for the ``width`` behind it, in as many ranges as those touch.
+    blocks = F.sequence(block, F.floor((F.col(pos) + width) / span))
     w = Window.partitionBy(key, "__b").orderBy(pos).rowsBetween(-width, -1)
     parts = depths.withColumn("__b", F.explode(blocks)).withColumns({"mean": F.avg(value).over(w), "seen": F.count("*").over(w)})
     return parts.where(F.col("__b") == block).drop("__b")
@@ -126,10 +129,44 @@ def interpolate(points: DataFrame, known: DataFrame, key: str, at: str, x: str,
     return seen.select("__p.*", F.coalesce(line, y0, y1).alias("interpolated"))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by ``keys``, null meeting null, with the columns of the left side and the other columns of the right."""
+    named = right.select(*(F.col(k).alias(f"__on_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    return left.join(named, reduce(Column.__and__, (left[k].eqNullSafe(named[f"__on_{k}"]) for k in keys)), how).drop(*(f"__on_{k}" for k in keys))
+
+
+def running_total(df: DataFrame, keys: list[str], order: str, value: Column, span: int = 100_000, name: str = "total") -> DataFrame:
+    """``name``: the sum of ``value`` up to each row by ``order`` (whole numbers, unique within a key), ranges of ``span`` numbers summed apart."""
+    rows = df.withColumns({"__b": F.floor(F.col(order) / span), "__v": value})
+    before = F.sum("__s").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    bases = rows.groupBy(*keys, "__b").agg(F.sum("__v").alias("__s")).select(*keys, "__b", F.coalesce(before, F.lit(0)).alias("__o"))
+    own = F.sum("__v").over(Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return join_on(rows.withColumn("__t", own), bases, [*keys, "__b"]).withColumn(name, F.col("__o") + F.col("__t")).drop("__b", "__v", "__o", "__t")
+
+
+#: Ranges of values that a key is cut into where its values are ranked.
+RANGES = 256
+
+
+def totals_below(df: DataFrame, keys: list[str], value: str, weight: str, name: str = "below") -> DataFrame:
+    """``name``: the summed ``weight`` of a key's smaller values. Values of a key are distinct.
+
+    Quantiles cut a key's values into ranges; a range is one window, and what
+    lies below it is a sum over one row a range, so a long key is many tasks' work.
+    """
+    edges = df.groupBy(*keys).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("__edges"))
+    rows = join_on(df, edges, keys).withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
+    before = F.sum("__s").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    bases = rows.groupBy(*keys, "__b").agg(F.sum(weight).alias("__s")).select(*keys, "__b", F.coalesce(before, F.lit(0)).alias("__o"))
+    own = F.coalesce(F.sum(weight).over(Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return join_on(rows.withColumn("__t", own), bases, [*keys, "__b"]).withColumn(name, F.col("__o") + F.col("__t")).drop("__b", "__o", "__t")
+
+
 def average_rank(df: DataFrame, group: str, value: str) -> DataFrame:
-    """``avg_rank``: the mean rank of equal values."""
-    w = Window.partitionBy(group).orderBy(value)
-    return df.withColumn("avg_rank", F.rank().over(w) + (F.count("*").over(Window.partitionBy(group, value)) - 1) / 2.0)
+    """``avg_rank``: the mean rank of equal values of a group; equal values are counted before anything is sorted."""
+    counts = df.groupBy(group, value).agg(F.count("*").alias("__n"))
+    ranks = totals_below(counts, [group], value, "__n").select(group, value, (F.col("below") + (F.col("__n") + 1) / 2.0).alias("avg_rank"))
+    return join_on(df, ranks, [group, value])
 
 
 def elementary_segments(df: DataFrame, key: str, start: str, end: str) -> DataFrame:

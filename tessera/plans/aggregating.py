@@ -82,9 +82,9 @@ def composition(spark, sf):
 KMER = "SELECT substr(text, CAST(i AS INT), 5) AS kmer FROM (SELECT text, unnest(range(1, length(text) - 3)) AS i FROM benchmark WHERE length(text) >= 5)"
 
 
-@query("kmer_count", f"SELECT kmer, count(*) AS n FROM ({KMER}) GROUP BY 1 ORDER BY n DESC, kmer LIMIT 50")
+@query("kmer_count", f"SELECT kmer, count(*) AS n FROM ({KMER}) GROUP BY 1")
 def kmer_count(spark, sf):
-    return op.kmers(table(spark, sf, "benchmark"), "text", 5).groupBy("kmer").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kmer").limit(50)
+    return op.kmers(table(spark, sf, "benchmark"), "text", 5).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 @query("kmer_hist", f"SELECT n, count(*) AS kmers FROM (SELECT kmer, count(*) AS n FROM ({KMER}) GROUP BY 1) GROUP BY 1")
@@ -92,16 +92,16 @@ def kmer_hist(spark, sf):
     return op.kmers(table(spark, sf, "benchmark"), "text", 5).groupBy("kmer").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("kmers"))
 
 
-@query("per_position_qc", """WITH c AS (SELECT i - 1 AS pos, substr(text, CAST(i AS INT), 1) AS c FROM (SELECT text, unnest(range(1, least(length(text), 40) + 1)) AS i FROM documents))
+@query("per_position_qc", """WITH c AS (SELECT i - 1 AS pos, substr(text, CAST(i AS INT), 1) AS c FROM (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM documents))
  SELECT pos, count(*) AS n, count(*) FILTER (contains('aeiou', c)) AS vowels, count(*) FILTER (contains('0123456789', c)) AS digits FROM c GROUP BY 1""")
 def per_position_qc(spark, sf):
-    return op.per_position(table(spark, sf, "documents"), "text", 40, {"vowels": "aeiou", "digits": "0123456789"})
+    return op.per_position(table(spark, sf, "documents"), "text", {"vowels": "aeiou", "digits": "0123456789"})
 
 
 @query("per_position_whole", """WITH c AS (SELECT i - 1 AS pos, substr(text, CAST(i AS INT), 1) AS c FROM (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM documents))
  SELECT pos, count(*) AS n, count(*) FILTER (contains('aeiou', c)) AS vowels, count(*) FILTER (contains('0123456789', c)) AS digits FROM c GROUP BY 1""")
 def per_position_whole(spark, sf):
-    return op.per_position(table(spark, sf, "documents"), "text", None, {"vowels": "aeiou", "digits": "0123456789"})
+    return op.per_position(table(spark, sf, "documents"), "text", {"vowels": "aeiou", "digits": "0123456789"})
 
 
 @query("tag_molecules", "SELECT user_id, event_type, min(epoch_us(ts)) AS first_at, max(epoch_us(ts)) AS last_at, count(*) AS n FROM events GROUP BY 1, 2")
@@ -136,7 +136,16 @@ def pair_genotype(spark, sf):
 
 @query("n50", """WITH r AS (SELECT lang, n_chars, sum(n_chars) OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS run, sum(n_chars) OVER (PARTITION BY lang) AS a FROM documents) SELECT lang, max(n_chars) AS n50 FROM r WHERE run * 2 > a GROUP BY 1""")
 def n50(spark, sf):
-    return op.n50(table(spark, sf, "documents").select("lang", "n_chars", "doc_id"), "lang", "n_chars", "doc_id")
+    return op.n50(table(spark, sf, "documents").select("lang", "n_chars"), "lang", "n_chars")
+
+
+@query("an50", """WITH b AS (SELECT l_suppkey % 10 AS k, l_orderkey, max(l_partkey) - min(l_partkey) AS span, count(*) FILTER (l_linestatus = 'O') AS p, count(*) AS n FROM lineitem GROUP BY 1, 2),
+ a AS (SELECT k, CAST(span * p AS DOUBLE) / n AS an, p, sum(n) OVER (PARTITION BY k) AS sites FROM b), r AS (SELECT k, an, sites, sum(p) OVER (PARTITION BY k ORDER BY an DESC) AS run FROM a)
+ SELECT k, round(max(an), 4) AS an50 FROM r WHERE 2 * run > sites GROUP BY 1""")
+def an50(spark, sf):
+    b = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("k"), "l_orderkey").agg((F.max("l_partkey") - F.min("l_partkey")).alias("span"), F.count_if(F.col("l_linestatus") == "O").alias("p"), F.count("*").alias("n"))
+    sites = b.groupBy("k").agg(F.sum("n").alias("sites"))
+    return op.an50(b.join(sites, "k"), "k", "span", "p", "n", "sites").select("k", F.round("an50", 4).alias("an50"))
 
 
 @query("truth_unpivot", """WITH w AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS y, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1) SELECT y, 'o' AS status, o AS n FROM w UNION ALL SELECT y, 'f', f FROM w""")

@@ -35,10 +35,10 @@ def interval_overlap_states(spark, sf):
     return op.overlap_states(x.where("o_orderstatus = 'O'").withColumn("k", F.col("o_custkey") % 60), x.where("o_orderstatus = 'P'"), ["k"], "s", "e", 64)
 
 
-@query("alignment_view", f"WITH x AS ({SPANS}) SELECT o_orderkey FROM x a WHERE o_orderstatus = 'O' AND NOT {MEETS} AND (o_custkey * 2654435761) % 4294967296 < 0.5 * 4294967296")
+@query("alignment_view", f"WITH x AS ({SPANS}) SELECT o_orderkey FROM x a WHERE o_orderstatus = 'O' AND NOT {MEETS} AND CAST('0x' || left(md5('0:Customer#' || o_custkey), 8) AS BIGINT) < 0.5 * 4294967296")
 def alignment_view(spark, sf):
     x = _spans(spark, sf)
-    return op.overlapping(x.where("o_orderstatus = 'O'").where(op.sampled(F.col("o_custkey"), 0.5)), x.where("o_orderstatus = 'P'"), ["k"], "s", "e", 64, "left_anti").select("o_orderkey")
+    return op.overlapping(x.where("o_orderstatus = 'O'").where(op.sampled(F.concat(F.lit("Customer#"), F.col("o_custkey").cast("string")), 0.5)), x.where("o_orderstatus = 'P'"), ["k"], "s", "e", 64, "left_anti").select("o_orderkey")
 
 
 FLAG = "(l_orderkey * 7 + l_linenumber * 37) % 4096"

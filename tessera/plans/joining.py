@@ -193,9 +193,12 @@ def unique_to_one(spark, sf):
     return sets.unique_to_one(table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(s, "l_suppkey"), "l_orderkey", "s_nationkey").withColumnRenamed("s_nationkey", "nation")
 
 
-@query("interval_compare", """WITH x AS (SELECT o_custkey AS k, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s FROM orders) SELECT k, count(*) AS n, min(s) AS first_day, max(s) + 30 AS last_day FROM x GROUP BY 1""")
+@query("interval_compare", """WITH x AS (SELECT o_custkey % 50 AS k, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s, o_orderkey % 9 + 1 AS n, o_orderstatus AS t FROM orders),
+ p AS (SELECT DISTINCT k, t, unnest(range(s, s + n)) AS day FROM x), d AS (SELECT k, day, string_agg(t, '' ORDER BY t) AS held FROM p GROUP BY 1, 2) SELECT k, held, count(*) AS n FROM d GROUP BY 1, 2""")
 def interval_compare(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), days("o_orderdate").alias("s")).groupBy("k").agg(F.count("*").alias("n"), F.min("s").alias("first_day"), (F.max("s") + 30).alias("last_day"))
+    s = days("o_orderdate")
+    x = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("k"), s.alias("s"), (s + F.col("o_orderkey") % 9 + 1).alias("e"), "o_orderstatus")
+    return op.shared_lengths({t: x.where(F.col("o_orderstatus") == t) for t in "FOP"}, "k", "s", "e")
 
 
 @query("combo_best", """WITH s AS (SELECT p_brand, p_type, avg(p_retailprice) AS x, sum(p_size) AS f FROM part GROUP BY 1, 2), r AS (SELECT p_brand, p_type, round(x, 2) AS score, row_number() OVER (PARTITION BY p_brand ORDER BY round(x, 2) DESC, f DESC, p_type) AS rn FROM s)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import aggregating
 from tessera.operators import windowing as op
 
 from .registry import days, micros, query, table
@@ -80,7 +81,7 @@ def dup_suffix(spark, sf):
  SELECT user_id, CAST(sum(n) AS BIGINT) AS flips, CAST(sum(n // 2) AS BIGINT) AS mismatches, CAST(sum(n % 2) AS BIGINT) AS switches FROM r GROUP BY 1""")
 def switch_errors(spark, sf):
     v = _events(spark, sf)
-    m = v.groupBy("event_type").agg(F.percentile("value", 0.5).alias("med"))
+    m = aggregating.exact_percentiles(v, ["event_type"], "value", {"med": 0.5})
     s = v.join(m, "event_type").withColumn("ok", (F.col("value") > F.col("med")) == (F.col("event_id") % 2 == 0))
     return op.switch_errors(s, "user_id", ["at", "event_id"], "ok")
 

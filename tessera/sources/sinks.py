@@ -33,11 +33,25 @@ def write_bed(spans: DataFrame, path: str) -> None:
     spans.select("chrom", "start", "end").orderBy("chrom", "start", "end").write.option("sep", "\t").csv(path)
 
 
+def info_text(info: Column) -> Column:
+    """The INFO column of a map; a flag has no value."""
+    return F.coalesce(F.nullif(F.array_join(F.transform(F.map_entries(info), lambda e: F.concat_ws("=", e["key"], e["value"])), ";"), F.lit("")), F.lit("."))
+
+
 def write_vcf(variants: DataFrame, path: str, sample: str) -> None:
-    """Records with genotype and phase set, ascending; headers go into a first line of their own file order."""
+    """Records with genotype and phase set, ascending; headers go into a first line of their own file order.
+
+    ``id``, ``filter``, ``info`` (a map) and ``fields`` (the sample's, a map) are
+    carried over where ``variants`` has them; GT and PS come from their columns.
+    """
+    own = lambda c, other, text=F.col: text(F.col(c) if text is info_text else c) if c in variants.columns else F.lit(other)
     alleles = F.transform("gt", lambda a: F.coalesce(a.cast("string"), F.lit(".")))
     gt = F.when(F.col("phased"), F.array_join(alleles, "|")).otherwise(F.array_join(alleles, "/"))
-    value = F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), "ref", F.array_join("alts", ","), F.coalesce(F.col("qual").cast("string"), F.lit(".")), F.lit("PASS"), F.lit("."), F.lit("GT:PS"), F.concat_ws(":", gt, F.col("ps").cast("string")))
+    others = F.map_entries(F.map_filter("fields", lambda k, v: ~k.isin("GT", "PS"))) if "fields" in variants.columns else F.array()
+    listed = lambda part: F.transform(others, lambda e: e[part]) if "fields" in variants.columns else F.array().cast("array<string>")
+    keys, values = (F.coalesce(listed(p), F.array().cast("array<string>")) for p in ("key", "value"))
+    fields = F.array_join(F.concat(F.array(F.lit("GT")), keys, F.array(F.lit("PS"))), ":"), F.array_join(F.concat(F.array(gt), values, F.array(F.col("ps").cast("string"))), ":")
+    value = F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), own("id", "."), "ref", F.array_join("alts", ","), F.coalesce(F.col("qual").cast("string"), F.lit(".")), own("filter", "PASS"), own("info", ".", info_text), *fields)
     head = variants.sparkSession.createDataFrame([("##fileformat=VCFv4.2", -2), (f"#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t{sample}", -1)], "value string, pos int")
     rows = head.select(F.lit("").alias("chrom"), "pos", "value").unionByName(variants.select("chrom", F.col("pos").cast("int").alias("pos"), value.alias("value")))
     rows.orderBy("chrom", "pos").select("value").write.text(path)

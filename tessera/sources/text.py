@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.alignments import overlapping
+from tessera.operators.windowing import running_total
 
 BLAST6 = "query string, subject string, pident double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double"
 PAF = "qname string, qlen int, qstart int, qend int, strand string, tname string, tlen int, tstart int, tend int, matches int, block int, mapq int"
@@ -44,10 +45,19 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, description, seq); records are split at ``>``, so long sequences stay one value."""
-    records = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
-    head = F.regexp_extract("value", r"^([^\n]*)", 1)
-    return records.select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_extract(head, r"^\S*\s?(.*)$", 1)).alias("description"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s", "").alias("seq"))
+    """(name, description, seq); a record begins at a line that begins with ``>``, lines before the first are left out."""
+    head = F.startswith("value", F.lit(">"))
+    lines = running_total(numbered_lines(spark, path), ["file"], "line", head.cast("bigint"), name="record").where("record > 0")
+    title = F.max(F.when(head, F.rtrim(F.translate("value", "\r", " "))))
+    body = F.sort_array(F.collect_list(F.when(~head, F.struct("line", F.regexp_replace("value", r"\s", "").alias("part")))))
+    records = lines.groupBy("file", "record").agg(title.alias("title"), F.array_join(F.transform(body, lambda x: x["part"]), "").alias("seq"))
+    return records.select(F.regexp_extract("title", r"^>(\S*)", 1).alias("name"), F.trim(F.regexp_extract("title", r"^>\S*\s?(.*)$", 1)).alias("description"), "seq")
+
+
+def first_of_each(entries: Column) -> Column:
+    """A map of (key, value) entries; of a key that is repeated the first entry counts."""
+    keys = F.transform(entries, lambda e: e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
 
 
 def region(text: Column) -> Column:
@@ -65,7 +75,7 @@ def fetch(sequences: DataFrame, regions: DataFrame) -> DataFrame:
 def sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments with flags, CIGAR and tags; header lines (``@XX`` and a tab) are dropped, ``pos`` is 0-based."""
     f = F.split("value", "\t")
-    tags = F.map_from_entries(F.transform(F.slice(f, 12, 1 << 20), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.regexp_replace(t, "^..:.:", "").alias("value"))))
+    tags = first_of_each(F.transform(F.slice(f, 12, 1 << 20), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.regexp_replace(t, "^..:.:", "").alias("value"))))
     return spark.read.text(path).where(~F.col("value").rlike("^@[A-Z]{2}\t")).where(F.size(f) >= 11).select(
         f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("rname"), (f[3].cast("int") - 1).alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), f[6].alias("rnext"), f[9].alias("seq"), f[10].alias("qual"), tags.alias("tags")
     )
@@ -78,14 +88,14 @@ def paf(spark: SparkSession, path: str) -> DataFrame:
 def vcf(spark: SparkSession, path: str) -> DataFrame:
     """One row per record and sample column 1: alleles, quality, INFO as map, FORMAT fields as map, genotype and phase set."""
     f = F.split("value", "\t")
-    info = F.transform(F.split("info", ";"), lambda x: F.struct(F.split(x, "=")[0].alias("key"), F.get(F.split(x, "="), F.lit(1)).alias("value")))
+    info = F.transform(F.split("info", ";"), lambda x: F.struct(F.split(x, "=")[0].alias("key"), F.get(F.split(x, "=", 2), F.lit(1)).alias("value")))
     rows = spark.read.text(path).where("value not like '#%'").where(F.size(f) >= 8).select(
         f[0].alias("chrom"), (f[1].cast("int") - 1).alias("pos"), f[2].alias("id"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"), f[5].try_cast("double").alias("qual"), f[6].alias("filter"), f[7].alias("info"),
-        F.when(F.size(f) >= 10, F.map_from_arrays(F.split(f[8], ":"), F.slice(F.split(F.concat(F.get(f, F.lit(9)), F.repeat(F.lit(":"), F.size(F.split(f[8], ":")))), ":"), F.lit(1), F.size(F.split(f[8], ":"))))).alias("fields"),
+        F.when(F.size(f) >= 10, first_of_each(F.transform(F.split(f[8], ":"), lambda k, i: F.struct(k.alias("key"), F.coalesce(F.get(F.split(F.get(f, F.lit(9)), ":"), i), F.lit("")).alias("value"))))).alias("fields"),
     )
     gt = F.col("fields")["GT"]
     return rows.withColumns({
-        "info": F.map_from_entries(F.array_distinct(info)), "gt": F.transform(F.split(gt, "[/|]"), lambda a: a.try_cast("int")), "phased": F.contains(gt, F.lit("|")),
+        "info": first_of_each(info), "gt": F.transform(F.split(gt, "[/|]"), lambda a: a.try_cast("int")), "phased": F.contains(gt, F.lit("|")),
         "ad": F.transform(F.split(F.col("fields")["AD"], ","), lambda a: a.try_cast("int")), "ps": F.coalesce(F.col("fields")["PS"].try_cast("int"), F.lit(0)),
     })
 

@@ -23,3 +23,12 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tessera/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete the tables behind settled steps that nothing reads any more."""
+    for df in steps:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

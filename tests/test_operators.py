@@ -70,7 +70,7 @@ def test_nomenclature(spark):
 
 def test_n50(spark):
     df = spark.createDataFrame([("a", i, n) for i, n in enumerate([10, 8, 5, 4, 3])], "k string, i int, n int")
-    assert aggregating.n50(df, "k", "n", "i").first()["n50"] == 8
+    assert aggregating.n50(df, "k", "n").first()["n50"] == 8
 
 
 def test_mendelian(spark):
@@ -125,7 +125,7 @@ def test_graphs_of_whole_tables(spark, tmp_path):
 
 def test_every_position(spark):
     df = spark.createDataFrame([("a1" * 30,), ("é😀e",), ("",), (None,)], "t string")
-    got = {r["pos"]: (r["n"], r["v"]) for r in aggregating.per_position(df, "t", None, {"v": "aeiou"}).collect()}
+    got = {r["pos"]: (r["n"], r["v"]) for r in aggregating.per_position(df, "t", {"v": "aeiou"}).collect()}
     assert got == {p: (2 if p < 3 else 1, (p % 2 == 0) + (p == 2)) for p in range(60)}
 
 
@@ -258,3 +258,65 @@ def test_overlay_and_levels(spark):
     assert sorted(map(tuple, joining.overlay(base, new, "k", ["v"]).collect())) == [(1, "a"), (2, "x")]
     tree = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a")], "n string, p string")
     assert {r["node"]: r["level"] for r in joining.levels(tree, "n", "p").collect()} == {"r": 0, "a": 1, "b": 2}
+
+
+def test_rolling_mean_wider_than_its_ranges(spark):
+    df = spark.createDataFrame([("c", i, float(i * i % 7)) for i in range(100)], "c string, pos long, d double")
+    for width in (3, 10, 25, 40):
+        got = {r["pos"]: (r["seen"], r["mean"]) for r in windowing.rolling_mean(df, "c", "pos", "d", width, 10).collect()}
+        for i in range(100):
+            own = [float(j * j % 7) for j in range(max(0, i - width), i)]
+            assert got[i][0] == len(own) and (not own or abs(got[i][1] - sum(own) / len(own)) < 1e-9)
+
+
+def test_exact_percentiles_of_skewed_keys(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    values = {"a": [rng.gauss(0, 1) for _ in range(3000)], None: [1.0] * 900 + [2.0, 3.0], "one": [4.5], "two": [1.0, 2.0]}
+    df = spark.createDataFrame([(k, v) for k, own in values.items() for v in own] + [("a", None), ("none", None)], "k string, v double").repartition(7)
+    got = {r["k"]: r for r in aggregating.exact_percentiles(df, ["k"], "v", {"low": 0.25, "mid": 0.5, "top": 0.999}).collect()}
+    assert got.keys() == values.keys()
+    for k, own in values.items():
+        assert [got[k][c] for c in ("low", "mid", "top")] == pytest.approx(list(np.percentile(own, [25, 50, 99.9])))
+    ranks = {(r["k"], r["v"]): r["avg_rank"] for r in windowing.average_rank(df.where("k = 'two' or k is null"), "k", "v").collect()}
+    assert ranks == {("two", 1.0): 1, ("two", 2.0): 2, (None, 1.0): 450.5, (None, 2.0): 901, (None, 3.0): 902}
+
+
+def test_a_long_key_is_many_tasks_work(spark):
+    df = spark.range(200_000).select(F.lit("k").alias("k"), F.col("id").alias("v"), F.lit(1).alias("w"))
+    below = windowing.totals_below(df, ["k"], "v", "w")
+    assert below.where("below <> v").count() == 0
+    edges = df.groupBy("k").agg(F.percentile_approx("v", [i / windowing.RANGES for i in range(1, windowing.RANGES)], 10 * windowing.RANGES).alias("e")).first()["e"]
+    assert len(set(edges)) > 250
+    total = windowing.running_total(df.select("k", "v"), ["k"], "v", F.col("v") % 3, span=1000)
+    assert total.agg(F.max("total").alias("t")).first()["t"] == sum(i % 3 for i in range(200_000))
+
+
+def test_names_are_sampled_by_their_share(spark):
+    from tessera.operators import alignments
+
+    names = spark.range(20_000).select(F.concat(F.lit("read:"), F.col("id")).alias("name"), (-F.col("id")).alias("n"))
+    for column in ("name", "n"):
+        for rate in (0.1, 0.5):
+            assert abs(names.where(alignments.sampled(F.col(column), rate)).count() / 20_000 - rate) < 0.01
+        assert names.where(alignments.sampled(F.col(column), 0.0)).count() == 0 and names.where(alignments.sampled(F.col(column), 1.0)).count() == 20_000
+    assert names.where(alignments.sampled(F.col("name"), 0.5) & alignments.sampled(F.col("name"), 0.5, seed=1)).count() < 6000
+
+
+def test_adjusted_spans(spark):
+    df = spark.createDataFrame([("a", 100, 5, 10, 20), ("a", 80, 8, 8, 20), ("a", 10, 1, 2, 20), ("b", 50, 1, 5, 20)], "k string, span long, p long, n long, sites long")
+    # 80 (8 phased), 50 (5), 5 (1): more than 10 of 20 sites are held at 50.
+    assert [tuple(r) for r in aggregating.an50(df, "k", "span", "p", "n", "sites").collect()] == [("a", 50.0)]
+
+
+def test_steps_are_deleted(spark):
+    from pathlib import Path
+
+    root = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir")) / "tessera"
+    before = set(root.glob("step-*")) if root.exists() else set()
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert graph.components(path, "a", "b").where("component <> 0").count() == 0
+    assert len(set(root.glob("step-*")) - before) == 1
+    sides = graph.signed_components(path.withColumn("f", F.col("a") % 2), "a", "b", "f").count()
+    assert sides == 41 and len(set(root.glob("step-*")) - before) == 2

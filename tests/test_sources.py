@@ -37,6 +37,36 @@ def test_fasta_and_regions(spark, tmp_path):
     assert {r["qual"] for r in sinks.constant_quality(seqs).collect()} == {"I" * 8, "I" * 4}
 
 
+def test_fasta_heads_only_at_line_starts(spark, tmp_path):
+    path = put(tmp_path, "a.fa", "; note\n>s1 a->b note\r\nAC>GT\r\n\nACGT\n>s2>x\n>s3\nGG\n")
+    assert sorted(map(tuple, text.fasta(spark, path).collect())) == [("s1", "a->b note", "AC>GTACGT"), ("s2>x", "", ""), ("s3", "", "GG")]
+    put(tmp_path, "many.fa", "".join(f">c{i} n\n" + "ACGTA\n" * (i % 50) for i in range(600)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {r["name"]: len(r["seq"]) for r in text.fasta(spark, f"{tmp_path}/many.fa").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"c{i}": 5 * (i % 50) for i in range(600)}
+
+
+def test_repeated_keys_do_not_end_a_scan(spark, tmp_path):
+    path = put(tmp_path, "a.vcf", "#CHROM\nc\t5\t.\tA\tG\t30\tPASS\tDP=9;DP=10;DB;CSQ=a=b\tGT:AD:GT\t0|1:3,4:1\n")
+    r = text.vcf(spark, path).first()
+    assert r["info"] == {"DP": "9", "DB": None, "CSQ": "a=b"} and r["gt"] == [0, 1]
+    sam = put(tmp_path, "a.sam", "r1\t0\tc\t11\t60\t4M\t=\t0\t0\tACGT\tIIII\tNM:i:1\tNM:i:2\n")
+    assert text.sam(spark, sam).first()["tags"] == {"NM": "1"}
+
+
+def test_vcf_keeps_info_filter_and_fields(spark, tmp_path):
+    path = put(tmp_path, "a.vcf", "#CHROM\nc\t5\trs1\tA\tG\t30.0\tlow\tDP=9;DB\tGT:AD:PS\t0|1:3,4:7\nc\t6\t.\tA\tG\t.\t.\t.\tGT\t0/1\n")
+    sinks.write_vcf(text.vcf(spark, path), str(tmp_path / "v"), "s")
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "v")).where("value not like '#%'").collect())
+    assert lines == ["c\t5\trs1\tA\tG\t30.0\tlow\tDP=9;DB\tGT:AD:PS\t0|1:3,4:7", "c\t6\t.\tA\tG\t.\t.\t.\tGT:PS\t0/1:0"]
+    bare = spark.createDataFrame([("c", 4, "A", ["G"], None, [0, 1], True, 3)], "chrom string, pos int, ref string, alts array<string>, qual double, gt array<int>, phased boolean, ps int")
+    sinks.write_vcf(bare, str(tmp_path / "w"), "s")
+    assert spark.read.text(str(tmp_path / "w")).where("value not like '#%'").first()["value"] == "c\t5\t.\tA\tG\t.\tPASS\t.\tGT:PS\t0|1:3"
+
+
 def test_sam(spark, tmp_path):
     path = put(tmp_path, "a.sam", "@HD\tVN:1\nr1\t0\tc\t11\t60\t4M\t=\t0\t0\tACGT\tIIII\tNM:i:1\tBX:Z:AA:B\n")
     row = text.sam(spark, path).first()
