@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as op
+from tessera.operators import spectral
 
 from .registry import days, micros, query, table
 
@@ -73,6 +74,37 @@ def fiedler_halves(spark, sf):
     return op.fiedler_sides(trade, "quarter", "a", "b", "w")
 
 
+def _trade(spark, sf):
+    """Edges between nations for each quarter: what was sold with one status, and with the other."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).alias("quarter"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("a"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("b"))
+    of = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(0.0))
+    trade = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag").join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey")
+    return trade.where("a <> b").groupBy("quarter", "a", "b").agg(of("R").alias("same"), of("A").alias("other"))
+
+
+@query("recursive_bisection")
+def recursive_bisection(spark, sf):
+    # A graph of at most 25 nations for each quarter; eigenvectors are no SQL, the tests recurse plainly.
+    found = spectral.recursive_bisection(_trade(spark, sf), ["quarter"], "a", "b", "same", "other")
+    return found.withColumn("quality", F.round("quality", 4))
+
+
+@query("link_solver", """WITH RECURSIVE m AS (SELECT s_suppkey AS node, s_suppkey // 4 AS k, s_suppkey % 4 AS i, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE s_nationkey % 2 END AS side FROM supplier),
+ f AS (SELECT min(k) AS lo FROM m), l AS (SELECT a.k AS k, b.k AS up, sum(CASE WHEN (s.s_nationkey // 2 % 2 + a.side + b.side) % 2 = 1 THEN -(2 ** a.i) ELSE 2 ** a.i END) AS w FROM m a JOIN supplier s ON s.s_suppkey = a.node JOIN m b ON b.k = a.k // 2 AND b.i = a.i AND b.k < a.k GROUP BY 1, 2),
+ t(k, root, turn) AS (SELECT DISTINCT k, k, 0 FROM m WHERE k NOT IN (SELECT k FROM l) UNION ALL SELECT l.k, t.root, CASE WHEN l.w < 0 THEN 1 - t.turn ELSE t.turn END FROM t JOIN l ON l.up = t.k)
+ SELECT m.node, r.first AS block, CAST((m.side + t.turn) % 2 AS BIGINT) AS side FROM m JOIN t USING (k) JOIN (SELECT k, min(node) AS first FROM m GROUP BY 1) r ON r.k = t.root""")
+def link_solver(spark, sf):
+    # Four suppliers are a block; each supplier is linked to one of the block of half the number, so the blocks hang on a tree. Weights are powers of two: no tie.
+    s = table(spark, sf, "supplier").select(F.lit("all").alias("g"), F.col("s_suppkey").alias("node"), F.floor(F.col("s_suppkey") / 4).alias("k"), (F.col("s_suppkey") % 4).alias("i"), F.col("s_nationkey").alias("n"))
+    s = s.withColumn("side", F.when(F.col("i") == 0, 0).otherwise(F.col("n") % 2))
+    members = s.withColumn("block", F.min("node").over(Window.partitionBy("k"))).select("g", "node", "block", "side")
+    up = s.select("g", F.col("node").alias("b"), F.col("k").alias("__up"), "i")
+    links = s.withColumn("__up", F.floor(F.col("k") / 2)).where("__up < k").join(up, ["g", "__up", "i"]).select("g", F.col("node").alias("a"), "b", (F.floor(F.col("n") / 2) % 2).alias("flip"), F.pow(F.lit(2.0), F.col("i")).alias("weight"))
+    return spectral.link_blocks(members, links, "g").select("node", "block", "side")
+
+
 @query("cbs_segments")
 def cbs_segments(spark, sf):
     hours = table(spark, sf, "events").groupBy("event_type", (micros("ts") / 3_600_000_000).cast("bigint").alias("h")).agg(F.sum("value").alias("v"))

@@ -38,5 +38,5 @@ def days(c: str) -> F.Column:
     return F.expr(f"cast(datediff(cast({c} as date), date'1970-01-01') as bigint)")
 
 
-for _module in ("binning", "joining", "aggregating", "windowing", "sequences", "graphs", "variants", "alignments", "phasing", "streams"):
+for _module in ("binning", "joining", "aggregating", "windowing", "sequences", "graphs", "variants", "alignments", "phasing", "regions", "streams"):
     import_module(f"tessera.plans.{_module}")
