@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -219,3 +221,125 @@ def called_insertions(calls: DataFrame, least: int = 50, longest_ref: int = 30,
     long = rows.where((F.col("len") >= least) & (m >= longest_ref))
     behind = long.where(F.startswith("alt", "ref")).select("chrom", (F.col("pos") + n).alias("pos"), F.substr("alt", n, m).alias("seq"))
     return behind.union(long.where(F.endswith("alt", "ref")).select("chrom", "pos", F.substr("alt", F.lit(1), m - n)))
+
+
+#: Score of a match, and costs of a mismatch, of opening a gap and of each base of it.
+MATCH, MISMATCH, GAP_OPEN, GAP_BASE = 1, 4, 6, 1
+#: Fixed value: the highest mapping quality that groups of hits give.
+BEST_QUALITY = 60
+
+
+def hit_score(ops: Column, nm: Column) -> Column:
+    """Score of an alignment from its parsed CIGAR and its differences, which are as many as its gap bases at least."""
+    gaps = ops_length(ops, "ID")
+    count = F.size(F.filter(ops, lambda x: x["op"].isin("I", "D")))
+    differences = F.greatest(nm, gaps)
+    return F.floor((MATCH * ops_length(ops, "M") - (MATCH + MISMATCH) * (differences - gaps) - GAP_OPEN * count - GAP_BASE * gaps) / MATCH + 0.499)
+
+
+def place_under(ops: Column, offset: Column) -> Column:
+    """How far into the target the base at ``offset`` of a contig lies (an inserted one where its insertion stands); null in a clip and beyond the end."""
+    start = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"), F.lit(None).cast("bigint").alias("found"))
+
+    def step(s: Column, o: Column) -> Column:
+        reads, refers = o["op"].isin("M", "I", "S", "H"), o["op"].isin("M", "D", "N")
+        here = reads & (s["y"] <= offset) & (offset < s["y"] + o["n"])
+        at = F.when(o["op"] == "M", s["x"] + offset - s["y"]).when(o["op"] == "I", s["x"])
+        return F.struct((s["x"] + F.when(refers, o["n"]).otherwise(0)).alias("x"), (s["y"] + F.when(reads, o["n"]).otherwise(0)).alias("y"), F.when(here, at).otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(ops, start, step, lambda s: s["found"])
+
+
+def regroup_hits(hits: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(read, hit, ctg, pctg, pstart, pend, score, grp, reported, mapq): hits on alternate contigs seen at their place in the primary assembly.
+
+    ``hits``: read, hit (0: the reported one), ctg, start, cigar, nm, mapq;
+    ``contigs``: how alternate contigs lie on the primary: name, target, pos,
+    reverse, cigar. A hit is lifted by the first of its contig's alignments that
+    it meets and whose clips it does not fall into. Hits of a read whose lifted
+    spans overlap, one after the other, are a group. If the reported hit's group
+    holds others, the quality is 6 for each point by which its best score leads
+    the next group's (60 where there is none, 0 where it does not lead), raised to
+    that of an alternate hit or lowered to that of a primary one. Reads without
+    a hit on a contig keep their quality.
+    """
+    ops = cigar_ops(F.col("cigar"))
+    own = hits.withColumn("__ops", ops).withColumns({"end": F.col("start") + ops_length(F.col("__ops"), "MDN"), "score": hit_score(F.col("__ops"), F.col("nm"))}).drop("__ops", "cigar")
+    alt = contigs.select(F.col("name").alias("ctg"), "target", "pos", "reverse", ops.alias("__c"))
+    clipped = lambda i: F.when(F.element_at("__c", i)["op"].isin("S", "H"), F.element_at("__c", i)["n"]).otherwise(0)
+    alt = alt.withColumns({"__first": F.when(F.col("reverse"), clipped(-1)).otherwise(clipped(1)), "__aligned": ops_length(F.col("__c"), "MI"), "__all": ops_length(F.col("__c"), "MISH")})
+    met = own.select("read", "hit", "ctg", "start", "end").join(alt, "ctg").where((F.col("start") < F.col("__first") + F.col("__aligned")) & (F.col("end") > F.col("__first")))
+    low = F.when(F.col("reverse"), F.col("__all") - F.col("end")).otherwise(F.col("start"))
+    high = F.when(F.col("reverse"), F.col("__all") - F.col("start")).otherwise(F.col("end")) - 1
+    lifted = met.withColumns({"__s": place_under(F.col("__c"), low), "__e": place_under(F.col("__c"), high)}).where("__s is not null and __e is not null")
+    first = lifted.groupBy("read", "hit").agg(F.min(F.struct("__first", "pos", "target", (F.col("pos") + F.col("__s")).alias("s"), (F.col("pos") + F.col("__e") + 1).alias("e"))).alias("l"))
+    placed = own.join(first, ["read", "hit"], "left").join(contigs.select(F.col("name").alias("ctg"), F.lit(True).alias("__alt")).distinct(), "ctg", "left")
+    placed = placed.select("read", "hit", "ctg", "mapq", "score", F.coalesce("l.target", "ctg").alias("pctg"), F.coalesce("l.s", "start").alias("pstart"), F.coalesce("l.e", "end").alias("pend"), F.coalesce("__alt", F.lit(False)).alias("__alt"))
+    by = Window.partitionBy("read").orderBy("pctg", "pstart", "hit")
+    reach = F.max("pend").over(Window.partitionBy("read", "pctg").orderBy("pstart", "hit").rowsBetween(Window.unboundedPreceding, -1))
+    grouped = placed.withColumn("__new", F.when(F.col("pstart") < reach, 0).otherwise(1)).withColumn("grp", F.sum("__new").over(by) - 1)
+    best = grouped.groupBy("read", "grp").agg(F.max("score").alias("top"), F.count("*").alias("n"), F.bool_or("__alt").alias("alt"), F.max(F.when(F.col("hit") == 0, F.struct("mapq", "__alt"))).alias("r"))
+    ranked = best.groupBy("read").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("top")).alias("neg"), "grp"))).alias("tops"), F.bool_or("alt").alias("alt"),
+        F.max(F.when(F.col("r").isNotNull(), F.struct("grp", "n", "r"))).alias("g"),
+    )
+    lead = F.when(F.size("tops") == 1, BEST_QUALITY).otherwise(F.least(F.lit(BEST_QUALITY), 6 * (F.get("tops", F.lit(1))["neg"] - F.col("tops")[0]["neg"])))
+    fresh = F.when(F.col("tops")[0]["grp"] == F.col("g.grp"), lead).otherwise(0)
+    kept = F.col("g.r.mapq")
+    quality = F.when(F.col("alt") & (F.col("g.n") > 1), F.when(F.col("g.r.__alt"), F.greatest(fresh, kept)).otherwise(F.least(fresh, kept))).otherwise(kept)
+    reads = ranked.select("read", F.col("g.grp").alias("__reported"), quality.cast("bigint").alias("__q"))
+    return grouped.join(reads, "read").select("read", "hit", "ctg", "pctg", "pstart", "pend", "score", "grp", (F.col("grp") == F.col("__reported")).alias("reported"), F.when(F.col("grp") == F.col("__reported"), F.col("__q")).otherwise(F.col("mapq")).alias("mapq"))
+
+
+def rule_script(filters: dict[str, Column], rule: str) -> Column:
+    """One predicate from named ones and a rule: names with ``!``, ``&``, ``|`` and parentheses, ``!`` before ``&`` before ``|``; an empty rule is any of them."""
+    if not rule.strip():
+        return reduce(Column.__or__, filters.values())
+    signs = re.findall(r"[!&|()]|[^\s!&|()]+", rule)
+    at = 0
+
+    def take(*expected: str) -> str | None:
+        nonlocal at
+        if at < len(signs) and (not expected or signs[at] in expected):
+            at += 1
+            return signs[at - 1]
+        return None
+
+    def one() -> Column:
+        if take("!"):
+            return ~one()
+        if take("("):
+            inner = either()
+            if not take(")"):
+                raise ValueError(f"no closing parenthesis in rule: {rule}")
+            return inner
+        name = take()
+        if name not in filters:
+            raise ValueError(f"no filter {name!r} in rule: {rule}")
+        return filters[name]
+
+    def both() -> Column:
+        out = one()
+        while take("&"):
+            out = out & one()
+        return out
+
+    def either() -> Column:
+        out = both()
+        while take("|"):
+            out = out | both()
+        return out
+
+    found = either()
+    if at < len(signs):
+        raise ValueError(f"unexpected {signs[at]!r} in rule: {rule}")
+    return found
+
+
+def script_filter(script: str) -> Column:
+    """The predicate of a JSON script: ``{"filters": [{"id": name, property: test, ...}], "rule": text}``, or the properties of one filter alone."""
+    parsed = json.loads(script)
+    if "filters" not in parsed:
+        return named_filter(parsed)
+    named = {f.get("id", f"filter{i}"): named_filter({k: v for k, v in f.items() if k != "id"}) for i, f in enumerate(parsed["filters"], 1)}
+    return rule_script(named, parsed.get("rule", ""))

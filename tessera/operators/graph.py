@@ -151,14 +151,3 @@ def segments(df: DataFrame, key: str, order: str, value: str, threshold: float =
     kind = dict(df.dtypes)
     picked = df.select(key, F.col(order).cast("long").alias("o"), F.col(value).cast("double").alias("v"))
     return picked.groupBy(key).applyInPandas(solve, f"{key} {kind[key]}, start long, end long, n long, median double")
-
-
-def bloom_semi(left: DataFrame, right: DataFrame, key: str, bits: int = 20) -> DataFrame:
-    """Semi-join behind a bitmap of fixed size: rows whose hash is in no set bit go before the shuffle, the join decides the rest."""
-    size = 1 << bits
-    place = F.pmod(F.xxhash64(key), F.lit(size))
-    words = right.select(place.alias("p")).distinct().groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(cast(1 as bigint), cast(p % 64 as int))")).alias("bits"))
-    at = left.withColumns({"__w": (place / 64).cast("int"), "__b": (place % 64).cast("int")})
-    # At most size / 64 rows whatever the input: the bound that makes a broadcast safe.
-    passed = at.join(F.broadcast(words), at["__w"] == words["w"]).where(F.getbit("bits", F.col("__b")) == 1).drop("w", "bits", "__w", "__b")
-    return passed.join(right.select(key), key, "left_semi")

@@ -152,3 +152,32 @@ def clip_breakpoints(df: DataFrame, cigar: str, pos: str, least: int = 150) -> D
         return F.struct((a["at"] + F.when(p["op"].isin("M", "D", "N", "=", "X"), n).otherwise(0)).alias("at"), F.when(p["op"].isin("S", "H", "I", "D") & (n >= least), F.array_append(a["out"], hit)).otherwise(a["out"]).cast(kind).alias("out"))
 
     return df.select("*", F.explode(F.aggregate(cigar_ops(F.col(cigar)), begin, step, lambda a: a["out"])).alias("x")).select(*df.columns, "x.*")
+
+
+def flatten_samples(variants: DataFrame, sample: str, chrom: str, pos: str, ref: str, alts: str, gt: str) -> DataFrame:
+    """(sample, chrom, pos, ref, alt, gt): a row for each base in which a sample's phased alleles differ from the reference, alleles numbered by the site.
+
+    ``alts`` is an array, ``gt`` like ``0|1``. An allele is compared base by base as
+    far as all alleles of the record reach. A site's alleles are those of all
+    samples, in the order of samples; where a sample's second-listed allele is
+    meant, ``alt`` lists both and ``gt`` counts by the site.
+    """
+    one, two = F.get(alts, F.lit(0)), F.get(alts, F.lit(1))
+    both = F.contains(gt, F.lit("2"))
+    reach = F.least(F.length(ref), F.length(one), F.when(both, F.length(two)))
+    at = lambda c, i: F.substr(c, i, F.lit(1))
+    bases = F.transform(F.sequence(F.lit(1), reach), lambda i: F.struct((F.col(pos) + i - 1).alias("pos"), at(F.col(ref), i).alias("r"), at(one, i).alias("a"), F.when(both, at(two, i)).otherwise(at(one, i)).alias("b")))
+    rows = variants.where(reach > 0).select(sample, chrom, F.col(pos).alias("__p"), F.col(gt).alias("__g"), both.alias("two"), F.explode(bases).alias("x")).select(sample, chrom, "__p", "__g", "two", "x.*").where("a <> r or b <> r")
+    # Which alleles remain at this base, and the genotype in them.
+    g = F.when(~F.col("two"), F.col("__g")).when(F.col("a") == F.col("b"), "1|1").when(F.col("b") == F.col("r"), F.translate("__g", "2", "0")).when(F.col("a") == F.col("r"), F.translate("__g", "12", "01")).otherwise(F.col("__g"))
+    listed = F.when((F.col("a") == F.col("b")) | (F.col("b") == F.col("r")), F.array("a")).when(F.col("a") == F.col("r"), F.array("b")).otherwise(F.array("a", "b"))
+    bases = rows.select(sample, chrom, "pos", F.col("r").alias("ref"), listed.alias("own"), g.alias("gt"), "__p")
+    sites = bases.select(chrom, "pos", F.posexplode("own").alias("i", "x"), sample, "__p").groupBy(chrom, "pos", "x").agg(F.min(F.struct(sample, "__p", "i")).alias("seen"))
+    sites = sites.groupBy(chrom, "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("seen", "x"))), lambda s: s["x"]).alias("all"))
+    last = bases.groupBy(sample, chrom, "pos").agg(F.max_by(F.struct("ref", "own", "gt"), "__p").alias("x")).select(sample, chrom, "pos", "x.*").join(sites, [chrom, "pos"])
+    k = lambda i: F.array_position("all", F.get("own", F.lit(i)))
+    pair, second = F.size("own") == 2, (F.size("own") == 1) & (k(0) == 2)
+    crossed = pair & (k(1) < k(0))
+    alt = F.when(crossed, F.concat_ws(",", F.col("own")[1], F.col("own")[0])).when(second, F.concat_ws(",", F.col("all")[0], F.col("all")[1])).otherwise(F.array_join("own", ","))
+    numbered = F.when(crossed, F.concat_ws("|", k(0).cast("string"), k(1).cast("string"))).when(second, F.translate("gt", "1", "2")).otherwise(F.col("gt"))
+    return last.select(sample, chrom, "pos", "ref", alt.alias("alt"), numbered.alias("gt"))

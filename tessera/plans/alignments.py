@@ -198,3 +198,54 @@ def called_insertions(spark, sf):
     ref = F.left(F.col("p_name"), F.lit(2))
     calls = table(spark, sf, "part").select(F.col("p_brand").alias("chrom"), F.col("p_partkey").alias("pos"), ref.alias("ref"), F.array(F.concat(ref, "p_type", "p_name"), F.concat("p_name", "p_type", ref), F.col("p_type")).alias("alts"), F.array(F.col("p_size") * 3, F.col("p_size") * 2, F.lit(99)).alias("lens"), F.col("p_retailprice").alias("qual"))
     return op.called_insertions(calls, longest_ref=15, quality=905)
+
+
+HIT = """SELECT l_orderkey AS read, l_linenumber AS ln, max(l_suppkey) AS ctg, max(l_partkey) AS start, CAST(max(l_quantity) AS BIGINT) AS q, max(l_suppkey) AS s FROM lineitem GROUP BY 1, 2"""
+
+
+@query("hit_regroup", f"""WITH h0 AS ({HIT}), h AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY ln) - 1 AS hit, start + q + ln + 5 AS "end", CAST(floor(q + 5 - 5 * (greatest(s % 20, ln + 2) - ln - 2) - 12 - (ln + 2) + 0.499) AS BIGINT) AS score FROM h0),
+ c AS (SELECT s_suppkey AS name, -1 - s_nationkey % 3 AS target, s_suppkey * 7 AS pos, s_nationkey % 2 = 1 AS rev, 1 + s_nationkey % 7 AS a, 50 + s_suppkey AS m FROM supplier WHERE s_acctbal > 4000),
+ o AS (SELECT h.read, h.hit, c.*, CASE WHEN rev THEN a + 2 * m + 3 + 9000 - "end" ELSE start END AS lo, CASE WHEN rev THEN a + 2 * m + 3 + 9000 - start ELSE "end" END - 1 AS hi FROM h JOIN c ON c.name = h.ctg WHERE start < CASE WHEN rev THEN 0 ELSE a END + 2 * m + 3 + 9000 AND "end" > CASE WHEN rev THEN 0 ELSE a END),
+ y AS (SELECT *, CASE WHEN lo < a THEN NULL WHEN lo < a + m THEN lo - a WHEN lo < a + m + 3 THEN m WHEN lo < a + 2 * m + 3 THEN lo - a - 3 WHEN lo < a + 2 * m + 9003 THEN lo - a + 1 END AS s1,
+  CASE WHEN hi < a THEN NULL WHEN hi < a + m THEN hi - a WHEN hi < a + m + 3 THEN m WHEN hi < a + 2 * m + 3 THEN hi - a - 3 WHEN hi < a + 2 * m + 9003 THEN hi - a + 1 END AS e1 FROM o),
+ l AS (SELECT read, hit, target, pos + s1 AS s, pos + e1 + 1 AS e FROM y WHERE s1 IS NOT NULL AND e1 IS NOT NULL),
+ p AS (SELECT h.read, h.hit, h.ctg, h.q % 61 AS mapq, h.score, coalesce(l.target, h.ctg) AS pctg, coalesce(l.s, h.start) AS pstart, coalesce(l.e, h."end") AS pend, h.ctg IN (SELECT name FROM c) AS alt FROM h LEFT JOIN l USING (read, hit)),
+ g AS (SELECT *, CASE WHEN pstart < max(pend) OVER (PARTITION BY read, pctg ORDER BY pstart, hit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM p), i AS (SELECT *, CAST(sum(new) OVER (PARTITION BY read ORDER BY pctg, pstart, hit) - 1 AS BIGINT) AS grp FROM g),
+ b AS (SELECT read, grp, max(score) AS top, count(*) AS n, bool_or(alt) AS alt, bool_or(hit = 0) AS own, max(mapq) FILTER (hit = 0) AS kept, bool_or(alt) FILTER (hit = 0) AS kalt FROM i GROUP BY 1, 2),
+ t AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY top DESC, grp) AS rk, lead(top) OVER (PARTITION BY read ORDER BY top DESC, grp) AS next, bool_or(alt) OVER (PARTITION BY read) AS any_alt FROM b),
+ f AS (SELECT read, grp, CASE WHEN any_alt AND n > 1 THEN CASE WHEN kalt THEN greatest(fresh, kept) ELSE least(fresh, kept) END ELSE kept END AS q FROM (SELECT *, CASE WHEN rk > 1 THEN 0 WHEN next IS NULL THEN 60 ELSE least(60, 6 * (top - next)) END AS fresh FROM t WHERE own))
+ SELECT i.read, i.hit, i.ctg, i.pctg, i.pstart, i.pend, i.score, i.grp, i.grp = f.grp AS reported, CAST(CASE WHEN i.grp = f.grp THEN f.q ELSE i.mapq END AS BIGINT) AS mapq FROM i JOIN f USING (read)""")
+def hit_regroup(spark, sf):
+    from pyspark.sql import Window
+
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("read"), "l_linenumber").agg(F.max("l_suppkey").alias("ctg"), F.max("l_partkey").alias("start"), F.max("l_quantity").cast("bigint").alias("q"))
+    n = lambda c: F.col(c).cast("string")
+    cigar = F.concat(n("l_linenumber"), F.lit("S"), n("q"), F.lit("M2I"), n("l_linenumber"), F.lit("D5M"))
+    hit = F.row_number().over(Window.partitionBy("read").orderBy("l_linenumber")) - 1
+    hits = rows.select("read", hit.alias("hit"), "ctg", "start", cigar.alias("cigar"), (F.col("ctg") % 20).alias("nm"), (F.col("q") % 61).alias("mapq"))
+    s = table(spark, sf, "supplier").where("s_acctbal > 4000")
+    a, m = (F.lit(1) + F.col("s_nationkey") % 7).cast("string"), (F.lit(50) + F.col("s_suppkey")).cast("string")
+    contigs = s.select(F.col("s_suppkey").alias("name"), (F.lit(-1).cast("bigint") - F.col("s_nationkey") % 3).alias("target"), (F.col("s_suppkey") * 7).alias("pos"), (F.col("s_nationkey") % 2 == 1).alias("reverse"), F.concat(a, F.lit("S"), m, F.lit("M3I"), m, F.lit("M4D9000M")).alias("cigar"))
+    return op.regroup_hits(hits, contigs)
+
+
+@query("rule_scripts", f"""SELECT l_orderkey, l_linenumber FROM lineitem WHERE (NOT (({FLAG}) & 1024 = 1024) AND (l_quantity >= 30 OR l_suppkey % 20 = 3)) OR (l_linestatus LIKE 'O%' AND ({FLAG}) & 16 = 16 AND NOT l_partkey >= 50)""")
+def rule_scripts(spark, sf):
+    rows = _alignments(spark, sf).withColumns({"tags": F.create_map(F.lit("LS"), F.col("l_linestatus")), "l_linenumber": F.col("nm")})
+    script = """{"filters": [{"id": "copy", "isDuplicate": "true"}, {"id": "good", "mapQuality": ">=30"}, {"id": "three", "reference": "3"}, {"id": "open", "tag": "LS:O*", "isReverseStrand": "true"}, {"id": "far", "position": ">=50"}],
+     "rule": "!copy & (good | three) | open & !far"}"""
+    return rows.where(op.script_filter(script)).select(F.col("qname").alias("l_orderkey"), "l_linenumber")
+
+
+DNA = f"translate(p_name, '{BASES[0]}', '{BASES[1]}')"
+
+
+@query("sequence_difference", f"""WITH k AS (SELECT p_partkey, p_size, i - 1 AS tt, substr(q, CAST(i AS INT), 7) AS f FROM (SELECT p_partkey, p_size, {DNA} AS q, unnest(range(1, length(p_name) - 5)) AS i FROM part)), c AS (SELECT *, least(f, reverse(translate(f, 'ACGT', 'TGCA'))) AS m FROM k),
+ n AS (SELECT p_partkey, tt FROM c WHERE p_size % 2 = 0 AND m IN (SELECT m FROM c WHERE p_size % 2 = 0 GROUP BY 1 HAVING count(*) >= 2) AND m NOT IN (SELECT m FROM c WHERE p_size % 2 = 1)),
+ g AS (SELECT *, CASE WHEN tt - lag(tt) OVER w <= 7 THEN 0 ELSE 1 END AS new FROM n WINDOW w AS (PARTITION BY p_partkey ORDER BY tt)), i AS (SELECT *, sum(new) OVER (PARTITION BY p_partkey ORDER BY tt) AS g FROM g)
+ SELECT p_partkey, min(tt) AS start, max(tt) + 7 AS "end", count(*) AS kmers FROM i GROUP BY p_partkey, g""")
+def sequence_difference(spark, sf):
+    from tessera.operators import sets
+
+    p = table(spark, sf, "part").select("p_partkey", "p_size", F.translate("p_name", *BASES).alias("q"))
+    return sets.sequence_difference(p.where("p_size % 2 = 0"), p.where("p_size % 2 = 1"), "p_partkey", "q", 7)

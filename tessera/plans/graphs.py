@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import bloom
 from tessera.operators import graph as op
 from tessera.operators import spectral
 
@@ -114,4 +115,4 @@ def cbs_segments(spark, sf):
 @query("bloom_semi", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7)")
 def bloom_semi(spark, sf):
     right = table(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey"))
-    return op.bloom_semi(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), right, "l_partkey")
+    return bloom.semi_join(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), right, "l_partkey")

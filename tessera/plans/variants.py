@@ -143,3 +143,22 @@ QUALITY = ("abcdefghijklmnopqrstuvwxyz ", "!#%')+-/13579;=?ACEGIK\"$&(*")
 def quality_trim(spark, sf):
     span = op.best_quality_span(F.translate("p_name", *QUALITY), least=8)
     return table(spark, sf, "part").select("p_partkey", span.alias("t")).select("p_partkey", F.col("t.start").cast("bigint").alias("start"), F.col("t.end").cast("bigint").alias("end"))
+
+
+CALLS = """SELECT l_linenumber % 4 AS sample, l_suppkey % 10 AS chrom, CAST(l_partkey * 3 AS BIGINT) AS pos, translate(lpad(CAST(max(l_partkey) % 1000 AS VARCHAR), 3, '0'), '0123456789', 'ACGTACGTAC') AS ref, translate(lpad(CAST(max(l_orderkey) % 1000 AS VARCHAR), 3, '0'), '0123456789', 'ACGTACGTAC') AS a1,
+ translate(lpad(CAST(min(l_orderkey) % 100 AS VARCHAR), 2, '0'), '0123456789', 'ACGTACGTAC') AS a2, ['0|1', '1|0', '1|1', '1|2', '2|1', '0|2'][CAST(max(l_quantity) AS BIGINT) % 6 + 1] AS g FROM lineitem GROUP BY 1, 2, 3, l_partkey"""
+
+
+@query("sample_flattening", f"""WITH v AS ({CALLS}), x AS (SELECT sample, chrom, pos AS p, unnest(range(CASE WHEN contains(g, '2') THEN 2 ELSE 3 END)) AS i, ref, a1, a2, g FROM v),
+ b AS (SELECT sample, chrom, p, p + i AS pos, g, contains(g, '2') AS two, substr(ref, CAST(i + 1 AS INT), 1) AS r, substr(a1, CAST(i + 1 AS INT), 1) AS a, CASE WHEN contains(g, '2') THEN substr(a2, CAST(i + 1 AS INT), 1) ELSE substr(a1, CAST(i + 1 AS INT), 1) END AS b FROM x),
+ d AS (SELECT sample, chrom, p, pos, r, CASE WHEN a = b OR b = r THEN [a] WHEN a = r THEN [b] ELSE [a, b] END AS own, CASE WHEN NOT two THEN g WHEN a = b THEN '1|1' WHEN b = r THEN replace(g, '2', '0') WHEN a = r THEN translate(g, '12', '01') ELSE g END AS g FROM b WHERE a <> r OR b <> r),
+ e AS (SELECT chrom, pos, x, min({{'s': sample, 'p': p, 'i': i}}) AS seen FROM (SELECT chrom, pos, sample, p, unnest(own) AS x, generate_subscripts(own, 1) AS i FROM d) GROUP BY 1, 2, 3), s AS (SELECT chrom, pos, list(x ORDER BY seen) AS alls FROM e GROUP BY 1, 2),
+ m AS (SELECT *, list_position(alls, own[1]) AS k1, list_position(alls, own[2]) AS k2 FROM (SELECT sample, chrom, pos, arg_max(r, p) AS r, arg_max(own, p) AS own, arg_max(g, p) AS g FROM d GROUP BY 1, 2, 3) JOIN s USING (chrom, pos))
+ SELECT sample, chrom, pos, r AS ref, CASE WHEN len(own) = 2 AND k2 < k1 THEN own[2] || ',' || own[1] WHEN len(own) = 1 AND k1 = 2 THEN alls[1] || ',' || alls[2] ELSE array_to_string(own, ',') END AS alt,
+  CASE WHEN len(own) = 2 AND k2 < k1 THEN k1 || '|' || k2 WHEN len(own) = 1 AND k1 = 2 THEN replace(g, '1', '2') ELSE g END AS gt FROM m""")
+def sample_flattening(spark, sf):
+    base = lambda c, n: F.translate(F.lpad((c % 10**n).cast("string"), n, "0"), "0123456789", "ACGTACGTAC")
+    rows = table(spark, sf, "lineitem").groupBy((F.col("l_linenumber") % 4).alias("sample"), (F.col("l_suppkey") % 10).alias("chrom"), "l_partkey").agg(F.max("l_orderkey").alias("hi"), F.min("l_orderkey").alias("lo"), F.max("l_quantity").cast("bigint").alias("q"))
+    gt = F.element_at(F.array(*map(F.lit, ("0|1", "1|0", "1|1", "1|2", "2|1", "0|2"))), (F.col("q") % 6 + 1).cast("int"))
+    calls = rows.select("sample", "chrom", (F.col("l_partkey") * 3).alias("pos"), base(F.col("l_partkey"), 3).alias("ref"), F.array(base(F.col("hi"), 3), base(F.col("lo"), 2)).alias("alts"), gt.alias("gt"))
+    return op.flatten_samples(calls, "sample", "chrom", "pos", "ref", "alts", "gt")
