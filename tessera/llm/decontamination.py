@@ -16,11 +16,14 @@ question part and of its answer part (the last sentence) must both be found
 in the document to the shares asked for. A part of fewer words than an n-gram
 has is looked up as one n-gram of all its words.
 
-The index is built per block of test items (``BLOCK_CHARS`` of text at most, by
-a hash of the item), so what tasks receive has a fixed bound however long the
-benchmark grows; all documents are searched against every block. Document
-frequencies and lengths are those of the whole benchmark, so scores do not
-depend on how it is cut.
+The index is built per block of test items (about ``BLOCK_CHARS`` of text, by a
+hash of the item). A worker gets up to ``TOGETHER`` blocks in a broadcast, whose
+size that bounds, and searches every document in them in turn; only a longer
+benchmark takes a second pass. Document frequencies and lengths are those of
+the whole benchmark, so scores do not depend on how it is cut.
+
+Texts are searched whole, a very long one window by window; of windows of a
+document that hold an item the best one's score is reported.
 
 Null or empty texts match nothing, items without words are never found, equal
 items are all reported, repeated document rows are reported alike. An empty
@@ -33,13 +36,15 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import bounded_batches, documents, materialise
+from ._store import bounded_batches, documents, materialise, release
 from ._words import shingles, slabs, words
 
 K1, B = 1.2, 0.75
@@ -52,6 +57,8 @@ THRESHOLD, QUESTION_SHARE, ANSWER_SHARE = 0.6, 0.5, 0.5
 NGRAM = 3
 BLOCK_POSTINGS = 16
 BLOCK_CHARS = 4 << 20
+#: Blocks that one worker searches in turn.
+TOGETHER = 16
 SENTENCE_END = re.compile(r"[.!?]\s+(?=\S)")
 
 
@@ -250,6 +257,14 @@ def indexes(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[ItemIn
         rows = cut.where(F.col("block") == number).orderBy("item_id", "text").collect()
         own = frequency.join(terms.where(F.col("block") == number).select("term").distinct(), "term").collect()
         yield ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], (count, average, longest, {r["term"] % (1 << 64): r["df"] for r in own}))
+    release(terms)
+
+
+def shipped(items: DataFrame, block_chars: int = BLOCK_CHARS, together: int = TOGETHER) -> Iterator[Broadcast]:
+    """The indexes of all blocks, up to ``together`` of them in a broadcast, which bounds both what is sent and what a worker holds."""
+    found, spark = indexes(items, block_chars), items.sparkSession
+    while some := list(islice(found, together)):
+        yield spark.sparkContext.broadcast(some)
 
 
 def leaks_of(index: ItemIndex, text: pa.Array, threshold: float, question_share: float, answer_share: float) -> Iterator[tuple[int, int, float, float, float]]:
@@ -271,26 +286,27 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     bounded_batches(docs.sparkSession)
     names, kinds = ["doc_id", "item_id", "bm25_share", "question_share", "answer_share"], [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
-    def searched(index: ItemIndex) -> DataFrame:
+    def searched(some: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slabs(batches):
-                found = [(batch.column(0)[i].as_py(), int(index.ids[item]), *shares) for i, item, *shares in leaks_of(index, batch.column(1), threshold, question_share, answer_share)]
+                found = [(batch.column(0)[i].as_py(), int(index.ids[item]), *shares) for index in some.value for i, item, *shares in leaks_of(index, batch.column(1), threshold, question_share, answer_share)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], names)
 
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, bm25_share double, question_share double, answer_share double")
 
-    return reduce(DataFrame.unionByName, map(searched, indexes(items, block_chars)))
+    return reduce(DataFrame.unionByName, map(searched, shipped(items, block_chars)))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, whatever their ids, whose text holds no test item; nothing is shuffled."""
     bounded_batches(docs.sparkSession)
-    for index in indexes(items):
+    for some in shipped(items, block_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], some: Broadcast = some) -> Iterator[pa.RecordBatch]:
             for batch in slabs(batches, text_col):
-                clean = np.ones(batch.num_rows, bool)
-                clean[[i for i, *_ in leaks_of(index, batch.column(batch.schema.get_field_index(text_col)), THRESHOLD, QUESTION_SHARE, ANSWER_SHARE)]] = False
+                clean, text = np.ones(batch.num_rows, bool), batch.column(batch.schema.get_field_index(text_col))
+                for index in some.value:
+                    clean[[i for i, *_ in leaks_of(index, text, THRESHOLD, QUESTION_SHARE, ANSWER_SHARE)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
