@@ -45,6 +45,10 @@ from ._words import mix, slabs, words
 
 #: Tokens of a chunk, and n-grams of a hash range (about).
 CHUNK_TOKENS, RANGE_KEYS = 1_000_000, 1_000_000
+#: Bytes of input (as the planner knows it) for one bucket of chunks.
+BUCKET_INPUT = 256 << 20
+#: Sizes from which the planner only says that it knows none.
+UNKNOWN = 1 << 60
 #: Bits that are left off the hashes of higher orders.
 SHORTER = np.uint64(8)
 ORDER, TOLERANCE, BUCKETS = 3, 1e-3, 24
@@ -291,7 +295,10 @@ def score_documents(docs: DataFrame, part, order: int = ORDER, id_col: str = "do
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tessera_lm_chunks_{uuid.uuid4().hex}"
     writer = rows.mapInArrow(chunk_docs(chunk_tokens), "chunk long, docs binary").write.format("parquet").option("compression", "zstd")
-    writer.bucketBy(width, "chunk").option("path", new_path(spark, "lm-chunks")).saveAsTable(name)
+    # Buckets follow the input: bucketed scans are not split. Spark makes no more than its own bound.
+    known = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    buckets = -(-known // BUCKET_INPUT) if known < UNKNOWN else 0
+    writer.bucketBy(max(width, min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))), "chunk").option("path", new_path(spark, "lm-chunks")).saveAsTable(name)
     chunks = spark.table(name)
     ranges = max(width, -(-chunks.count() * chunk_tokens // range_keys))
     blobs = chunks.mapInArrow(chunk_counts(order, ranges), "range int, n int, chunk long, keys binary, train binary, gone binary")
