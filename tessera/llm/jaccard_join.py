@@ -28,8 +28,9 @@ Two documents link when the Jaccard similarity of their shingle sets reaches
 
 With fewer words than a shingle has, the whole sequence is one shingle. Null
 or empty texts have the empty set and link with nothing. Rows are told apart
-by a hash of doc_id and text, so one doc_id may have several texts, each linked
-by what it says; repeated rows are copies. A row with a null doc_id takes the
+by doc_id and text (two 64-bit hashes), so one doc_id may have several texts,
+each linked by what it says; repeated rows are copies. Very long texts are
+taken whole. A row with a null doc_id takes the
 component of what it links with, null if nothing there has a doc_id. An empty
 table gives an empty result. Other columns are ignored.
 """
@@ -37,13 +38,14 @@ table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -58,6 +60,8 @@ SKETCH_BITS, FILTER_BITS, ROW_BITS = 20, 23, 12
 LONG = 4096
 #: Light sets are never larger than this, whatever the costs say.
 MOST_LIGHT = 16
+#: Salt of second hashes.
+SECOND = 1
 BITMAP = [f"b{i}" for i in range(8)]
 
 
@@ -80,10 +84,32 @@ def shingle_sets(h: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
         yield s if new.all() else s[new]
 
 
-def node_of(s: np.ndarray) -> np.int64:
-    """A hash of a whole set."""
+def node_of(s: np.ndarray, salt: int = 0) -> np.int64:
+    """A hash of a whole set, another one for each ``salt``."""
     with np.errstate(over="ignore"):
-        return mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15)])).view(np.int64)[0]
+        return mix(np.array([mix(s + np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15)])).view(np.int64)[0]
+
+
+def second_rid(doc_id: Column, text: Column) -> Column:
+    """Another hash of a row."""
+    return F.xxhash64(F.lit(SECOND), doc_id, text)
+
+
+@dataclass(frozen=True)
+class Shared:
+    """Hashes that different rows (``rids``), or different sets (``nodes``), turned out to share; their holders go by a second hash. ``bits`` of the first hash count."""
+
+    rids: tuple[int, ...] = ()
+    nodes: frozenset[int] = frozenset()
+    bits: int = 64
+
+    def node(self, s: np.ndarray) -> np.int64:
+        first = node_of(s) >> np.int64(64 - self.bits)
+        return node_of(s, SECOND) if self.nodes and int(first) in self.nodes else first
+
+    def rid(self, doc_id: Column, text: Column) -> Column:
+        first = F.shiftright(F.xxhash64(doc_id, text), 64 - self.bits)
+        return F.when(first.isin(*self.rids), second_rid(doc_id, text)).otherwise(first) if self.rids else first
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -129,39 +155,43 @@ def add_sketches(rows: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-SETS = "kind int, doc_id long, rid long, node long, n long, " + ", ".join(f"{b} long" for b in BITMAP) + ", part int, salt int, counts binary"
+SETS = "kind int, doc_id long, rid long, rid2 long, node long, node2 long, n long, " + ", ".join(f"{b} long" for b in BITMAP) + ", part int, salt int, counts binary"
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (doc_id, rid, text) to each row's node, size and bitmap (kind 0), then the task's sketch (kind 1)."""
-    from pyspark import TaskContext
-
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    kinds = [pa.int32(), *[pa.int64()] * 12, pa.int32(), pa.int32(), pa.binary()]
+def _sets(shared: Shared):
+    """A mapInArrow function: (doc_id, rid, rid2, text) to each row's node, size and bitmap (kind 0), then the task's sketch (kind 1)."""
+    kinds = [pa.int32(), *[pa.int64()] * 14, pa.int32(), pa.int32(), pa.binary()]
     names = [f.split()[0] for f in SETS.split(", ")]
 
     def rows(values: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names)
 
-    for batch in slabs(batches):
-        h, first = words(batch.column(2))
-        m = batch.num_rows
-        node, size, bits = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros((m, 8), np.int64)
-        for i, s in enumerate(shingle_sets(h, first)):
-            size[i] = len(s)
-            if len(s):
-                node[i], bits[i] = node_of(s), parity(s)
-                place = (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
-                if len(s) > 1 << 16:
-                    counts += np.bincount(place, minlength=1 << SKETCH_BITS)
-                else:
-                    counts[place] += 1
-        yield rows([np.zeros(m, np.int32), batch.column(0), batch.column(1), pa.array(node, mask=size == 0), size, *bits.T, *[pa.nulls(m, t) for t in kinds[-3:]]])
-    salt = TaskContext.get().partitionId() % 64
-    out = _sketch_rows(counts)
-    if out:
-        m = len(out)
-        yield rows([np.ones(m, np.int32), *[pa.nulls(m, t) for t in kinds[1:13]], [p for p, _ in out], np.full(m, salt, np.int32), [c for _, c in out]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in slabs(batches):
+            h, first = words(batch.column(3))
+            m = batch.num_rows
+            node, second, size, bits = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros((m, 8), np.int64)
+            for i, s in enumerate(shingle_sets(h, first)):
+                size[i] = len(s)
+                if len(s):
+                    node[i], second[i], bits[i] = shared.node(s), node_of(s, SECOND), parity(s)
+                    place = (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+                    if len(s) > 1 << 16:
+                        counts += np.bincount(place, minlength=1 << SKETCH_BITS)
+                    else:
+                        counts[place] += 1
+            none = size == 0
+            yield rows([np.zeros(m, np.int32), *batch.columns[:3], pa.array(node, mask=none), pa.array(second, mask=none), size, *bits.T, *[pa.nulls(m, t) for t in kinds[-3:]]])
+        salt = TaskContext.get().partitionId() % 64
+        out = _sketch_rows(counts)
+        if out:
+            m = len(out)
+            yield rows([np.ones(m, np.int32), *[pa.nulls(m, t) for t in kinds[1:15]], [p for p, _ in out], np.full(m, salt, np.int32), [c for _, c in out]])
+
+    return run
 
 
 def choose_boundary(sizes: dict[int, int], mean_list: float) -> int:
@@ -185,7 +215,7 @@ def light_sizes(s: int, x: int) -> list[int]:
 LISTS = "light boolean, sig long, salt int, parts int, node long, n int, pos int, central float"
 
 
-def _signatures(sketch, boundary: int):
+def _signatures(sketch, boundary: int, shared: Shared):
     """mapInArrow: (rid, text) of documents to their subset and prefix signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +227,15 @@ def _signatures(sketch, boundary: int):
                 k = len(s)
                 if not k:
                     continue
-                node = node_of(s)
+                node, often = shared.node(s), counts[(s & mask).astype(np.int64)]
                 if k <= boundary:
-                    own = s.tolist()
+                    own, seen = s.tolist(), often.tolist()
                     sigs = [hash((c, *sub)) for c in light_sizes(k, boundary) for sub in combinations(own, c)]
+                    # A subset is in no more sets than its rarest element.
+                    cuts = [min(sub) // LONG + 1 for c in light_sizes(k, boundary) for sub in combinations(seen, c)]
                     sizes = [c for c in light_sizes(k, boundary) for _ in range(comb(k, c))]
-                    parts.append((True, np.array(sigs, np.int64), np.ones(len(sigs), np.int32), node, k, np.array(sizes, np.int32), 0.0))
+                    parts.append((True, np.array(sigs, np.int64), np.array(cuts, np.int32), node, k, np.array(sizes, np.int32), 0.0))
                 if 100 * k > PERCENT * boundary:
-                    often = counts[(s & mask).astype(np.int64)]
                     p = k - needed_alone(k) + 1
                     if p < k:
                         rare = np.argpartition(often, p - 1)[:p] if p < k else np.arange(k)
@@ -259,9 +290,9 @@ def _filter_place(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``rid``, a hash of both that tells rows apart."""
-    return docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+def _texts(docs: DataFrame, shared: Shared) -> DataFrame:
+    """``docs`` (doc_id, text) with ``rid``, which tells rows apart."""
+    return docs.withColumn("rid", shared.rid(F.col("doc_id"), F.col("text")))
 
 
 def _passing(ids: DataFrame, schema: StructType, inside: bool):
@@ -296,12 +327,12 @@ def _chosen(rows: DataFrame, rid: str, texts: DataFrame, kept: DataFrame, then=N
     return sure.union(rest.mapInArrow(then, schema) if then else rest)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, repeated: bool, shared: Shared) -> DataFrame:
     """Those node pairs (a, b), with a row of each (u, v), whose shingle sets link, by the sets themselves; as (u, v).
 
     ``repeated``: whether rows of ``docs`` that stand for a node may be there more than once.
     """
-    rows = _texts(docs.where("text is not null")).select("rid", "text")
+    rows = _texts(docs.where("text is not null"), shared).select("rid", "text")
     texts = rows.mapInArrow(*_passing(pairs.select("u").union(pairs.select("v")), rows.schema, True))
     one = texts.dropDuplicates(["rid"]) if repeated else texts
     side = lambda k: one.select(F.col("rid").alias(k), F.col("text").alias(f"text_{k}"))
@@ -319,16 +350,38 @@ def verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     return materialise(joined.mapInArrow(intersect, "u long, v long").distinct(), "links")
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, texts, labels) of ``docs`` (doc_id, text): a row per row, with its node; a row per different row (rid, doc_id, node, copies);
+def _nodes(docs: DataFrame, shared: Shared) -> tuple[DataFrame, DataFrame, DataFrame, Shared]:
+    """(sets with sketches, different rows, nodes, hashes that are shared) of ``docs``.
+
+    Rows and sets go by 64-bit hashes. A second hash of each shows where
+    different ones share the first (about one pair in 4e19, so a few in 1e10
+    documents); these are made anew with the second.
+    """
+    table = materialise(_texts(docs, shared).select("doc_id", "rid", second_rid(F.col("doc_id"), F.col("text")).alias("rid2"), "text").mapInArrow(_sets(shared), SETS), "sets")
+    one = ["doc_id", "node", "node2", "n", *BITMAP]
+    texts = table.where("kind = 0").groupBy("rid").agg(*(F.first(c).alias(c) for c in one), F.count("*").alias("copies"), (F.min("rid2") != F.max("rid2")).alias("shared"))
+    nodes = texts.groupBy("node").agg(
+        F.min("rid").alias("rep"), F.min_by("copies", "rid").alias("copies"), F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITMAP),
+        F.bool_or("shared").alias("shared"), (F.min("node2") != F.max("node2")).alias("mixed"),
+    )
+    nodes = materialise(nodes, "nodes")
+    if not nodes.where("shared or mixed").limit(1).count():
+        return table, texts, nodes.where("node is not null").drop("shared", "mixed"), shared
+    rids = {r["rid"] for r in texts.where("shared").select("rid").collect()}
+    mixed = {r["node"] for r in nodes.where("mixed").select("node").collect()}
+    release(table)
+    release(nodes)
+    # Rows whose hash was shared may have had another's set: sets are looked at again when rows are apart.
+    return _nodes(docs, replace(shared, rids=tuple(sorted({*shared.rids, *rids})), nodes=shared.nodes if rids else shared.nodes | mixed))
+
+
+def linked(docs: DataFrame, shared: Shared = Shared()) -> tuple[DataFrame, DataFrame, DataFrame, Shared]:
+    """(sets, texts, labels, shared hashes) of ``docs`` (doc_id, text): a row per row, with its node; a row per different row (rid, doc_id, node, copies);
     and (node, label, component_id) of every node, label being equal for linked ones."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    table = materialise(_texts(docs).select("doc_id", "rid", "text").mapInArrow(_sets, SETS), "sets")
+    table, texts, nodes, shared = _nodes(docs, shared)
     sets = table.where("kind = 0")
-    texts = sets.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("node").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITMAP))
-    nodes = texts.where("node is not null").groupBy("node").agg(F.min("rid").alias("rep"), F.min_by("copies", "rid").alias("copies"), F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITMAP))
-    nodes = materialise(nodes, "nodes")
     counts = add_sketches(table.where("kind = 1").select("part", "salt", "counts"), SKETCH_BITS)
     sketch = spark.sparkContext.broadcast(counts)
     few = {r["n"]: r["count"] for r in nodes.where(F.col("n") <= MOST_LIGHT * 100 // PERCENT).groupBy("n").count().collect()}
@@ -338,23 +391,28 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     # One row of each set makes its signatures; copies add none.
     repeated = bool(nodes.where("copies > 1").limit(1).count())
-    rows = _texts(docs.where("text is not null")).select("rid", "text")
-    lists = _chosen(rows, "rid", texts.where("node is not null"), nodes.select(F.col("rep").alias("rid")), _signatures(sketch, boundary), LISTS)
+    rows = _texts(docs.where("text is not null"), shared).select("rid", "text")
+    lists = _chosen(rows, "rid", texts.where("node is not null"), nodes.select(F.col("rep").alias("rid")), _signatures(sketch, boundary, shared), LISTS)
     by_part = Window.partitionBy("light", "sig", "salt")
     pivot = F.when(F.col("light"), F.struct((-F.col("n")).cast("float").alias("central"), "node", "n", "pos")).otherwise(F.struct("central", "node", "n", "pos"))
-    shared = lists.withColumns({"lo": F.min("node").over(by_part), "hi": F.max("node").over(by_part), "pivot": F.max(pivot).over(by_part)}).where("lo <> hi or parts > 1")
-    shared = materialise(shared.select("light", "sig", "parts", "central", "node", "n", "pos", F.col("pivot.node").alias("p_node"), F.col("pivot.n").alias("p_n"), F.col("pivot.pos").alias("p_pos")), "lists")
+    popular = lists.withColumns({"lo": F.min("node").over(by_part), "hi": F.max("node").over(by_part), "pivot": F.max(pivot).over(by_part)}).where("lo <> hi or parts > 1")
+    popular = materialise(popular.select("light", "sig", "parts", "central", "node", "n", "pos", F.col("pivot.node").alias("p_node"), F.col("pivot.n").alias("p_n"), F.col("pivot.pos").alias("p_pos")), "lists")
 
     # Light part: pos is the subset size c, the pivot is the smallest holder; sharing the subset proves the link.
-    proven = shared.where("light and node <> p_node").where(F.expr(f"{100 + PERCENT} * pos >= {PERCENT} * (n + p_n)")).select(F.col("node").alias("u"), F.col("p_node").alias("v")).distinct()
+    # Of a list in parts the smallest holder of all parts counts; one row a list is joined to its holders.
+    light = popular.where("light")
+    least = light.where("parts > 1").groupBy("sig").agg(F.min(F.struct("n", "node")).alias("l")).select("sig", F.col("l.node").alias("p_node"), F.col("l.n").alias("p_n"))
+    whole = light.where("parts > 1").select("sig", "node", "n", "pos").join(least, "sig").select("node", "n", "pos", "p_node", "p_n")
+    holders = light.where("parts = 1").select("node", "n", "pos", "p_node", "p_n").union(whole).where("node <> p_node")
+    proven = holders.where(F.expr(f"{100 + PERCENT} * pos >= {PERCENT} * (n + p_n)")).select(F.col("node").alias("u"), F.col("p_node").alias("v")).distinct()
     # Heavy part, first each list's pivot against the others; parts of a long list have a pivot each, one row a part.
-    heavy = shared.where(~F.col("light"))
+    heavy = popular.where(~F.col("light"))
     larger = lambda a, b: F.expr(f"greatest({a}, {b}) > {boundary}")
     heads = heavy.where("parts > 1 and node = p_node").select("sig", "node", "n", "pos", F.max(F.struct("central", "node", "n", "pos")).over(Window.partitionBy("sig")).alias("p"))
     heads = heads.select("node", "n", "pos", F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
     stars = heavy.select(*heads.columns).union(heads).where("node <> p_node").where(_room("n", "pos", "p_n", "p_pos") & larger("n", "p_n")).select(F.col("node").alias("a"), F.col("p_node").alias("b"))
     pairs = materialise(_bounded(stars, nodes), "pairs")
-    links = verify(pairs, docs, repeated)
+    links = verify(pairs, docs, repeated, shared)
     release(pairs)
     roots = materialise(components(links.union(proven)), "roots")
     # Then the sets of a list that are still in different components; most lists hold one by now.
@@ -366,18 +424,18 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     cross = left.join(other, "sig").where(F.col("node") < F.col("o_node")).where("label <> o_label").where(_room("n", "pos", "o_n", "o_pos") & larger("n", "o_n"))
     more = materialise(_bounded(cross.select(F.col("node").alias("a"), F.col("o_node").alias("b")), nodes), "pairs")
     release(left)
-    release(shared)
+    release(popular)
     if more.limit(1).count():
-        more = verify(more, docs, repeated)
+        more = verify(more, docs, repeated, shared)
         roots = components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     labels = named().select("node", "label", "least")
     smallest = labels.groupBy("label").agg(F.min("least").alias("component_id"))
-    return sets, texts, labels.join(smallest, "label").select("node", "label", "component_id")
+    return sets, texts, labels.join(smallest, "label").select("node", "label", "component_id"), shared
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
-    sets, _, labels = linked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    sets, _, labels, _ = linked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), Shared(bits=hash_bits))
     joined = sets.select("doc_id", "n", "node").join(labels.select("node", "component_id"), "node", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -389,9 +447,9 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id (null last), of the same row repeated one; documents without words stay."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    _, texts, labels = linked(picked)
+    _, texts, labels, shared = linked(picked)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
     chosen = texts.where("node is not null").join(labels, "node").groupBy("label").agg(F.min_by("rid", first).alias("rid")).select("rid")
     rid = free_name(docs, "rid")
-    rows = docs.withColumn(rid, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = docs.withColumn(rid, shared.rid(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return _chosen(rows.select(rid, *docs.columns), rid, texts.where("node is not null"), chosen).select(*docs.columns)

@@ -195,6 +195,18 @@ def test_op4_scores_do_not_depend_on_the_blocks(spark, folder):
     assert len(got[0]) >= 60 and got[0] == pytest.approx(got[1])
 
 
+def test_op4_one_worker_searches_all_blocks(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}_{j}" for j in range(20))) for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(f"w7_{j}" for j in range(20))), (2, "y z"), (3, " ".join(f"w31_{j}" for j in range(20)))], "doc_id long, text string")
+    for block_chars in (10**6, 900):
+        found, kept = decontamination.find_leaks(docs, items, block_chars=block_chars), decontamination.without_leaks(docs, items, block_chars=block_chars)
+        assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 7), (3, 31)} and [r["doc_id"] for r in kept.collect()] == [2]
+        assert all(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 for df in (found, kept))
+    assert sum(1 for _ in decontamination.indexes(items, 900)) > 5
+    # More blocks than a worker may hold take one pass for each group of them.
+    assert sum(1 for _ in decontamination.shipped(items, 900, together=3)) > 1
+
+
 def test_op4_equals_brute_force(spark):
     """Every pair over the threshold, by BM25 of all items against all windows and plain n-gram sets."""
     rng = random.Random(10)
@@ -317,6 +329,35 @@ def test_op5_long_lists_are_cut_and_lose_nothing(spark, monkeypatch):
     assert got == want and 5 < len({c for _, c in want.values()}) < 240
 
 
+def short_sets(rng, n=500):
+    base = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 26))] for _ in range(30)]
+    rows = []
+    for k in range(n):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            p = rng.randrange(len(w) + 1)
+            w[p : p + rng.randrange(2)] = [rng.choice("abcdefgh")] * rng.randrange(2)
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("bits", [5, 12])
+def test_op5_hashes_that_are_shared_lose_nothing(spark, bits):
+    """First hashes of a few bits: nearly all rows and sets share theirs."""
+    rows = [*short_sets(random.Random(15), 250), (900, ""), (901, None), (902, "p q r s t u"), (903, "p q r s t u")]
+    df = spark.createDataFrame([*rows, (902, "p q r s t u"), (902, "v w x y z a b")], "doc_id long, text string").repartition(3)
+    got = sorted({(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(df, hash_bits=bits).collect()})
+    want = brute.jaccard_components(rows)
+    assert got == sorted({(k, n, c) for k, (n, c) in want.items()} | {(902, 3, 902)})
+
+
+def test_op5_lists_of_small_sets_are_cut_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LONG", 2)
+    rows = short_sets(random.Random(16))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.jaccard_components(rows)
+
+
 def test_op5_repeated_and_missing_ids(spark):
     base = [f"x{i}" for i in range(60)]
     near = " ".join([*base[:30], "edited", *base[31:]])
