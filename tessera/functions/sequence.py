@@ -134,3 +134,57 @@ def quality_bin(q: Column, edges: tuple[int, ...] = (2, 10, 20, 25, 30, 35, 40))
     for e in edges:
         out = F.when(q >= e, e).otherwise(out)
     return out
+
+
+#: A nucleotide code is the set of its bases (A 1, C 2, G 4, T 8), here at the place of that number.
+BASE_SETS = "XACMGRSVTWYHKDBN"
+
+
+def merge_bases(a: Column, b: Column, how: str = "union", draw: Column | None = None) -> Column:
+    """Two sequences base by base, as far as the shorter reaches: ``union`` or ``intersect`` of the sets that their codes stand for, ``mask`` (intersection, small where one is N) or ``random``.
+
+    A base is small where the result is uncertain: no common base, one of both
+    small (``union``), both small (else). ``random``: of two different sets one
+    base is drawn by the bits of ``draw`` (a number for the pair of sequences) mixed with the position.
+    """
+    n = F.least(F.length(a), F.length(b))
+    letters = lambda s: F.split(F.substr(s, F.lit(1), n), "")
+
+    def code(c: Column) -> Column:
+        at = F.instr(F.lit(BASE_SETS), F.upper(c)) - 1
+        return F.when(at > 0, at).otherwise(15)
+
+    big = lambda c: c != F.lower(c)
+
+    def one(x: Column, y: Column) -> Column:
+        p, q = code(x), code(y)
+        both, any_ = p.bitwiseAND(q), p.bitwiseOR(q)
+        found = {"union": any_, "intersect": both, "mask": both}[how]
+        sure = {"union": big(x) & big(y), "intersect": (big(x) | big(y)) & (both > 0), "mask": (big(x) | big(y)) & (both > 0) & (p < 15) & (q < 15)}[how]
+        base = F.substr(F.lit(BASE_SETS), found + 1, F.lit(1))
+        return F.when(sure, base).otherwise(F.lower(base))
+
+    def drawn(x: Column, y: Column, i: Column) -> Column:
+        p, q = code(x), code(y)
+        both, any_ = p.bitwiseAND(q), p.bitwiseOR(q)
+        bits = F.ascii(F.md5(F.concat_ws(":", draw.cast("string"), i.cast("string"))))
+        ones = lambda c: F.bit_count(c)
+        heads, larger = bits % 2 == 1, F.floor(bits / 2) % 2 == 1
+        low, high = any_.bitwiseAND(-any_), F.pow(F.lit(2), F.floor(F.log2(any_.cast("double")))).cast("int")
+        found = F.when((ones(p) == 1) & (ones(q) == 1), any_).when((ones(p) + ones(q) == 3) & (both > 0), F.when(heads, both).otherwise(any_)).when((ones(p) == 2) & (p == q), F.when(heads, F.when(larger, high).otherwise(low)).otherwise(any_))
+        base = F.substr(F.lit(BASE_SETS), F.coalesce(found, p) + 1, F.lit(1))
+        return F.when(found.isNotNull() & big(x) & big(y), base).otherwise(F.lower(base))
+
+    if how == "random":
+        triples = F.arrays_zip(letters(a).alias("x"), letters(b).alias("y"))
+        return F.array_join(F.transform(triples, lambda t, i: drawn(t["x"], t["y"], i)), "")
+    return F.array_join(F.zip_with(letters(a), letters(b), one), "")
+
+
+#: Words for true and false.
+TRUE, FALSE = ("yes", "true", "t", "y", "1"), ("no", "false", "f", "n", "0")
+
+
+def boolean(text: Column) -> Column:
+    """A flag from its word; null for any other."""
+    return F.when(F.lower(text).isin(*TRUE), True).when(F.lower(text).isin(*FALSE), False)

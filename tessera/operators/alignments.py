@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.sequence import cigar_ops, ops_length, reverse_complement
 from tessera.operators.aggregating import exact_percentiles
 from tessera.operators.binning import COMPARE, property_filter
+from tessera.operators.joining import bins, span_level
 
 #: Flag bits: paired, unmapped, reverse, first, second, secondary, failed, duplicate, supplementary.
 PAIRED, PROPER, UNMAPPED, MATE_UNMAPPED, REVERSE, FIRST, SECOND, SECONDARY, FAILED, DUPLICATE, SUPPLEMENTARY = 1, 2, 4, 8, 16, 64, 128, 256, 512, 1024, 2048
@@ -26,16 +27,27 @@ def has(flag: Column, bits: int) -> Column:
 def overlapping(rows: DataFrame, spans: DataFrame, keys: list[str], start: str, end: str, width: int, how: str = "left_semi") -> DataFrame:
     """Rows whose half-open span meets one of ``spans`` (same columns), or with ``left_anti`` those whose does not.
 
-    Only the distinct spans of both sides are cut into bins of ``width`` and
-    compared; repeated rows are all kept or all dropped.
+    Only the distinct spans of both sides are cut into bins and compared;
+    repeated rows are all kept or all dropped. A pair meets in bins of the level
+    of its longer span, so each side is cut once for its own level and once for
+    each higher one that the other side has.
     """
-    def binned(df: DataFrame, mark: str) -> DataFrame:
-        one = df.select(*[F.col(c).alias(f"{mark}{c}") for c in [*keys, start, end]]).where(F.col(f"{mark}{start}") < F.col(f"{mark}{end}")).distinct()
-        return one.withColumn(f"{mark}__bin", F.explode(F.sequence(F.floor(F.col(f"{mark}{start}") / width), F.floor((F.col(f"{mark}{end}") - 1) / width))))
+    def levelled(df: DataFrame) -> DataFrame:
+        return df.select(*keys, start, end).where(F.col(start) < F.col(end)).distinct().withColumn("__level", span_level(start, end, width))
 
-    equal = [F.col(k) == F.col(f"__o_{k}") for k in [*keys, "__bin"]]
+    sides = levelled(rows), levelled(spans)
+    # One number a level, and few levels: the logarithm of the longest span.
+    levels = [sorted(r[0] for r in side.select("__level").distinct().collect()) for side in sides]
+
+    def binned(side: int, mark: str) -> DataFrame:
+        mine, others = F.col("__level"), levels[1 - side]
+        at = F.array_distinct(F.concat(F.when(mine >= min(others, default=0), F.array(mine)).otherwise(F.array().cast("array<int>")), F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda v: v > mine)))
+        cut = sides[side].withColumn("__at", F.explode(at)).withColumn("__bin", F.explode(bins(start, end, F.col("__at"), width)))
+        return cut.select(*(F.col(c).alias(f"{mark}{c}") for c in [*keys, start, end, "__at", "__bin"]))
+
+    equal = [F.col(k) == F.col(f"__o_{k}") for k in [*keys, "__at", "__bin"]]
     meet = reduce(Column.__and__, equal) & (F.col(start) < F.col(f"__o_{end}")) & (F.col(end) > F.col(f"__o_{start}"))
-    hit = binned(rows, "").join(binned(spans, "__o_"), meet, "left_semi").select(*keys, start, end).distinct()
+    hit = binned(0, "").join(binned(1, "__o_"), meet, "left_semi").select(*keys, start, end).distinct()
     return rows.join(hit, [*keys, start, end], how)
 
 
@@ -75,9 +87,22 @@ def to_reads(rows: DataFrame) -> DataFrame:
 
 
 def to_sam(rows: DataFrame) -> DataFrame:
-    """The eleven columns of each alignment as a text line, positions from 1."""
+    """The eleven columns of each alignment as a text line, positions from 1; those of the mate (``rnext``, ``mate_pos``, ``insert_size``) where ``rows`` has them."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("*"))
-    return rows.select(F.concat_ws("\t", text("qname"), text("flag"), text("rname"), (F.col("pos") + 1).cast("string"), text("mapq"), text("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), text("seq"), text("qual")).alias("line"))
+    mate = lambda c, other: F.coalesce(c.cast("string"), F.lit(other))
+    own = [mate(v, o) if c in rows.columns else F.lit(o) for c, v, o in (("rnext", F.col("rnext"), "*"), ("mate_pos", F.col("mate_pos") + 1, "0"), ("insert_size", F.col("insert_size"), "0"))]
+    return rows.select(F.concat_ws("\t", text("qname"), text("flag"), text("rname"), (F.col("pos") + 1).cast("string"), text("mapq"), text("cigar"), *own, text("seq"), text("qual")).alias("line"))
+
+
+def pileup(rows: DataFrame, base_quality: int = 0, map_quality: int = 0) -> DataFrame:
+    """(chrom, pos, depth, bases, quals): what the reads of mapped alignments say at each reference position, in the order of their starts and names; bases of the reverse strand are small."""
+    ops = cigar_ops(F.col("cigar"))
+    mapped = rows.where(~has(F.col("flag"), UNMAPPED) & (F.col("mapq") >= map_quality)).withColumn("__ops", ops)
+    places = F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.struct(lift(i, F.col("__ops"), F.col("pos")).alias("at"), F.substr("seq", i + 1, F.lit(1)).alias("b"), F.substr("qual", i + 1, F.lit(1)).alias("q")))
+    one = mapped.where(F.length("seq") > 0).select(F.col("rname").alias("chrom"), F.col("pos").alias("__s"), "qname", has(F.col("flag"), REVERSE).alias("r"), F.explode(places).alias("x")).where("x.at is not null")
+    one = one.where(F.ascii("x.q") - 33 >= base_quality).select("chrom", F.col("x.at").alias("pos"), F.struct("__s", "qname", F.when(F.col("r"), F.lower("x.b")).otherwise(F.upper("x.b")).alias("b"), F.col("x.q").alias("q")).alias("o"))
+    listed = one.groupBy("chrom", "pos").agg(F.sort_array(F.collect_list("o")).alias("o"))
+    return listed.select("chrom", "pos", F.size("o").cast("bigint").alias("depth"), F.array_join(F.transform("o", lambda x: x["b"]), "").alias("bases"), F.array_join(F.transform("o", lambda x: x["q"]), "").alias("quals"))
 
 
 def revert(rows: DataFrame, keep_duplicates: bool = False, keep_qualities: bool = False) -> DataFrame:

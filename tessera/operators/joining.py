@@ -38,21 +38,48 @@ def pairs_within(df: DataFrame, group: str, item: str, weight: str) -> DataFrame
     return a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(F.col("wa") * F.col("wb")).alias("weight"))
 
 
+#: Bins of one level are so many times wider than those of the level below; a span touches this number and one at most.
+STEP = 8
+
+
+def span_level(start: str, end: str, width: int) -> Column:
+    """The least level whose bins (``width`` times a power of ``STEP``) a half-open span touches ``STEP`` + 1 of at most."""
+    return F.greatest(F.ceil(F.log(float(STEP), (F.col(end) - F.col(start)) / F.lit(width * STEP)) - 1e-9), F.lit(0)).cast("int")
+
+
+def bins(start: str, end: str, level: Column, width: int) -> Column:
+    """Numbers of the bins of a level that a half-open span touches."""
+    size = F.lit(width) * F.pow(F.lit(float(STEP)), level)
+    return F.sequence(F.floor(F.col(start) / size), F.floor((F.col(end) - 1) / size))
+
+
 def range_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, width: int, how: str = "inner") -> DataFrame:
     """Points in half-open spans [start, end) of the same keys.
 
-    Spans are cut into bins of ``width`` so that the join has an equality beside
-    the range; a span is in as many rows as bins that it touches, a point in one.
+    Spans are cut into bins so that the join has an equality beside the range.
+    Long spans go into wider bins, so each is in ``STEP`` + 1 rows at most; a
+    point is in one row for each level that occurs among the spans.
     """
-    binned = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))).where(F.col(start) < F.col(end))
-    own = points.withColumn("__bin", F.floor(F.col(at) / width))
-    condition = [own[k] == binned[k] for k in [*keys, "__bin"]] + [own[at] >= binned[start], own[at] < binned[end]]
-    joined = own.join(binned, reduce(Column.__and__, condition), how)
+    levelled = spans.where(F.col(start) < F.col(end)).withColumn("__level", span_level(start, end, width))
+    # One number a level, and few levels: the logarithm of the longest span.
+    levels = [r[0] for r in levelled.select("__level").distinct().collect()]
+    binned = levelled.withColumn("__bin", F.explode(bins(start, end, F.col("__level"), width)))
+    places = F.array(*[F.struct(F.lit(v).alias("level"), F.floor(F.col(at) / (width * STEP**v)).alias("bin")) for v in levels or [0]])
+    own = points.withColumn("__p", F.explode(places)).withColumns({"__level": F.col("__p.level"), "__bin": F.col("__p.bin")}).drop("__p")
+    condition = [own[k] == binned[k] for k in [*keys, "__level", "__bin"]] + [own[at] >= binned[start], own[at] < binned[end]]
+    on = reduce(Column.__and__, condition)
     if how in ("left_semi", "left_anti"):
-        return joined.drop("__bin")
-    for k in [*keys, "__bin"]:
+        if len(levels) < 2:
+            return own.join(binned, on, how).drop("__level", "__bin")
+        # A point that is in several rows is there if one of them meets a span.
+        met = own.join(binned, on, "left_semi").select(*keys, at).distinct()
+        return points.join(met, [*keys, at], how)
+    if how != "inner":
+        raise ValueError("points and spans are joined inner, left_semi or left_anti")
+    joined = own.join(binned, on, how)
+    for k in [*keys, "__level", "__bin"]:
         joined = joined.drop(binned[k])
-    return joined.drop("__bin")
+    return joined.drop("__level", "__bin")
 
 
 def near_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, distance: int, how: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.statistics import fisher_exact
 from tessera.operators.graph import signed_components
+from tessera.operators.joining import mendelian_conflict
 
 
 def block_votes(first: DataFrame, second: DataFrame, site: str, block: str, hap: str) -> DataFrame:
@@ -91,6 +92,44 @@ def shared_by_most(rows: DataFrame, option: str, group: str) -> DataFrame:
     return counts.join(F.broadcast(counts.agg(F.max("n").alias("__m"))), F.col("n") == F.col("__m")).drop("__m")
 
 
+def flip_penalties(observations: DataFrame, fragment: str, block: str, site: str, agrees: str) -> DataFrame:
+    """(block, site, n, weight, change) of the sites of a block by the fragments that cover several of them.
+
+    A fragment speaks for a block's phase by the share of its sites that agree.
+    ``weight`` is the mean, over a site's fragments, of what speaks for turning
+    the site: the share where the site disagrees, one less it where it agrees.
+    ``change`` is how the weights of the block's other sites move if the site is
+    turned: below zero, turning it makes them fit better. A fragment's share
+    moves by one over its sites, for or against each of them, so its sums over
+    sites are enough: no pair of sites is made.
+    """
+    sign = F.when(F.col(agrees), 1.0).otherwise(-1.0)
+    rows = observations.select(fragment, block, site, F.col(agrees).alias("__a"), sign.alias("__s"))
+    shares = rows.groupBy(fragment, block).agg(F.count("*").alias("__t"), F.avg(F.col("__a").cast("double")).alias("__share")).where("__t > 1")
+    seen = rows.join(shares, [fragment, block])
+    sites = seen.groupBy(block, site).agg(F.count("*").alias("n"), F.avg(F.when(F.col("__a"), 1 - F.col("__share")).otherwise(F.col("__share"))).alias("weight"))
+    weighed = seen.join(sites.select(block, site, "n"), [block, site])
+    sums = weighed.groupBy(fragment, block).agg(F.sum(F.col("__s") / F.col("n")).alias("__sum"))
+    moved = weighed.join(sums, [fragment, block]).groupBy(block, site).agg(F.sum(F.col("__s") / F.col("__t") * (F.col("__sum") - F.col("__s") / F.col("n"))).alias("change"))
+    return sites.join(moved, [block, site])
+
+
+def parent_votes(sites: DataFrame, block: str, child: tuple[str, str], mother: tuple[str, str], father: tuple[str, str]) -> DataFrame:
+    """(block, side0, side1, turn): a child's heterozygous sites at which one parent has a single allele vote for the side that puts it onto that parent's haplotype; ``turn`` where more vote for the other.
+
+    The first haplotype of the child stands for the father's. Sites at which no
+    assignment of alleles fits the parents do not vote.
+    """
+    c0, c1 = map(F.col, child)
+    pair = lambda p: tuple(map(F.col, p))
+    single = lambda p: F.when(F.col(p[0]) == F.col(p[1]), F.col(p[0]))
+    fits = ~mendelian_conflict((c0, c1), pair(mother), pair(father)) & (c0 != c1)
+    from_father, from_mother = single(father), single(mother)
+    straight = F.coalesce(F.when(from_father == c0, 0).when(from_father == c1, 1), F.when(from_mother == c1, 0).when(from_mother == c0, 1))
+    votes = sites.where(fits).groupBy(block).agg(F.count_if(straight == 0).alias("side0"), F.count_if(straight == 1).alias("side1"))
+    return votes.withColumn("turn", F.col("side1") > F.col("side0"))
+
+
 def flip_scores(fragments: DataFrame, name: str, block: str, agrees: str) -> DataFrame:
     """(block, keep, turn, flip): summed log10 odds of fragments for a block's phase and against it; ``agrees`` is the probability that an observation fits."""
     per = fragments.groupBy(name, block).agg(F.sum(F.log10(agrees)).alias("k"), F.sum(F.log10(1 - F.col(agrees))).alias("t"))

@@ -10,7 +10,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.functions.sequence import cigar_ops
 from tessera.operators import scan
-from tessera.operators.joining import near_join
+from tessera.operators.joining import near_join, range_join
 
 
 def structural(filter_: Column, kind: Column, length: Column, genotype: Column, least: int = 150) -> Column:
@@ -60,6 +60,32 @@ def consensus(observations: DataFrame, site: list[str], allele: str, least: int)
     return counts.groupBy(*site).agg(F.min(F.struct((-F.col("n")).alias("neg"), allele)).alias("b"), F.sum("n").alias("depth")).where(F.col("depth") >= least).select(*site, F.col(f"b.{allele}").alias(allele), (-F.col("b.neg")).alias("n"), "depth")
 
 
+def called_alleles(observations: DataFrame, site: list[str], allele: str, base_quality: str, map_quality: str, least: int = 1, least_base: int = 0, least_map: int = 0, seed: int | None = None) -> DataFrame:
+    """(site, allele, n, depth) of observations good enough: the majority allele, or with ``seed`` that of one observation drawn by a hash of the site and its number."""
+    good = observations.where((F.col(base_quality) >= least_base) & (F.col(map_quality) >= least_map))
+    if seed is None:
+        return consensus(good, site, allele, least)
+    counts = good.groupBy(*site, allele).agg(F.count("*").alias("n"))
+    by = Window.partitionBy(*site).orderBy(allele)
+    drawn = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in site])), F.lit(8)), 16, 10).cast("bigint")
+    runs = counts.withColumns({"__end": F.sum("n").over(by), "depth": F.sum("n").over(Window.partitionBy(*site))}).withColumn("__d", drawn % F.col("depth"))
+    return runs.where((F.col("depth") >= least) & (F.col("__d") < F.col("__end")) & (F.col("__d") >= F.col("__end") - F.col("n"))).select(*site, allele, "n", "depth")
+
+
+def accepted(variants: DataFrame, chrom: Column, depth: Column, quality: float, least_depth: float, longest: int = 150, excluded: DataFrame | None = None) -> DataFrame:
+    """Variants (chrom, pos, ref, alts, qual) of one sequence with a known quality, depth by the caller's mode, alleles of ``longest`` bases at most, outside of ``excluded`` (chrom, start, end)."""
+    short = (F.length("ref") <= longest) & F.forall("alts", lambda a: F.length(a) <= longest)
+    rows = variants.where(chrom & F.col("qual").isNotNull() & (F.col("qual") >= quality) & (depth >= F.greatest(F.lit(least_depth), F.lit(1))) & short)
+    return rows if excluded is None else range_join(rows, excluded, ["chrom"], "pos", "start", "end", 64, "left_anti")
+
+
+def override_by_base(alleles: DataFrame, rules: DataFrame, calls: DataFrame, key: str, allele: str) -> DataFrame:
+    """``alleles`` with those that a rule (allele, site, base, to) names replaced where the key's call at the rule's site (key, site, base) is the rule's base; of several rules the first by site."""
+    hit = alleles.select(key, F.col(allele).alias("allele")).distinct().join(rules, "allele").join(calls.select(key, "site", "base"), [key, "site", "base"])
+    first = hit.groupBy(key, "allele").agg(F.min(F.struct("site", "to")).alias("r")).select(key, F.col("allele").alias(allele), F.col("r.to").alias("__to"))
+    return alleles.join(first, [key, allele], "left").select(*[F.coalesce("__to", allele).alias(allele) if c == allele else F.col(c) for c in alleles.columns])
+
+
 def informative(fragments: DataFrame, name: str, site: str, least: int = 2) -> DataFrame:
     """Fragments that cover ``least`` different sites or more."""
     return fragments.groupBy(name).agg(F.count_distinct(site).alias("sites")).where(F.col("sites") >= least)

@@ -249,3 +249,15 @@ def sequence_difference(spark, sf):
 
     p = table(spark, sf, "part").select("p_partkey", "p_size", F.translate("p_name", *BASES).alias("q"))
     return sets.sequence_difference(p.where("p_size % 2 = 0"), p.where("p_size % 2 = 1"), "p_partkey", "q", 7)
+
+
+@query("pileup", f"""WITH r AS ({READS}), a AS (SELECT p_partkey, f, p_brand AS chrom, p_size * 3 AS pos, seq, qual, p_size % 3 AS s, 2 + p_size % 4 AS m FROM r WHERE f & 4 = 0), b AS (SELECT *, unnest(range(length(seq))) AS i FROM a),
+ c AS (SELECT chrom, CASE WHEN i < s OR (i >= s + m AND i < s + m + 1) THEN NULL WHEN i < s + m THEN pos + i - s ELSE pos + i - s + 1 END AS p, pos AS st, CAST(p_partkey AS VARCHAR) AS name, CASE WHEN f & 16 = 16 THEN lower(seq[i + 1]) ELSE seq[i + 1] END AS x, qual[i + 1] AS q FROM b WHERE ord(qual[i + 1]) - 33 >= 5)
+ SELECT chrom, CAST(p AS BIGINT) AS pos, count(*) AS depth, string_agg(x, '' ORDER BY st, name, x, q) AS bases, string_agg(q, '' ORDER BY st, name, x, q) AS quals FROM c WHERE p IS NOT NULL GROUP BY 1, 2""")
+def pileup(spark, sf):
+    s, m = F.col("pos") % 3, F.lit(2) + F.col("pos") % 4
+    n = lambda c: c.cast("string")
+    rest = F.length("seq") - s - m - 1
+    cigar = F.concat(F.when(s > 0, F.concat(n(s), F.lit("S"))).otherwise(""), n(m), F.lit("M1I2D"), n(rest), F.lit("M"))
+    rows = _reads(spark, sf).withColumns({"cigar": cigar, "mapq": F.lit(60)}).withColumn("pos", F.col("pos") * 3)
+    return op.pileup(rows, base_quality=5)

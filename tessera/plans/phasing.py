@@ -211,3 +211,30 @@ def base_classes(spark, sf):
     q = table(spark, sf, "part").select("p_partkey", F.translate("p_name", *BASES).alias("q"))
     counts = class_counts(F.col("q"), {"a": "A", "c": "C", "g": "G", "t": "T", "ambiguous": "RYMKSWBDHVN"})
     return q.select("p_partkey", *counts, F.regexp_count("q", F.lit("CG")).cast("bigint").alias("cpg"))
+
+
+@query("flip_penalties", """WITH o AS (SELECT l_orderkey AS f, l_suppkey % 6 AS b, l_partkey % 40 AS s, max(l_linestatus) = 'O' AS a FROM lineitem GROUP BY 1, 2, 3), h AS (SELECT f, b, count(*) AS t, avg(CASE WHEN a THEN 1.0 ELSE 0.0 END) AS h FROM o GROUP BY 1, 2 HAVING count(*) > 1),
+ x AS (SELECT o.*, t, h, CASE WHEN a THEN 1.0 ELSE -1.0 END AS g FROM o JOIN h USING (f, b)), w AS (SELECT b, s, count(*) AS n, avg(CASE WHEN a THEN 1 - h ELSE h END) AS weight FROM x GROUP BY 1, 2),
+ p AS (SELECT i.b, i.s, sum(i.g * j.g / i.t / w.n) AS change FROM x i LEFT JOIN x j ON j.f = i.f AND j.b = i.b AND j.s <> i.s LEFT JOIN w ON w.b = j.b AND w.s = j.s GROUP BY 1, 2) SELECT b, s, n, round(weight, 5) AS weight, round(change, 5) AS change FROM w JOIN p USING (b, s)""")
+def flip_penalties(spark, sf):
+    o = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("f"), (F.col("l_suppkey") % 6).alias("b"), (F.col("l_partkey") % 40).alias("s")).agg((F.max("l_linestatus") == "O").alias("a"))
+    return op.flip_penalties(o, "f", "b", "s", "a").select("b", "s", "n", F.round("weight", 5).alias("weight"), F.round("change", 5).alias("change"))
+
+
+@query("parent_votes", """WITH v AS (SELECT o_custkey % 100 AS b, o_orderkey % 2 AS c0, o_orderkey // 2 % 2 AS c1, o_orderkey // 4 % 2 AS m0, o_orderkey // 8 % 2 AS m1, o_orderkey // 16 % 2 AS f0, o_orderkey // 32 % 2 AS f1 FROM orders),
+ t AS (SELECT b, CASE WHEN f0 = f1 THEN CASE WHEN f0 = c0 THEN 0 ELSE 1 END WHEN m0 = m1 THEN CASE WHEN m0 = c1 THEN 0 ELSE 1 END END AS side FROM v WHERE c0 <> c1 AND ((c0 IN (m0, m1) AND c1 IN (f0, f1)) OR (c1 IN (m0, m1) AND c0 IN (f0, f1))))
+ SELECT b, count(*) FILTER (side = 0) AS side0, count(*) FILTER (side = 1) AS side1, count(*) FILTER (side = 1) > count(*) FILTER (side = 0) AS turn FROM t GROUP BY 1""")
+def parent_votes(spark, sf):
+    bit = lambda i: (F.floor(F.col("o_orderkey") / (1 << i)) % 2)
+    v = table(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("b"), *(bit(i).alias(n) for i, n in enumerate(("c0", "c1", "m0", "m1", "f0", "f1"))))
+    return op.parent_votes(v, "b", ("c0", "c1"), ("m0", "m1"), ("f0", "f1"))
+
+
+@query("sequence_codes", """WITH s AS (SELECT p_partkey, p_size, left(a, least(length(a), length(b))) AS a, left(b, least(length(a), length(b))) AS b FROM (SELECT p_partkey, p_size, translate(p_name, 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACRYacgtKMN') AS a, translate(reverse(p_name), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTAGGTACGTCCGTACRYacgtKSN') AS b FROM part)),
+ c AS (SELECT p_partkey, unnest(range(length(a))) AS i, a, b FROM s), d AS (SELECT p_partkey, i, a[i + 1] AS x, b[i + 1] AS y, instr('XACMGRSVTWYHKDBN', upper(a[i + 1])) - 1 AS p, instr('XACMGRSVTWYHKDBN', upper(b[i + 1])) - 1 AS q FROM c),
+ e AS (SELECT p_partkey, i, 'XACMGRSVTWYHKDBN'[(p | q) + 1] AS u, 'XACMGRSVTWYHKDBN'[(p & q) + 1] AS n, x <> lower(x) AND y <> lower(y) AS bb, (x <> lower(x) OR y <> lower(y)) AND p & q > 0 AS ab, p < 15 AND q < 15 AS kk FROM d)
+ SELECT p_partkey, string_agg(CASE WHEN bb THEN u ELSE lower(u) END, '' ORDER BY i) AS together, string_agg(CASE WHEN ab THEN n ELSE lower(n) END, '' ORDER BY i) AS common, string_agg(CASE WHEN ab AND kk THEN n ELSE lower(n) END, '' ORDER BY i) AS masked FROM e GROUP BY 1""")
+def sequence_codes(spark, sf):
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    s = table(spark, sf, "part").select("p_partkey", F.translate("p_name", letters, "ACGTACGTACGTACGTACRYacgtKMN").alias("a"), F.translate(F.reverse("p_name"), letters, "ACGTAGGTACGTCCGTACRYacgtKSN").alias("b"))
+    return s.select("p_partkey", *(fn.merge_bases(F.col("a"), F.col("b"), how).alias(name) for name, how in (("together", "union"), ("common", "intersect"), ("masked", "mask"))))

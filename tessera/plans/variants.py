@@ -162,3 +162,32 @@ def sample_flattening(spark, sf):
     gt = F.element_at(F.array(*map(F.lit, ("0|1", "1|0", "1|1", "1|2", "2|1", "0|2"))), (F.col("q") % 6 + 1).cast("int"))
     calls = rows.select("sample", "chrom", (F.col("l_partkey") * 3).alias("pos"), base(F.col("l_partkey"), 3).alias("ref"), F.array(base(F.col("hi"), 3), base(F.col("lo"), 2)).alias("alts"), gt.alias("gt"))
     return op.flatten_samples(calls, "sample", "chrom", "pos", "ref", "alts", "gt")
+
+
+@query("called_alleles", """WITH g AS (SELECT l_partkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity >= 10 AND l_suppkey % 60 >= 5 GROUP BY 1, 2), r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY l_partkey) AS BIGINT) AS depth, CAST(sum(n) OVER (PARTITION BY l_partkey ORDER BY l_returnflag) AS BIGINT) AS e, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_returnflag) AS rn FROM g),
+ d AS (SELECT *, CAST('0x' || left(md5('7:' || l_partkey), 8) AS BIGINT) % depth AS d FROM r) SELECT l_partkey, l_returnflag, n, depth, 'majority' AS how FROM r WHERE rn = 1 AND depth >= 5 UNION ALL SELECT l_partkey, l_returnflag, n, depth, 'drawn' FROM d WHERE depth >= 5 AND d < e AND d >= e - n""")
+def called_alleles(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", "l_quantity", (F.col("l_suppkey") % 60).alias("mapq"))
+    called = lambda seed: op.called_alleles(rows, ["l_partkey"], "l_returnflag", "l_quantity", "mapq", 5, 10, 5, seed)
+    return called(None).withColumn("how", F.lit("majority")).unionByName(called(7).withColumn("how", F.lit("drawn")))
+
+
+@query("variant_chain", """WITH v AS (SELECT p_partkey AS pos, p_brand AS chrom, p_name AS ref, [p_type, p_name || p_type] AS alts, CASE WHEN p_size % 7 > 0 THEN p_retailprice END AS qual, p_size AS dp, p_size % 20 AS ad FROM part), x AS (SELECT s_suppkey * 10 AS a, s_suppkey * 10 + 5 AS b FROM supplier)
+ SELECT pos FROM v WHERE chrom LIKE 'Brand#1%' AND qual >= 920 AND CASE WHEN pos % 2 = 0 THEN ad ELSE dp END >= 5 AND length(ref) <= 20 AND length(alts[1]) <= 20 AND length(alts[2]) <= 20 AND NOT EXISTS (SELECT 1 FROM x WHERE pos >= a AND pos < b)""")
+def variant_chain(spark, sf):
+    v = table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("brand"), F.lit("c").alias("chrom"), F.col("p_name").alias("ref"), F.array("p_type", F.concat("p_name", "p_type")).alias("alts"), F.when(F.col("p_size") % 7 > 0, F.col("p_retailprice")).alias("qual"), F.col("p_size").alias("dp"), (F.col("p_size") % 20).alias("ad"))
+    excluded = table(spark, sf, "supplier").select(F.lit("c").alias("chrom"), (F.col("s_suppkey") * 10).alias("start"), (F.col("s_suppkey") * 10 + 5).alias("end"))
+    depth = F.when(F.col("pos") % 2 == 0, F.col("ad")).otherwise(F.col("dp"))
+    return op.accepted(v, F.startswith("brand", F.lit("Brand#1")), depth, 920, 5, 20, excluded).select("pos")
+
+
+@query("site_override", """WITH a AS (SELECT l_orderkey AS k, l_suppkey % 50 AS allele FROM lineitem), r AS (SELECT s_suppkey % 50 AS allele, s_nationkey AS site, substr(s_name, length(s_name), 1) AS base, 1000 + max(s_suppkey) AS o FROM supplier GROUP BY 1, 2, 3),
+ c AS (SELECT l_orderkey AS k, l_partkey % 25 AS site, CAST(max(l_linenumber) AS VARCHAR) AS base FROM lineitem GROUP BY 1, 2), h AS (SELECT a.k, a.allele, min({'site': r.site, 'o': r.o}) AS m FROM (SELECT DISTINCT * FROM a) a JOIN r USING (allele) JOIN c ON c.k = a.k AND c.site = r.site AND c.base = r.base GROUP BY 1, 2)
+ SELECT a.k, coalesce(h.m['o'], a.allele) AS allele, count(*) AS n FROM a LEFT JOIN h ON h.k = a.k AND h.allele = a.allele GROUP BY 1, 2""")
+def site_override(spark, sf):
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    s = table(spark, sf, "supplier")
+    rules = s.groupBy((F.col("s_suppkey") % 50).alias("allele"), F.col("s_nationkey").cast("bigint").alias("site"), F.right("s_name", F.lit(1)).alias("base")).agg((F.max("s_suppkey") + 1000).alias("to"))
+    calls = l.groupBy(F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 25).alias("site")).agg(F.max("l_linenumber").cast("string").alias("base"))
+    out = op.override_by_base(l.select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") % 50).alias("allele")), rules, calls, "k", "allele")
+    return out.groupBy("k", "allele").agg(F.count("*").alias("n"))

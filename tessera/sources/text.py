@@ -148,6 +148,13 @@ def fragments(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(*facts, "quals", F.posexplode(sites).alias("k", "s")).select(*facts, "s.site", F.col("s.allele").try_cast("int").alias("allele"), (F.ascii(F.substr("quals", F.col("k") + 1, F.lit(1))) - 33).alias("quality"))
 
 
+def matrix_fragments(spark: SparkSession, path: str) -> DataFrame:
+    """(a, b, same, other, w00, w01, w10, w11): site pairs with a weight for each pair of alleles, and the summed weight of equal and of different ones; sites are 0-based."""
+    f = F.split(F.trim("value"), r"\s+")
+    pairs = spark.read.text(path).where(F.size(f) >= 6).select((f[0].cast("bigint") - 1).alias("a"), (f[1].cast("bigint") - 1).alias("b"), *(f[i].cast("double").alias(n) for i, n in enumerate(("w00", "w01", "w10", "w11"), 2)))
+    return pairs.select("a", "b", (F.col("w00") + F.col("w11")).alias("same"), (F.col("w01") + F.col("w10")).alias("other"), "w00", "w01", "w10", "w11")
+
+
 def dimension(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
     """Frequency, nomenclature and allele lists."""
     return _tsv(spark, path, schema, header=header, sep=sep)
