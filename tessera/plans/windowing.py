@@ -50,7 +50,8 @@ def rolling_mask(spark, sf):
  SELECT k, min(s) AS start, max(e) AS "end", count(*) AS n FROM i GROUP BY k, g""")
 def low_depth_by_key(spark, sf):
     o = table(spark, sf, "orders").select((F.col("o_custkey") % 10).alias("k"), "o_orderkey", F.col("o_totalprice").alias("depth"))
-    d = o.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("o_orderkey")).cast("bigint"))
+    # Row numbers from ranges of orders: no key is sorted by one task.
+    d = op.totals_below(o.withColumn("one", F.lit(1)), ["k"], "o_orderkey", "one").withColumn("pos", F.col("below") + 1)
     return op.rolling_below(d, "k", "pos", "depth", 5, 180000)
 
 

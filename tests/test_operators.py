@@ -320,3 +320,94 @@ def test_steps_are_deleted(spark):
     assert len(set(root.glob("step-*")) - before) == 1
     sides = graph.signed_components(path.withColumn("f", F.col("a") % 2), "a", "b", "f").count()
     assert sides == 41 and len(set(root.glob("step-*")) - before) == 2
+
+
+def test_long_spans_go_into_wide_bins(spark):
+    rng = random.Random(3)
+    spans = [("c", s, s + rng.choice([1, 5, 60, 900, 40_000, 5_000_000])) for s in (rng.randrange(6_000_000) for _ in range(60))] + [("d", 0, 250_000_000), ("d", 5, 5), ("e", 7, 8)]
+    points = [(rng.choice("cde"), rng.randrange(6_000_000), i) for i in range(300)] + [("c", spans[0][1], 900), ("c", spans[0][2], 901), ("e", 7, 902), (None, 7, 903)]
+    s, p = spark.createDataFrame(spans, "k string, s long, e long"), spark.createDataFrame(points, "k string, at long, i long")
+    inside = {(i, k, a, b) for k, at, i in points for j, a, b in spans if j == k and a <= at < b}
+    got = joining.range_join(p, s, ["k"], "at", "s", "e", 64).select("i", "k", "s", "e").collect()
+    assert sorted(map(tuple, got)) == sorted((i, k, a, b) for k, at, i in points for j, a, b in spans if j == k and a <= at < b)
+    hit = {i for i, *_ in inside}
+    assert {r["i"] for r in joining.range_join(p, s, ["k"], "at", "s", "e", 64, "left_semi").collect()} == hit
+    assert {r["i"] for r in joining.range_join(p, s, ["k"], "at", "s", "e", 64, "left_anti").collect()} == {i for *_, i in points} - hit
+    rows = joining.bins("s", "e", joining.span_level("s", "e", 64), 64)
+    assert s.where("s < e").select(F.size(rows).alias("n")).agg(F.max("n").alias("n")).first()["n"] <= joining.STEP + 1
+
+
+def test_overlaps_of_long_and_short_spans(spark):
+    from tessera.operators import alignments
+
+    rng = random.Random(4)
+    draw = lambda n: [("c", s, s + rng.choice([1, 9, 500, 30_000, 2_000_000]), i) for i, s in enumerate(rng.randrange(3_000_000) for _ in range(n))]
+    for a, b in ((draw(80), draw(6)), (draw(5), draw(70)), (draw(9), [])):
+        rows, other = (spark.createDataFrame(x, "k string, s long, e long, i long") for x in (a, b))
+        want = {i for k, s, e, i in a if any(s < f and e > t for _, t, f, _ in b)}
+        kept = lambda how: {r["i"] for r in alignments.overlapping(rows, other, ["k"], "s", "e", 64, how).collect()}  # noqa: B023, E731
+        assert kept("left_semi") == want and kept("left_anti") == {x[3] for x in a} - want
+
+
+def test_flip_penalties_by_turning_every_site(spark):
+    from tessera.operators import phasing
+
+    rng = random.Random(6)
+    rows = [(f, f % 3, s, rng.random() < 0.7) for f in range(40) for s in rng.sample(range(8), rng.randint(1, 5))]
+    got = {(r["b"], r["s"]): (r["n"], r["weight"], r["change"]) for r in phasing.flip_penalties(spark.createDataFrame(rows, "f long, b long, s long, a boolean"), "f", "b", "s", "a").collect()}
+
+    def weights(block, turned=None):
+        held = {}
+        for f in {r[0] for r in rows if r[1] == block}:
+            own = [(s, a != (s == turned)) for g, _, s, a in rows if g == f]
+            if len(own) > 1:
+                share = sum(a for _, a in own) / len(own)
+                for s, a in own:
+                    held.setdefault(s, []).append(1 - share if a else share)
+        return {s: (len(v), sum(v) / len(v)) for s, v in held.items()}
+
+    want = {}
+    for block in range(3):
+        base = weights(block)
+        for s, (n, w) in base.items():
+            turned = weights(block, s)
+            want[block, s] = (n, w, sum(turned[o][1] - base[o][1] for o in base if o != s))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_merged_codes_and_flags(spark):
+    merge = lambda a, b, how, **k: value(spark, fn.merge_bases(F.lit(a), F.lit(b), how, **k))
+    assert merge("ACGTRa", "AGGNYAT", "union") == "ASGNNa" and merge("ACGTRa", "AGGNYA", "intersect") == "AxGTxA" and merge("ACGTRa", "AGGNYA", "mask") == "AxGtxA"
+    drawn = merge("AR" * 200, "RR" * 200, "random", draw=F.lit(1))
+    assert set(drawn[::2]) == {"A", "R"} and set(drawn[1::2]) == {"A", "G", "R"} and drawn == merge("AR" * 200, "RR" * 200, "random", draw=F.lit(1)) != merge("AR" * 200, "RR" * 200, "random", draw=F.lit(2))
+    assert merge("AAC", "AGN", "random", draw=F.lit(1)) == "ARc"
+    assert [value(spark, fn.boolean(F.lit(t))) for t in ("Yes", "F", "1", "maybe")] == [True, False, True, None]
+
+
+def test_pileup_and_mates(spark):
+    from tessera.operators import alignments
+
+    rows = spark.createDataFrame([("r1", 0, "c", 10, 60, "1S2M1I2D2M", "NACTGT", "IIIIII", "=", 40, 35), ("r2", 16, "c", 11, 60, "2M", "CG", "I!", "*", None, 0), ("r3", 4, "*", 0, 0, "*", "AC", "II", "*", None, 0), ("r4", 0, "c", 11, 5, "1M", "A", "I", "*", None, 0)], "qname string, flag int, rname string, pos int, mapq int, cigar string, seq string, qual string, rnext string, mate_pos int, insert_size int")
+    got = {r["pos"]: (r["depth"], r["bases"]) for r in alignments.pileup(rows, 10, 10).collect()}
+    assert got == {10: (1, "A"), 11: (2, "Cc"), 14: (1, "G"), 15: (1, "T")}
+    lines = [r["line"].split("\t") for r in alignments.to_sam(rows).collect()]
+    assert lines[0][6:9] == ["=", "41", "35"] and lines[1][6:9] == ["*", "0", "0"]
+
+
+def test_calls_chain_votes_and_overrides(spark):
+    from tessera.operators import phasing
+
+    seen = spark.createDataFrame([(1, "A", 30, 30)] * 30 + [(1, "C", 30, 30)] * 10 + [(1, "C", 3, 30)] * 90 + [(2, "G", 30, 30)], "s int, a string, q int, m int")
+    called = {r["s"]: (r["a"], r["n"], r["depth"]) for r in variants.called_alleles(seen, ["s"], "a", "q", "m", 2, 10, 10).collect()}
+    assert called == {1: ("A", 30, 40)}
+    drawn = [variants.called_alleles(seen, ["s"], "a", "q", "m", 2, 10, 10, seed).first()["a"] for seed in range(12)]
+    assert set(drawn) == {"A", "C"} and drawn.count("A") > drawn.count("C")
+    calls = spark.createDataFrame([("g", 5, "A", ["C"], 30.0, 9), ("g", 50, "A", ["C"], 30.0, 9), ("g", 6, "A", ["C"], None, 9), ("g", 7, "A", ["C" * 9], 30.0, 9), ("h", 5, "A", ["C"], 30.0, 9), ("g", 8, "A", ["C"], 30.0, 0)], "chrom string, pos long, ref string, alts array<string>, qual double, dp int")
+    off = spark.createDataFrame([("g", 40, 60)], "chrom string, start long, end long")
+    assert [r["pos"] for r in variants.accepted(calls, F.col("chrom") == "g", F.col("dp"), 20, 0, 5, off).collect()] == [5]
+    trio = spark.createDataFrame([("b", 0, 1, 0, 1, 0, 0), ("b", 1, 0, 0, 1, 0, 0), ("b", 1, 0, 1, 1, 0, 1), ("b", 1, 0, 0, 0, 0, 0), ("b", 0, 0, 0, 1, 0, 0)], "b string, c0 int, c1 int, m0 int, m1 int, f0 int, f1 int")
+    assert tuple(phasing.parent_votes(trio, "b", ("c0", "c1"), ("m0", "m1"), ("f0", "f1")).first()) == ("b", 1, 2, True)
+    alleles = spark.createDataFrame([("s", "a1"), ("s", "a2"), ("t", "a1"), ("s", "a1")], "k string, allele string")
+    rules = spark.createDataFrame([("a1", 5, "G", "b1"), ("a1", 3, "T", "b2"), ("a2", 5, "C", "b3")], "allele string, site int, base string, to string")
+    at = spark.createDataFrame([("s", 5, "G"), ("s", 3, "T"), ("t", 5, "A")], "k string, site int, base string")
+    assert sorted(map(tuple, variants.override_by_base(alleles, rules, at, "k", "allele").collect())) == [("s", "a2"), ("s", "b2"), ("s", "b2"), ("t", "a1")]

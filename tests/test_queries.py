@@ -31,3 +31,23 @@ def test_entry(spark):
     assert entry.entry(spark).count() >= 0
     assert set(registry.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_an_entry_goes_on_without_what_a_part_needs(monkeypatch):
+    import sys
+    from importlib import reload
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    for name in [m for m in sys.modules if m.startswith("tessera.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    try:
+        import tessera.llm  # noqa: F401
+    except ImportError:
+        pytest.skip("the part is not there")
+    with pytest.warns(UserWarning, match="zstandard"):
+        reload(entry)
+    assert set(registry.QUERIES) == set(entry.queries()) - {"pipeline"}
+    monkeypatch.undo()
+    reload(entry)

@@ -132,3 +132,9 @@ def test_report_sinks(spark, tmp_path):
     one = spark.createDataFrame([("s", "g", "a", "b", 0.8, 0.2, 30, 0.5, 2.0, 2.0, 0.0, "Y")], ", ".join(f"{c} string" if c in ("sample", "gene", "first", "second", "loss") else f"{c} double" if c != "sites" else "sites int" for c in sinks.COPY_REPORT))
     sinks.write_copies(one, f"{tmp_path}/copies")
     assert len(spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/copies").columns) == 12
+
+
+def test_pair_matrices(spark, tmp_path):
+    path = put(tmp_path, "m", "1 3 0.5 0.1 0.2 0.7\n2 3 1 0 0 1\n\n")
+    got = sorted((r["a"], r["b"], round(r["same"], 6), round(r["other"], 6), r["w01"]) for r in text.matrix_fragments(spark, path).collect())
+    assert got == [(0, 2, 1.2, 0.3, 0.1), (1, 2, 2.0, 0.0, 0.0)]
