@@ -17,7 +17,7 @@ Turns are ordered by turn number (null first), then role and text, so repeated
 rows each count. A null text or role is empty. Rows of a null conv_id are one
 conversation. An empty table gives an empty result; other columns are ignored.
 Rows are shuffled by conversation and streamed in order; a task holds one
-conversation at a time.
+conversation at a time, a very long text with it.
 """
 
 from __future__ import annotations

@@ -11,8 +11,11 @@ scoring adds those up, over every byte of every text.
 A null or empty text has no features: its score is what the bias alone gives.
 Without labelled rows of both classes every score is the share of label 1 (or
 0.5). Of clashing labels of a document the greatest counts, and of repeated
-rows of a document in the sample the least text. Repeated rows score alike; an empty table gives an empty result; other
-columns are ignored.
+rows of a document in the sample the least text. Labels of texts of more than
+``SAMPLE_CHARS`` (see ``_store``) characters are not learned from; scoring takes
+every text whole, a very long one alone in its batch. Repeated rows score
+alike, so do equal texts (ties of scores stand); an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

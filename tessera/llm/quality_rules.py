@@ -8,10 +8,13 @@ the distant label of its lines, and repeated lines count as boilerplate.
 Viterbi decodes every line of every document; the share of words that stand in
 content lines is compared with ``LEAST_SHARE``.
 
-A null text has no words: it fails the base rules. Of clashing labels of
-a document the greatest counts. Without labelled rows the
-prior weights below are used as they are. Repeated rows are judged alike;
-other columns are ignored; an empty table gives an empty result.
+A null or empty text has no words: it fails the base rules. Of clashing labels
+of a document the greatest counts. Labels of texts of more than ``SAMPLE_CHARS``
+(see ``_store``) characters are not learned from; a very long text is judged
+whole, alone in its batch. Of equally good paths the one with boilerplate at
+the latest line where they differ is taken. Without labelled rows the prior
+weights below are used as they are. Repeated rows are judged alike; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ min / max in the column index, so that a reader of some documents fetches few
 pages, and a reader of the metadata never touches ``ids``. ``shard`` numbers
 the files in document order; a second small table has the tokens of each.
 
-Nulls: a null text encodes as empty (only the end id); a null doc_id sorts
+A very long text is a slab of its own and one row of one file. Nulls: a null text
+encodes as empty (only the end id); a null doc_id sorts
 first. Equal doc_ids keep one row each, ordered by text. An empty table gives
 an empty result. Other columns are ignored.
 """
