@@ -453,3 +453,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rid = free_name(docs, "rid")
     rows = docs.withColumn(rid, shared.rid(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return _chosen(rows.select(rid, *docs.columns), rid, texts.where("node is not null"), chosen).select(*docs.columns)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g FROM d),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+ w(node, label) USING KEY (node) AS (SELECT doc_id, doc_id FROM d UNION (SELECT e.b, min(v.label) FROM w v JOIN e ON e.a = v.node JOIN recurring.w u ON u.node = e.b WHERE v.label < u.label GROUP BY e.b))
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, w.label AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN w ON w.node = d.doc_id
+"""
