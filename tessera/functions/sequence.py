@@ -188,3 +188,15 @@ TRUE, FALSE = ("yes", "true", "t", "y", "1"), ("no", "false", "f", "n", "0")
 def boolean(text: Column) -> Column:
     """A flag from its word; null for any other."""
     return F.when(F.lower(text).isin(*TRUE), True).when(F.lower(text).isin(*FALSE), False)
+
+
+def masked(seq: Column, start: Column, size: int, letter: str = "N") -> Column:
+    """Upper case, with ``size`` characters from ``start`` (0-based) on replaced."""
+    return F.overlay(F.upper(seq), F.lit(letter * size), start + 1, F.lit(size))
+
+
+def agreed(a: Column, b: Column, letter: str = "N") -> Column:
+    """Where two sequences agree, their character, else ``letter``; as long as the shorter."""
+    n = F.least(F.length(a), F.length(b))
+    letters = lambda s: F.split(F.substr(s, F.lit(1), n), "")
+    return F.array_join(F.zip_with(letters(a), letters(b), lambda x, y: F.when(x == y, x).otherwise(letter)), "")

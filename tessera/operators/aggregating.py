@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.sequence import reverse_complement
 from tessera.operators.windowing import join_on, totals_below
 
 
@@ -97,6 +98,58 @@ def fenced_mean(df: DataFrame, key: str, value: str, fence: float = 1.5) -> Data
     return inside.groupBy(key).agg(F.first("q1").alias("q1"), F.first("q3").alias("q3"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count("*").alias("n"))
 
 
+def spans_by_tag(df: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """(keys, first_at, last_at, n) of the rows that carry the same tags."""
+    return df.groupBy(*keys).agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n"))
+
+
+def text_in_order(df: DataFrame, key: str, order: list[str], text: str, separator: str, name: str) -> DataFrame:
+    """(key, name): a key's texts in order (equal places by text), joined."""
+    listed = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("__x"))))
+    return df.groupBy(key).agg(F.array_join(F.transform(listed, lambda p: p["__x"]), separator).alias(name))
+
+
+def distinct_in_order(df: DataFrame, key: str, value: str, order: list[str], separator: str, name: str) -> DataFrame:
+    """(key, name): a key's different values by their first places, joined; combined before the shuffle, so repeated values cost nothing."""
+    first = df.groupBy(key, value).agg(*(F.min(c).alias(c) for c in order))
+    return text_in_order(first, key, order, value, separator, name)
+
+
+def transition_shares(df: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
+    """(a, b, n, p): how often state b follows a within a key, and the share of all that follows a."""
+    steps = df.select(F.col(state).alias("a"), F.lead(state).over(Window.partitionBy(key).orderBy(*order)).alias("b")).where("b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return steps.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("a")))  # a row a pair of states
+
+
+def turned_by_vote(df: DataFrame, key: str, side: str, first, second, count: str = "n") -> DataFrame:
+    """(key, side, n): a key's rows by side, with both sides exchanged where more are on the ``second``; other sides stay."""
+    counts = df.groupBy(key, side).agg(F.count("*").alias("__n"))
+    of = lambda v: F.sum(F.when(F.col(side) == v, F.col("__n")).otherwise(0))
+    votes = counts.groupBy(key).agg((of(second) > of(first)).alias("__turn"))
+    turned = F.when(F.col("__turn") & (F.col(side) == first), second).when(F.col("__turn") & (F.col(side) == second), first).otherwise(F.col(side))
+    return counts.join(votes, key).groupBy(key, turned.alias(side)).agg(F.sum("__n").alias(count))
+
+
+def grid(df: DataFrame, **parameters: list) -> DataFrame:
+    """Every row with every combination of the parameters' values."""
+    for name, values in parameters.items():
+        df = df.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return df
+
+
+def best_combination(df: DataFrame, group: str, option: str, score: str, second: str) -> DataFrame:
+    """(group, option, score): the option of the highest score, of equals of the higher second criterion, then the smallest."""
+    best = df.groupBy(group).agg(F.max(F.struct(score, second)).alias("__m"))
+    ties = df.join(best, group).where((F.col(score) == F.col(f"__m.{score}")) & (F.col(second) == F.col(f"__m.{second}")))
+    return ties.groupBy(group).agg(F.min(option).alias(option), F.first(score).alias(score))
+
+
+def strand_kmers(df: DataFrame, seq: str, k: int, high: Column) -> DataFrame:
+    """(kmer, n, high): k-mers of both strands as one, how often they occur and how often in good quality."""
+    rows = df.where(F.length(seq) >= k).select(high.alias("__h"), F.explode(F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substr(F.col(seq), i, F.lit(k)))).alias("__f"))
+    return rows.groupBy(F.least("__f", reverse_complement(F.col("__f"))).alias("kmer")).agg(F.count("*").alias("n"), F.count_if("__h").alias("high"))
+
+
 def conflict_merge(df: DataFrame, keys: list[str], allele: str, quality: str, cap: float) -> DataFrame:
     """Keys whose alleles agree, with the summed quality up to ``cap``; keys with two alleles go."""
     g = df.groupBy(*keys).agg(F.min(allele).alias(allele), F.max(allele).alias("__hi"), F.sum(quality).alias("q"))

@@ -368,3 +368,9 @@ def script_filter(script: str) -> Column:
         return named_filter(parsed)
     named = {f.get("id", f"filter{i}"): named_filter({k: v for k, v in f.items() if k != "id"}) for i, f in enumerate(parsed["filters"], 1)}
     return rule_script(named, parsed.get("rule", ""))
+
+
+def long_hits(hits: DataFrame, allele: str, differences: str, length: str, least: int, excluded: DataFrame) -> DataFrame:
+    """(allele, differences, aligned) summed over hits of ``least`` aligned bases or more, without the alleles of ``excluded``."""
+    kept = hits.where(F.col(length) >= least).join(excluded, allele, "left_anti")
+    return kept.groupBy(allele).agg(F.sum(differences).alias("differences"), F.sum(length).alias("aligned"))

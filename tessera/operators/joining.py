@@ -31,6 +31,14 @@ def adjacent(df: DataFrame, group: str, index: str, columns: list[str]) -> DataF
     return df.withColumns(nexts).where(F.col(f"next_{index}") == F.col(index) + 1)
 
 
+def neighbour_shares(df: DataFrame, group: str, index: str, value: str, least: int = 4) -> DataFrame:
+    """(index, same, opposite): over all groups the shares of equal and different values at an index and the next; zero with ``least`` groups or fewer."""
+    one = df.groupBy(group, index).agg(F.max(value).alias("__f"))
+    pairs = adjacent(one, group, index, ["__f"]).select(index, (F.col("__f") == F.col("next___f")).alias("__same"))
+    share = lambda t: F.when(F.count("*") > least, F.count_if(t) / F.count("*")).otherwise(0.0)
+    return pairs.groupBy(index).agg(share(F.col("__same")).alias("same"), share(~F.col("__same")).alias("opposite"))
+
+
 def pairs_within(df: DataFrame, group: str, item: str, weight: str) -> DataFrame:
     """Item pairs a < b that share groups, with how often and the summed weight (w_a * w_b)."""
     one = df.groupBy(group, item).agg(F.sum(weight).alias("w"))

@@ -183,6 +183,20 @@ def running_offset(df: DataFrame, order: list, size: Column) -> DataFrame:
     return df.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)))
 
 
+def sliding_windows(df: DataFrame, key: str, order: list[str], size: int, overlap: int, name: str = "win") -> DataFrame:
+    """Rows with the number of each window of ``size`` rows of their key that they are in; a window begins ``size`` - ``overlap`` rows behind the one before."""
+    step = size - overlap
+    i = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    rows = df.withColumn("__i", i).withColumn("__b", F.floor(F.col("__i") / step))
+    wins = F.when((F.col("__b") > 0) & (F.col("__i") % step < overlap), F.array(F.col("__b"), F.col("__b") - 1)).otherwise(F.array("__b"))
+    return rows.withColumn(name, F.explode(wins)).drop("__i", "__b")
+
+
+def first_rows(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each group by ``order``; the planner keeps as many a task before the shuffle."""
+    return df.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+
+
 def greedy_apart(df: DataFrame, key: str, at: str, order: str, distance: int) -> DataFrame:
     """(key, at, order) of rows kept one after another if they are ``distance`` or more from the last kept one."""
     picked = df.select(key, at, order)

@@ -107,7 +107,7 @@ def per_position_whole(spark, sf):
 @query("tag_molecules", "SELECT user_id, event_type, min(epoch_us(ts)) AS first_at, max(epoch_us(ts)) AS last_at, count(*) AS n FROM events GROUP BY 1, 2")
 def tag_molecules(spark, sf):
     v = table(spark, sf, "events").select("user_id", "event_type", micros("ts").alias("at"))
-    return v.groupBy("user_id", "event_type").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n"))
+    return op.spans_by_tag(v, ["user_id", "event_type"], "at")
 
 
 DELAY = "SELECT o_orderstatus AS k, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS DOUBLE) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
@@ -168,16 +168,10 @@ def string_agg_sorted(spark, sf):
 @query("block_vote_flip", """WITH v AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag = 'A') AS b FROM lineitem GROUP BY 1)
  SELECT l_suppkey, CASE WHEN l_returnflag = 'N' THEN 'N' WHEN b > a THEN CASE WHEN l_returnflag = 'R' THEN 'A' ELSE 'R' END ELSE l_returnflag END AS side, count(*) AS n FROM lineitem JOIN v USING (l_suppkey) GROUP BY 1, 2""")
 def block_vote_flip(spark, sf):
-    l = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))  # noqa: E741
-    v = l.groupBy("l_suppkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("l_returnflag") == "A", F.col("n")).otherwise(0)).alias("b"))
-    flipped = F.when(F.col("l_returnflag") == "N", "N").when(F.col("b") > F.col("a"), F.when(F.col("l_returnflag") == "R", "A").otherwise("R")).otherwise(F.col("l_returnflag"))
-    return l.join(v, "l_suppkey").groupBy("l_suppkey", flipped.alias("side")).agg(F.sum("n").alias("n"))
+    return op.turned_by_vote(table(spark, sf, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("side")), "l_suppkey", "side", "R", "A")
 
 
 @query("hmm_counts", """WITH t AS (SELECT l_orderkey, l_returnflag AS a, lead(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b FROM lineitem) SELECT a, b, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY a), 6) AS p FROM t WHERE b IS NOT NULL GROUP BY 1, 2""")
 def hmm_counts(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    t = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("a"), F.lead("l_returnflag").over(w).alias("b")).where("b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return t.withColumn("p", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("a")), 6))
+    rows = op.transition_shares(table(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_returnflag")
+    return rows.withColumn("p", F.round("p", 6))

@@ -162,8 +162,7 @@ def depth_bins(spark, sf):
 @query("hit_filter", """SELECT l_partkey, CAST(sum(l_linenumber) AS BIGINT) AS differences, sum(l_quantity) AS aligned FROM lineitem WHERE l_quantity >= 25 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size = 7) GROUP BY 1""")
 def hit_filter(spark, sf):
     listed = table(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey"))
-    hits = table(spark, sf, "lineitem").where("l_quantity >= 25").join(listed, "l_partkey", "left_anti")
-    return hits.groupBy("l_partkey").agg(F.sum("l_linenumber").alias("differences"), F.sum("l_quantity").alias("aligned"))
+    return op.long_hits(table(spark, sf, "lineitem"), "l_partkey", "l_linenumber", "l_quantity", 25, listed)
 
 
 @query("breakpoint_rules", """WITH r AS (SELECT p_partkey % 4 AS k, p_partkey AS a, p_partkey + p_size AS b FROM part WHERE p_type = 'SMALL') SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = l_suppkey % 4 AND l_partkey >= a AND l_partkey < b)""")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import joining as op
-from tessera.operators import sets
+from tessera.operators import aggregating, sets
 
 from .registry import days, micros, query, table
 
@@ -205,9 +205,7 @@ def interval_compare(spark, sf):
  SELECT p_brand, p_type, score FROM r WHERE rn = 1""")
 def combo_best(spark, sf):
     s = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.round(F.avg("p_retailprice"), 2).alias("score"), F.sum("p_size").alias("f"))
-    # max_by over a struct; the type breaks ties towards the smallest, so it is compared last and reversed by min.
-    best = s.groupBy("p_brand").agg(F.max(F.struct("score", "f")).alias("m"))
-    return s.join(best, "p_brand").where("score = m.score and f = m.f").groupBy("p_brand").agg(F.min("p_type").alias("p_type"), F.first("score").alias("score"))
+    return aggregating.best_combination(s, "p_brand", "p_type", "score", "f")
 
 
 @query("two_source_mix", """SELECT doc_id, 'a' AS src FROM documents WHERE doc_id % 10 < 2 UNION ALL SELECT doc_id, 'b' FROM documents WHERE doc_id % 10 >= 2 AND (doc_id * 31) % 10 < 8""")

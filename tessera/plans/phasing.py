@@ -8,7 +8,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.functions import sequence as fn
 from tessera.functions import statistics
-from tessera.operators import alignments, scan
+from tessera.operators import aggregating, alignments, joining, scan, windowing
 from tessera.operators import phasing as op
 
 from .alignments import BASES, DAY
@@ -127,8 +127,7 @@ def primary_options(spark, sf):
 
 @query("distinct_in_order", """WITH f AS (SELECT user_id, event_type, min(epoch_us(ts)) AS t, min(event_id) AS e FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type, ',' ORDER BY t, e) AS kinds FROM f GROUP BY 1""")
 def distinct_in_order(spark, sf):
-    first = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("t"), F.min("event_id").alias("e"))
-    return first.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t", "e", "event_type"))), lambda x: x["event_type"]), ",").alias("kinds"))
+    return aggregating.distinct_in_order(table(spark, sf, "events"), "user_id", "event_type", ["ts", "event_id"], ",", "kinds")
 
 
 @query("n_ratio", "SELECT lang, round(sum(length(text) - length(replace(text, 'n', ''))) / sum(length(text)), 2) AS ratio FROM documents GROUP BY 1")
@@ -139,52 +138,43 @@ def n_ratio(spark, sf):
 @query("linkage_share", """WITH o AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS f FROM lineitem GROUP BY 1, 2), p AS (SELECT a.l_linenumber AS i, a.f = b.f AS same FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)
  SELECT i, CASE WHEN count(*) > 4 THEN round(count(*) FILTER (same) / count(*), 6) ELSE 0 END AS same, CASE WHEN count(*) > 4 THEN round(count(*) FILTER (NOT same) / count(*), 6) ELSE 0 END AS opposite FROM p GROUP BY 1""")
 def linkage_share(spark, sf):
-    from tessera.operators.joining import adjacent
-
-    one = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("f"))
-    pairs = adjacent(one, "l_orderkey", "l_linenumber", ["f"]).select(F.col("l_linenumber").alias("i"), (F.col("f") == F.col("next_f")).alias("same"))
-    share = lambda t: F.when(F.count("*") > 4, F.round(F.count_if(t) / F.count("*"), 6)).otherwise(0.0)
-    return pairs.groupBy("i").agg(share(F.col("same")).alias("same"), share(~F.col("same")).alias("opposite"))
+    shares = joining.neighbour_shares(table(spark, sf, "lineitem").withColumnRenamed("l_linenumber", "i"), "l_orderkey", "i", "l_returnflag")
+    return shares.select("i", F.round("same", 6).alias("same"), F.round("opposite", 6).alias("opposite"))
 
 
 @query("first_per_group", "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 2")
 def first_per_group(spark, sf):
-    r = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
-    return table(spark, sf, "part").select("p_brand", "p_partkey", r.alias("r")).where("r <= 2").drop("r")
+    return windowing.first_rows(table(spark, sf, "part").select("p_brand", "p_partkey", "p_retailprice"), "p_brand", [F.desc("p_retailprice"), "p_partkey"], 2).drop("p_retailprice")
 
 
 @query("exon_concat", """SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, repeat('N', 20) ORDER BY l_linenumber, l_returnflag || l_linestatus) AS seq FROM lineitem GROUP BY 1""")
 def exon_concat(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("x"))
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "x"))), lambda p: p["x"])
-    return rows.groupBy("l_orderkey").agg(F.array_join(parts, "N" * 20).alias("seq"))
+    return aggregating.text_in_order(rows, "l_orderkey", ["l_linenumber"], "x", "N" * 20, "seq")
 
 
 @query("parameter_grid", """WITH s AS (SELECT c_nationkey, c_mktsegment, avg(c_acctbal) AS x, count(*) AS n FROM customer GROUP BY 1, 2) SELECT c_nationkey, c_mktsegment, w AS weight, m AS mode, round(CASE WHEN m = 'mean' THEN x * w ELSE n * w END, 4) AS value FROM s, (SELECT unnest([0.2::DOUBLE, 0.5, 0.8]) AS w), (SELECT unnest(['mean', 'count']) AS m)""")
 def parameter_grid(spark, sf):
     s = table(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("x"), F.count("*").alias("n"))
-    grid = s.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in (0.2, 0.5, 0.8)]))).withColumn("mode", F.explode(F.array(F.lit("mean"), F.lit("count"))))
+    grid = aggregating.grid(s, weight=[0.2, 0.5, 0.8], mode=["mean", "count"])
     return grid.select("c_nationkey", "c_mktsegment", "weight", "mode", F.round(F.when(F.col("mode") == "mean", F.col("x")).otherwise(F.col("n").cast("double")) * F.col("weight"), 4).alias("value"))
 
 
 @query("kmer_strands", f"""WITH t AS (SELECT translate(p_name, '{BASES[0]}', '{BASES[1]}') AS q, p_size FROM part), k AS (SELECT substr(q, CAST(i AS INT), 5) AS f, p_size FROM (SELECT q, p_size, unnest(range(1, length(q) - 3)) AS i FROM t))
  SELECT least(f, reverse(translate(f, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n, count(*) FILTER (p_size >= 25) AS high FROM k GROUP BY 1""")
 def kmer_strands(spark, sf):
-    q = table(spark, sf, "part").select(F.translate("p_name", *BASES).alias("q"), "p_size").where("length(q) >= 5")
-    f = q.select("p_size", F.explode(F.transform(F.sequence(F.lit(1), F.length("q") - 4), lambda i: F.substr("q", i, F.lit(5)))).alias("f"))
-    return f.groupBy(F.least("f", fn.reverse_complement(F.col("f"))).alias("kmer")).agg(F.count("*").alias("n"), F.count_if(F.col("p_size") >= 25).alias("high"))
+    q = table(spark, sf, "part").select(F.translate("p_name", *BASES).alias("q"), "p_size")
+    return aggregating.strand_kmers(q, "q", 5, F.col("p_size") >= 25)
 
 
 @query("sequence_mask", """SELECT p_partkey, upper(left(p_name, p_size % 5)) || repeat('N', 3) || upper(substr(p_name, p_size % 5 + 4)) AS seq FROM part""")
 def sequence_mask(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.overlay(F.upper("p_name"), F.lit("NNN"), F.col("p_size") % 5 + 1, F.lit(3)).alias("seq"))
+    return table(spark, sf, "part").select("p_partkey", fn.masked(F.col("p_name"), F.col("p_size") % 5, 3).alias("seq"))
 
 
 @query("sequence_merge", f"""WITH p AS ({NEIGHBOURS}) SELECT p_partkey, list_aggregate([CASE WHEN a[CAST(i AS INT)] = b[CAST(i AS INT)] THEN a[CAST(i AS INT)] ELSE 'N' END FOR i IN range(1, least(length(a), length(b)) + 1)], 'string_agg', '') AS seq FROM p WHERE b IS NOT NULL""")
 def sequence_merge(spark, sf):
-    n = F.least(F.length("a"), F.length("b"))
-    letters = lambda c: F.split(F.substr(F.col(c), F.lit(1), n), "")
-    return _neighbours(spark, sf).select("p_partkey", F.array_join(F.zip_with(letters("a"), letters("b"), lambda x, y: F.when(x == y, x).otherwise("N")), "").alias("seq"))
+    return _neighbours(spark, sf).select("p_partkey", fn.agreed(F.col("a"), F.col("b")).alias("seq"))
 
 
 @query("hmm_emissions", "SELECT event_type, CAST(floor(value / 25) AS BIGINT) AS symbol, count(*) AS n FROM events GROUP BY 1, 2")

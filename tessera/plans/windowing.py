@@ -145,10 +145,8 @@ def offset_rebase(spark, sf):
  SELECT l_suppkey, win, count(*) AS n, round(sum(l_quantity), 2) AS total FROM w GROUP BY 1, 2""")
 def sliding_blocks(spark, sf):
     # Windows of 200 rows that overlap by 60: a row is in the window of its step and, in the first 60, in the one before.
-    i = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")) - 1
-    n = table(spark, sf, "lineitem").withColumn("i", i).withColumn("b", F.floor(F.col("i") / 140))
-    wins = F.when((F.col("b") > 0) & (F.col("i") % 140 < 60), F.array(F.col("b"), F.col("b") - 1)).otherwise(F.array("b"))
-    return n.select("l_suppkey", F.explode(wins).alias("win"), "l_quantity").groupBy("l_suppkey", "win").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
+    n = op.sliding_windows(table(spark, sf, "lineitem"), "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], 200, 60)
+    return n.groupBy("l_suppkey", "win").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
 
 
 @query("greedy_dedupe", """WITH RECURSIVE o AS (SELECT user_id AS k, epoch_us(ts) AS tt, event_id FROM events WHERE event_type = 'error'), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tt, event_id) AS i FROM o),

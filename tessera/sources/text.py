@@ -196,3 +196,28 @@ def time_logs(spark: SparkSession, path: str) -> DataFrame:
     number = lambda p: F.regexp_extract("value", p, 1).try_cast("double")
     user, system, peak = number(r"User time \(seconds\): ([0-9.]+)"), number(r"System time \(seconds\): ([0-9.]+)"), number(r"Maximum resident set size \(kbytes\): ([0-9]+)")
     return logs.select("file", F.round((user + system) / 3600, 6).alias("cpu_hours"), F.round(peak / 1024 / 1024, 6).alias("peak_gb"))
+
+
+def allele_calls(spark: SparkSession, path: str) -> DataFrame:
+    """Diploid calls with a column for each allele, as ``vcf`` rows: chrom, pos, ref, alts, qual, dp, ad (reference, alternate reads), gt, gq.
+
+    Fixed places of the tab separated columns: 2 sequence, 3 begin, 5 zygosity,
+    6 kind, 7 reference, 8 and 9 alleles (``?`` unknown), 10 and 11 their scores,
+    21 and 22 their reads, 24 all reads. Lines that are no calls, or that say
+    reference, go; alleles of unequal lengths get an ``N`` before them.
+    """
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).where(F.col("value").rlike("^[0-9]") & (F.size(f) > 24)).select(f.alias("f")).where("f[5] <> 'no-call' and f[6] <> 'ref'")
+    uneven = (F.length(F.col("f")[7]) != F.length(F.col("f")[8])) | (F.length(F.col("f")[7]) != F.length(F.col("f")[9]))
+    allele = lambda i: F.when(uneven & (F.col("f")[i] != "?"), F.concat(F.lit("N"), F.col("f")[i])).otherwise(F.col("f")[i])
+    number = lambda i: F.coalesce(F.col("f")[i].try_cast("int"), F.lit(0))
+    named = rows.select(F.col("f")[2].alias("chrom"), number(3).alias("pos"), allele(7).alias("ref"), allele(8).alias("a"), allele(9).alias("b"), number(10).alias("qa"), number(11).alias("qb"), number(21).alias("ra"), number(22).alias("rb"), number(24).alias("dp"))
+    known_a, known_b = F.col("a") != "?", F.col("b") != "?"
+    other_a, other_b = known_a & (F.col("a") != F.col("ref")), known_b & (F.col("b") != F.col("ref"))
+    alts = F.array_distinct(F.array_compact(F.array(F.when(other_a, F.col("a")), F.when(other_b, F.col("b")))))
+    when = lambda t, c: F.when(t, F.col(c)).otherwise(0)
+    # Reads of an allele that both say are counted once.
+    alternate = when(other_a & ~(other_b & (F.col("a") == F.col("b"))), "ra") + when(other_b, "rb")
+    place = lambda known, c: F.when(known, F.when(F.col(c) == F.col("ref"), 0).otherwise(F.array_position(alts, F.col(c))).cast("int"))
+    gt = F.when(known_a & known_b, F.array_sort(F.array(place(known_a, "a"), place(known_b, "b")))).otherwise(F.array(F.lit(None).cast("int"), F.lit(None).cast("int")))
+    return named.where(known_a | known_b).select("chrom", "pos", "ref", alts.alias("alts"), F.greatest(when(other_a, "qa"), when(other_b, "qb")).cast("double").alias("qual"), "dp", F.array(when(known_a & ~other_a, "ra") + when(known_b & ~other_b, "rb"), alternate).alias("ad"), gt.alias("gt"), F.least("qa", "qb").alias("gq"))

@@ -138,3 +138,16 @@ def test_pair_matrices(spark, tmp_path):
     path = put(tmp_path, "m", "1 3 0.5 0.1 0.2 0.7\n2 3 1 0 0 1\n\n")
     got = sorted((r["a"], r["b"], round(r["same"], 6), round(r["other"], 6), r["w01"]) for r in text.matrix_fragments(spark, path).collect())
     assert got == [(0, 2, 1.2, 0.3, 0.1), (1, 2, 2.0, 0.0, 0.0)]
+
+
+def test_calls_with_a_column_for_each_allele(spark, tmp_path):
+    def line(kind, ref, a, b, qa, qb, ra, rb, zygosity="het"):
+        f = [""] * 25
+        f[0], f[2], f[3], f[5], f[6], f[7], f[8], f[9], f[10], f[11], f[21], f[22], f[24] = "7", "c", "10", zygosity, kind, ref, a, b, qa, qb, ra, rb, "30"
+        return "\t".join(f)
+
+    lines = ["#x", line("snp", "A", "A", "C", "40", "50", "9", "11"), line("snp", "A", "C", "C", "40", "50", "9", "9"), line("del", "AC", "", "AC", "40", "30", "9", "4"), line("snp", "A", "C", "G", "40", "50", "9", "11"), line("snp", "A", "C", "?", "40", "0", "9", ""), line("ref", "A", "A", "A", "1", "1", "", ""), line("snp", "A", "?", "?", "1", "1", "", "", "no-call")]
+    got = [tuple(r)[2:] for r in text.allele_calls(spark, put(tmp_path, "v", "\n".join(lines) + "\n")).collect()]
+    assert got == [
+        ("A", ["C"], 50.0, 30, [9, 11], [0, 1], 40), ("A", ["C"], 50.0, 30, [0, 9], [1, 1], 40), ("NAC", ["N"], 40.0, 30, [4, 9], [0, 1], 30), ("A", ["C", "G"], 50.0, 30, [0, 20], [1, 2], 40), ("A", ["C"], 40.0, 30, [0, 9], [None, None], 0),
+    ]
