@@ -57,18 +57,18 @@ def kept_apart(distance: int) -> Callable[[Iterable[tuple]], Iterator[tuple]]:
     return fold
 
 
-def grown(size: int, gap: int) -> Callable[[Iterable[tuple]], Iterator[tuple]]:
-    """(start, end) rows joined until a region holds more than ``size`` bases and the next row lies more than ``gap`` away."""
+def gathered(size: int) -> Callable[[Iterable[tuple]], Iterator[tuple]]:
+    """(start, end, bases) rows joined until a region holds more than ``size`` bases."""
 
     def fold(rows: Iterable[tuple]) -> Iterator[tuple]:
         region = None
-        for s, e in rows:
-            if region is None or (region[2] > size and s - region[1] > gap):
+        for s, e, bases in rows:
+            if region is None or region[2] > size:
                 if region is not None:
                     yield region
-                region = (s, e, e - s)
+                region = (s, e, bases)
             else:
-                region = (region[0], max(region[1], e), region[2] + e - s)
+                region = (region[0], max(region[1], e), region[2] + bases)
         if region is not None:
             yield region
 

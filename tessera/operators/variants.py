@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tessera.functions.sequence import cigar_ops
 from tessera.operators import scan
 from tessera.operators.joining import near_join, range_join
+from tessera.operators.windowing import merge_ranges
 
 
 def structural(filter_: Column, kind: Column, length: Column, genotype: Column, least: int = 150) -> Column:
@@ -155,10 +156,15 @@ def best_quality_span(qual: Column, limit: float = 0.05, least: int = 30) -> Col
 
 
 def grown_regions(df: DataFrame, key: str, start: str, end: str, size: int, gap: int) -> DataFrame:
-    """(key, s, e, bases): regions that take intervals in order until they hold more than ``size`` bases and the next lies more than ``gap`` away."""
-    picked = df.select(key, F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))
+    """(key, s, e, bases): regions that take intervals in order until they hold more than ``size`` bases and the next lies more than ``gap`` away.
+
+    What lies no more than ``gap`` apart is one region whatever its size, and is
+    merged over ranges first; only such pieces are scanned in order.
+    """
+    picked = df.select(key, F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e")).withColumn("bases", F.col("e") - F.col("s"))
+    pieces = merge_ranges(picked.withColumn("e", F.col("e") + gap + 1), key, "s", "e", sums=("bases",)).withColumn("e", F.col("e") - gap - 1)
     schema = StructType([picked.schema[key], *(StructField(c, LongType()) for c in ("s", "e", "bases"))])
-    return scan.scan_keys(picked, [key], ["s", "e"], ["s", "e"], scan.grown(size, gap), schema)
+    return scan.scan_keys(pieces, [key], ["s"], ["s", "e", "bases"], scan.gathered(size), schema)
 
 
 def keep_best_of_overlaps(df: DataFrame, key: str, start: str, end: str, score: str) -> DataFrame:

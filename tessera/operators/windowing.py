@@ -46,19 +46,19 @@ def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return marked.groupBy(key, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__g")
 
 
-def merge_ranges(df: DataFrame, key: str, start: str, end: str, span: int = 100_000) -> DataFrame:
-    """``merge_intervals`` for keys with very many rows: ranges of ``span`` start positions are merged apart, then joined by one row each. Keys are not null."""
+def merge_ranges(df: DataFrame, key: str, start: str, end: str, span: int = 100_000, sums: tuple[str, ...] = ()) -> DataFrame:
+    """``merge_intervals`` for keys with very many rows, with the summed columns ``sums``: ranges of ``span`` start positions are merged apart, then joined by one row each."""
     rows = df.withColumn("__b", F.floor(F.col(start) / span))
     before = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     reaches = rows.groupBy(key, "__b").agg(F.max(end).alias("__e")).select(key, "__b", F.max("__e").over(before).alias("__before"))
     w = Window.partitionBy(key, "__b").orderBy(start, end)
     reach = F.greatest("__before", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    marked = rows.join(reaches, [key, "__b"]).withColumn("__new", F.when(F.col(start) < reach, 0).otherwise(1)).withColumn("__g", F.sum("__new").over(w))
+    marked = join_on(rows, reaches, [key, "__b"]).withColumn("__new", F.when(F.col(start) < reach, 0).otherwise(1)).withColumn("__g", F.sum("__new").over(w))
     # Within a range; group 0 goes on from the ranges before.
-    parts = marked.groupBy(key, "__b", "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"))
+    parts = marked.groupBy(key, "__b", "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums))
     offsets = parts.groupBy(key, "__b").agg(F.count_if(F.col("__g") > 0).alias("__n")).select(key, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    whole = parts.join(offsets, [key, "__b"]).withColumn("__g", F.col("__o") + F.col("__g"))
-    return whole.groupBy(key, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("n")).drop("__g")
+    whole = join_on(parts, offsets, [key, "__b"]).withColumn("__g", F.col("__o") + F.col("__g"))
+    return whole.groupBy(key, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums)).drop("__g")
 
 
 def next_row(df: DataFrame, order: str, columns: list[str], width: int) -> DataFrame:

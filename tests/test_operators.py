@@ -191,7 +191,7 @@ def test_scans_go_over_batches(spark):
                 last, n = s, n + 1
         assert r["count"] == n
     assert list(scan.depth_runs(0.1)([(0, 10), (1, 11), (2, 9), (3, 20), (5, 20), (6, 23)])) == [(0, 3, 30), (3, 4, 20), (5, 6, 20), (6, 7, 23)]
-    assert list(scan.grown(5, 1)([(0, 4), (5, 8), (9, 10), (20, 21)])) == [(0, 10, 8), (20, 21, 1)]
+    assert list(scan.gathered(5)([(0, 8, 7), (9, 10, 1), (20, 21, 1)])) == [(0, 8, 7), (9, 21, 2)]
 
 
 def test_stream_results_are_files(spark, tmp_path):
@@ -411,3 +411,21 @@ def test_calls_chain_votes_and_overrides(spark):
     rules = spark.createDataFrame([("a1", 5, "G", "b1"), ("a1", 3, "T", "b2"), ("a2", 5, "C", "b3")], "allele string, site int, base string, to string")
     at = spark.createDataFrame([("s", 5, "G"), ("s", 3, "T"), ("t", 5, "A")], "k string, site int, base string")
     assert sorted(map(tuple, variants.override_by_base(alleles, rules, at, "k", "allele").collect())) == [("s", "a2"), ("s", "b2"), ("s", "b2"), ("t", "a1")]
+
+
+def test_regions_grow_over_pieces(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", None]), s, s + rng.randint(1, 9)) for s in (rng.randrange(600) for _ in range(200))]
+    for size, gap in ((0, 0), (30, 1), (80, 5)):
+        want = []
+        for key in ("a", None):
+            region = None
+            for s, e in sorted((s, e) for k, s, e in rows if k == key):
+                if region is None or (region[2] > size and s - region[1] > gap):
+                    want += [(key, *region)] if region else []
+                    region = (s, e, e - s)
+                else:
+                    region = (region[0], max(region[1], e), region[2] + e - s)
+            want.append((key, *region))
+        got = variants.grown_regions(spark.createDataFrame(rows, "k string, s long, e long"), "k", "s", "e", size, gap).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
