@@ -34,7 +34,7 @@ named as a new one are replaced. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +46,12 @@ from ._words import slabs
 from .bpe import fragment_encoder
 
 CAPACITY, END_ID = 4096, 1
-PIECES = "piece int, start long, length int, task int, number long, ids array<int>"
+PIECES = "piece int, start long, length int, task int, number long, ids binary"
+PACKED = "piece int, start long, length int, ids array<int>, sequence_id long, offset long"
 
 
-def cut_pieces(ids: pa.ListArray, end_id: int, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
-    """(row, number in its row, length, ids) of every piece of the lists, each closed by ``end_id``."""
+def cut_pieces(ids: pa.ListArray, end_id: int, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, number in its row, length, ids) of every piece of the lists, each closed by ``end_id``; a piece's ids are its bytes, which the JVM copies as they are."""
     off = ids.offsets.to_numpy().astype(np.int64)
     flat = np.insert(ids.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]], off[1:] - off[0], end_id)
     size = np.diff(off) + 1
@@ -58,8 +59,15 @@ def cut_pieces(ids: pa.ListArray, end_id: int, capacity: int) -> tuple[np.ndarra
     row = np.repeat(np.arange(len(size)), count)
     piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     length = np.minimum(capacity, size[row] - piece * capacity)
-    edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
-    return row, piece, length, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, pa.int32()))
+    edges = 4 * np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
+    return row, piece, length, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(edges), pa.py_buffer(flat.astype("<i4"))]).cast(pa.binary())
+
+
+def as_lists(packed: pa.Array) -> pa.ListArray:
+    """Lists of ids from their bytes."""
+    edges = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    flat = np.frombuffer(packed.buffers()[2] or b"", "<i4", count=edges[-1] // 4)
+    return pa.ListArray.from_arrays(pa.array(edges // 4, pa.int32()), pa.array(flat, pa.int32()))
 
 
 def number_within(length: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -144,8 +152,8 @@ def places(patterns: list[tuple[int, dict[int, int]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity: int = CAPACITY, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row per piece: ``keep`` columns, piece, start, length, ids, sequence_id, offset."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity: int = CAPACITY, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "") -> DataFrame:
+    """A row per piece: ``keep`` columns and ``PACKED``, or what ``then`` makes of their batches (``schema``) in the same worker."""
     new = {*(f.split()[0] for f in PIECES.split(", ")), "sequence_id", "offset"}
     keep = tuple(c for c in keep if c.lower() not in new)
     pieces = materialise(tokenized(docs, tokenizer_path, end_id, capacity, text_col, keep), "pieces")
@@ -167,10 +175,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, c
             length, rank = (batch.column(len(keep) + i).to_numpy().astype(np.int64) for i in (2, 4))
             row = table[np.searchsorted(codes, code(length, rank), side="right") - 1]
             bin_, slot = np.divmod(rank - row[:, 1], row[:, 3])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(row[:, 2] + bin_), pa.array(row[:, 4] + slot * length)], [*batch.schema.names[:-1], "sequence_id", "offset"])
+            out = pa.RecordBatch.from_arrays([*batch.columns[:-2], as_lists(batch.column(len(keep) + 3)), pa.array(row[:, 2] + bin_), pa.array(row[:, 4] + slot * length)], [*batch.schema.names[:-2], "ids", "sequence_id", "offset"])
+            yield then(out) if then else out
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ranked.schema.fields[:-1])
-    return ranked.mapInArrow(place, f"{kept}sequence_id long, offset long")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ranked.schema.fields[: len(keep)])
+    return ranked.mapInArrow(place, schema or kept + PACKED)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -179,19 +188,18 @@ def sequences(packed: DataFrame) -> DataFrame:
     return parts.select("sequence_id", F.flatten("parts.ids").alias("ids"), F.col("parts.length").alias("lengths"))
 
 
-def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: pieces with ids (column 4) to pieces with a CRC of theirs."""
-    for batch in batches:
-        lists = batch.column(4)
-        off = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-        crc = pa.array([zlib.crc32(flat[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.int64())
-        yield batch.set_column(4, "ids_crc32", crc)
+def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Packed pieces of documents with a CRC in place of their ids."""
+    lists = batch.column("ids")
+    off = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+    crc = [zlib.crc32(flat[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    return batch.set_column(4, "ids_crc32", pa.array(crc, pa.int64()))
 
 
 def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    packed = pack_documents(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    rows = packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids", "sequence_id", "offset")
-    return rows.mapInArrow(digests, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    schema = "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long"
+    rows = pack_documents(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), then=digest, schema=schema)
+    return rows.withColumn("length", F.col("length").cast("long"))
