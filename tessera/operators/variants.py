@@ -12,6 +12,7 @@ from tessera.functions.sequence import cigar_ops
 from tessera.operators import scan
 from tessera.operators.joining import near_join, range_join
 from tessera.operators.windowing import merge_ranges
+from tessera.storage import settle
 
 
 def structural(filter_: Column, kind: Column, length: Column, genotype: Column, least: int = 150) -> Column:
@@ -82,7 +83,9 @@ def accepted(variants: DataFrame, chrom: Column, depth: Column, quality: float,
 
 def override_by_base(alleles: DataFrame, rules: DataFrame, calls: DataFrame, key: str, allele: str) -> DataFrame:
     """``alleles`` with those that a rule (allele, site, base, to) names replaced where the key's call at the rule's site (key, site, base) is the rule's base; of several rules the first by site."""
-    hit = alleles.select(key, F.col(allele).alias("allele")).distinct().join(rules, "allele").join(calls.select(key, "site", "base"), [key, "site", "base"])
+    # A key's alleles and calls first, both dealt by key: rules are many for an allele, and most name sites that the key has no call of.
+    own = alleles.select(key, F.col(allele).alias("allele")).repartition(key).distinct()
+    hit = own.join(calls.select(key, "site", "base"), key).join(settle(rules), ["allele", "site", "base"])
     first = hit.groupBy(key, "allele").agg(F.min(F.struct("site", "to")).alias("r")).select(key, F.col("allele").alias(allele), F.col("r.to").alias("__to"))
     return alleles.join(first, [key, allele], "left").select(*[F.coalesce("__to", allele).alias(allele) if c == allele else F.col(c) for c in alleles.columns])
 

@@ -188,6 +188,6 @@ def site_override(spark, sf):
     l = table(spark, sf, "lineitem")  # noqa: E741
     s = table(spark, sf, "supplier")
     rules = s.groupBy((F.col("s_suppkey") % 50).alias("allele"), F.col("s_nationkey").cast("bigint").alias("site"), F.right("s_name", F.lit(1)).alias("base")).agg((F.max("s_suppkey") + 1000).alias("to"))
-    calls = l.groupBy(F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 25).alias("site")).agg(F.max("l_linenumber").cast("string").alias("base"))
+    calls = l.select(F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 25).alias("site"), "l_linenumber").repartition("k").groupBy("k", "site").agg(F.max("l_linenumber").cast("string").alias("base"))
     out = op.override_by_base(l.select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") % 50).alias("allele")), rules, calls, "k", "allele")
     return out.groupBy("k", "allele").agg(F.count("*").alias("n"))

@@ -429,3 +429,32 @@ def test_regions_grow_over_pieces(spark):
             want.append((key, *region))
         got = variants.grown_regions(spark.createDataFrame(rows, "k string, s long, e long"), "k", "s", "e", size, gap).collect()
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_edges_shrink_from_step_to_step(spark, monkeypatch):
+    """Many finished pairs beside one path: only what is not finished is looked at again."""
+    rows = []
+
+    def counted(df):
+        out = settle(df)
+        rows.append(out.count())
+        return out
+
+    settle = graph.settle
+    monkeypatch.setattr(graph, "settle", counted)
+    edges = spark.createDataFrame([(1000 + 2 * i, 1001 + 2 * i) for i in range(400)] + [(i, i + 1) for i in range(30)], "a long, b long")
+    got = {r["node"]: r["component"] for r in graph.components(edges, "a", "b").collect()}
+    assert got == {i: 0 for i in range(31)} | {1000 + i: 1000 + i // 2 * 2 for i in range(800)}
+    # The pairs' rows are written for the edges, the answer and the pointers, but all their nodes not once a round.
+    assert sum(n >= 800 for n in rows) <= 2
+
+
+def test_rules_meet_only_calls_of_their_key(spark):
+    alleles = spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "k long, allele long")
+    rules = spark.createDataFrame([(5, 1, "A", 50), (5, 0, "C", 51), (6, 1, "A", 60)], "allele long, site long, base string, to long")
+    calls = spark.createDataFrame([(1, 1, "A"), (1, 0, "C"), (2, 1, "C")], "k long, site long, base string")
+    out = variants.override_by_base(alleles, rules, calls, "k", "allele")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 51), (1, 60), (2, 5)]
+    # Alleles meet all their rules only where the key's calls are known.
+    first = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x][-1]
+    assert "k#" in first and "allele#" not in first
