@@ -11,42 +11,84 @@ from tessera.storage import discard, settle
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): the smallest node reachable, by least labels with pointer jumping, until no label changes; rounds are few even on long paths."""
-    both = settle(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
-    labels = settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")))
-    while True:
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("c").alias("n")), "v").groupBy("u").agg(F.min("n").alias("n"))
-        after = labels.join(near, "u").select("u", F.least("c", "n").alias("c"), F.col("c").alias("was"))
-        jump = settle(after.join(after.select(F.col("u").alias("c"), F.col("c").alias("j")), "c").select("u", F.least("c", "j").alias("c"), "was"))
-        discard(labels)
-        labels = jump.select("u", "c")
-        if not jump.where("c <> was").limit(1).count():
-            discard(both)
-            return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
+    """(node, component): the smallest node reachable, by contraction (see ``signed_components``)."""
+    return _contract(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(0).cast("bigint").alias("f"))).select("node", "component")
 
 
 def signed_components(edges: DataFrame, a: str, b: str, flip: str) -> DataFrame:
     """(node, component, side): components whose edges say same side (0) or other side (1); side 0 is the smallest node's.
 
-    Labels are (component, side) pairs and the least pair wins, a side crossing
-    an edge by its sign; a label then takes the label of its own component
-    (pointer jumping with parity), until none changes. In a component with
-    contradictory cycles nodes get the lesser side.
+    Every node with a smaller neighbour points to its least one; pointers are
+    followed to their ends (pointer jumping with parity), and the ends become the
+    nodes of the next, smaller graph, which has the edges between different ends.
+    Two such steps at least halve the nodes, so work follows the input. In a
+    component with contradictory cycles every node gets the lesser side, 0.
     """
-    both = settle(edges.select(F.col(a).alias("u"), F.col(b).alias("v"), F.col(flip).cast("bigint").alias("f")).union(edges.select(F.col(b), F.col(a), F.col(flip).cast("bigint"))).distinct())
-    pair = lambda c, s: F.struct(F.col(c).alias("c"), s.alias("s"))
-    labels = settle(both.select("u").distinct().select("u", pair("u", F.lit(0).cast("bigint")).alias("l")))
+    return _contract(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(flip).cast("bigint").alias("f")))
+
+
+def _ends(up: DataFrame) -> DataFrame:
+    """Pointers (u, v, f), v < u, followed until they end: (u, r, s, v) with the end r, the parity s of the way and the first v; ``up`` is deleted."""
+    now = settle(up.select("u", F.col("v").alias("r"), F.col("f").alias("s"), "v"))
+    discard(up)
+    while True:
+        # One row for each pointer's end that points on; where they are few, they are small however many nodes share them.
+        on = settle(now.select(F.col("u").alias("r"), F.col("r").alias("__r"), F.col("s").alias("__s")).join(now.select("r").distinct(), "r"))
+        if not on.limit(1).count():
+            discard(on)
+            return now
+        after = settle(now.join(on, "r", "left").select("u", F.coalesce("__r", "r").alias("r"), F.col("s").bitwiseXOR(F.coalesce("__s", F.lit(0))).alias("s"), "v"))
+        discard(now, on)
+        now = after
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    kept = settle(edges.where("a is not null and b is not null"))
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    now = kept.where("a <> b").select(high.alias("u"), low.alias("v"), "f")
+    steps, odd = [], [kept.where("a = b and f = 1").select(F.col("a").alias("component"))]
+    begun = [kept]
     while True:
-        seen = both.join(labels.select(F.col("u").alias("v"), "l"), "v").select("u", pair("l.c", F.col("l.s").bitwiseXOR(F.col("f"))).alias("l"))
-        both_labels = labels.withColumn("was", F.col("l")).union(seen.withColumn("was", F.lit(None)))
-        after = both_labels.groupBy("u").agg(F.min("l").alias("l"), F.max("was").alias("was"))
-        roots = after.select(F.col("u").alias("r"), F.col("l").alias("j"))
-        jump = settle(after.join(roots, F.col("l.c") == F.col("r")).select("u", F.least("l", pair("j.c", F.col("l.s").bitwiseXOR(F.col("j.s")))).alias("l"), "was"))
-        discard(labels)
-        labels = jump.select("u", "l")
-        if not jump.where("l <> was").limit(1).count():
-            discard(both)
-            return labels.select(F.col("u").alias("node"), F.col("l.c").alias("component"), F.col("l.s").alias("side"))
+        ends = _ends(settle(now.groupBy("u").agg(F.min(F.struct("v", "f")).alias("m")).select("u", "m.v", "m.f")))
+        # Edges that a pointer follows hold nothing new, unless they contradict it.
+        by_u = now.join(ends.select("u", "r", "s", F.col("v").alias("__v")), "u")
+        half = settle(by_u.select("r", "v", F.col("f").bitwiseXOR(F.col("s")).alias("f")).where("r <> v or f = 1").distinct())
+        both = half.join(ends.select(F.col("u").alias("v"), F.col("r").alias("q"), F.col("s").alias("__s")), "v", "left")
+        both = both.select("r", F.coalesce("q", "v").alias("q"), F.col("f").bitwiseXOR(F.coalesce("__s", F.lit(0))).alias("f"))
+        after = settle(both.where("r <> q or f = 1").distinct())
+        discard(half)
+        steps.append(ends)
+        begun.append(after)
+        odd.append(after.where("r = q").select(F.col("r").alias("component")))
+        now = after.where("r <> q").select(F.greatest("r", "q").alias("u"), F.least("r", "q").alias("v"), "f")
+        if not now.limit(1).count():
+            break
+    # From the smallest graph back: an end's own component.
+    total = None
+    while steps:
+        step = steps.pop()
+        if total is None:
+            total = settle(step.select("u", "r", "s"))
+        else:
+            rest = total.select(F.col("u").alias("r"), F.col("r").alias("__r"), F.col("s").alias("__s"))
+            found = step.join(rest, "r", "left").select("u", F.coalesce("__r", "r").alias("r"), F.col("s").bitwiseXOR(F.coalesce("__s", F.lit(0))).alias("s"))
+            after = settle(found.union(total))
+            discard(total)
+            total = after
+        discard(step)
+    # Roots, which point nowhere, and nodes whose only edge is to themselves.
+    roots = total.select("r").distinct().union(kept.where("a = b").select("a").join(total.select(F.col("u").alias("a")), "a", "left_anti")).distinct()
+    out = total.select(F.col("u").alias("node"), F.col("r").alias("component"), F.col("s").alias("side")).union(roots.select("r", F.col("r"), F.lit(0).cast("bigint")))
+    wrong = odd[0]
+    for o in odd[1:]:
+        wrong = wrong.union(o)
+    if wrong.limit(1).count():
+        at = total.select(F.col("u").alias("component"), F.col("r").alias("__r"))
+        wrong = wrong.distinct().join(at, "component", "left").select(F.coalesce("__r", "component").alias("component"), F.lit(True).alias("__odd")).distinct()
+        out = out.join(wrong, "component", "left").select("node", "component", F.when(F.col("__odd"), 0).otherwise(F.col("side")).cast("bigint").alias("side"))
+    result = settle(out)
+    discard(total, *begun)
+    return result
 
 
 def orientations(blocks: DataFrame, group: str, index: str, weight: str) -> DataFrame:
