@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.windowing import join_on
@@ -20,6 +20,8 @@ from tessera.storage import discard, settle
 
 #: Entries of an eigenvector below this have no sign.
 TINY = 1e-9
+#: Edges of a task of a round of bisections, about, where there are more than the cores share.
+PART_ROWS = 100_000
 
 
 def connected(linked: np.ndarray) -> np.ndarray:
@@ -89,16 +91,18 @@ def recursive_bisection(edges: DataFrame, groups: list[str], a: str, b: str, sam
 
     low, high = F.least(a, b).cast("long"), F.greatest(a, b).cast("long")
     now = edges.where((F.col(a) != F.col(b)) & (F.col(same) + F.col(other) > 0)).groupBy(*groups, low.alias("a"), high.alias("b")).agg(F.sum(same).cast("double").alias("same"), F.sum(other).cast("double").alias("other"))
-    now = now.withColumn("part", F.lit(0).cast("long")).select(*names)
+    now = first = settle(now.withColumn("part", F.lit(0).cast("long")).select(*names))
+    spread = max(edges.sparkSession.sparkContext.defaultParallelism, first.count() // PART_ROWS)
     done: list[DataFrame] = []
     while True:
-        out = settle(now.groupBy(*keys).applyInPandas(run, columns))
+        # Many small parts are few bytes: by size alone they would be one task.
+        out = settle(now.repartition(spread, *keys).groupBy(*keys).applyInPandas(run, columns))
         done.append(out.where("final"))
         now = out.where("not final").select(*names)
         if not now.limit(1).count():
             break
     found = settle(_union(done).select(*groups, "node", F.col("part").alias("block"), "side", F.when(~F.isnan("quality"), F.col("quality")).alias("quality")))
-    discard(*done)
+    discard(first, *done)
     return found
 
 
@@ -109,34 +113,110 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A merge join: what grows with the input, and once a round, is not sent through the driver."""
+    return join_on(left, right.hint("merge"), keys, how)
+
+
+def _windows(quotient: DataFrame, group: str, window: int, turn: int, pairs: bool) -> DataFrame:
+    """Edges (group, __head, __sub, a, b, same, other) that are solved together, at most ``window`` blocks a (head, sub).
+
+    A group of few blocks is one window. Else a hash deals blocks into heads and
+    others, and a head takes the blocks whose strongest linked head it is; where
+    they are many, each sub holds a part of them and the head. With ``pairs``,
+    two blocks that are each other's strongest.
+    """
+    cost = F.abs(F.col("same") - F.col("other"))
+    ends = quotient.select(group, F.col("a").alias("u"), F.col("b").alias("v"), cost.alias("s"), "a", "b").union(quotient.select(group, "b", "a", cost, "a", "b"))
+    if pairs:
+        best = ends.where("s > 0").groupBy(group, "u").agg(F.max(F.struct("s", "a", "b")).alias("m"))
+        mutual = best.groupBy(group, F.col("m.a").alias("a"), F.col("m.b").alias("b")).agg(F.count("*").alias("n")).where("n = 2").drop("n")
+        return _joined(quotient, mutual, [group, "a", "b"], "left_semi").select(group, F.col("a").alias("__head"), F.lit(0).alias("__sub"), "a", "b", "same", "other")
+    sizes = ends.select(group, "u").distinct().groupBy(group).agg(F.count("*").alias("__n"), F.min("u").alias("__least"))
+    heads = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string"), F.lit(turn)), F.lit(2)) == 0
+    hooked = ends.where(~heads("u") & heads("v")).groupBy(group, "u").agg(F.max(F.struct("s", "v")).alias("m")).select(group, F.col("u").alias("block"), F.col("m.v").alias("head"))
+    hooked = settle(hooked.withColumn("sub", F.floor((F.row_number().over(Window.partitionBy(group, "head").orderBy("block")) - 1) / max(1, window - 1)).cast("int")))
+    end = lambda c: hooked.select(group, F.col("block").alias(c), F.col("head").alias(f"head_{c}"), F.col("sub").alias(f"sub_{c}"))
+    near = _joined(_joined(_joined(quotient, sizes, [group]), end("a"), [group, "a"], "left"), end("b"), [group, "b"], "left")
+    place = lambda head, sub: F.struct(head.alias("head"), sub.alias("sub"))
+    a, b = place(F.col("head_a"), F.col("sub_a")), place(F.col("head_b"), F.col("sub_b"))
+    whole = F.when(F.col("__n") <= window, place(F.col("__least"), F.lit(0)))
+    at = F.coalesce(whole, F.when(F.col("head_a") == F.col("b"), a).when(F.col("head_b") == F.col("a"), b).when((F.col("head_a") == F.col("head_b")) & (F.col("sub_a") == F.col("sub_b")), a))
+    out = settle(near.withColumn("__at", at).where("__at is not null").select(group, F.col("__at.head").alias("__head"), F.col("__at.sub").alias("__sub"), "a", "b", "same", "other"))
+    discard(hooked)
+    return out
+
+
+def _turns(solved: DataFrame, group: str) -> DataFrame:
+    """(group, block, to, turn) of joined blocks: parts of one head are one through the block they share."""
+    keys = [group, "__head", "__sub", "block"]
+    shared = solved.where(F.col("node") == F.col("__head")).select(*keys, F.col("side").alias("__base"))
+    parts = _joined(solved, shared, keys, "left").withColumn("__s", F.col("side").bitwiseXOR(F.col("__base")))
+    apart = parts.where("__base is null and node <> block").select(group, F.col("node").alias("block"), F.col("block").alias("to"), F.col("side").alias("turn"))
+    whole = parts.where("__base is not null").select(group, "__head", "node", "__s").distinct()
+    least = whole.groupBy(group, "__head").agg(F.min(F.struct("node", "__s")).alias("__m"))
+    one = _joined(whole, least, [group, "__head"]).where(F.col("node") != F.col("__m.node"))
+    return apart.union(one.select(group, F.col("node").alias("block"), F.col("__m.node").alias("to"), F.col("__s").bitwiseXOR(F.col("__m.__s")).alias("turn")))
+
+
 def link_blocks(members: DataFrame, links: DataFrame, group: str, window: int = 200) -> DataFrame:
     """(group, node, block, side) after blocks were turned and joined along their links.
 
     ``members``: group, node, block (its smallest node), side; ``links``: group,
-    a, b, flip (1: the ends are on opposite sides), weight. A round contracts
-    blocks to nodes, with the summed weight of links for equal and opposite
-    turns, solves the blocks of each window of ``window`` in order, and pushes
-    the turns back to the members. Every other round shifts the windows by half,
-    until neither joins any blocks.
+    a, b, flip (1: the ends are on opposite sides), weight. Blocks are the nodes
+    of a graph with the summed weight of links for equal and opposite turns. A
+    round solves windows of at most ``window`` blocks that are linked to each
+    other and contracts what they join, so a share of the blocks goes in each
+    and the rounds follow the logarithm of their number. Where a round joins
+    none, the pairs of blocks that are each other's strongest are tried; it ends
+    when they join none either: no link with unequal weights is left.
     """
-    now, quiet, shift = settle(members.select(group, "node", "block", F.col("side").cast("long").alias("side"))), 0, 0
+    now = settle(members.select(group, "node", "block", F.col("side").cast("long").alias("side")))
     ends = links.select(group, "a", "b", F.col("flip").cast("long").alias("flip"), F.col("weight").cast("double").alias("weight"))
-    while quiet < 2:
-        side = lambda end: now.select(group, F.col("node").alias(end), F.col("block").alias(f"block_{end}"), F.col("side").alias(f"side_{end}"))  # noqa: B023, E731
-        both = join_on(join_on(ends, side("a"), [group, "a"]), side("b"), [group, "b"]).where("block_a <> block_b")
-        odd = F.col("flip").bitwiseXOR(F.col("side_a")).bitwiseXOR(F.col("side_b"))
-        of = lambda parity: F.sum(F.when(odd == parity, F.col("weight")).otherwise(0.0))  # noqa: B023, E731
-        quotient = settle(both.groupBy(group, F.least("block_a", "block_b").alias("a"), F.greatest("block_a", "block_b").alias("b")).agg(of(0).alias("same"), of(1).alias("other")))
-        blocks = quotient.select(group, F.col("a").alias("block")).union(quotient.select(group, "b")).distinct()
-        place = F.floor((F.row_number().over(Window.partitionBy(group).orderBy("block")) - 1 + shift) / window)
-        place = settle(blocks.select(group, "block", place.alias("window")))
-        end = lambda c: place.select(group, F.col("block").alias(c), F.col("window").alias(f"window_{c}"))  # noqa: B023, E731
-        near = join_on(join_on(quotient, end("a"), [group, "a"]), end("b"), [group, "b"]).where("window_a = window_b")
-        solved = recursive_bisection(near.withColumnRenamed("window_a", "window"), [group, "window"], "a", "b", "same", "other").where("side is not null")
-        turns = solved.select(group, F.col("node").alias("block"), F.col("block").alias("__to"), F.col("side").alias("__turn"))
-        moved = join_on(now, turns, [group, "block"], "left")
-        after = settle(moved.select(group, "node", F.coalesce("__to", "block").alias("block"), F.col("side").bitwiseXOR(F.coalesce("__turn", F.lit(0))).alias("side")))
-        quiet = 0 if solved.where("node <> block").limit(1).count() else quiet + 1
-        discard(now, quotient, place, solved)
-        now, shift = after, window // 2 - shift
-    return now
+    side = lambda end: now.select(group, F.col("node").alias(end), F.col("block").alias(f"block_{end}"), F.col("side").alias(f"side_{end}"))
+    both = _joined(_joined(ends, side("a"), [group, "a"]), side("b"), [group, "b"])
+    odd = F.col("flip").bitwiseXOR(F.col("side_a")).bitwiseXOR(F.col("side_b"))
+
+    def contracted(df: DataFrame, a: str, b: str, same: Column, other: Column) -> DataFrame:
+        return settle(df.where(F.col(a) != F.col(b)).groupBy(group, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.sum(same).alias("same"), F.sum(other).alias("other")))
+
+    quotient = contracted(both, "block_a", "block_b", F.when(odd == 0, F.col("weight")).otherwise(0.0), F.when(odd == 1, F.col("weight")).otherwise(0.0))
+    maps: list[DataFrame] = []
+    pairs, rounds = False, 0
+    while quotient.limit(1).count():
+        near = _windows(quotient, group, window, rounds, pairs)
+        solved = recursive_bisection(near, [group, "__head", "__sub"], "a", "b", "same", "other")
+        turns = settle(_turns(solved.where("side is not null"), group))
+        discard(solved, *([] if pairs else [near]))
+        rounds += 1
+        if not turns.limit(1).count():
+            discard(turns)
+            if pairs:
+                break
+            pairs = True
+            continue
+        pairs = False
+        maps.append(turns)
+        to = lambda end: turns.select(group, F.col("block").alias(end), F.col("to").alias(f"to_{end}"), F.col("turn").alias(f"turn_{end}"))  # noqa: B023, E731
+        moved = _joined(_joined(quotient, to("a"), [group, "a"], "left"), to("b"), [group, "b"], "left")
+        odd = F.coalesce("turn_a", F.lit(0)).bitwiseXOR(F.coalesce("turn_b", F.lit(0)))
+        moved = moved.select(group, F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"), F.when(odd == 0, F.col("same")).otherwise(F.col("other")).alias("s"), F.when(odd == 0, F.col("other")).otherwise(F.col("same")).alias("o"))
+        after = contracted(moved, "x", "y", F.col("s"), F.col("o"))
+        discard(quotient)
+        quotient = after
+    discard(quotient)
+    if not maps:
+        return now
+    # From the last round back: where a block's block went after it.
+    total = maps.pop()
+    while maps:
+        step = maps.pop()
+        rest = total.select(group, F.col("block").alias("to"), F.col("to").alias("__to"), F.col("turn").alias("__turn"))
+        on = _joined(step, rest, [group, "to"], "left").select(group, "block", F.coalesce("__to", "to").alias("to"), F.col("turn").bitwiseXOR(F.coalesce("__turn", F.lit(0))).alias("turn"))
+        after = settle(on.union(total))
+        discard(step, total)
+        total = after
+    moved = _joined(now, total, [group, "block"], "left")
+    after = settle(moved.select(group, "node", F.coalesce("to", "block").alias("block"), F.col("side").bitwiseXOR(F.coalesce("turn", F.lit(0))).alias("side")))
+    discard(now, total)
+    return after

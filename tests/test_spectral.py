@@ -118,3 +118,14 @@ def test_blocks_on_a_tree_of_links_get_the_signs_of_its_edges(spark, window):
     out = spectral.link_blocks(spark.createDataFrame(members, "g string, node long, block long, side long"), spark.createDataFrame(links, "g string, a long, b long, flip long, weight long"), "g", window)
     got = {(r["g"], r["node"]): (r["block"], r["side"]) for r in out.collect()}
     assert got == {("d", 7): (7, 0)} | {("c", n): (0, s ^ turn[n // 10]) for n, s in sides.items()}
+
+
+@pytest.mark.parametrize("shape", ["pairs far apart", "hub"])
+def test_links_are_followed_however_far_apart_blocks_are(spark, shape):
+    # Pairs: no two linked blocks lie within a window of the block order. Hub: one block has more links than a window.
+    rng = random.Random(3)
+    edges = [(i, i + 40, rng.randint(0, 1)) for i in range(40)] if shape != "hub" else [(0, i, rng.randint(0, 1)) for i in range(1, 40)]
+    nodes = sorted({n for e in edges for n in e[:2]})
+    members = spark.createDataFrame([("c", n, n, 0) for n in nodes], "g string, node long, block long, side long")
+    out = spectral.link_blocks(members, spark.createDataFrame([("c", a, b, f, 1) for a, b, f in edges], "g string, a long, b long, flip long, weight long"), "g", 8)
+    assert {r["node"]: (r["block"], r["side"]) for r in out.collect()} == {n: (n, 0) for n in nodes} | {b: (a, f) for a, b, f in edges}
