@@ -458,3 +458,10 @@ def test_rules_meet_only_calls_of_their_key(spark):
     # Alleles meet all their rules only where the key's calls are known.
     first = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x][-1]
     assert "k#" in first and "allele#" not in first
+
+
+def test_contradictory_components_get_the_lesser_side(spark):
+    # A triangle with one turn, a tail behind it and a sound pair.
+    edges = spark.createDataFrame([(0, 1, 1), (1, 2, 0), (0, 2, 0), (1, 7, 1), (7, 8, 1), (8, 9, 1), (20, 21, 1)], "a long, b long, f long")
+    got = {r["node"]: (r["component"], r["side"]) for r in graph.signed_components(edges, "a", "b", "f").collect()}
+    assert got == {i: (0, 0) for i in (0, 1, 2, 7, 8, 9)} | {20: (20, 0), 21: (20, 1)}
