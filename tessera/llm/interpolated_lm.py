@@ -6,8 +6,10 @@ weight of an order belongs to a bucket of the frequency of its context (a
 power of two) and is learned by expectation-maximisation: one fold of the
 training documents is deleted from the counts, and the weights maximise the
 likelihood of its n-grams under the counts of the others, until no weight
-moves by ``TOLERANCE``. The final estimates use the counts of all training
-documents.
+moves by ``TOLERANCE``. A step of it needs an n-gram only up to the highest
+order that was seen, and equal ones once with their number: a table of these is
+written before the first step. The final estimates use the counts of all
+training documents.
 
 How it is distributed. Documents are packed into chunks (a written table,
 bucketed by chunk). The distinct n-grams of a chunk, as sorted hashes (64
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import bounded_batches, documents, materialise, new_path, release
-from ._words import mix, slabs, words
+from ._words import distinct, mix, slabs, words
 
 #: Tokens of a chunk, and n-grams of a hash range (about).
 CHUNK_TOKENS, RANGE_KEYS = 1_000_000, 1_000_000
@@ -144,7 +146,7 @@ def chunk_counts(order: int, ranges: int):
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 _, part, _, keys = open_chunk(blob.as_py(), order)
                 for k, key in enumerate(keys, 1):
-                    unique = np.unique(key)
+                    unique = distinct(key)
                     # Sorting the keys of a part and looking the others up in order is faster than an inverse.
                     train, gone = (np.diff(np.searchsorted(np.sort(key[x]), unique), append=x.sum()).astype(np.uint32) for x in (part > 0, part == 2))
                     bits = 64 - (int(SHORTER) if k > 1 else 0)
@@ -157,20 +159,19 @@ def chunk_counts(order: int, ranges: int):
 
 
 def add_up(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The blobs of one hash range and order to totals for each; those of order 1 also say how many training tokens and new types each brings, of all and of the kept folds."""
+    """The blobs of one hash range and order to totals for each; those of order 1 also say how many training tokens each brings, and the first how many types the range holds, of all and of the kept folds."""
     keys = [np.cumsum(unpack(b, np.uint64), dtype=np.uint64) for b in rows["keys"]]
-    unique, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     own = [np.concatenate([unpack(b, np.uint32) for b in rows[c]]) for c in ("train", "gone")]
     train, gone = (np.bincount(inverse, weights=x, minlength=len(unique)).astype(np.uint32) for x in own)
     cut = np.cumsum([0, *map(len, keys)])
     parts = [inverse[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
     out = {"range": key[0], "n": key[1], "chunk": rows["chunk"], "train": [pack(train[p]) for p in parts], "gone": [pack(gone[p]) for p in parts]}
     real = unique != mix(np.array([BEGIN]))[0] if key[1] == 1 else np.zeros(len(unique), bool)
-    brings = np.searchsorted(cut, first, side="right") - 1
     kept = train - gone
     for name, held, types in (("all", own[0], train), ("kept", own[0] - own[1], kept)):
         total = np.concatenate([[0], np.cumsum(held * real[inverse], dtype=np.int64)])
-        out |= {f"{name}_tokens": np.diff(total[cut]), f"{name}_types": np.bincount(brings[real & (types > 0)], minlength=len(parts))}
+        out |= {f"{name}_tokens": np.diff(total[cut]), f"{name}_types": np.where(np.arange(len(parts)) == 0, np.count_nonzero(real & (types > 0)), 0)}
     return pd.DataFrame(out)
 
 
@@ -187,15 +188,16 @@ def chunk_answers(order: int):
                 docs, part, at, keys = open_chunk(blob.as_py(), order)
                 answers = sorted(answers.as_py(), key=lambda a: (a["n"], a["range"]))
                 row: dict[str, bytes] = {}
-                deleted = part == 2
+                deleted, kept = part == 2, []
                 for k, key in enumerate(keys, 1):
                     inverse = np.unique(key, return_inverse=True)[1]
                     train, gone = (np.concatenate([unpack(a[c], np.uint32) for a in answers if a["n"] == k])[inverse] for c in ("train", "gone"))
-                    # The deleted fold alone, under the counts of the others, for expectation-maximisation.
-                    row |= {f"c{k}": pack(train), f"d{k}": pack((train - gone)[deleted])}
-                begin = np.zeros(len(part), np.uint8)
-                begin[at[:-1]] = 1
-                row["d_begin"] = pack(begin[deleted])
+                    row[f"c{k}"] = pack(train)
+                    kept.append((train - gone)[deleted])
+                begin = np.zeros(len(part), bool)
+                begin[at[:-1]] = True
+                # The deleted fold alone, under the counts of the others, for expectation-maximisation.
+                row |= {c: pack(x) for c, x in zip(_columns(order)[1 + order :], seen(kept, begin[deleted]), strict=True)}
                 meta = pa.RecordBatch.from_arrays([docs.column(0), docs.column(1), pa.array(np.diff(at))], ["doc_id", "part", "size"])
                 totals = {c: batch.column(2 + j).slice(i, 1) for j, c in enumerate(TOTALS)}
                 yield pa.RecordBatch.from_pydict({"docs": pa.array([_blob(meta)], pa.binary())} | {k: pa.array([row[k]], pa.binary()) for k in _columns(order)[1:]} | totals)
@@ -204,7 +206,42 @@ def chunk_answers(order: int):
 
 
 def _columns(order: int) -> list[str]:
-    return ["docs", *(f"{x}{k}" for x in "cd" for k in range(1, order + 1)), "d_begin"]
+    return ["docs", *(f"c{k}" for k in range(1, order + 1)), "times", "unseen", *(f"d{k}" for k in range(1, order + 1)), *(f"x{k}" for k in range(2, order + 1))]
+
+
+def bucket_of(context: np.ndarray) -> np.ndarray:
+    return np.minimum(np.ceil(np.log2(context + 1.0)), BUCKETS - 1).astype(np.int64)
+
+
+def seen(counts: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
+    """What expectation-maximisation needs of all positions that are no BEGIN, each kind of position once.
+
+    A kind is the counts and contexts of its orders up to the highest that was
+    seen; kinds of more seen orders come first. How often each occurs; per order
+    and bucket, positions with no such order seen; per order, the counts of the
+    kinds that have it; per order above 1, their contexts.
+    """
+    order, real = len(counts), np.flatnonzero(~begin)
+    own = [c[real] for c in counts]
+    contexts = [np.zeros(len(real), np.uint32), *(c[real - 1] for c in counts[:-1])]
+    height = np.zeros(len(real), np.int8)
+    for k, c in enumerate(own, 1):
+        height[c > 0] = k
+    unseen = np.zeros((order, BUCKETS), np.int64)
+    for k in range(order):
+        low = height <= k
+        unseen[k] = np.bincount(bucket_of(contexts[k][low]) if k else np.zeros(low.sum(), np.int64), minlength=BUCKETS)
+        contexts[k] = np.where(low, np.uint32(0), contexts[k])
+    columns = [*own, *contexts[1:]]
+    at = np.lexsort([*columns, -height])
+    columns = [c[at] for c in columns]
+    new = np.ones(len(at), bool)
+    if len(at):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    first = np.flatnonzero(new)
+    sizes = [int(np.count_nonzero(height[at][first] > k)) for k in range(order)]
+    columns = [c[first][: sizes[i if i < order else i - order + 1]] for i, c in enumerate(columns)]
+    return [np.diff(first, append=len(at)).astype(np.uint32), unseen.ravel(), *columns]
 
 
 def estimates(counts: list[np.ndarray], begin: np.ndarray, n: float, v: float) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
@@ -213,7 +250,7 @@ def estimates(counts: list[np.ndarray], begin: np.ndarray, n: float, v: float) -
     buckets, found = [np.zeros(len(real), np.int64)], [counts[0][real] / max(n, 1)]
     for k in range(1, len(counts)):
         context = counts[k - 1][real - 1].astype(float)
-        buckets.append(np.minimum(np.ceil(np.log2(context + 1)), BUCKETS - 1).astype(np.int64))
+        buckets.append(bucket_of(context))
         found.append(counts[k][real] / np.maximum(context, 1))
     return 1.0 / (v + 1), buckets, found
 
@@ -228,7 +265,7 @@ def mixture(weights: np.ndarray, uniform: float, buckets: list[np.ndarray], foun
 
 
 def learn_weights(counts: DataFrame, order: int, n: int, v: int) -> np.ndarray:
-    """Weights [order, bucket] by EM over every n-gram of the deleted fold; each step is one job whose partial sums are of fixed size."""
+    """Weights [order, bucket] by EM over every n-gram of the deleted fold (as ``seen`` gives them); each step is one job whose partial sums are of fixed size."""
     weights = np.full((order, BUCKETS), 0.5)
 
     def step(w: np.ndarray):
@@ -236,20 +273,29 @@ def learn_weights(counts: DataFrame, order: int, n: int, v: int) -> np.ndarray:
             taken, reached = np.zeros((order, BUCKETS)), np.zeros((order, BUCKETS))
             for batch in batches:
                 for row in batch.to_pylist():
-                    uniform, buckets, found = estimates([unpack(row[f"d{k}"], np.uint32) for k in range(1, order + 1)], unpack(row["d_begin"], np.uint8).astype(bool), n, v)
-                    p = mixture(w, uniform, buckets, found)
-                    left = np.ones(len(p[0]))
+                    times, unseen = unpack(row["times"], np.uint32), unpack(row["unseen"], np.int64).reshape(order, BUCKETS)
+                    counts = [unpack(row[f"d{k}"], np.uint32) for k in range(1, order + 1)]
+                    contexts = [unpack(row[f"x{k}"], np.uint32) for k in range(2, order + 1)]
+                    buckets = [np.zeros(len(counts[0]), np.int64), *map(bucket_of, contexts)]
+                    found = [counts[0] / max(n, 1), *(c / np.maximum(x, 1) for c, x in zip(counts[1:], contexts, strict=True))]
+                    p = [np.full(len(times), 1.0 / (v + 1))]
+                    for k in range(order):
+                        own = w[k][buckets[k]]
+                        p.append(own * found[k] + (1 - own) * p[-1][: len(own)])
+                    left = times.astype(float)
                     for k in range(order - 1, -1, -1):
-                        # The share of each position that comes down to order k + 1, and of it what that order explains.
-                        reached[k] += np.bincount(buckets[k], weights=left, minlength=BUCKETS)
-                        own = left * w[k][buckets[k]] * found[k] / p[k + 1]
+                        # The share of each kind that comes down to order k + 1, and of it what that order explains: nothing where it was not seen.
+                        held = left[: len(counts[k])]
+                        reached[k] += unseen[k] + np.bincount(buckets[k], weights=held, minlength=BUCKETS)
+                        own = held * w[k][buckets[k]] * found[k] / p[k + 1]
                         taken[k] += np.bincount(buckets[k], weights=own, minlength=BUCKETS)
-                        left -= own
+                        held -= own
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(order), BUCKETS)), pa.array(np.tile(np.arange(BUCKETS), order)), pa.array(taken.ravel()), pa.array(reached.ravel())], ["k", "bucket", "taken", "reached"])
 
         return run
 
-    deleted = counts.select(*_columns(order)[1 + order :])
+    # A small table of its own, so that a step is few tasks.
+    deleted = materialise(counts.select(*_columns(order)[1 + order :]), "lm-deleted")
     while True:
         taken, reached = np.full((order, BUCKETS), 1e-3), np.full((order, BUCKETS), 2e-3)
         for r in deleted.mapInArrow(step(weights), "k long, bucket long, taken double, reached double").groupBy("k", "bucket").agg(F.sum("taken").alias("taken"), F.sum("reached").alias("reached")).collect():
@@ -257,6 +303,7 @@ def learn_weights(counts: DataFrame, order: int, n: int, v: int) -> np.ndarray:
             reached[r["k"], r["bucket"]] += r["reached"]
         before, weights = weights, taken / reached
         if np.abs(weights - before).max() < TOLERANCE:
+            release(deleted)
             return weights
 
 
