@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tessera.functions.sequence import cigar_ops
 from tessera.operators import scan
@@ -189,6 +189,10 @@ def clip_breakpoints(df: DataFrame, cigar: str, pos: str, least: int = 150) -> D
     return df.select("*", F.explode(F.aggregate(cigar_ops(F.col(cigar)), begin, step, lambda a: a["out"])).alias("x")).select(*df.columns, "x.*")
 
 
+#: Positions of a bin in which the samples' records meet.
+SITE_BIN = 64
+
+
 def flatten_samples(variants: DataFrame, sample: str, chrom: str, pos: str, ref: str, alts: str, gt: str) -> DataFrame:
     """(sample, chrom, pos, ref, alt, gt): a row for each base in which a sample's phased alleles differ from the reference, alleles numbered by the site.
 
@@ -200,19 +204,21 @@ def flatten_samples(variants: DataFrame, sample: str, chrom: str, pos: str, ref:
     one, two = F.get(alts, F.lit(0)), F.get(alts, F.lit(1))
     both = F.contains(gt, F.lit("2"))
     reach = F.least(F.length(ref), F.length(one), F.when(both, F.length(two)))
-    at = lambda c, i: F.substr(c, i, F.lit(1))
-    bases = F.transform(F.sequence(F.lit(1), reach), lambda i: F.struct((F.col(pos) + i - 1).alias("pos"), at(F.col(ref), i).alias("r"), at(one, i).alias("a"), F.when(both, at(two, i)).otherwise(at(one, i)).alias("b")))
-    rows = variants.where(reach > 0).select(sample, chrom, F.col(pos).alias("__p"), F.col(gt).alias("__g"), both.alias("two"), F.explode(bases).alias("x")).select(sample, chrom, "__p", "__g", "two", "x.*").where("a <> r or b <> r")
+    bin_ = lambda c: F.floor(c / SITE_BIN)
+    cut = lambda c: F.substr(c, (F.col("__from") - F.col("__p") + 1).cast("int"), F.col("__n").cast("int"))
+    at = lambda c: F.substr(F.col(c), F.col("__i"), F.lit(1))
+    records = variants.where(reach > 0).select(sample, chrom, F.col(pos).alias("__p"), F.col(gt).alias("__g"), both.alias("two"), F.col(ref).alias("__r"), one.alias("__a"), F.when(both, two).otherwise(one).alias("__b"), reach.alias("__reach"))
+    pieces = records.select("*", F.explode(F.sequence(bin_(F.col("__p")), bin_(F.col("__p") + F.col("__reach") - 1))).alias("__bin")).withColumn("__from", F.greatest(F.col("__p"), F.col("__bin") * SITE_BIN))
+    pieces = pieces.withColumn("__n", F.least(F.col("__p") + F.col("__reach"), (F.col("__bin") + 1) * SITE_BIN) - F.col("__from"))
+    pieces = pieces.select(sample, chrom, "__p", "__g", "two", "__bin", "__from", "__n", *(cut(F.col(c)).alias(c) for c in ("__r", "__a", "__b"))).where("__a <> __r or __b <> __r")
+    # Records are dealt once, by bins of positions, and become bases where they arrive.
+    spread = pieces.repartition(chrom, "__bin").select("*", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__i"))
+    rows = spread.select(sample, chrom, "__bin", "__p", "__g", "two", (F.col("__from") + F.col("__i") - 1).alias("pos"), at("__r").alias("r"), at("__a").alias("a"), at("__b").alias("b")).where("a <> r or b <> r")
     # Which alleles remain at this base, and the genotype in them.
     g = F.when(~F.col("two"), F.col("__g")).when(F.col("a") == F.col("b"), "1|1").when(F.col("b") == F.col("r"), F.translate("__g", "2", "0")).when(F.col("a") == F.col("r"), F.translate("__g", "12", "01")).otherwise(F.col("__g"))
-    listed = F.when((F.col("a") == F.col("b")) | (F.col("b") == F.col("r")), F.array("a")).when(F.col("a") == F.col("r"), F.array("b")).otherwise(F.array("a", "b"))
-    bases = rows.select(sample, chrom, "pos", F.col("r").alias("ref"), listed.alias("own"), g.alias("gt"), "__p")
-    sites = bases.select(chrom, "pos", F.posexplode("own").alias("i", "x"), sample, "__p").groupBy(chrom, "pos", "x").agg(F.min(F.struct(sample, "__p", "i")).alias("seen"))
-    sites = sites.groupBy(chrom, "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("seen", "x"))), lambda s: s["x"]).alias("all"))
-    last = bases.groupBy(sample, chrom, "pos").agg(F.max_by(F.struct("ref", "own", "gt"), "__p").alias("x")).select(sample, chrom, "pos", "x.*").join(sites, [chrom, "pos"])
-    k = lambda i: F.array_position("all", F.get("own", F.lit(i)))
-    pair, second = F.size("own") == 2, (F.size("own") == 1) & (k(0) == 2)
-    crossed = pair & (k(1) < k(0))
-    alt = F.when(crossed, F.concat_ws(",", F.col("own")[1], F.col("own")[0])).when(second, F.concat_ws(",", F.col("all")[0], F.col("all")[1])).otherwise(F.array_join("own", ","))
-    numbered = F.when(crossed, F.concat_ws("|", k(0).cast("string"), k(1).cast("string"))).when(second, F.translate("gt", "1", "2")).otherwise(F.col("gt"))
-    return last.select(sample, chrom, "pos", "ref", alt.alias("alt"), numbered.alias("gt"))
+    pair = (F.col("a") != F.col("b")) & (F.col("b") != F.col("r")) & (F.col("a") != F.col("r"))
+    first = F.when((F.col("a") == F.col("r")) & (F.col("b") != F.col("r")), F.col("b")).otherwise(F.col("a"))
+    bases = rows.where(F.col(chrom).isNotNull()).select(sample, chrom, "__bin", "pos", "__p", F.col("r").alias("ref"), first.alias("x"), F.when(pair, F.col("b")).alias("y"), g.alias("gt"))
+    fields = [bases.schema[c] for c in (chrom, "__bin", "pos", sample, "ref")] + [StructField(c, StringType()) for c in ("alt", "gt")]
+    made = scan.scan_keys(bases, [chrom, "__bin"], ["pos", sample, "__p", "x", "y"], ["pos", sample, "__p", "ref", "x", "y", "gt"], scan.numbered_by_site, StructType(fields), dealt=True)
+    return made.select(sample, chrom, "pos", "ref", "alt", "gt")

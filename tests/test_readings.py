@@ -149,3 +149,32 @@ def test_bloom_filters_of_measured_size(spark):
     for most in (1000, bloom.MOST_BYTES):
         assert bloom.semi_join(left, held, "k", most=most).count() == 20_000
     assert bloom.semi_join(left, held.limit(0), "k").count() == 0
+
+
+def test_flattened_records_are_dealt_once_and_cross_bins(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    calls = [(s, c, p, word(n), [word(n), word(n + 2)], rng.choice(["0|1", "1|0", "1|1", "1|2", "2|1", "0|2"])) for s in range(4) for c in "ab" for p, n in ((-70, 100), (20, 3), (60, 150), (200, 9))]
+    df = spark.createDataFrame(calls, "sample int, chrom string, pos long, ref string, alts array<string>, gt string")
+    out = variants.flatten_samples(df, "sample", "chrom", "pos", "ref", "alts", "gt")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r["sample"], r["chrom"], r["pos"]): (r["ref"], r["alt"], r["gt"]) for r in out.collect()}
+    listed, last = {}, {}
+    for s, c, p, ref, (one, two), gt in sorted(calls):
+        for i, r in enumerate(ref):
+            a, b = one[i], two[i] if "2" in gt else one[i]
+            if a == b == r:
+                continue
+            own = [x for x in dict.fromkeys((a, b)) if x != r] if "2" in gt and b != r else [a] if a != r or "2" not in gt else [b]
+            g = gt if "2" not in gt else "1|1" if a == b else gt.replace("2", "0") if b == r else gt.translate(str.maketrans("12", "01")) if a == r else gt
+            names = listed.setdefault((c, p + i), [])
+            names += [x for x in own if x not in names]
+            last[s, c, p + i] = (r, own, g)
+    for (s, c, at), (r, own, g) in last.items():
+        k = [listed[c, at].index(x) + 1 for x in own]
+        if len(own) == 2:
+            want = (r, ",".join(own), g) if k[0] < k[1] else (r, f"{own[1]},{own[0]}", f"{k[0]}|{k[1]}")
+        else:
+            want = (r, f"{listed[c, at][0]},{own[0]}", g.replace("1", "2")) if k[0] == 2 else (r, own[0], g)
+        assert got.pop((s, c, at)) == want
+    assert not got
