@@ -290,30 +290,39 @@ def regroup_hits(hits: DataFrame, contigs: DataFrame) -> DataFrame:
     """
     ops = cigar_ops(F.col("cigar"))
     own = hits.withColumn("__ops", ops).withColumns({"end": F.col("start") + ops_length(F.col("__ops"), "MDN"), "score": hit_score(F.col("__ops"), F.col("nm"))}).drop("__ops", "cigar")
-    alt = contigs.select(F.col("name").alias("ctg"), "target", "pos", "reverse", ops.alias("__c"))
-    clipped = lambda i: F.when(F.element_at("__c", i)["op"].isin("S", "H"), F.element_at("__c", i)["n"]).otherwise(0)
-    alt = alt.withColumns({"__first": F.when(F.col("reverse"), clipped(-1)).otherwise(clipped(1)), "__aligned": ops_length(F.col("__c"), "MI"), "__all": ops_length(F.col("__c"), "MISH")})
-    met = own.select("read", "hit", "ctg", "start", "end").join(alt, "ctg").where((F.col("start") < F.col("__first") + F.col("__aligned")) & (F.col("end") > F.col("__first")))
-    low = F.when(F.col("reverse"), F.col("__all") - F.col("end")).otherwise(F.col("start"))
-    high = F.when(F.col("reverse"), F.col("__all") - F.col("start")).otherwise(F.col("end")) - 1
-    lifted = met.withColumns({"__s": place_under(F.col("__c"), low), "__e": place_under(F.col("__c"), high)}).where("__s is not null and __e is not null")
-    first = lifted.groupBy("read", "hit").agg(F.min(F.struct("__first", "pos", "target", (F.col("pos") + F.col("__s")).alias("s"), (F.col("pos") + F.col("__e") + 1).alias("e"))).alias("l"))
-    placed = own.join(first, ["read", "hit"], "left").join(contigs.select(F.col("name").alias("ctg"), F.lit(True).alias("__alt")).distinct(), "ctg", "left")
-    placed = placed.select("read", "hit", "ctg", "mapq", "score", F.coalesce("l.target", "ctg").alias("pctg"), F.coalesce("l.s", "start").alias("pstart"), F.coalesce("l.e", "end").alias("pend"), F.coalesce("__alt", F.lit(False)).alias("__alt"))
+    clipped = lambda c, i: F.when(F.element_at(c, i)["op"].isin("S", "H"), F.element_at(c, i)["n"]).otherwise(0)
+    alt = contigs.select("name", "target", "pos", "reverse", ops.alias("__c"))
+    first = F.when(F.col("reverse"), clipped(F.col("__c"), -1)).otherwise(clipped(F.col("__c"), 1))
+    alt = alt.select(F.col("name").alias("ctg"), F.struct(first.alias("first"), "pos", "target", "reverse", ops_length(F.col("__c"), "MI").alias("aligned"), ops_length(F.col("__c"), "MISH").alias("all"), F.col("__c").alias("ops")).alias("a"))
+    # A row a contig, so that a hit stays one row.
+    placed = own.join(alt.groupBy("ctg").agg(F.collect_list("a").alias("__alts")), "ctg", "left")
+
+    def lifted(a: Column) -> Column:
+        met = (F.col("start") < a["first"] + a["aligned"]) & (F.col("end") > a["first"])
+        low = F.when(a["reverse"], a["all"] - F.col("end")).otherwise(F.col("start"))
+        high = F.when(a["reverse"], a["all"] - F.col("start")).otherwise(F.col("end")) - 1
+        place = lambda offset: F.when(met, a["pos"] + place_under(a["ops"], offset))
+        return F.struct(a["first"].alias("first"), a["pos"].alias("pos"), a["target"].alias("target"), place(low).alias("s"), (place(high) + 1).alias("e"))
+
+    inside = F.filter(F.transform("__alts", lifted), lambda l: l["s"].isNotNull() & l["e"].isNotNull())
+    placed = placed.withColumn("l", F.array_min(inside))
+    placed = placed.select("read", "hit", "ctg", "mapq", "score", F.coalesce("l.target", "ctg").alias("pctg"), F.coalesce("l.s", "start").alias("pstart"), F.coalesce("l.e", "end").alias("pend"), F.col("__alts").isNotNull().alias("__alt"))
+    # The first window deals the hits by read and sorts them; the others find them so.
     by = Window.partitionBy("read").orderBy("pctg", "pstart", "hit")
+    all_ = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     reach = F.max("pend").over(Window.partitionBy("read", "pctg").orderBy("pstart", "hit").rowsBetween(Window.unboundedPreceding, -1))
-    grouped = placed.withColumn("__new", F.when(F.col("pstart") < reach, 0).otherwise(1)).withColumn("grp", F.sum("__new").over(by) - 1)
-    best = grouped.groupBy("read", "grp").agg(F.max("score").alias("top"), F.count("*").alias("n"), F.bool_or("__alt").alias("alt"), F.max(F.when(F.col("hit") == 0, F.struct("mapq", "__alt"))).alias("r"))
-    ranked = best.groupBy("read").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("top")).alias("neg"), "grp"))).alias("tops"), F.bool_or("alt").alias("alt"),
-        F.max(F.when(F.col("r").isNotNull(), F.struct("grp", "n", "r"))).alias("g"),
-    )
-    lead = F.when(F.size("tops") == 1, BEST_QUALITY).otherwise(F.least(F.lit(BEST_QUALITY), 6 * (F.get("tops", F.lit(1))["neg"] - F.col("tops")[0]["neg"])))
-    fresh = F.when(F.col("tops")[0]["grp"] == F.col("g.grp"), lead).otherwise(0)
-    kept = F.col("g.r.mapq")
-    quality = F.when(F.col("alt") & (F.col("g.n") > 1), F.when(F.col("g.r.__alt"), F.greatest(fresh, kept)).otherwise(F.least(fresh, kept))).otherwise(kept)
-    reads = ranked.select("read", F.col("g.grp").alias("__reported"), quality.cast("bigint").alias("__q"))
-    return grouped.join(reads, "read").select("read", "hit", "ctg", "pctg", "pstart", "pend", "score", "grp", (F.col("grp") == F.col("__reported")).alias("reported"), F.when(F.col("grp") == F.col("__reported"), F.col("__q")).otherwise(F.col("mapq")).alias("mapq"))
+    grouped = placed.withColumn("__any", F.bool_or("__alt").over(all_)).withColumn("__new", F.when(F.col("pstart") < reach, 0).otherwise(1)).withColumn("grp", F.sum("__new").over(by) - 1)
+    group, read = Window.partitionBy("read", "grp"), Window.partitionBy("read")
+    best = grouped.withColumns({"__top": F.max("score").over(group), "__n": F.count("*").over(group)})
+    # The reported hit with its group, then what the other groups reach.
+    best = best.withColumn("g", F.max(F.when(F.col("hit") == 0, F.struct("grp", F.col("__n").alias("n"), F.col("__top").alias("top"), "mapq", "__alt"))).over(read))
+    best = best.withColumns({"__next": F.max(F.when(F.col("grp") != F.col("g.grp"), F.col("__top"))).over(read), "__tied": F.bool_or((F.col("grp") < F.col("g.grp")) & (F.col("__top") == F.col("g.top"))).over(read)})
+    lead = F.when(F.col("__next").isNull(), BEST_QUALITY).otherwise(F.least(F.lit(BEST_QUALITY), 6 * (F.col("g.top") - F.col("__next"))))
+    fresh = F.when((F.col("__next") > F.col("g.top")) | F.col("__tied"), 0).otherwise(lead)
+    kept = F.col("g.mapq")
+    quality = F.when(F.col("__any") & (F.col("g.n") > 1), F.when(F.col("g.__alt"), F.greatest(fresh, kept)).otherwise(F.least(fresh, kept))).otherwise(kept)
+    reported = F.col("grp") == F.col("g.grp")
+    return best.select("read", "hit", "ctg", "pctg", "pstart", "pend", "score", "grp", reported.alias("reported"), F.when(reported, quality.cast("bigint")).otherwise(F.col("mapq")).alias("mapq"))
 
 
 def rule_script(filters: dict[str, Column], rule: str) -> Column:

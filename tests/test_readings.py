@@ -178,3 +178,20 @@ def test_flattened_records_are_dealt_once_and_cross_bins(spark):
             want = (r, f"{listed[c, at][0]},{own[0]}", g.replace("1", "2")) if k[0] == 2 else (r, own[0], g)
         assert got.pop((s, c, at)) == want
     assert not got
+
+
+def test_hits_are_regrouped_without_a_join_of_reads(spark):
+    rows = [("r", 0, "p", 100, "50M", 0, 9), ("r", 1, "a", 40, "30M", 0, 5), ("r", 2, "p", 400, "45M", 0, 7), ("t", 0, "p", 10, "20M", 0, 3), ("t", 1, "p", 90, "20M", 0, 4), ("u", 1, "p", 5, "9M", 0, 8)]
+    hits = spark.createDataFrame(rows, "read string, hit int, ctg string, start long, cigar string, nm long, mapq long")
+    # The second alignment of the contig has the smaller first base, so it lifts; the third is not met.
+    contigs = [("a", "q", 900, False, "20S200M"), ("a", "p", 80, False, "5S200M"), ("a", "z", 0, False, "150S70M")]
+    out = alignments.regroup_hits(hits, spark.createDataFrame(contigs, "name string, target string, pos long, reverse boolean, cigar string"))
+    # Hits once by read; the contigs once by name.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(read") == 1 and plan.count("Join") == 1
+    got = {(r["read"], r["hit"]): (r["pctg"], r["pstart"], r["pend"], r["grp"], r["reported"], r["mapq"]) for r in out.collect()}
+    # Best scores 50 and 45: 6 * 5, lowered to what the primary hit had; equal groups keep their quality without an alternate hit.
+    assert got == {
+        ("r", 0): ("p", 100, 150, 0, True, 9), ("r", 1): ("p", 115, 145, 0, True, 9), ("r", 2): ("p", 400, 445, 1, False, 7),
+        ("t", 0): ("p", 10, 30, 0, True, 3), ("t", 1): ("p", 90, 110, 1, False, 4), ("u", 1): ("p", 5, 14, 0, None, 8),
+    }
