@@ -160,9 +160,11 @@ def patch_alignments(rows: DataFrame, query: str, target: str, strand: str, on_t
     w = Window.partitionBy(query).orderBy(target, ts, qs)
     near = lambda a, b: F.abs(F.col(a) - F.lag(b).over(w)) < gap
     together = (F.col(target) == F.lag(target).over(w)) & (F.col(strand) == F.lag(strand).over(w)) & near(ts, te) & near(qs, qe)
-    marked = rows.withColumn("__new", F.when(together, 0).otherwise(1)).withColumns({"__g": F.sum("__new").over(w), "__i": F.row_number().over(w)})
-    first, last = (lambda c: F.min_by(c, "__i").alias(c)), (lambda c: F.max_by(c, "__i").alias(c))
-    return marked.groupBy(query, "__g").agg(*(first(c) for c in (target, strand, ts, qs)), *(last(c) for c in (te, qe, quality))).drop("__g")
+    # A part is what its last row says and where its first one began: all in one order, nothing is grouped.
+    marked = rows.withColumn("__new", F.when(together, 0).otherwise(1))
+    began = F.last(F.when(F.col("__new") == 1, F.struct(F.col(ts).alias("ts"), F.col(qs).alias("qs"))), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ends = marked.withColumns({"__began": began, "__next": F.lead("__new").over(w)}).where("__next is null or __next = 1")
+    return ends.select(query, target, strand, F.col("__began.ts").alias(ts), F.col("__began.qs").alias(qs), te, qe, quality)
 
 
 #: Lengths from which break points are counted.

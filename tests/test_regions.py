@@ -100,3 +100,14 @@ def test_masks_and_patches(spark):
     assert sorted((r["q"], r["s"], r["e"], r["mq"]) for r in joined.collect()) == [("q", 0, 300, 60), ("q", 300, 420, 60), ("r", 0, 10, 60)]
     assert tuple(regions.break_counts(joined, "q", F.col("e") - F.col("s"), "mq").first()) == (1, 1, 1, 0, 0)
     assert tuple(regions.break_counts(kept, "q", F.col("e") - F.col("s"), "mq").first()) == (3, 2, 2, 0, 0)
+
+
+def test_patched_parts_are_found_in_one_order(spark):
+    # Parts of a read: the first two lie close on both sides, the third is far on the target, the fourth has no strand, the last lies on another target.
+    rows = [("r", "a", "+", 0, 10, 0, 10, 5), ("r", "a", "+", 12, 20, 11, 19, 7), ("r", "a", "+", 90, 99, 20, 29, 9), ("r", "a", None, 100, 110, 30, 40, 3), ("r", "b", "+", 112, 120, 41, 49, 2), ("s", "a", "+", 0, 9, 0, 9, 1)]
+    df = spark.createDataFrame(rows, "q string, t string, st string, ts long, te long, s long, e long, mq long")
+    joined = regions.patch_alignments(df, "q", "t", "st", ("ts", "te"), ("s", "e"), 20, "mq")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    # Groups in hash maps and sorts held a task's rows several times over.
+    assert "Aggregate" not in plan and plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+    assert sorted(tuple(r) for r in joined.select("q", "t", "ts", "te", "s", "e", "mq").collect()) == [("r", "a", 0, 20, 0, 19, 7), ("r", "a", 90, 99, 20, 29, 9), ("r", "a", 100, 110, 30, 40, 3), ("r", "b", 112, 120, 41, 49, 2), ("s", "a", 0, 9, 0, 9, 1)]
