@@ -12,14 +12,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ._words import SPACE, buffers, hashes
+from ._words import SPACE, buffers, hashes, remembered
 
 #: Pieces that a worker remembers, at most (about 40 bytes each), and bytes of a piece that is remembered.
 MOST_PIECES, LONGEST = 400_000, 64
@@ -36,7 +34,7 @@ CLASS[0x27] = QUOTE
 INK = (LETTER, DIGIT, QUOTE, MARK)
 
 
-@lru_cache(maxsize=4)
+@remembered
 def load(path: str):
     """The tokenizer of a JSON file that Spark distributed or that every machine has."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -106,7 +104,8 @@ class Pieces:
     def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, alone: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after another, number of ids of each piece). ``alone``: pieces that are not to be remembered."""
         alone = alone | (end - start > LONGEST)
-        code, key = pd.factorize(hashes(data, start, end, lower))
+        coded = pa.array(hashes(data, start, end, lower)).dictionary_encode()
+        code, key = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
         if alone.any():
             # Each a key of its own, behind the others.
             code[alone] = len(key) + np.arange(alone.sum())

@@ -10,7 +10,8 @@ n^2 / 3.7e19 (3e-6 for ten million).
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes hashed at a time, so that the 8-byte work arrays stay small.
-STEP = 1 << 20
+STEP = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 _CODES = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
@@ -120,8 +121,26 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
+_REMEMBERED: list = []
+
+
+def remembered(make: Callable) -> Callable:
+    """``make``, whose last results stay in this worker process until a task of another kind runs there (``forget``)."""
+    kept = lru_cache(maxsize=2)(make)
+    _REMEMBERED.append(kept)
+    return kept
+
+
+def forget() -> None:
+    """Drop what ``remembered`` functions keep: a worker process serves the tasks of all operators in turn."""
+    for kept in _REMEMBERED:
+        kept.cache_clear()
+
+
 def give_back() -> None:
     """Return freed memory to the system: an idle worker between tasks holds none for later."""
+    if _POWERS and len(_POWERS[0]) > STEP:  # of a very long word
+        _POWERS.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -129,8 +148,13 @@ def give_back() -> None:
         pass
 
 
-def slabs(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds at most about ``most`` bytes of text; a longer text stands alone."""
+def slabs(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each holds at most about ``most`` bytes of text; a longer text stands alone.
+
+    ``keep``: the task itself uses what is ``remembered``.
+    """
+    if not keep:
+        forget()
     for batch in batches:
         text = batch.column(batch.schema.get_field_index(column))
         sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)

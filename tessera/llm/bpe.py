@@ -27,7 +27,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from operator import add
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._store import bounded_batches, documents
 from ._tokens import BLANK, BREAK, DIGIT, LETTER, MARK, QUOTE, Pieces, letter_table, list_offsets, load, pair_table, segments
-from ._words import SPACE, buffers, slabs
+from ._words import SPACE, buffers, remembered, slabs
 
 #: Neighbouring classes of bytes between which a pre-token ends, whatever stands around them.
 ENDS = {(LETTER, MARK), (LETTER, QUOTE), (LETTER, DIGIT), (DIGIT, LETTER), (DIGIT, DIGIT), (DIGIT, MARK), (DIGIT, QUOTE), (MARK, LETTER), (MARK, DIGIT)}
@@ -123,9 +122,9 @@ class FragmentEncoder:
         return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.value.take(ids.values)), " ")
 
 
-@lru_cache(maxsize=2)
+@remembered
 def fragment_encoder(path: str) -> FragmentEncoder:
-    """The encoder of this tokenizer in this worker process; what it remembers outlives a task."""
+    """The encoder of this tokenizer in this worker process; what it remembers outlives a task, until one of another operator runs there."""
     return FragmentEncoder(path)
 
 
@@ -137,7 +136,7 @@ def encode_bpe(docs: DataFrame, tokenizer_path: str, text_col: str = "text", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = fragment_encoder(tokenizer_path)
-        for batch in slabs(batches, "__text", 2 << 20):
+        for batch in slabs(batches, "__text", 1 << 20, keep=True):
             ids = encoder.encode(batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids, encoder.decode(ids)], [*keep, "ids", "decoded"])
 

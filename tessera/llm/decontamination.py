@@ -57,6 +57,8 @@ THRESHOLD, QUESTION_SHARE, ANSWER_SHARE = 0.6, 0.5, 0.5
 NGRAM = 3
 BLOCK_POSTINGS = 16
 BLOCK_CHARS = 4 << 20
+#: Bytes of text that a worker searches at a time.
+SLAB = 1 << 20
 #: Blocks that one worker searches in turn.
 TOGETHER = 16
 SENTENCE_END = re.compile(r"[.!?]\s+(?=\S)")
@@ -288,7 +290,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
     def searched(some: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slabs(batches):
+            for batch in slabs(batches, most=SLAB):
                 found = [(batch.column(0)[i].as_py(), int(index.ids[item]), *shares) for index in some.value for i, item, *shares in leaks_of(index, batch.column(1), threshold, question_share, answer_share)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], names)
 
@@ -303,7 +305,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", blo
     for some in shipped(items, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], some: Broadcast = some) -> Iterator[pa.RecordBatch]:
-            for batch in slabs(batches, text_col):
+            for batch in slabs(batches, text_col, SLAB):
                 clean, text = np.ones(batch.num_rows, bool), batch.column(batch.schema.get_field_index(text_col))
                 for index in some.value:
                     clean[[i for i, *_ in leaks_of(index, text, THRESHOLD, QUESTION_SHARE, ANSWER_SHARE)]] = False

@@ -43,7 +43,6 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,11 +50,13 @@ from pyspark.sql.types import StructType
 
 from ._graph import components
 from ._store import bounded_batches, documents, free_name, materialise, release
-from ._words import mix, shingles, slabs, words
+from ._words import give_back, mix, shingles, slabs, words
 
 SHINGLE, PERCENT = 5, 80
 #: Counters of the sketch and of the filter of wanted documents (bits of their number), and counters per shuffled row.
 SKETCH_BITS, FILTER_BITS, ROW_BITS = 20, 23, 12
+#: Bytes of text that a worker takes at a time.
+SLAB = 1 << 20
 #: Sets of a part of a long list, about.
 LONG = 4096
 #: Light sets are never larger than this, whatever the costs say.
@@ -132,25 +133,25 @@ def _sketch_row(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
-def _add_rows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _add_rows(key: tuple, rows: pa.Table) -> pa.Table:
     total = np.zeros(1 << ROW_BITS, np.int64)
     for b in rows["counts"]:
-        total += _sketch_row(b)
+        total += _sketch_row(b.as_py())
     import zstandard
 
     total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
     blob = zstandard.compress(np.ascontiguousarray(total.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-    return pd.DataFrame({"part": [key[0]], "counts": [blob]})
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([blob], pa.binary())})
 
 
 def add_sketches(rows: DataFrame, bits: int) -> np.ndarray:
     """Sum of sketches given as rows (part, salt, counts); the sum has a fixed size."""
     schema = "part int, counts binary"
     # Few but heavy rows: by hand, else the planner puts them into one task.
-    some = rows.repartition(64, "part", "salt").groupBy("part", "salt").applyInPandas(_add_rows, schema)
+    some = rows.repartition(64, "part", "salt").groupBy("part", "salt").applyInArrow(_add_rows, schema)
     out = np.zeros(1 << bits, np.int32)
     step = 1 << ROW_BITS
-    for r in some.repartition(64, "part").groupBy("part").applyInPandas(_add_rows, schema).collect():
+    for r in some.repartition(64, "part").groupBy("part").applyInArrow(_add_rows, schema).collect():
         out[r["part"] * step : (r["part"] + 1) * step] = _sketch_row(bytes(r["counts"]))
     return out
 
@@ -170,7 +171,7 @@ def _sets(shared: Shared):
         from pyspark import TaskContext
 
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in slabs(batches):
+        for batch in slabs(batches, most=SLAB):
             h, first = words(batch.column(3))
             m = batch.num_rows
             node, second, size, bits = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros((m, 8), np.int64)
@@ -220,7 +221,7 @@ def _signatures(sketch, boundary: int, shared: Shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, mask = sketch.value, np.uint64((1 << SKETCH_BITS) - 1)
-        for batch in slabs(batches, "text", 2 << 20):
+        for batch in slabs(batches, most=SLAB):
             h, first = words(batch.column(1))
             parts: list[tuple] = []
             for s in shingle_sets(h, first):
@@ -305,6 +306,8 @@ def _passing(ids: DataFrame, schema: StructType, inside: bool):
             keep = passes[_filter_place(batch.column(0).to_numpy(zero_copy_only=False))] == inside
             if keep.any():
                 yield batch.filter(pa.array(keep))
+        del passes
+        give_back()
 
     return pick, schema
 
@@ -339,7 +342,7 @@ def verify(pairs: DataFrame, docs: DataFrame, repeated: bool, shared: Shared) ->
     joined = pairs.join(side("u"), "u").join(side("v"), "v").select("a", "b", "text_u", "text_v")
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(slabs(batches, "text_u"), "text_v"):
+        for batch in slabs(slabs(batches, "text_u", SLAB), "text_v", SLAB):
             keep = np.zeros(batch.num_rows, bool)
             for i, (a, b) in enumerate(zip(*(shingle_sets(*words(batch.column(c))) for c in (2, 3)), strict=True)):
                 common = len(np.intersect1d(a, b, assume_unique=True))

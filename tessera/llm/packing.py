@@ -88,7 +88,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
         from pyspark import TaskContext
 
         encoder, task, seen = fragment_encoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in slabs(batches, whole, 2 << 20):
+        for batch in slabs(batches, whole, 2 << 20, keep=True):
             row, piece, length, ids = cut_pieces(encoder.encode(batch.column(len(keep))), end_id, capacity)
             made = [pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(length, pa.int32()), pa.array(np.full(len(row), task, np.int32)), pa.array(number_within(length, seen)), ids]
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns[: len(keep)]), *made], [*keep, *(f.split()[0] for f in PIECES.split(", "))])

@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._store import bounded_batches, documents, materialise, new_path
 from ._tokens import BLANK, BREAK, DIGIT, INK, LETTER, MARK, QUOTE, Pieces, letter_table, list_offsets, load, pair_table, segments
-from ._words import SPACE, slabs
+from ._words import SPACE, remembered, slabs
 
 FILE_SCHEMA = "doc_id long, shard int, local_start long, n_tokens int, ids array<int>"
 #: Bytes of a row group and of a page, rows of a page.
@@ -86,7 +85,7 @@ class ByteLevelEncoder:
         return pa.ListArray.from_arrays(pa.array(off + np.arange(len(off)), pa.int32()), pa.array(ids, pa.int32()))
 
 
-@lru_cache(maxsize=2)
+@remembered
 def byte_level_encoder(path: str) -> ByteLevelEncoder:
     """The encoder of this tokenizer in this worker process; what it remembers outlives a task."""
     return ByteLevelEncoder(path)
@@ -99,7 +98,7 @@ def encoder(path: str, end_id: int):
         from pyspark import TaskContext
 
         own, shard, at = byte_level_encoder(path), TaskContext.get().partitionId(), 0
-        for batch in slabs(batches):
+        for batch in slabs(batches, keep=True):
             ids = own.encode(batch.column(1), end_id)
             off = ids.offsets.to_numpy().astype(np.int64)
             sizes = np.diff(off)

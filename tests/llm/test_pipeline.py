@@ -65,3 +65,30 @@ def test_stages_with_odd_rows_and_columns(spark):
     assert sorted(kept, key=str) == sorted(["a", None, "c", "e"], key=str)
     ids = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert ids.columns == ["doc_id", "rid", "copies", "quality", "n_tokens", "ids"] and ids.count() == len(rows)
+
+
+def test_what_a_worker_remembers_goes_with_the_next_stage():
+    """Encoders of the last stage would stay beside every other stage's memory in workers that serve all of them."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tessera.llm import _tokens, _words, bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    one = bpe.fragment_encoder(path)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", None])], ["text"])
+    assert [b.num_rows for b in _words.slabs(iter([batch]), keep=True)] == [2] and bpe.fragment_encoder(path) is one
+    assert [b.num_rows for b in _words.slabs(iter([batch]))] == [2]
+    assert not bpe.fragment_encoder.cache_info().currsize and not _tokens.load.cache_info().currsize
+    _words.words(pa.array(["x" * (_words.STEP + 5)]))
+    assert len(_words._POWERS[0]) > _words.STEP
+    _words.give_back()
+    assert not _words._POWERS
+
+
+def test_stages_import_no_pandas_in_workers():
+    import subprocess
+    import sys
+
+    code = "import sys; from tessera.llm import bpe, decontamination, jaccard_join, quality_classifier, secrets; print('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True).stdout.split()[-1:] == ["False"]
