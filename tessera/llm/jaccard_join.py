@@ -316,7 +316,8 @@ def _chosen(rows: DataFrame, rid: str, texts: DataFrame, kept: DataFrame, then=N
     """The rows (``rid`` first) that ``kept`` (rid) names, one of each, or what the mapInArrow function ``then`` makes of them. ``texts``: every rid with how often it is there.
 
     Most rows are kept, so the others are looked for: rows that pass no filter
-    of theirs stay where they are, and only the rest is dealt out and joined.
+    of theirs stay where they are, and only the rest is dealt out and joined
+    (never by a broadcast: a task would need a worker before and one behind it).
     """
     named = kept.select("rid", F.lit(True).alias("kept"))
     odd = texts.select("rid", "copies").join(named, "rid", "left").where("kept is null or copies > 1")
@@ -324,7 +325,7 @@ def _chosen(rows: DataFrame, rid: str, texts: DataFrame, kept: DataFrame, then=N
     apart = _passing(odd.select("rid"), rows.schema, False)[0]
     # One function, so that a task needs one worker.
     sure = rows.mapInArrow((lambda batches: then(apart(batches))) if then else apart, schema or rows.schema)
-    other = rows.mapInArrow(*_passing(odd.select("rid"), rows.schema, True)).join(odd.select(F.col("rid").alias(rid), F.col("kept").alias(kept_name := free_name(rows, "kept"))), rid, "left")
+    other = rows.mapInArrow(*_passing(odd.select("rid"), rows.schema, True)).join(odd.select(F.col("rid").alias(rid), F.col("kept").alias(kept_name := free_name(rows, "kept"))).hint("merge"), rid, "left")
     once = other.where(F.col(kept_name).isNull()).drop(kept_name)
     rest = once.union(other.where(F.col(kept_name)).drop(kept_name).dropDuplicates([rid]))
     return sure.union(rest.mapInArrow(then, schema) if then else rest)
@@ -339,7 +340,8 @@ def verify(pairs: DataFrame, docs: DataFrame, repeated: bool, shared: Shared) ->
     texts = rows.mapInArrow(*_passing(pairs.select("u").union(pairs.select("v")), rows.schema, True))
     one = texts.dropDuplicates(["rid"]) if repeated else texts
     side = lambda k: one.select(F.col("rid").alias(k), F.col("text").alias(f"text_{k}"))
-    joined = pairs.join(side("u"), "u").join(side("v"), "v").select("a", "b", "text_u", "text_v")
+    # Merge joins, so that no task has one worker that picks texts and another that compares them.
+    joined = pairs.join(side("u").hint("merge"), "u").join(side("v").hint("merge"), "v").select("a", "b", "text_u", "text_v")
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slabs(slabs(batches, "text_u", SLAB), "text_v", SLAB):

@@ -92,3 +92,30 @@ def test_stages_import_no_pandas_in_workers():
 
     code = "import sys; from tessera.llm import bpe, decontamination, jaccard_join, quality_classifier, secrets; print('pandas' in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True).stdout.split()[-1:] == ["False"]
+
+
+def _chained(plan, above=False):
+    """Whether a task of a physical plan feeds one Python worker from another."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _chained(plan.initialPlan(), above)
+    python = "InArrow" in name or "InPandas" in name
+    if python and above:
+        return True
+    below = "Exchange" not in name and (above or python)
+    return any(_chained(plan.children().apply(i), below) for i in range(plan.children().size()))
+
+
+def test_a_task_of_the_join_needs_one_worker(spark, docs, monkeypatch):
+    """Workers stay with the executor, idle ones too, so each that a task needs besides its own is memory for all later stages."""
+    plans, write = [], jaccard_join.materialise
+
+    def seen(df, name, **options):
+        plans.append((name, df._jdf.queryExecution().executedPlan()))
+        return write(df, name, **options)
+
+    monkeypatch.setattr(jaccard_join, "materialise", seen)
+    out = jaccard_join.stage(spark, docs.union(docs.limit(5)), SF)
+    plans.append(("result", out._jdf.queryExecution().executedPlan()))
+    assert {"links", "lists", "result"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if _chained(plan)] == []
